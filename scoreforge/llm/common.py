@@ -193,3 +193,22 @@ class Ragged:
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens) - lens])
         self.lens = np.concatenate([self.lens, lens])
         self.used = need
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's executors, once a session: their Python need not have it installed."""
+    import shutil
+    from pathlib import Path
+
+    import scoreforge
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(scoreforge.__file__).resolve().parent
+    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='scoreforge-')}/scoreforge", "zip", root.parent, root.name)
+    sc.addPyFile(made)
+    _SHIPPED.add(sc.applicationId)

@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import pieces
+from . import pieces, records, sharding
+
+
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document through binary record files and back."""
+    return records.write_and_read(C.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes."""
+    return sharding.shard(C.table(spark, sf_dir, "documents"), 40)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +24,14 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(C.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op7_sentencepiece": op7_sentencepiece}
+def _shipped(query):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        C.ship(spark)
+        return query(spark, sf_dir)
+
+    run.__name__, run.__doc__ = query.__name__, query.__doc__
+    return run
+
+
+QUERIES = {q.__name__: _shipped(q) for q in (op5_token_records, op6_sharding, op7_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
