@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import pieces, records, sharding
+from . import pieces, records, secrets, sharding
 
 
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(C.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.digest(C.table(spark, sf_dir, "documents"))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         C.ship(spark)
@@ -33,5 +38,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op5_token_records, op6_sharding, op7_sentencepiece)}
+QUERIES = {q.__name__: _shipped(q) for q in (op5_token_records, op6_sharding, op7_sentencepiece, op9_secrets)}
 ORACLE_SQL: dict[str, str] = {}
