@@ -6,7 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import pieces, records, secrets, sharding
+from . import language, nearest, pieces, quality, records, secrets, sharding
+
+
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all vectors for each query vector."""
+    return nearest.top_k(C.table(spark, sf_dir, "embeddings"))
 
 
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +29,21 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(C.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return language.predict(C.table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.digest(C.table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    return quality.classify(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         C.ship(spark)
@@ -38,5 +53,21 @@ def _shipped(query):
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op5_token_records, op6_sharding, op7_sentencepiece, op9_secrets)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {q.__name__: _shipped(q) for q in (op3_top_k, op5_token_records, op6_sharding, op7_sentencepiece, op8_language, op9_secrets, op10_quality)}
+ORACLE_SQL: dict[str, str] = {
+    "op3_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+}
