@@ -6,7 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import language, nearest, pieces, quality, records, secrets, sharding
+from . import language, nearest, pieces, quality, records, secrets, sharding, suffixes
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 400-byte strings that stand elsewhere too."""
+    return suffixes.remove_repeats(C.table(spark, sf_dir, "documents"))
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +58,7 @@ def _shipped(query):
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op3_top_k, op5_token_records, op6_sharding, op7_sentencepiece, op8_language, op9_secrets, op10_quality)}
+QUERIES = {q.__name__: _shipped(q) for q in (op2_suffix_dedup, op3_top_k, op5_token_records, op6_sharding, op7_sentencepiece, op8_language, op9_secrets, op10_quality)}
 ORACLE_SQL: dict[str, str] = {
     "op3_top_k": """
 WITH v AS (
