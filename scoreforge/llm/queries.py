@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import language, nearest, pieces, quality, records, secrets, sharding, suffixes
+from . import language, nearest, pieces, quality, records, secrets, setjoin, sharding, suffixes
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.top_k(C.table(spark, sf_dir, "embeddings"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the documents whose three-word shingle sets are 90 percent alike."""
+    return setjoin.join(C.table(spark, sf_dir, "documents"), 3, 90)
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document through binary record files and back."""
     return records.write_and_read(C.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -58,7 +63,7 @@ def _shipped(query):
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op2_suffix_dedup, op3_top_k, op5_token_records, op6_sharding, op7_sentencepiece, op8_language, op9_secrets, op10_quality)}
+QUERIES = {q.__name__: _shipped(q) for q in (op2_suffix_dedup, op3_top_k, op4_jaccard_join, op5_token_records, op6_sharding, op7_sentencepiece, op8_language, op9_secrets, op10_quality)}
 ORACLE_SQL: dict[str, str] = {
     "op3_top_k": """
 WITH v AS (
