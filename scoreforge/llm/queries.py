@@ -6,7 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import language, nearest, pieces, quality, records, secrets, setjoin, sharding, suffixes
+from . import decontaminate, language, nearest, pieces, quality, records, secrets, setjoin, sharding, suffixes
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that overlap with benchmark items, and with which."""
+    return decontaminate.leaks(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +68,7 @@ def _shipped(query):
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op2_suffix_dedup, op3_top_k, op4_jaccard_join, op5_token_records, op6_sharding, op7_sentencepiece, op8_language, op9_secrets, op10_quality)}
+QUERIES = {q.__name__: _shipped(q) for q in (op1_decontaminate, op2_suffix_dedup, op3_top_k, op4_jaccard_join, op5_token_records, op6_sharding, op7_sentencepiece, op8_language, op9_secrets, op10_quality)}
 ORACLE_SQL: dict[str, str] = {
     "op3_top_k": """
 WITH v AS (
