@@ -5,17 +5,17 @@
 2. Two sets that reach the similarity share a shingle among their first ``n - ceil(similarity * n) + 1`` in that order. These
    are dealt by shingle into index lists. Lists are sorted by size; entries are met block by block, and a block is
    skipped where the sizes or positions left in it cannot reach the overlap that a link needs (index-level skipping).
-3. A list of up to ``LARGE`` classes gives its candidate pairs, which are verified once each by their whole sets. A larger list
-   gives no pairs: its sets meet in tasks of two blocks of at most ``BLOCK`` classes, and there the overlaps of a set with all
-   others are derived from those of a highly similar set already computed, by the shingles in which the two differ
-   (answer-level skipping). A pair is settled in the list of its first common shingle only.
+3. The entries of a list that a block meets, or all of a list of over ``LARGE`` entries, join the group of the list's least
+   class. Lists of near copies mostly have one least class, so a text travels once a group and not once a list. Groups of over
+   ``BLOCK`` classes meet as pairs of blocks. In a group the overlaps of a set with all others are derived from those of a
+   highly similar set already computed, by the shingles in which the two differ (answer-level skipping). A pair counts in
+   the least group that both are in.
 4. Large-star and small-star rounds give the components.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,7 +122,7 @@ def list_pairs(rid: np.ndarray, n: np.ndarray, pos: np.ndarray, t: int) -> list[
 
 
 def _lists(t: int, large: int):
-    """Rows come in order of (token, rid). Gives pairs (token null), or the entries of large lists (other null)."""
+    """Rows come in order of (token, rid). Gives (pivot, rid): which classes are in which groups."""
 
     def run(batches):
         keep = [np.zeros(0, np.int64)] * 4
@@ -147,92 +147,53 @@ def _settle(cols: list[np.ndarray], t: int, large: int):
     size = np.diff(np.concatenate([start, [len(token)]]))
     two = start[size == 2]
     ok = np.minimum(n[two] - pos[two], n[two + 1] - pos[two + 1]) >= _need(t, n[two], n[two + 1])
-    a, b = rid[two[ok]], rid[two[ok] + 1]
-    pairs = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
-    for s, m in zip(start[(size > 2) & (size <= large)].tolist(), size[(size > 2) & (size <= large)].tolist()):
-        pairs.update((min(p), max(p)) for p in list_pairs(rid[s : s + m], n[s : s + m], pos[s : s + m], t))
-    names = ["token", "rid", "other", "pos"]
-    if pairs:
-        x, y = np.array(sorted(pairs), np.int64).T
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.array(x), pa.array(y), pa.nulls(len(x), pa.int32())], names)
-    big = np.repeat(size > large, size)
-    if big.any():
-        m = int(big.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(token[big]), pa.array(rid[big]), pa.nulls(m, pa.int64()), pa.array(pos[big].astype(np.int32))], names)
-
-
-def _sets(k: int, level):
-    """(rid, packed set in the common order) of candidates; a text of another class than its id was asked for is left out."""
-
-    def run(batches):
-        lv = level.value
-        for batch in batches:
-            col = C.texts_of(batch)
-            for a, b in C.chunks(col):
-                h, n = shingle_sets(col.slice(a, b - a), k)
-                rid = _signature(h, n)
-                h = _ordered(h, n, lv)
-                at = np.concatenate([[0], np.cumsum(n)]).tolist()
-                asked, copies = batch.column(1).slice(a, b - a).to_numpy(), batch.column(2).slice(a, b - a)
-                keep = np.flatnonzero(asked == rid)
-                yield pa.RecordBatch.from_arrays([pa.array(rid[keep]), copies.take(pa.array(keep)), pa.array([h[at[i] : at[i + 1]].tobytes() for i in keep.tolist()], pa.binary())], ["rid", "copies", "packed"])
-
-    return run
-
-
-def _verify(t: int):
-    """One row a direction of each link: (rid, other, weight); the weight is 0 where a large list settles the pair."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            a, b, ca, cb, sa, sb, la = (c.to_pylist() for c in batch.columns)
-            for i in range(len(a)):
-                x, y = np.frombuffer(sa[i], np.uint64), np.frombuffer(sb[i], np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True)
-                if len(both) * 100 >= t * (len(x) + len(y) - len(both)):
-                    large = False
-                    if la[i]:
-                        first = int(x[np.flatnonzero(np.isin(x, both))[0]].astype(np.int64))
-                        large = first in la[i]
-                    out += [(a[i], b[i], 0 if large else cb[i]), (b[i], a[i], 0 if large else ca[i])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 3)], ["rid", "other", "weight"])
-
-    return run
-
-
-def group_links(sets: list[np.ndarray], pos: np.ndarray, weight: np.ndarray, side: np.ndarray, t: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Links between the sets of one large list: edges that hold them together, and each set's linked weight.
-
-    ``pos`` is the place of the list's shingle in each (ordered) set. Pairs that share an earlier shingle are settled in
-    its list. ``side`` 0 meets 1 only if both occur; if all are one side, all meet.
+    a = rid[two[ok]]  # rows are in order of rid: the least is the first
+    found = set(zip(a.tolist(), a.tolist())) | set(zip(a.tolist(), rid[two[ok] + 1].tolist()))
+    for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+        met = {x for p in list_pairs(rid[s : s + m], n[s : s + m], pos[s : s + m], t) for x in p} if m <= large else set(rid[s : s + m].tolist())
+        if met:
+            least = min(met)
+            found.update((least, x) for x in met)
+    if found:
+        x, y = np.array(sorted(found), np.int64).T
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["pivot", "rid"])
+
+
+def group_links(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, settled: list[list[int]], t: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links between the sets of one group: edges that hold them together, and each set's linked weight.
+
+    ``settled`` are the other groups of each that come before this one: pairs that share one count there. ``side`` 0
+    meets 1 only if both occur; if all are one side, all meet.
     """
     m = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     uniq, ids = np.unique(np.concatenate(sets), return_inverse=True)
     cuts = np.concatenate([[0], np.cumsum(size)])
-    owner = np.repeat(np.arange(m), size)
     order = np.argsort(ids, kind="stable")
     at = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(uniq)))])
-    posting = owner[order]
-    early = np.arange(len(ids)) - np.repeat(cuts[:-1], size) < np.repeat(pos, size)
-    e_ids, e_owner = ids[early], owner[early]
-    e_order = np.argsort(e_ids, kind="stable")
-    e_at = np.concatenate([[0], np.cumsum(np.bincount(e_ids, minlength=len(uniq)))])
-    e_posting = e_owner[e_order]
-    own = [np.sort(ids[cuts[i] : cuts[i + 1]]) for i in range(m)]
+    posting = np.repeat(np.arange(m), size)[order]
+    others: dict[int, list[int]] = {}
+    for i, before in enumerate(settled):
+        for p in before:
+            others.setdefault(p, []).append(i)
+    own = [ids[cuts[i] : cuts[i + 1]] for i in range(m)]  # ascending, as the hashes are
     count = lambda tokens: np.bincount(C.gather(posting, at[tokens], at[tokens + 1] - at[tokens]), minlength=m)
     pivots: list[tuple[int, np.ndarray]] = []
     linked = np.zeros(m, np.int64)
     edges, root = [], np.arange(m)
     crossing = side.min() != side.max()
+
+    def top(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
     for y in range(m):
         near = max(pivots, key=lambda p: 2 * p[1][y] - size[p[0]], default=None)
         if near is not None and size[near[0]] + size[y] - 2 * near[1][y] < CLOSE * size[y]:
             x, overlap = near
-            gone = np.setdiff1d(own[x], own[y], assume_unique=True)
-            more = np.setdiff1d(own[y], own[x], assume_unique=True)
-            overlap = overlap - count(gone) + count(more)
+            overlap = overlap - count(np.setdiff1d(own[x], own[y], assume_unique=True)) + count(np.setdiff1d(own[y], own[x], assume_unique=True))
         else:
             overlap = count(own[y])
             if len(pivots) < PIVOTS:
@@ -241,34 +202,56 @@ def group_links(sets: list[np.ndarray], pos: np.ndarray, weight: np.ndarray, sid
         hit[y] = False
         if crossing:
             hit &= side != side[y]
-        if not hit.any():
-            continue
-        mine = ids[cuts[y] : cuts[y] + pos[y]]
-        hit[C.gather(e_posting, e_at[mine], e_at[mine + 1] - e_at[mine])] = False
+        for p in settled[y]:
+            hit[others[p]] = False
         other = np.flatnonzero(hit)
         linked[y] = weight[other].sum()
         for z in other[other > y].tolist():
-            a, b = y, z
-            while root[a] != a:
-                root[a] = root[root[a]]
-                a = root[a]
-            while root[b] != b:
-                root[b] = root[root[b]]
-                b = root[b]
+            a, b = top(y), top(z)
             if a != b:
                 root[max(a, b)] = min(a, b)
                 edges.append((y, z))
     return edges, linked
 
 
-def _large(t: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("rid").sort_values("rid")
-        rid = pdf["rid"].to_numpy()
-        sets = [np.frombuffer(s, np.uint64) for s in pdf["packed"]]
-        edges, linked = group_links(sets, pdf["pos"].to_numpy(), pdf["copies"].to_numpy(), pdf["side"].to_numpy(), t)
-        rows = [(rid[a], rid[b], 0) for a, b in edges] + [(rid[i], rid[i], linked[i]) for i in np.flatnonzero(linked).tolist()]
-        return pd.DataFrame(rows, columns=["rid", "other", "weight"], dtype="int64")
+def _groups(k: int, t: int):
+    """Rows come in order of the group (pivot, lo, hi). Gives edges and, with the row itself as other, linked weights."""
+
+    def settle(key, rows):
+        rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: r[0])  # of repeated rows one
+        if len(rows) < 2:
+            return []
+        side = np.array([r[2] for r in rows])
+        if key[1] != key[2] and side.min() == side.max():
+            return []
+        edges, linked = group_links([r[4] for r in rows], np.array([r[1] for r in rows]), side, [[p for p in r[3] if p < key[0]] for r in rows], t)
+        return [(rows[a][0], rows[b][0], 0) for a, b in edges] + [(rows[i][0], rows[i][0], int(linked[i])) for i in np.flatnonzero(linked)]
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 3)], ["rid", "other", "weight"])
+
+    def run(batches):
+        key, held, out = None, [], []
+        for batch in batches:
+            col = C.texts_of(batch)
+            for a, b in C.chunks(col):
+                h, n = shingle_sets(col.slice(a, b - a), k)
+                sign = _signature(h, n).tolist()
+                at = np.concatenate([[0], np.cumsum(n)]).tolist()
+                pivot, lo, hi, rid, copies, side, pivots = (batch.column(i).slice(a, b - a).to_pylist() for i in range(7))
+                for i in range(b - a):
+                    if sign[i] != rid[i]:
+                        continue  # another text under the same doc_id
+                    if key != (pivot[i], lo[i], hi[i]):
+                        out += settle(key, held)
+                        key, held = (pivot[i], lo[i], hi[i]), []
+                    held.append((rid[i], copies[i], side[i], pivots[i], h[at[i] : at[i + 1]].copy()))
+                if len(out) > 5000:
+                    yield batch_of(out)
+                    out = []
+        out += settle(key, held)
+        if out:
+            yield batch_of(out)
 
     return run
 
@@ -310,27 +293,16 @@ def join(documents: DataFrame, k: int = 3, similarity: int = 90, large: int = LA
     level = spark.sparkContext.broadcast((2 * np.log2(cells.ravel() + 1)).astype(np.uint8))
     classes = stage.where("n > 0").groupBy("rid").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     tokens = own.mapInArrow(_prefixes(k, t, level), "token long, rid long, n int, pos int")
-    lists = C.checkpointed(tokens.repartition("token").sortWithinPartitions("token", "rid").mapInArrow(_lists(t, large), "token long, rid long, other long, pos int"))
-    pairs = lists.where("token is null").select(F.col("rid").alias("a"), F.col("other").alias("b")).distinct()
-    entries = lists.where("token is not null").select("token", "rid", "pos")
-    asked = lists.select("rid").unionByName(lists.where("token is null").select(F.col("other").alias("rid"))).distinct()
-    asked = classes.join(asked, "rid").select(F.col("rid").alias("asked"), F.col("least_id").alias("_d"), "copies")
-    sets = own.join(asked, F.col("doc_id").eqNullSafe(F.col("_d"))).select("text", "asked", "copies").mapInArrow(_sets(k, level), "rid long, copies long, packed binary")
-    sets = C.checkpointed(sets)  # of candidates only; repeated rows may repeat here
-    in_large = entries.groupBy("rid").agg(F.collect_set("token").alias("tokens"))  # of one set's prefix
-    one = sets.dropDuplicates(["rid"])
-    left = one.select(F.col("rid").alias("a"), F.col("copies").alias("ca"), F.col("packed").alias("sa"))
-    right = one.select(F.col("rid").alias("b"), F.col("copies").alias("cb"), F.col("packed").alias("sb"))
-    rows = pairs.join(left, "a").join(right, "b").join(in_large.withColumnRenamed("rid", "a"), "a", "left").select("a", "b", "ca", "cb", "sa", "sb", "tokens")
-    links = rows.mapInArrow(_verify(t), "rid long, other long, weight long")
-    blocks = entries.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("rid", F.lit(11)), F.col("blocks")).cast("int")
-    placed = entries.join(blocks, "token").withColumn("_m", mine)
-    placed = placed.select("token", "rid", "pos", "_m", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o"))
-    placed = placed.select("token", "rid", "pos", F.least("_m", "_o").alias("lo"), F.greatest("_m", "_o").alias("hi"), F.when(F.col("_m") <= F.col("_o"), 0).otherwise(1).alias("side"))
-    met = placed.join(one, "rid").select("token", "lo", "hi", "rid", "pos", "side", "copies", "packed")
-    found = met.groupBy("token", "lo", "hi").applyInPandas(_large(t), "rid long, other long, weight long")
-    links = C.checkpointed(links.unionByName(found))
+    met = C.checkpointed(tokens.repartition("token").sortWithinPartitions("token", "rid").mapInArrow(_lists(t, large), "pivot long, rid long").distinct())
+    blocks = met.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    mine = met.join(blocks, "pivot").withColumn("m", F.pmod(F.xxhash64("rid", F.lit(11)), F.col("blocks")).cast("int"))
+    mine = mine.groupBy("rid").agg(F.collect_list(F.struct("pivot", "m", "blocks")).alias("groups"))  # of one set: at most its prefix
+    asked = classes.join(mine, "rid").select(F.col("rid").alias("asked"), F.col("least_id").alias("_d"), "copies", "groups")
+    rows = own.join(asked, F.col("doc_id").eqNullSafe(F.col("_d"))).select("text", "asked", "copies", F.transform("groups", lambda g: g["pivot"]).alias("pivots"), F.explode("groups").alias("g"))
+    rows = rows.select("text", "asked", "copies", "pivots", "g.*", F.explode(F.sequence(F.lit(0), F.col("g.blocks") - 1)).alias("o"))
+    rows = rows.select("pivot", F.least("m", "o").alias("lo"), F.greatest("m", "o").alias("hi"), F.col("asked").alias("rid"), "copies", F.when(F.col("m") <= F.col("o"), 0).otherwise(1).alias("side"), "pivots", "text")
+    links = rows.repartition("pivot", "lo", "hi").sortWithinPartitions("pivot", "lo", "hi").mapInArrow(_groups(k, t), "rid long, other long, weight long")
+    links = C.checkpointed(links)
     weight = links.groupBy("rid").agg(F.sum("weight").alias("_w"))
     roots = components(links.select(F.col("rid").alias("a"), F.col("other").alias("b")))
     known = classes.join(roots.withColumnRenamed("node", "rid"), "rid", "left").join(weight, "rid", "left")
