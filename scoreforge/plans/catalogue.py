@@ -1,4 +1,363 @@
-"""The queries of the score engine and the SQL that gives the same rows."""
+"""The queries of the score engine: one or more for each operator, over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scoreforge.functions import tensors, vocab
+from scoreforge.operators import align, annotate, batching, encode, features, infer, metrics, parse, report, splits, words
+from scoreforge.schemas import SYLLABLES
+from scoreforge.sources.annotations import budget
+
+from .fixtures import annotations, damaged, songs, sylls, table, texts
+from .oracles import ORACLE_SQL
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _pairs(pairs):
+    return F.array_join(F.transform(pairs, lambda p: F.concat_ws(" ", p["pitch"], p["note"])), ",")
+
+
+def _joined(values):
+    return F.array_join(F.transform(values, lambda x: x.cast("string")), ",")
+
+
+@query
+def vocab_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.tokens(spark)
+
+
+@query
+def vocab_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.tokens(spark, legacy=True).where("kind in ('legacy', 'duration')")
+
+
+@query
+def note_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(n,) for n in vocab.NOTE_BEATS], "note string")
+    return rows.select("note", vocab.note_beats(F.col("note")).alias("beats"), (vocab.note_beats(F.col("note")) * vocab.seconds_per_beat(F.lit(120))).alias("seconds"))
+
+
+@query
+def nearest_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1, 257).select((F.col("id") / 32.0).alias("beats")).withColumn("note", vocab.nearest_note(F.col("beats")))
+
+
+def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = annotations(spark, sf_dir)
+    return a.select("sid", "bpm", annotate.syllables(F.col("word"), F.col("pitch"), F.col("note"), F.col("pitch2word")).alias("syllables"))
+
+
+@query
+def annotation_to_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda s: F.concat_ws(":", s["char"], F.array_join(F.transform(s["pitch"], lambda p: p.cast("string")), "|"), F.array_join(s["note"], "|"))
+    return _annotated(spark, sf_dir).select("sid", F.array_join(F.transform("syllables", one), " ").alias("syllables"))
+
+
+@query
+def expand_melisma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotate.expand(_annotated(spark, sf_dir).select("sid", "syllables"))
+
+
+@query
+def lyrics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return songs(spark, sf_dir).select("sid", annotate.lyrics(sylls("gt")).alias("lyrics"))
+
+
+@query
+def filter_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return songs(spark, sf_dir).select("sid", F.size("gt").alias("n_notes"), F.size(annotate.without_silence(sylls("gt"))).alias("n_kept"))
+
+
+@query
+def build_text_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("sid", F.col("gt_text").alias("text"))
+
+
+@query
+def build_text_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return songs(spark, sf_dir).select("sid", encode.text(sylls("gt"), F.col("bpm"), "first").alias("text"))
+
+
+@query
+def build_target_cot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return songs(spark, sf_dir).select("sid", encode.cot_target(sylls("gt"), F.col("bpm")).alias("text"))
+
+
+@query
+def tokenize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", parse.tokens(F.col("text")).alias("toks"))
+    return rows.select("doc_id", F.size("toks").alias("n_tokens"), F.md5(F.array_join("toks", " ").cast("binary")).alias("tokens_md5"))
+
+
+def _entries(rows: DataFrame, text: str) -> DataFrame:
+    rows = rows.select("sid", parse.parse(F.col(text)).alias("s")).where("s is not null")
+    return rows.select("sid", "s.bpm", F.posexplode("s.entries").alias("entry_idx", "e")).select("sid", "entry_idx", "e.*", "bpm")
+
+
+@query
+def parse_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(texts(spark, sf_dir), "gt_text")
+
+
+@query
+def parse_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(damaged(spark, sf_dir), "text")
+
+
+@query
+def parse_bpm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damaged(spark, sf_dir).select("sid", parse.bpm(F.col("text")).alias("bpm"))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = texts(spark, sf_dir).select("sid", parse.entries(F.col("gt_text")).alias("e")).where("size(e) > 0")
+    return rows.select("sid", F.posexplode(words.words(F.col("e"))).alias("word_idx", "w"))
+
+
+@query
+def words_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir).select("sid", "word_idx", "w.char", F.size("w.pairs").alias("n_pairs"), _pairs(F.col("w.pairs")).alias("pairs"))
+
+
+@query
+def tie_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir).select("sid", "word_idx", _pairs(words.merged(F.col("w.pairs"))).alias("pairs"))
+
+
+@query
+def cer_per_song(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chars = lambda ws: F.transform(words.sung(F.col(ws)), lambda w: w["char"])
+    rows = metrics.prepared(texts(spark, sf_dir)).select("sid", chars("_gw").alias("a"), chars("_pw").alias("b")).withColumn("errors", align.edit_distance(F.col("a"), F.col("b")))
+    cer = F.when(F.size("a") == 0, F.when(F.size("b") == 0, 0.0).otherwise(1.0)).otherwise(F.col("errors") / F.size("a"))
+    return rows.select("sid", "errors", F.size("a").alias("n_words"), F.round(cer, 6).alias("cer"))
+
+
+@query
+def align_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metrics.aligned(metrics.prepared(texts(spark, sf_dir))).select("sid", F.posexplode("_words").alias("step", "x"))
+    return rows.select("sid", "step", "x.g", "x.p")
+
+
+@query
+def align_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metrics.aligned(metrics.prepared(texts(spark, sf_dir)))
+    rows = rows.select("sid", F.explode(F.arrays_zip("_facing", "_notes")).alias("z"))
+    return rows.select("sid", F.col("z._facing.g").alias("g_word"), F.col("z._facing.p").alias("p_word"), F.posexplode("z._notes").alias("step", "x")).select("sid", "g_word", "p_word", "step", "x.g", "x.p")
+
+
+@query
+def align_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metrics.prepared(texts(spark, sf_dir)).select("sid", *[F.transform(c, lambda w: w["char"]).alias(c) for c in ("_gw", "_pw")])
+    rows = rows.select("sid", F.posexplode(align.align_native(F.col("_gw"), F.col("_pw"))).alias("step", "x"))
+    return rows.select("sid", "step", "x.g", "x.p")
+
+
+def _scored(spark: SparkSession, sf_dir: str, **flags) -> DataFrame:
+    rows = metrics.per_sample(texts(spark, sf_dir), **flags).drop("gt_text", "pred_text")
+    return rows.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+
+
+@query
+def metrics_per_song(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)
+
+
+@query
+def metrics_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, inference_only=True).select("sid", "pitch_error_rate", "note_num_mean_error")
+
+
+@query
+def metrics_length_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, length_matched=True).select("sid", "cer", "n_aligned_pairs")
+
+
+@query
+def metrics_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metrics.over_all(_scored(spark, sf_dir))
+    return rows.select(*[F.round(c, 4).alias(c) if c in report.LOGGED else F.col(c) for c in rows.columns])
+
+
+@query
+def metrics_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.scalars(metrics.over_all(_scored(spark, sf_dir)), 7).withColumn("value", F.round("value", 4))
+
+
+@query
+def split_train_val(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, val = splits.split(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["de", "fr"], "lang")
+    return train.withColumn("part", F.lit("train")).unionByName(val.withColumn("part", F.lit("val"))).select("part", "doc_id", "lang")
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("dataset_name"))
+
+
+@query
+def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.report(splits.split(_named(spark, sf_dir), ["de", "fr"])[1])
+
+
+@query
+def split_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.missing(_named(spark, sf_dir), ["de", "fr", "it", "xx"])
+
+
+@query
+def source_union_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda name, key: table(spark, sf_dir, name).select(F.lit(name).alias("dataset_name"), F.col(key).alias("sample_id"), F.length("text").alias("n_chars"))
+    return budget([part("benchmark", "item_id"), part("documents", "doc_id")], 150, ["sample_id"])
+
+
+def _packed(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return batching.pack(table(spark, sf_dir, "documents"), "n_chars", "doc_id", **options)
+
+
+@query
+def pack_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)
+
+
+@query
+def pack_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, cap=64, padded=True)
+
+
+@query
+def pack_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, partitions=4)
+
+
+@query
+def pack_drop_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.drop_last(_packed(spark, sf_dir), 40).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def rank_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.rank_share(_packed(spark, sf_dir), 4).groupBy("rank").agg(F.countDistinct("batch_id").alias("n_batches"), F.count(F.lit(1)).alias("n_samples"))
+
+
+@query
+def pad_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.pad_world(_packed(spark, sf_dir), 7)
+
+
+@query
+def bucketed_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = batching.shuffled_order(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", 42, 1, "doc_id")
+    return rows.orderBy("order_key").select("doc_id", "n_chars", "chunk")
+
+
+@query
+def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.length_stats(table(spark, sf_dir, "documents"), "n_chars").withColumn("avg_len", F.round("avg_len", 6))
+
+
+@query
+def encoder_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_chars").cast("int")
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("mel_frames"), tensors.encoder_length(n).alias("audio_tokens"))
+
+
+@query
+def frame_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tensors.frame_count(F.col("n_chars") * 40).alias("mel_frames"))
+
+
+@query
+def expand_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sid")).distinct().withColumn("ids", F.array(F.lit(5), F.lit(9), F.lit(6)))
+    n = F.when(F.col("sid") % 3 == 0, F.lit(1)).otherwise(F.col("sid") % 7).cast("int")
+    return rows.select("sid", _joined(tensors.expand_placeholder(F.col("ids"), 9, n)).alias("ids"), tensors.expanded_prefix(F.lit(2), F.col("ids"), 9, n).alias("prefix"))
+
+
+def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return songs(spark, sf_dir).select("sid", F.transform("gt", lambda x: x["pitch"]).alias("ids"))
+
+
+@query
+def label_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(spark, sf_dir).select("sid", _joined(tensors.label_mask(F.col("ids"), F.lit(2), 61)).alias("labels"))
+
+
+def _padded(spark: SparkSession, sf_dir: str, left: bool) -> DataFrame:
+    rows = tensors.padded(_ids(spark, sf_dir).withColumn("batch", F.col("sid") % 100), "ids", ["batch"], 0, left)
+    return rows.select("sid", _joined(F.col("ids")).alias("ids"), _joined(F.col("attention_mask")).alias("mask"), "pad_offset")
+
+
+@query
+def left_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _padded(spark, sf_dir, True)
+
+
+@query
+def right_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _padded(spark, sf_dir, False)
+
+
+@query
+def generated_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(spark, sf_dir).select("sid", _joined(tensors.generated(F.col("ids"), F.lit(1), F.lit(2))).alias("ids"))
+
+
+@query
+def fit_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(spark, sf_dir).select("sid", _joined(tensors.fit_length(F.col("ids"), F.lit(4), 0)).alias("ids"))
+
+
+@query
+def score_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.geometry(songs(spark, sf_dir).select("sid", F.inline("gt")), "sid", "k").select("sid", "k", "width", "start")
+
+
+@query
+def semi_join_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return table(spark, sf_dir, "lineitem").join(there, "l_orderkey", "left_semi").groupBy(F.col("l_orderkey").alias("sid")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def latest_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [("checkpoint-200", True), ("checkpoint-1000", True), ("checkpoint-x", True), ("checkpoint-9999", False), ("other-5000", True)]
+    return report.latest_checkpoint(spark.createDataFrame(names, "name string, is_dir boolean"))
+
+
+@query
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = songs(spark, sf_dir).select("sid", F.from_json(report.as_json(sylls("gt")), SYLLABLES).alias("s"))
+    return rows.select("sid", F.size("s").alias("n"), F.array_join(F.transform("s", lambda x: x["char"]), "").alias("chars"))
+
+
+@query
+def first_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.first_samples(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), 25, "doc_id")
+
+
+def _stub_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as audio: a tenth missing, a tenth broken, the others of 0 to 4 frames."""
+    n = (F.col("event_id") % 5 * 320).cast("int")
+    content = F.when(F.col("event_id") % 10 == 0, None).when(F.col("event_id") % 10 == 1, F.lit("odd")).otherwise(F.repeat(F.lit("\x01"), n))
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("dataset_name"), content.cast("binary").alias("content"), F.lit(None).cast(SYLLABLES).alias("syllables"), F.lit(120).alias("bpm"))
+    return features.extract(rows, features.energy_bins())
+
+
+@query
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.run_statistics(_stub_features(spark, sf_dir))
+
+
+@query
+def transcribe_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), "text")
+    found = infer.parsed(infer.transcribe(rows, infer.echo, "text"))
+    return found.select("sample_id", F.format_string("<P_%d>", F.col("score.entries")[0]["pitch"]).alias("pitch"), F.col("score.bpm").alias("bpm"))
