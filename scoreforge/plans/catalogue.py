@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreforge.functions import tensors, vocab
 from scoreforge.operators import align, annotate, batching, encode, features, infer, metrics, parse, report, splits, words
 from scoreforge.schemas import SYLLABLES
+from scoreforge.session import ship
 from scoreforge.sources.annotations import budget
 
 from .fixtures import annotations, damaged, songs, sylls, table, texts
@@ -18,8 +21,13 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def _pairs(pairs):

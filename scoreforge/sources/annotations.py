@@ -33,7 +33,7 @@ def _kept(rows: DataFrame) -> DataFrame:
 
 
 def existing(spark: SparkSession, root: str) -> DataFrame:
-    """Paths of all files below ``root``; no content is read."""
+    """Paths of all files below ``root`` that are not empty; no content is read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("found"))
 
 
