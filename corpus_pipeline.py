@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from scoreforge.llm import common as C
 from scoreforge.llm import decontaminate, pieces, quality, secrets, setjoin
@@ -19,8 +18,7 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold stay."""
     C.ship(spark)
-    model = quality.fit(docs, C.table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    return quality.keep(docs, quality.fit(docs, C.table(spark, sf_dir, "labels")))
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoreforge.session import ship
+
+__all__ = ["ship"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark (the folder may be in any store that Spark reads)."""
@@ -53,6 +57,16 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with all columns but doc_id and text renamed, so that none clashes with an operator's own; and its names."""
+    return docs.toDF(*[n if n in ("doc_id", "text") else f"c{i}" for i, n in enumerate(docs.columns)]), docs.columns
+
+
+def together(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns that ``apart`` renamed, under their names again and in their order."""
+    return rows.select(*[n if n in ("doc_id", "text") else f"c{i}" for i, n in enumerate(names)]).toDF(*names)
+
+
 # ---------------------------------------------------------------- numpy
 
 
@@ -193,22 +207,3 @@ class Ragged:
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens) - lens])
         self.lens = np.concatenate([self.lens, lens])
         self.used = need
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the session's executors, once a session: their Python need not have it installed."""
-    import shutil
-    from pathlib import Path
-
-    import scoreforge
-
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(scoreforge.__file__).resolve().parent
-    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='scoreforge-')}/scoreforge", "zip", root.parent, root.name)
-    sc.addPyFile(made)
-    _SHIPPED.add(sc.applicationId)

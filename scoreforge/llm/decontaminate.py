@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import apart, together
+
 # The masks (1: the word counts), and the shorter one for items of fewer words than they span.
 MASKS = ("1101100111", "1110010111", "1011101011")
 SHORT_MASK = "1111"
@@ -78,5 +80,6 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` without the rows whose id overlaps with an item."""
-    bad = leaks(documents, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, documents["`doc_id`"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    plain, names = apart(documents)
+    bad = leaks(plain, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
+    return together(plain.join(bad, plain["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti"), names)

@@ -152,10 +152,11 @@ def fit(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) ->
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` and a column ``_score``. Without a model nothing speaks against a text: 1. Null texts count as empty."""
-    if model is None:
-        return docs.withColumn("_score", F.lit(1.0))
+    """``docs``, its columns renamed c0, c1 and so on, and a column ``_score``. Without a model nothing speaks against a
+    text: 1. Null texts count as empty."""
     names = [f"c{i}" for i in range(len(docs.columns))]
+    if model is None:
+        return docs.toDF(*names).withColumn("_score", F.lit(1.0))
     text = docs.columns.index("text")
     held = docs.sparkSession.sparkContext.broadcast(model)
     from pyspark.sql.types import DoubleType, StructField, StructType
@@ -172,11 +173,16 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
                     got = m.score(terms(col.slice(s, e - s)))
                     yield pa.RecordBatch.from_arrays([*batch.slice(s, e - s).columns, pa.array(got)], [*names, "_score"])
 
-    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns, "_score")
+    return docs.toDF(*names).mapInArrow(run, schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row; empty tables give none, repeated rows a row each."""
     own = documents.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text"))
-    found = scored(own, fit(own, labels)).withColumnRenamed("_score", "score")
+    found = scored(own, fit(own, labels)).select(F.col("c0").alias("doc_id"), F.col("_score").alias("score"))
     return found.select("doc_id", C.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold."""
+    return scored(docs, model).where(F.col("_score") >= threshold).drop("_score").toDF(*docs.columns)

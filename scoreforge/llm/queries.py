@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import decontaminate, language, nearest, pieces, quality, records, secrets, setjoin, sharding, suffixes
+from . import decontaminate, language, nearest, oracles, pieces, quality, records, secrets, setjoin, sharding, suffixes
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,20 +69,4 @@ def _shipped(query):
 
 
 QUERIES = {q.__name__: _shipped(q) for q in (op1_decontaminate, op2_suffix_dedup, op3_top_k, op4_jaccard_join, op5_token_records, op6_sharding, op7_sentencepiece, op8_language, op9_secrets, op10_quality)}
-ORACLE_SQL: dict[str, str] = {
-    "op3_top_k": """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
-), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
-)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
-""",
-}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": oracles.LEAKS, "op3_top_k": oracles.TOP_K, "op4_jaccard_join": oracles.JACCARD, "op9_secrets": oracles.SECRETS}

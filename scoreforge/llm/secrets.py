@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import apart, together
+
 # Marks around matches: three noncharacters, which no rule matches; texts that hold them get another character there.
 OPEN, MID, SHUT = "﷐", "﷑", "﷒"
 
@@ -124,8 +126,8 @@ def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sign: str = "[secret]") -> DataFrame:
     """``docs`` with every span of its texts replaced by ``sign`` (overlapping spans by one) and n_chars, if there, counted anew."""
-    names = docs.columns
-    rows = scan(docs, rules)
+    plain, names = apart(docs)
+    rows = scan(plain, rules)
     text = F.col("`text`")
     step = lambda acc, s: F.struct(
         F.when(
@@ -137,11 +139,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sign: str = "[secre
     )
     made = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     new = F.when(text.isNull() | (F.size("_spans") == 0), text).otherwise(made)
-    rows = rows.withColumn("_text", new)
-    out = {"text": F.col("_text")}
     if "n_chars" in names:
-        out["n_chars"] = F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(F.length("_text").cast("long")).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[out[n].alias(n) if n in out else F.col(f"`{n}`") for n in names])
+        at = f"c{names.index('n_chars')}"
+        rows = rows.withColumn(at, F.when(F.size("_spans") == 0, F.col(at)).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType)))
+    return together(rows.withColumn("text", new), names)
 
 
 def brute(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:

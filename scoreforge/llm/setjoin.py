@@ -348,8 +348,9 @@ def brute(rows: list[tuple[int | None, str | None]], k: int, t: int) -> list[tup
 def keep_one(documents: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     """``documents`` with one row of each component: that of the smallest doc_id. Rows without shingles all stay; of rows
     that repeat both id and text one stays."""
-    found = join(documents, k, similarity).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_keep"), F.count(F.lit(1)).alias("_times"))
+    plain, names = C.apart(documents)
+    found = join(plain, k, similarity).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_keep"), F.count(F.lit(1)).alias("_times"))
     found = found.where("_keep").select(F.col("doc_id").alias("_id"), "_times")
-    rows = documents.join(found, documents["`doc_id`"].cast("long").eqNullSafe(found["_id"]))
-    once = rows.where("_times = 1").select(*documents.columns)
-    return once.unionByName(rows.where("_times > 1").dropDuplicates(["_id", "text"]).select(*documents.columns))
+    rows = plain.join(found, plain["doc_id"].cast("long").eqNullSafe(found["_id"]))
+    once = rows.where("_times = 1").select(*plain.columns)
+    return C.together(once.unionByName(rows.where("_times > 1").dropDuplicates(["_id", "text"]).select(*plain.columns)), names)
