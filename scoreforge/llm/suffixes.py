@@ -273,13 +273,14 @@ def _second_pass(length: int):
                     if held > 8_000_000:
                         yield _rows(out)
                         out, held = [], 0
+                twice = []  # settled here: it stands twice in this very text
                 for (h, left, right, lo), at in seen.items():
                     hi = len(left)
                     out.append((h, 0, doc, key, at[0], lo, hi, left, right, 1))
                     held += 600
-                    if len(at) > 1:  # settled here: it stands twice in this very text
-                        out += [(h, 0, doc, key, p - hi, hi - lo + length, 0, b"", b"", 0) for p in at]
-                        held += 100 * len(at)
+                    if len(at) > 1:
+                        twice += [(p - hi, p - lo + length) for p in at]
+                out += [(a, 0, doc, key, a, b - a, 0, b"", b"", 0) for a, b in cover(twice)]
                 if held > 8_000_000:
                     yield _rows(out)
                     out, held = [], 0
