@@ -26,6 +26,8 @@ from .shingles import shingle_sets
 CELL_BITS = 20
 CELLS, PARTS = 1 << CELL_BITS, 64
 LARGE, BLOCK, SKIP = 128, 1024, 32
+#: Shingles that so many documents may have (by the sketch) get no list in one task: Spark finds their least class.
+HOT = 100_000
 #: Sets that differ in less than this share of their shingles count as highly similar.
 CLOSE, PIVOTS = 0.5, 16
 
@@ -75,15 +77,21 @@ def _sum_cells(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype("<i8").tobytes() for s in sums.values()], pa.binary())], ["part", "cells"])
 
 
+def _level(count: np.ndarray) -> np.ndarray:
+    """The class of frequency of a count: half powers of two."""
+    return (2 * np.log2(count + 1)).astype(np.uint8)
+
+
 def _ordered(h: np.ndarray, n: np.ndarray, level: np.ndarray) -> np.ndarray:
     """The sets' hashes in the common order, set by set."""
     owner = np.repeat(np.arange(len(n)), n)
     return h[np.lexsort((h, level[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)], owner))]
 
 
-def _prefixes(k: int, t: int, level):
+def _prefixes(k: int, t: int, level, hot: int):
     def run(batches):
         lv = level.value
+        from_level = _level(np.array(hot))
         for batch in batches:
             col = C.texts_of(batch)
             for a, b in C.chunks(col):
@@ -94,9 +102,10 @@ def _prefixes(k: int, t: int, level):
                 h = _ordered(h, n, lv)
                 p = prefix_size(t, n[one])
                 start = (np.cumsum(n) - n)[one]
+                token = C.gather(h, start, p)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(C.gather(h, start, p).view(np.int64)), pa.array(np.repeat(rid[one], p)), pa.array(np.repeat(n[one], p).astype(np.int32)), pa.array(C.gather(np.arange(int(p.max()) if len(p) else 0), np.zeros(len(p), np.int64), p).astype(np.int32))],
-                    ["token", "rid", "n", "pos"],
+                    [pa.array(token.view(np.int64)), pa.array(np.repeat(rid[one], p)), pa.array(np.repeat(n[one], p).astype(np.int32)), pa.array(C.gather(np.arange(int(p.max()) if len(p) else 0), np.zeros(len(p), np.int64), p).astype(np.int32)), pa.array(lv[(token >> np.uint64(64 - CELL_BITS)).astype(np.int64)] >= from_level)],
+                    ["token", "rid", "n", "pos", "hot"],
                 )
 
     return run
@@ -275,7 +284,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(found)
 
 
-def join(documents: DataFrame, k: int = 3, similarity: int = 90, large: int = LARGE, block: int = BLOCK) -> DataFrame:
+def join(documents: DataFrame, k: int = 3, similarity: int = 90, large: int = LARGE, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for each row of ``documents`` (doc_id, text).
 
     Texts of at least ``similarity`` percent Jaccard similarity of their ``k``-word shingle sets are linked; n_links counts the
@@ -290,10 +299,18 @@ def join(documents: DataFrame, k: int = 3, similarity: int = 90, large: int = LA
     cells = np.zeros(CELLS, np.int64).reshape(PARTS, -1)
     for r in first.where("part >= 0").select("part", "cells").repartition("part").mapInArrow(_sum_cells, "part int, cells binary").collect():  # CELLS numbers
         cells[r["part"]] += np.frombuffer(r["cells"], "<i8")
-    level = spark.sparkContext.broadcast((2 * np.log2(cells.ravel() + 1)).astype(np.uint8))
+    levels = _level(cells.ravel())
+    level = spark.sparkContext.broadcast(levels)
     classes = stage.where("n > 0").groupBy("rid").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
-    tokens = own.mapInArrow(_prefixes(k, t, level), "token long, rid long, n int, pos int")
-    met = C.checkpointed(tokens.repartition("token").sortWithinPartitions("token", "rid").mapInArrow(_lists(t, large), "pivot long, rid long").distinct())
+    tokens = own.mapInArrow(_prefixes(k, t, level, hot), "token long, rid long, n int, pos int, hot boolean")
+    some_hot = bool((levels >= _level(np.array(hot))).any())
+    cold = tokens.where("not hot") if some_hot else tokens
+    met = cold.select("token", "rid", "n", "pos").repartition("token").sortWithinPartitions("token", "rid").mapInArrow(_lists(t, large), "pivot long, rid long")
+    if some_hot:
+        entries = tokens.where("hot").select("token", "rid")
+        least = entries.groupBy("token").agg(F.min("rid").alias("pivot"), F.max("rid").alias("_most")).where("pivot < _most").select(F.col("token").alias("_t"), "pivot")
+        met = met.unionByName(entries.join(least, F.col("token") == F.col("_t")).select("pivot", "rid"))
+    met = C.checkpointed(met.distinct())
     blocks = met.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
     mine = met.join(blocks, "pivot").withColumn("m", F.pmod(F.xxhash64("rid", F.lit(11)), F.col("blocks")).cast("int"))
     mine = mine.groupBy("rid").agg(F.collect_list(F.struct("pivot", "m", "blocks")).alias("groups"))  # of one set: at most its prefix

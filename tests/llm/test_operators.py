@@ -133,8 +133,8 @@ def test_deep_shallow():
             assert lcp[k] == (same if order[k - 1][0] == order[k][0] else 0)
 
 
-@pytest.mark.parametrize("large,block,k,t", [(128, 1024, 3, 90), (8, 20, 3, 90), (2, 7, 2, 70)])
-def test_set_join(spark, large, block, k, t):
+@pytest.mark.parametrize("large,block,k,t,hot", [(128, 1024, 3, 90, 10**5), (8, 20, 3, 90, 6), (2, 7, 2, 70, 10**5)])
+def test_set_join(spark, large, block, k, t, hot):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(60)]
     base = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 80))) for _ in range(10)]
@@ -146,7 +146,7 @@ def test_set_join(spark, large, block, k, t):
         data.append((i if i % 31 else None, " ".join(w)))
     data += [(900, None), (901, ""), (902, " \n "), (903, "a b"), (904, "A  b"), (905, "a"), *data[:4]]
     df = spark.createDataFrame(data, "doc_id long, text string")
-    assert sorted(map(str, map(tuple, setjoin.join(df, k, t, large, block).collect()))) == sorted(map(str, setjoin.brute(data, k, t)))
+    assert sorted(map(str, map(tuple, setjoin.join(df, k, t, large, block, hot).collect()))) == sorted(map(str, setjoin.brute(data, k, t)))
 
 
 def test_top_k_over_shards(spark, sf_dir):
