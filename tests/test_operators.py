@@ -64,34 +64,22 @@ def test_parse(spark):
         assert (r.s and (r.s.bpm, [(e.word, e.pitch, e.note) for e in r.s.entries])) == (bpm and (bpm, [(w, p, f"<NOTE_{n}>") for w, p, n in want])), text
 
 
-def sequential(text):
-    """The parser as a loop over tokens, from its description."""
-    import re
-
-    bpm, word, out = 120, None, []
-    for tok in re.findall(r"<[^>]+>|[^\s<>]+", text.rpartition(SEPARATOR)[2]):
-        if tok.endswith("/s>"):
-            continue
-        if m := re.fullmatch(r"<BPM_(\d+)>", tok):
-            bpm = int(m[1])
-        elif m := re.fullmatch(r"<P_(\d+)>", tok):
-            out.append([word or "·", int(m[1]), None])
-            word = None
-        elif tok in vocab.NOTE_BEATS:
-            if out and out[-1][2] is None:
-                out[-1][2] = tok
-        elif not tok.startswith("<") and tok not in parse.SKIPPED:
-            word = tok
-    return (bpm, [(w, p, n or "<NOTE_4>") for w, p, n in out]) if out else None
+def test_parse_random(spark):
+    """Against the window form of the same in DuckDB."""
+    import duckdb
+    import pandas as pd
 
+    from scoreforge.plans import oracles
 
-def test_parse_random(spark):
     rng = random.Random(4)
     parts = ["感", "受", "·", "<P_60>", "<P_61>", "<P_", "<P_x>", "<NOTE_4>", "<NOTE_8>", "<NOTE_9>", "<BPM_90>", "<BPM_7", ">", "</s>", "<asr_text>", "language", SEPARATOR, "a/s", "　", "<x"]
-    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(0, 25))) for _ in range(800)]
-    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", parse.parse(F.col("t")).alias("s")).orderBy("i").collect()
-    for r, t in zip(got, texts):
-        assert (r.s and (r.s.bpm, [(e.word, e.pitch, e.note) for e in r.s.entries])) == sequential(t), t
+    texts = pd.DataFrame([(i, "".join(rng.choice(parts) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(0, 25)))) for i in range(1500)], columns=["sid", "text"])
+    con = duckdb.connect()
+    con.register("texts", texts)
+    want = con.sql(f"WITH {oracles.parsed('d', 'texts')} SELECT sid, entry_idx, word, pitch, note, bpm FROM d_e JOIN d_b USING (sid) ORDER BY 1, 2").fetchall()
+    got = spark.createDataFrame(texts.values.tolist(), "sid long, text string").select("sid", parse.parse(F.col("text")).alias("s")).where("s is not null")
+    got = got.select("sid", F.posexplode("s.entries").alias("k", "e"), "s.bpm").select("sid", "k", "e.word", "e.pitch", "e.note", "bpm").orderBy("sid", "k").collect()
+    assert [tuple(r) for r in got] == want
 
 
 @pytest.mark.parametrize("beats,note", [(0.15625, "32"), (0.4375, "DOT_16"), (0.625, "8"), (0.875, "DOT_8"), (1.25, "4"), (1.75, "DOT_4"), (2.5, "2"), (3.5, "DOT_2"), (5.0, "1"), (7.0, "DOT_1")])
