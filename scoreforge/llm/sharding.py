@@ -51,11 +51,10 @@ def shard(docs: DataFrame, shards: int = 40, sample: int = SAMPLE, ranges: int =
         low = F.col("_low")
     keyed = checkpointed(keyed.withColumn("_range", low).drop("_cuts", "_low"))  # read four times, without the texts
     sums = keyed.groupBy("_range").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
-    whole = sums.agg(F.sum("_bytes").alias("_all"))
-    due = F.col("_all") / F.lit(ranges)
-    over = sums.crossJoin(F.broadcast(whole)).select(  # one row of totals beside at most ``ranges`` rows
+    due = F.sum("_bytes").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) / F.lit(ranges)
+    over = sums.withColumn("_due", due).select(  # of at most ``ranges`` rows
         "_range",
-        F.when(F.col("_bytes") > SLACK * due, F.ceil(F.col("_bytes") / due)).otherwise(F.lit(1)).cast("long").alias("_by_bytes"),
+        F.when(F.col("_bytes") > SLACK * F.col("_due"), F.ceil(F.col("_bytes") / F.col("_due"))).otherwise(F.lit(1)).cast("long").alias("_by_bytes"),
         F.ceil(F.col("_rows") / F.lit(part_rows)).cast("long").alias("_by_rows"),
     ).select("_range", F.greatest("_by_bytes", "_by_rows").alias("_into"))
     parted = keyed.join(F.broadcast(over), "_range")  # at most ``ranges`` rows
