@@ -33,12 +33,12 @@ def prepared(rows: DataFrame, gt: str = "gt_text", pred: str = "pred_text") -> D
     return out.withColumn("_gw", words.words(F.col("_g.entries"))).withColumn("_pw", words.words(F.coalesce(F.col("_p.entries"), none)))
 
 
-#: What alignment adds to a row: both words' alignment, the lyrics' errors and lengths, the words that face each other, and their notes' alignments.
+#: What alignment adds to a row: the words' alignment, the lyrics' errors and lengths, the numbers of words, the words that face each other, and their notes' alignments.
 ADDED = T.StructType(
-    [T.StructField("_words", ALIGNED.elementType), T.StructField("_errors", T.IntegerType()), T.StructField("_n_gl", T.IntegerType()), T.StructField("_n_pl", T.IntegerType()), T.StructField("_facing", ALIGNED.elementType), T.StructField("_notes", ALIGNED)]
+    [T.StructField("_words", ALIGNED.elementType), T.StructField("_errors", T.IntegerType()), T.StructField("_n_gl", T.IntegerType()), T.StructField("_n_pl", T.IntegerType()), T.StructField("_n_gw", T.IntegerType()), T.StructField("_n_pw", T.IntegerType()), T.StructField("_facing", ALIGNED.elementType), T.StructField("_notes", ALIGNED)]
 )
 _CELLS = pa.list_(pa.struct([("g", pa.int32()), ("p", pa.int32())]))
-_KINDS = (_CELLS, pa.int32(), pa.int32(), pa.int32(), _CELLS, pa.list_(_CELLS))
+_KINDS = (_CELLS, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), _CELLS, pa.list_(_CELLS))
 
 
 def _one(gc: list, pc: list, gk: list, pk: list, by_place: bool) -> tuple:
@@ -49,7 +49,7 @@ def _one(gc: list, pc: list, gk: list, pk: list, by_place: bool) -> tuple:
     gl, pl = [gc[i] for i in gs], [pc[i] for i in ps]
     errors = sum(g is None or p is None or gl[g] != pl[p] for g, p in align_lists(gl, pl))
     facing = list(zip(gs, ps)) if by_place else [(g, p) for g, p in met if g is not None and p is not None]
-    return cells(met), errors, len(gl), len(pl), cells(facing), [cells(align_lists(gk[g], pk[p])) for g, p in facing]
+    return cells(met), errors, len(gl), len(pl), len(gc), len(pc), cells(facing), [cells(align_lists(gk[g], pk[p])) for g, p in facing]
 
 
 def aligned(rows: DataFrame, length_matched: bool = False) -> DataFrame:
@@ -60,16 +60,18 @@ def aligned(rows: DataFrame, length_matched: bool = False) -> DataFrame:
         out = out.withColumn(f"_{side}m", F.transform(f"_{side}w", lambda w: words.merged(w["pairs"])))
         out = out.withColumn(f"_{side}c", F.transform(f"_{side}w", lambda w: w["char"]))
         out = out.withColumn(f"_{side}k", F.transform(f"_{side}m", lambda m: F.transform(m, lambda x: F.concat_ws(" ", x["pitch"], x["note"]))))
-    names = out.columns
-    places = [names.index(n) for n in ("_gc", "_pc", "_gk", "_pk")]
+        out = out.withColumn(f"_{side}", F.when(F.col(f"_{side}").isNotNull(), F.struct(f"_{side}.bpm"))).drop(f"_{side}w")
+    names, sent = out.columns, ("_gc", "_pc", "_gk", "_pk")
+    places = [names.index(n) for n in sent]
+    back = [i for i, n in enumerate(names) if n not in sent]  # what Python alone needs does not come back
 
     def run(batches):
         for batch in batches:
             made = [_one(*r, length_matched) for r in zip(*(batch.column(i).to_pylist() for i in places))]
             cols = [pa.array(c, k) for c, k in zip(zip(*made) if made else [[]] * len(_KINDS), _KINDS)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*names, *ADDED.names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in back), *cols], [*(names[i] for i in back), *ADDED.names])
 
-    out = out.mapInArrow(run, T.StructType([*out.schema.fields, *ADDED.fields]))
+    out = out.mapInArrow(run, T.StructType([*(out.schema.fields[i] for i in back), *ADDED.fields]))
     if length_matched:
         out = out.where("_p is null or _n_gl = _n_pl")
 
@@ -97,8 +99,8 @@ def per_sample(rows: DataFrame, gt: str = "gt_text", pred: str = "pred_text", in
         "note_mae": _mean(F.transform("_pairs", gap)),
         "dur_mae": _mean(F.transform("_pairs", lambda x: F.abs(F.log2(note_beats(x["gn"]) * g_spb) - F.log2(note_beats(x["pn"]) * p_spb)))),
         "bpm_mae": F.when(read, F.abs(F.col("_g.bpm") - F.col("_p.bpm")).cast("double")),
-        "n_gt_words": F.size("_gw"),
-        "n_pred_words": F.size("_pw"),
+        "n_gt_words": F.col("_n_gw"),
+        "n_pred_words": F.col("_n_pw"),
         "n_aligned_pairs": F.size("_pairs"),
     }
     if inference_only:
