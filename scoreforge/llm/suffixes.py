@@ -50,14 +50,15 @@ def _gram_hashes(b: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xBF58476D1CE4E5B9) ^ (h >> np.uint64(32))
 
 
-def anchors(b: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, least and greatest offset of its windows) of each anchor of one text."""
+def anchors(b: np.ndarray, length: int = LENGTH, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, position, least and greatest offset of its windows) of each anchor of one text. Windows on both sides of a
+    piece's border may have one anchor: a row each time, its offsets joined."""
     none = np.zeros(0, np.int64)
     out = [(none.view(np.uint64), none, none, none)]
     w = length - GRAM + 1
     at = 0
     while len(b) - at >= length:
-        part = b[at : at + PIECE]
+        part = b[at : at + piece]
         h = _gram_hashes(part)
         n = len(h)
         packed = (h >> np.uint64(POS_BITS)) << np.uint64(POS_BITS) | np.arange(n, dtype=np.uint64)
@@ -73,10 +74,13 @@ def anchors(b: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray
         last = np.concatenate([first[1:], [starts]]) - 1
         p = p[first]
         out.append((h[p], p + at, p - last, p - first))
-        if len(b) - at <= PIECE:
+        if len(b) - at <= piece:
             break
-        at += PIECE - length + 1
-    return tuple(np.concatenate(x) for x in zip(*out))
+        at += piece - length + 1
+    h, p, lo, hi = (np.concatenate(x) for x in zip(*out))
+    first = np.flatnonzero(np.diff(p, prepend=-1))
+    last = np.append(first[1:], len(p))[: len(first)] - 1
+    return h[first], p[first], lo[last], hi[first]
 
 
 # ---------------------------------------------------------------- deep-shallow sorting
@@ -213,7 +217,7 @@ def shared_windows(group: np.ndarray, left: list[bytes], right: list[bytes], lo:
 # ---------------------------------------------------------------- the operator
 
 
-def _first_pass(length: int):
+def _first_pass(length: int, piece: int):
     def run(batches):
         for batch in batches:
             col = C.texts_of(batch)
@@ -224,7 +228,7 @@ def _first_pass(length: int):
                     own = raw[a:b]
                     keys.append(hashlib.md5(own).digest())
                     digests.append(hashlib.sha256(own).digest())
-                    parts.append(anchors(own, length))
+                    parts.append(anchors(own, length, piece))
                 sizes = np.array([len(x[0]) for x in parts])
                 h, p, lo, hi = (np.concatenate(x) for x in zip(*parts))
                 found = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(p.astype(np.int32)), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16))], fields=list(ANCHOR))
@@ -359,14 +363,14 @@ def cover(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = LENGTH, hot: int = HOT, piece: int = PIECE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``documents`` (doc_id, text).
 
     Null texts count as empty; texts under ``length`` bytes lose nothing; a text that several rows have (repeated rows
     included) is removed whole from each if it has ``length`` bytes. Further columns are ignored; an empty table gives no rows.
     """
     own = documents.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text"))
-    stage = C.checkpointed(own.mapInArrow(_first_pass(length), "doc_id long, key binary, n long, sha binary, anchors array<struct<h:long,p:int,lo:short,hi:short>>"))
+    stage = C.checkpointed(own.mapInArrow(_first_pass(length, piece), "doc_id long, key binary, n long, sha binary, anchors array<struct<h:long,p:int,lo:short,hi:short>>"))
     reps = stage.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     rep_rows = stage.select("doc_id", "key", "anchors").join(reps.select(F.col("key").alias("_k"), F.col("doc_id").alias("_d")), F.col("key").eqNullSafe(F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     found = rep_rows.select("doc_id", "key", F.inline("anchors"))

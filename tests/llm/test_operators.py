@@ -118,6 +118,29 @@ def test_suffixes_whole_texts(documents):
     assert got == sorted((d.doc_id, *x) for d, x in zip(data, suffixes.brute([d.text for d in data])))
 
 
+def test_suffixes_beside_piece_borders(spark):
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    for length, piece in ((100, 150), (100, 700)):
+        long = letters(3000)
+        borders = range(piece - length + 1, 3000 - length, piece - length + 1)
+        texts = [long] + [letters(rng.randint(0, 9)) + long[max(0, a) : a + n] + letters(rng.randint(0, 9)) for b in borders for a, n in ((b - 1, length), (b, length), (b + rng.randint(-90, 90), length + rng.randint(0, 60)))][:60:5]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(df, length, piece=piece).collect())
+        assert got == [(i, *x) for i, x in enumerate(suffixes.brute(texts, length))]
+
+
+def test_suffixes_in_a_text_over_a_piece(spark):
+    rng = random.Random(10)
+    long = "".join(rng.choice("abcdefgh") for _ in range(suffixes.PIECE + 100_000))
+    border = suffixes.PIECE - suffixes.LENGTH + 1
+    parts = {1: (border - 399, 400), 2: (border, 400), 3: (border - 5000, 5000), 4: (border + 1000, 450), 5: (border - 200, 600)}
+    df = spark.createDataFrame([(0, long)] + [(i, long[a : a + n]) for i, (a, n) in parts.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffixes.remove_repeats(df).collect()}
+    spans = suffixes.cover([(a, a + n) for a, n in parts.values()])
+    assert got == {0: (sum(b - a for a, b in spans), len(spans)), **{i: (n, 1) for i, (_, n) in parts.items()}}
+
+
 def test_deep_shallow():
     rng = random.Random(8)
     for _ in range(40):
