@@ -1,10 +1,13 @@
 """Benchmark decontamination (operator 1), DataFrame functions only: spaced-seed hashing.
 
-Texts are words: runs of letters and digits, in lower case. A fixed mask lays over ``SPAN`` words and ignores some of them; the
-hash of the rest is the same wherever only ignored words differ. The hashes of all windows of the benchmark under all
-masks are joined with those of all windows of the documents. A hit fixes a diagonal (place in the document less place in
+Texts are words: runs of letters and digits, in lower case. A fixed mask lays over some words and ignores others; the
+hash of the rest is the same wherever only ignored words differ. The hashes of all places of the benchmark under its
+masks are joined with those of all places of the documents. A hit fixes a diagonal (place in the document less place in
 the item); on each such diagonal the words of the item are compared with those of the document, and the pair counts if
 some ``WINDOW`` neighbouring words (all words of a shorter item) agree in ``SHARE`` percent at least.
+
+The masks lose no pair: however the words that may differ lie among those compared, some mask has a place that ignores
+them all (``COVERS``, proven by enumeration in the tests; elsewhere a run of words as long as one must stay unchanged).
 """
 
 from __future__ import annotations
@@ -14,10 +17,17 @@ from pyspark.sql import functions as F
 
 from .common import apart, together
 
-# The masks (1: the word counts), and the shorter one for items of fewer words than they span.
-MASKS = ("1101100111", "1110010111", "1011101011")
-SHORT_MASK = "1111"
-SPAN, WINDOW, SHARE = 10, 13, 80
+# By words compared and words of them that may differ, masks (1: the word counts) of which one always hits.
+COVERS = {
+    (5, 1): ("1111", "11011", "11101", "10111"),
+    (6, 1): ("10111", "111001"),
+    (8, 1): ("110111", "11011001"),
+    (10, 2): ("110111", "111000101", "101111"),
+    (13, 2): ("11101111", "11110010011", "10111111"),
+}
+LEAST, WINDOW, SHARE = 4, 13, 80
+# The masks of the SQL for DuckDB, which finds the pairs with a hit of these.
+MASKS, SPAN = ("1101100111", "1110010111", "1011101011"), 10
 #: The benchmark's hashes are broadcast up to so many (24 bytes each); beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 SPLIT = "[^\\p{L}\\p{N}]+"
@@ -29,37 +39,45 @@ def words(text: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
-def _windows(rows: DataFrame, masks: tuple[str, ...], first: int) -> DataFrame:
-    """Of rows (id, w): id, place, seed for each window and mask."""
-    span = len(masks[0])
-    shifted = [F.slice("w", i + 1, F.greatest(F.size("w") - span + 1, F.lit(0))).alias(f"w{i}") for i in range(span)]
-    opened = rows.select("id", F.posexplode(F.arrays_zip(*shifted)).alias("place", "v"))
-    seeds = F.array(*[F.xxhash64(F.lit(first + m), *[F.col(f"v.w{i}") for i, c in enumerate(mask) if c == "1"]) for m, mask in enumerate(masks)])
-    return opened.select("id", "place", F.explode(seeds).alias("seed"))
+def masks_for(n: int, share: int = SHARE) -> tuple[str, ...]:
+    """Masks that hit ``n`` words of which ``share`` percent agree, whichever differ."""
+    differ = n - -(-n * share // 100)
+    fit = [k for k in COVERS if k[0] <= n and k[1] >= differ]
+    return COVERS[max(fit)] if fit else ("1" * max(1, n // (differ + 1)),)
+
+
+def _seeds(rows: DataFrame, masks: list[str], own: Column) -> DataFrame:
+    """Of rows (id, w): id, place, seed for each place of each mask in ``own``, which are of ``masks``."""
+    used = sorted({i for mask in masks for i, c in enumerate(mask) if c == "1"})
+    shifted = [F.slice("w", i + 1, F.size("w")).alias(f"w{i}") for i in used]  # shorter ones end in nulls
+    opened = rows.select("id", own.alias("own"), F.posexplode(F.arrays_zip(*shifted)).alias("place", "v"))
+    fits = lambda mask: F.array_contains("own", mask) & F.col(f"v.w{len(mask) - 1}").isNotNull()
+    seeds = F.array(*[F.when(fits(mask), F.xxhash64(F.lit(mask), *[F.col(f"v.w{i}") for i, c in enumerate(mask) if c == "1"])) for mask in masks])
+    return opened.select("id", "place", F.explode(seeds).alias("seed")).where("seed is not null")
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, item_id, n_words (of the item), n_equal and n_compared (of the best window) and place (its first word in the
     document, from 0) for each pair of a document and an item that overlap.
 
-    Null and empty texts overlap with nothing, nor do items of fewer words than the short mask, which chance would match.
+    Null and empty texts overlap with nothing, nor do items of fewer than ``LEAST`` words, which chance would match.
     Items that repeat an id count as that id's. Rows with one doc_id give one row an item, the best; null ids take part.
     Further columns are ignored; empty tables give no rows.
     """
     docs = documents.select(F.col("`doc_id`").cast("long").alias("id"), words(F.col("`text`")).alias("w"))
-    items = benchmark.select(F.col("`item_id`").cast("long").alias("item_id"), words(F.col("`text`")).alias("w")).where(F.size("w") >= len(SHORT_MASK)).distinct()
+    items = benchmark.select(F.col("`item_id`").cast("long").alias("item_id"), words(F.col("`text`")).alias("w")).where(F.size("w") >= LEAST).distinct()
     items = items.withColumn("id", F.struct("item_id", F.col("w").alias("iw")))
-    sides = [(items.where(F.size("w") >= SPAN), MASKS, 0)]
-    if not items.where(F.size("w") < SPAN).isEmpty():
-        sides.append((items.where(F.size("w") < SPAN), (SHORT_MASK,), len(MASKS)))
-    found = None
-    for own, masks, first in sides:
-        asked = _windows(own, masks, first).groupBy("seed", "id").agg(F.min("place").alias("at"))
-        asked = asked.select("seed", F.col("id.item_id").alias("item_id"), F.xxhash64("id.iw").alias("version"), "at")
-        few = asked.limit(broadcast_rows + 1).count() <= broadcast_rows
-        hits = _windows(docs, masks, first).join(F.broadcast(asked) if few else asked, "seed")
-        hits = hits.select("id", "item_id", "version", (F.col("place") - F.col("at")).alias("diagonal"))
-        found = hits if found is None else found.unionByName(hits)
+    wide = F.least(F.size("w"), F.lit(window))
+    sets = {r[0]: masks_for(r[0], share) for r in items.select(wide).distinct().collect()}  # at most ``window`` rows
+    if not sets:
+        sets = {window: masks_for(window, share)}
+    masks = sorted({m for own in sets.values() for m in own})
+    listed = lambda own: F.array(*[F.lit(m) for m in own])
+    asked = _seeds(items, masks, F.coalesce(*[F.when(wide == n, listed(own)) for n, own in sets.items()])).distinct()  # all places of a seed
+    asked = asked.select("seed", F.col("id.item_id").alias("item_id"), F.xxhash64("id.iw").alias("version"), F.col("place").alias("at"))
+    few = asked.limit(broadcast_rows + 1).count() <= broadcast_rows
+    hits = _seeds(docs, masks, listed(masks)).join(F.broadcast(asked) if few else asked, "seed")
+    found = hits.select("id", "item_id", "version", (F.col("place") - F.col("at")).alias("diagonal"))
     found = found.distinct().groupBy("id").agg(F.collect_list(F.struct("item_id", "version", "diagonal")).alias("hits"))  # of one document
     back = documents.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text")).join(found, F.col("doc_id").eqNullSafe(F.col("id")))
     lined = back.select("doc_id", words(F.col("text")).alias("w"), "hits").select("doc_id", "w", F.explode("hits").alias("hit")).select("doc_id", "w", "hit.*")

@@ -225,6 +225,59 @@ def test_secrets(spark, documents):
         assert r.text == (out + text[r.doc_id][at:] if text[r.doc_id] is not None else None)
 
 
+def test_seeds_hit_every_admitted_pattern():
+    from itertools import combinations
+
+    for n in range(decontaminate.LEAST, 40):
+        k = min(n, decontaminate.WINDOW)
+        differ = k - -(-k * decontaminate.SHARE // 100)
+        places = [{p + i for i, c in enumerate(m) if c == "1"} for m in decontaminate.masks_for(k) for p in range(k - len(m) + 1)]
+        assert all(any(not place & set(bad) for place in places) for bad in combinations(range(k), differ))
+
+
+def leaks_brute(docs, items):
+    """(doc_id, item_id): (n_words, n_equal, n_compared, place) by comparing all alignments."""
+    out = {}
+    for i, d in docs.items():
+        for j, t in items.items():
+            d_, t_ = d.split(), t.split()
+            k = min(decontaminate.WINDOW, len(t_))
+            fits = [(sum(x == y for x, y in zip(d_[a : a + k], t_[b : b + k])), -a) for a in range(len(d_) - k + 1) for b in range(len(t_) - k + 1)]
+            if fits and max(fits)[0] * 100 >= k * decontaminate.SHARE:
+                out[i, j] = (len(t_), max(fits)[0], k, -max(fits)[1])
+    return out
+
+
+def test_leaks_as_brute_force(spark):
+    from itertools import combinations
+
+    items, docs = {}, {}
+    rng = random.Random(11)
+    for n in [*range(4, 14), 15, 20]:
+        items[n] = " ".join(f"w{n}x{i}" for i in range(n))
+        k = min(n, 13)
+        differ = k - -(-k * 80 // 100)
+        for bad in [*combinations(range(k), differ), *[rng.sample(range(k), min(k, differ + 1)) for _ in range(3)]]:
+            w = items[n].split()
+            at = rng.randint(0, n - k)
+            w = ["z" if i in bad else x for i, x in enumerate(w[at : at + k])]
+            docs[len(docs)] = " ".join(["q"] * rng.randint(0, 2) + w + ["q"] * rng.randint(0, 2))
+    items[50] = "a b c d e f g a b c d e f g h i k l m n"  # its seeds repeat
+    docs[len(docs)] = "a b c d e f g y z k l m n"
+    items[51] = "a a a a a a a a a a a a a a b b"
+    docs[len(docs)] = "a a a a a a a a a a a b b b"
+    for _ in range(60):  # few different words: many diagonals
+        docs[len(docs)] = " ".join(rng.choice("abcd") for _ in range(rng.randint(3, 30)))
+    for i in range(60, 72):
+        items[i] = " ".join(rng.choice("abcd") for _ in range(rng.randint(4, 25)))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = leaks_brute(docs, items)
+    for most in (1_000_000, 10):
+        got = {(r.doc_id, r.item_id): (r.n_words, r.n_equal, r.n_compared, r.place) for r in decontaminate.leaks(df, b, broadcast_rows=most).collect()}
+        assert got == want
+
+
 def test_leaks_tolerate_substitutions(spark, documents, sf_dir):
     items = C.table(spark, sf_dir, "benchmark")
     text = {r.item_id: r.text for r in items.collect()}
