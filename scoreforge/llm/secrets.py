@@ -26,7 +26,8 @@ OPEN, MID, SHUT = "﷐", "﷑", "﷒"
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: ``pattern`` (its group ``keep`` must have ``least`` characters) and the literal texts of which a match holds one."""
+    """A kind of secret: ``pattern`` (its group ``keep`` must have ``least`` characters) and the literal texts of which a match holds one.
+    A match goes on through ``rest``, which may be empty; the SQL for DuckDB knows only ``pattern``."""
 
     kind: str
     pattern: str
@@ -34,6 +35,7 @@ class Rule:
     least: int
     literals: tuple[str, ...] = ()
     base: bool = False
+    rest: str = ""
 
     def query(self) -> list[set[str]]:
         """The Boolean trigram query: any of these sets must be wholly there. Empty: no mandatory trigrams, scan fully."""
@@ -41,12 +43,21 @@ class Rule:
         return sets if all(sets) else []
 
 
+# A private key after its first line: up to the END line if that is the next line of dashes, else (a key cut short) the header
+# fields and the lines of 16 characters of base64 or more, with a last shorter one.
+_GAP = "(?:[ \\t\\r\\n]|\\\\[rnt])"
+KEY_BODY = (
+    "(?:(?>[\\s\\S]*?-----)END [A-Z ]{0,30}PRIVATE KEY-----"
+    f"|(?:{_GAP}*+(?:Proc-Type|DEK-Info): [^\\r\\n\\\\]*+)*+(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}})++"
+    "(?:(?:\\r?\\n|\\\\n)[A-Za-z0-9+/]++={0,2}(?![^\\r\\n\\\\\"']))?|)"
+)
+
 # The rules. The first three are the base kinds; the order here breaks ties between kinds.
 RULES = (
     Rule("assign", "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12, ("password", "passwd", "secret", "token", "apikey", "api_key"), True),
     Rule("access", "AKIA[A-Z0-9]+", 0, 18, ("AKIA",), True),
     Rule("hex", "[0-9a-f]{16,}", 0, 16, (), True),
-    Rule("private_key", "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1, ("-----BEGIN ",)),
+    Rule("private_key", "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1, ("-----BEGIN ",), rest=KEY_BODY),
     Rule("web_token", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 0, 1, ("eyJ",)),
     Rule("prefixed", "(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", 0, 1, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "sk_live_")),
 )
@@ -54,7 +65,7 @@ RULES = (
 
 def _spans(text: Column, rule: Rule, no: int) -> Column:
     """array<struct<start, no, end>> of the rule's matches in a text without marks."""
-    marked = F.regexp_replace(text, F.lit(rule.pattern), F.lit(f"{OPEN}$0{MID}${rule.keep}{SHUT}"))
+    marked = F.regexp_replace(text, F.lit(rule.pattern + rule.rest), F.lit(f"{OPEN}$0{MID}${rule.keep}{SHUT}"))
     pieces = F.split(marked, OPEN)
     step = lambda acc, piece: F.struct(
         (acc["at"] + F.length(F.substring_index(piece, MID, 1)) + F.length(F.substring_index(piece, SHUT, -1))).alias("at"),
@@ -149,7 +160,7 @@ def brute(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[int,
     """The same spans (start, rule, end) by Python's own engine: for tests."""
     out = []
     for no, r in enumerate(rules):
-        for m in re.finditer(r.pattern, text or ""):
+        for m in re.finditer(r.pattern + r.rest, text or ""):
             if len(m[r.keep]) >= r.least:
                 out.append((m.start(), no, m.end()))
     return sorted(out)
