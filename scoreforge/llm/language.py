@@ -25,7 +25,7 @@ def _letters() -> np.ndarray:
     """Lower-case form of each letter's code point, 0 for all else."""
     if not _LETTER:
         table = np.zeros(0x110000, np.uint64)
-        for c in range(0x30000):
+        for c in range(len(table)):
             ch = chr(c)
             if ch.isalpha():
                 low = ch.lower()

@@ -315,3 +315,11 @@ def test_leaks_tolerate_substitutions(spark, documents, sf_dir):
     assert got == {(10_000 + i, i) for i in text}
     want = {(d.doc_id, i) for d in documents.collect() for i, t in text.items() if t in (d.text or "")}
     assert want <= {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents, items, broadcast_rows=10).collect()}
+
+
+def test_letters_of_all_planes():
+    table = language._letters()
+    for c in (0x30000, 0x3134A, 0x31350, 0x323AF):
+        assert table[c] == (c if chr(c).isalpha() else 0)
+    assert len(language.grams(np.array([0x30000, 0x30001], np.uint32)))
+    assert not table[[c for c in range(0x110000) if not chr(c).isalpha()]].any()
