@@ -80,17 +80,20 @@ def _way_back(a: Column, b: Column, table: Column, gap: int) -> Column:
     return F.aggregate(steps, state, step, lambda s: s["out"])
 
 
-#: One character for each different word of a pair of sequences.
+#: One character for each different word of a pair of sequences; those after the last are the code points from U+10000.
 LETTERS = "".join(chr(0x4E00 + i) for i in range(4096))
+MOST_LETTERS = len(LETTERS) + 0x100000
 
 
 def edit_distance(a: Column, b: Column) -> Column:
     """Least substitutions, deletions and insertions between two sequences of words: Levenshtein over one character a word.
-    Over ``len(LETTERS)`` different words in a pair are an error, not a wrong number."""
+    Over ``MOST_LETTERS`` different words in a pair (a million) are an error, not a wrong number."""
 
     def of(known):
-        letter = lambda w: F.substring(F.lit(LETTERS), F.array_position(known, w).cast("int"), F.lit(1))
+        place = lambda w: F.array_position(known, w).cast("int")
+        far = lambda p: F.decode(F.unhex(F.lpad(F.hex(p + 0x10000 - len(LETTERS) - 1), 8, "0")), "UTF-32")
+        letter = lambda w: let(place(w), lambda p: F.when(p <= len(LETTERS), F.substring(F.lit(LETTERS), p, F.lit(1))).otherwise(far(p)))
         text = lambda ws: F.array_join(F.transform(ws, letter), "")
-        return F.when(F.size(known) > len(LETTERS), F.raise_error(F.lit("too many different words")).cast("int")).otherwise(F.levenshtein(text(a), text(b)))
+        return F.when(F.size(known) > MOST_LETTERS, F.raise_error(F.lit("too many different words")).cast("int")).otherwise(F.levenshtein(text(a), text(b)))
 
     return let(F.array_distinct(F.concat(a, b)), of)

@@ -183,3 +183,10 @@ def test_shuffle_order_depends_on_seed_only(spark):
     df = spark.range(500).select(F.col("id").alias("sample_id"), (F.col("id") % 97).cast("int").alias("n"))
     order = lambda seed: [r.sample_id for r in batching.shuffled_order(df, "n", seed).orderBy("order_key").collect()]
     assert order(1) == order(1) != order(2) and sorted(order(2)) == list(range(500))
+
+
+def test_edit_distance_of_many_words(spark):
+    a = [f"w{i}" for i in range(4200)]
+    b = a[:10] + ["x"] + a[10:4150] + ["y", "z"] + a[4152:4190]
+    df = spark.createDataFrame([(a, b), (a, a), (a, []), (["p", "q"], ["q"])], "a array<string>, b array<string>")
+    assert [r.d for r in df.select(align.edit_distance(F.col("a"), F.col("b")).alias("d")).collect()] == [13, 0, 4200, 1]
