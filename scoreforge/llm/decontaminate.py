@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, together
+from .common import apart, checkpointed, together
 
 # By words compared and words of them that may differ, masks (1: the word counts) of which one always hits.
 COVERS = {
@@ -25,11 +25,11 @@ COVERS = {
     (10, 2): ("110111", "111000101", "101111"),
     (13, 2): ("11101111", "11110010011", "10111111"),
 }
-LEAST, WINDOW, SHARE = 4, 13, 80
-# The masks of the SQL for DuckDB, which finds the pairs with a hit of these.
-MASKS, SPAN = ("1101100111", "1110010111", "1011101011"), 10
-#: The benchmark's hashes are broadcast up to so many (24 bytes each); beyond it both sides are shuffled.
+WINDOW, SHARE = 13, 80
+#: What is broadcast: so many hashes of the benchmark's (24 bytes each), words of its items (8 bytes) or hits (40 bytes); beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: A list of hits of a document holds those of about so many items.
+ITEMS_A_LIST = 1000
 SPLIT = "[^\\p{L}\\p{N}]+"
 
 
@@ -47,57 +47,72 @@ def masks_for(n: int, share: int = SHARE) -> tuple[str, ...]:
 
 
 def _seeds(rows: DataFrame, masks: list[str], own: Column) -> DataFrame:
-    """Of rows (id, w): id, place, seed for each place of each mask in ``own``, which are of ``masks``."""
+    """Of rows (w and others): the others, place, seed for each place of each mask in ``own``, which are of ``masks``."""
     used = sorted({i for mask in masks for i, c in enumerate(mask) if c == "1"})
+    others = [c for c in rows.columns if c != "w"]
     shifted = [F.slice("w", i + 1, F.size("w")).alias(f"w{i}") for i in used]  # shorter ones end in nulls
-    opened = rows.select("id", own.alias("own"), F.posexplode(F.arrays_zip(*shifted)).alias("place", "v"))
+    opened = rows.select(*others, own.alias("own"), F.posexplode(F.arrays_zip(*shifted)).alias("place", "v"))
     fits = lambda mask: F.array_contains("own", mask) & F.col(f"v.w{len(mask) - 1}").isNotNull()
     seeds = F.array(*[F.when(fits(mask), F.xxhash64(F.lit(mask), *[F.col(f"v.w{i}") for i, c in enumerate(mask) if c == "1"])) for mask in masks])
-    return opened.select("id", "place", F.explode(seeds).alias("seed")).where("seed is not null")
+    return opened.select(*others, "place", F.explode(seeds).alias("seed")).where("seed is not null")
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, item_id, n_words (of the item), n_equal and n_compared (of the best window) and place (its first word in the
-    document, from 0) for each pair of a document and an item that overlap.
-
-    Null and empty texts overlap with nothing, nor do items of fewer than ``LEAST`` words, which chance would match.
-    Items that repeat an id count as that id's. Rows with one doc_id give one row an item, the best; null ids take part.
-    Further columns are ignored; empty tables give no rows.
-    """
-    docs = documents.select(F.col("`doc_id`").cast("long").alias("id"), words(F.col("`text`")).alias("w"))
-    items = benchmark.select(F.col("`item_id`").cast("long").alias("item_id"), words(F.col("`text`")).alias("w")).where(F.size("w") >= LEAST).distinct()
-    items = items.withColumn("id", F.struct("item_id", F.col("w").alias("iw")))
+def _overlaps(documents: DataFrame, benchmark: DataFrame, window: int, share: int, broadcast_rows: int) -> DataFrame:
+    """doc_id, key (a hash of the text), item_id, n_words, n_compared and best (n_equal, back: less the place) for each pair that overlaps."""
+    text, key = F.col("`text`"), F.xxhash64(F.col("`text`"))
+    docs = documents.select(F.col("`doc_id`").cast("long").alias("doc_id"), key.alias("key"), words(text).alias("w"))
+    items = benchmark.select(F.col("`item_id`").cast("long").alias("item_id"), words(F.col("`text`")).alias("w")).where(F.size("w") > 0).distinct()
+    items = items.withColumn("version", F.xxhash64("w"))  # of items that repeat an id
     wide = F.least(F.size("w"), F.lit(window))
-    sets = {r[0]: masks_for(r[0], share) for r in items.select(wide).distinct().collect()}  # at most ``window`` rows
-    if not sets:
-        sets = {window: masks_for(window, share)}
+    sizes = items.select(wide.alias("wide"), F.size("w").alias("n")).groupBy("wide").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("items")).collect()  # at most ``window`` rows
+    sets = {r["wide"]: masks_for(r["wide"], share) for r in sizes} or {window: masks_for(window, share)}
     masks = sorted({m for own in sets.values() for m in own})
     listed = lambda own: F.array(*[F.lit(m) for m in own])
-    asked = _seeds(items, masks, F.coalesce(*[F.when(wide == n, listed(own)) for n, own in sets.items()])).distinct()  # all places of a seed
-    asked = asked.select("seed", F.col("id.item_id").alias("item_id"), F.xxhash64("id.iw").alias("version"), F.col("place").alias("at"))
+    whole = F.col("n_words") < 100 / (100 - share) if share < 100 else F.col("n_words") <= window  # no word may differ: a hit is the item
+    asked = _seeds(items.withColumn("n_words", F.size("w")), masks, F.coalesce(*[F.when(wide == n, listed(own)) for n, own in sets.items()])).distinct()  # all places of a seed
+    asked = asked.select("seed", "item_id", "version", whole.alias("whole"), F.col("place").alias("at"))
     few = asked.limit(broadcast_rows + 1).count() <= broadcast_rows
-    hits = _seeds(docs, masks, listed(masks)).join(F.broadcast(asked) if few else asked, "seed")
-    found = hits.select("id", "item_id", "version", (F.col("place") - F.col("at")).alias("diagonal"))
-    found = found.distinct().groupBy("id").agg(F.collect_list(F.struct("item_id", "version", "diagonal")).alias("hits"))  # of one document
-    back = documents.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text")).join(found, F.col("doc_id").eqNullSafe(F.col("id")))
-    lined = back.select("doc_id", words(F.col("text")).alias("w"), "hits").select("doc_id", "w", F.explode("hits").alias("hit")).select("doc_id", "w", "hit.*")
-    texts = items.select(F.col("item_id").alias("_i"), F.xxhash64("w").alias("_v"), F.col("w").alias("iw"))
-    texts = F.broadcast(texts) if benchmark.limit(20_001).count() <= 20_000 else texts
+    hits = _seeds(docs, masks, listed(masks)).join(F.broadcast(asked) if few else asked, "seed").withColumn("diagonal", F.col("place") - F.col("at"))
+    lists = max(1, sum(r["items"] for r in sizes) // ITEMS_A_LIST)
+    found = hits.groupBy("doc_id", "key", "item_id", "version", F.when(~F.col("whole"), F.col("diagonal")).alias("_d")).agg(F.min("diagonal").alias("diagonal"))  # of a whole item's only the first
+    found = found.groupBy("doc_id", "key", F.pmod(F.col("version"), F.lit(lists)).alias("_l")).agg(F.collect_list(F.struct("item_id", "version", "diagonal")).alias("hits"))
+    found = checkpointed(found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "hits"))
+    n_hits = found.agg(F.sum(F.size("hits"))).first()[0] or 0
+    back = documents.select(F.col("`doc_id`").cast("long").alias("doc_id"), key.alias("key"), text.alias("text"))
+    back = back.join(F.broadcast(found) if n_hits <= broadcast_rows else found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    lined = back.select("doc_id", "key", words(F.col("text")).alias("w"), "hits").select("doc_id", "key", "w", F.explode("hits").alias("hit")).select("doc_id", "key", "w", "hit.*")
+    texts = items.select(F.col("item_id").alias("_i"), F.col("version").alias("_v"), F.col("w").alias("iw"))
+    texts = F.broadcast(texts) if sum(r["n"] for r in sizes) <= broadcast_rows else texts
     lined = lined.join(texts, F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("version") == F.col("_v")))
     start = F.greatest(F.lit(0), F.col("diagonal"))
     skip = F.greatest(F.lit(0), -F.col("diagonal"))
     n = F.least(F.size("w") - start, F.size("iw") - skip)
-    lined = lined.select("doc_id", "item_id", F.size("iw").alias("n_words"), start.alias("start"), n.alias("n"), F.zip_with(F.slice("w", start + 1, n), F.slice("iw", skip + 1, n), lambda a, b: (a == b).cast("int")).alias("same"))
+    lined = lined.select("doc_id", "key", "item_id", F.size("iw").alias("n_words"), start.alias("start"), n.alias("n"), F.zip_with(F.slice("w", start + 1, n), F.slice("iw", skip + 1, n), lambda a, b: (a == b).cast("int")).alias("same"))
     wide = F.least(F.lit(window), F.col("n_words"))
     lined = lined.where(F.col("n") >= wide).withColumn("n_compared", wide)
     sums = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("n_compared")), lambda i: F.struct(F.aggregate(F.slice("same", i + 1, F.col("n_compared")), F.lit(0), lambda s, x: s + x).alias("n_equal"), (-(F.col("start") + i)).alias("back")))
-    best = lined.select("doc_id", "item_id", "n_words", "n_compared", F.array_max(sums).alias("best")).where(F.col("best.n_equal") * 100 >= F.col("n_compared") * share)
+    return lined.select("doc_id", "key", "item_id", "n_words", "n_compared", F.array_max(sums).alias("best")).where(F.col("best.n_equal") * 100 >= F.col("n_compared") * share)
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, item_id, n_words (of the item), n_equal and n_compared (of the best window) and place (its first word in the
+    document, from 0) for each pair of a document and an item that overlap.
+
+    Null, empty and wordless texts overlap with nothing; an item of any number of words counts, be it one. Items that
+    repeat an id count as that id's. Rows with one doc_id give one row an item, the best; null ids take part. Of windows
+    equally good the first in the document counts. Further columns are ignored; empty tables give no rows.
+    """
+    best = _overlaps(documents, benchmark, window, share, broadcast_rows)
     top = best.groupBy("doc_id", "item_id").agg(F.max(F.struct("best.n_equal", "best.back", "n_words", "n_compared")).alias("b"))
     return top.select("doc_id", "item_id", F.col("b.n_words").alias("n_words"), F.col("b.n_equal").alias("n_equal"), F.col("b.n_compared").alias("n_compared"), (-F.col("b.back")).alias("place"))
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``documents`` without the rows whose id overlaps with an item."""
+    """``documents`` without the rows whose text overlaps with an item; others stay, also those that share an id (or null) with
+    such a row. Null, empty and wordless texts stay, repeated rows go or stay together; further columns, whatever their
+    names, stay as they are; without items all rows stay."""
     plain, names = apart(documents)
-    bad = leaks(plain, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return together(plain.join(bad, plain["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti"), names)
+    bad = _overlaps(plain, benchmark, WINDOW, SHARE, BROADCAST_ROWS).select(F.col("doc_id").alias("_bad"), F.col("key").alias("_key")).distinct()
+    rows = plain.withColumn("_hash", F.xxhash64("text"))
+    kept = rows.join(bad, rows["doc_id"].cast("long").eqNullSafe(bad["_bad"]) & (rows["_hash"] == bad["_key"]), "left_anti")
+    return together(kept, names)

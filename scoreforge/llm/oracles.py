@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from .decontaminate import MASKS, SHARE, SPAN, WINDOW
+from .decontaminate import SHARE, WINDOW
 from .secrets import MID, OPEN, RULES, SHUT
 
 TOP_K = """
@@ -40,18 +40,14 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
 
-def _seed(mask: str) -> str:
-    return " || ' ' || ".join(f"w[p + {i + 1}]" for i, c in enumerate(mask) if c == "1")
-
-
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+# By definition, without masks: all places where a word of an item stands in a document, by diagonal; those that hold enough are compared window by window.
 LEAKS = f"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
-dp AS (SELECT doc_id, w, unnest(range(0, len(w) - {SPAN - 1})) AS p FROM d WHERE len(w) >= {SPAN}),
-bp AS (SELECT item_id, w, unnest(range(0, len(w) - {SPAN - 1})) AS p FROM b WHERE len(w) >= {SPAN}),
-ds AS ({" UNION ALL ".join(f"SELECT doc_id, p, {i} AS m, {_seed(mask)} AS seed FROM dp" for i, mask in enumerate(MASKS))}),
-bs AS (SELECT item_id, m, seed, min(p) AS p FROM ({" UNION ALL ".join(f"SELECT item_id, p, {i} AS m, {_seed(mask)} AS seed FROM bp" for i, mask in enumerate(MASKS))}) GROUP BY ALL),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS diagonal FROM ds JOIN bs USING (m, seed)),
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+dp AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+bp AS (SELECT item_id, least({WINDOW}, len(w)) AS wide, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM b),
+hits AS (SELECT doc_id, item_id, dp.p - bp.p AS diagonal FROM dp JOIN bp USING (word) GROUP BY ALL HAVING count(*) * 100 >= any_value(wide) * {SHARE}),
 lined AS (SELECT doc_id, item_id, d.w AS dw, b.w AS bw, greatest(0, diagonal) AS start, greatest(0, -diagonal) AS skip,
   least(len(d.w) - greatest(0, diagonal), len(b.w) - greatest(0, -diagonal)) AS n, least({WINDOW}, len(b.w)) AS wide FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
 placed AS (SELECT *, unnest(range(0, n - wide + 1)) AS i FROM lined WHERE n >= wide),
