@@ -1,10 +1,10 @@
 """Secret scans (operator 9), DataFrame functions only: a trigram inverted index chooses what each rule must scan.
 
-Each rule's regular expression gives a Boolean query on trigrams: an OR over its alternatives of the AND of the trigrams of
-the literal text an alternative must hold (letters in lower case, so that the query holds for either case). The index
-lists, for each trigram that any query has, the rows that contain it, as postings (trigram, row). A query is answered by
-intersecting postings: of one row's trigrams, does any alternative have all? Its candidates are verified by the expression
-itself. Rules whose expression has no mandatory trigram scan every text.
+From each rule's regular expression ``trigrams.derive`` makes a Boolean query on trigrams (in lower case, so that it holds for
+either case). The index lists, for each trigram that any query has, the rows that contain it, as postings (trigram, row).
+A query is answered by intersecting postings: of one row's trigrams, does each clause have an alternative that is wholly
+there? Its candidates are verified by the expression itself, where the texts lie: few candidates are broadcast to them.
+Rules whose expression has no mandatory trigram scan every text.
 
 Spans are code points [start, end) of leftmost non-overlapping matches by kind. They are found without leaving the JVM:
 ``regexp_replace`` sets marks around each match and the lengths between marks are run up.
@@ -18,7 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, together
+from .common import apart, checkpointed, together
+from .trigrams import Query, derive
 
 # Marks around matches: three noncharacters, which no rule matches; texts that hold them get another character there.
 OPEN, MID, SHUT = "﷐", "﷑", "﷒"
@@ -26,23 +27,24 @@ OPEN, MID, SHUT = "﷐", "﷑", "﷒"
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: ``pattern`` (its group ``keep`` must have ``least`` characters) and the literal texts of which a match holds one.
-    A match goes on through ``rest``, which may be empty; the SQL for DuckDB knows only ``pattern``."""
+    """A kind of secret: ``pattern``, whose group ``keep`` must have ``least`` characters. A match goes on through ``rest``, which
+    may be empty; the SQL for DuckDB knows only ``pattern``."""
 
     kind: str
     pattern: str
     keep: int
     least: int
-    literals: tuple[str, ...] = ()
     base: bool = False
     rest: str = ""
 
-    def query(self) -> list[set[str]]:
-        """The Boolean trigram query: any of these sets must be wholly there. Empty: no mandatory trigrams, scan fully."""
-        sets = [{lit[i : i + 3].lower() for i in range(len(lit) - 2)} for lit in self.literals]
-        return sets if all(sets) else []
+    def query(self) -> Query:
+        """The Boolean trigram query. Empty: no mandatory trigrams, scan fully."""
+        return derive(self.pattern)
 
 
+#: Candidates (some 40 bytes each) are broadcast up to so many; beyond it they and the texts are shuffled.
+BROADCAST_ROWS = 1_000_000
+
 # A private key after its first line: up to the END line if that is the next line of dashes, else (a key cut short) the header
 # fields and the lines of 16 characters of base64 or more, with a last shorter one.
 _GAP = "(?:[ \\t\\r\\n]|\\\\[rnt])"
@@ -54,12 +56,12 @@ KEY_BODY = (
 
 # The rules. The first three are the base kinds; the order here breaks ties between kinds.
 RULES = (
-    Rule("assign", "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12, ("password", "passwd", "secret", "token", "apikey", "api_key"), True),
-    Rule("access", "AKIA[A-Z0-9]+", 0, 18, ("AKIA",), True),
-    Rule("hex", "[0-9a-f]{16,}", 0, 16, (), True),
-    Rule("private_key", "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1, ("-----BEGIN ",), rest=KEY_BODY),
-    Rule("web_token", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 0, 1, ("eyJ",)),
-    Rule("prefixed", "(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", 0, 1, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "sk_live_")),
+    Rule("assign", "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12, True),
+    Rule("access", "AKIA[A-Z0-9]+", 0, 18, True),
+    Rule("hex", "[0-9a-f]{16,}", 0, 16, True),
+    Rule("private_key", "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1, rest=KEY_BODY),
+    Rule("web_token", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 0, 1),
+    Rule("prefixed", "(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", 0, 1),
 )
 
 
@@ -79,37 +81,60 @@ def _spans(text: Column, rule: Rule, no: int) -> Column:
     return F.when(F.contains(marked, F.lit(OPEN)), found).otherwise(F.array().cast("array<struct<start:int,no:int,end:int>>"))
 
 
+#: Characters of texts, the rarer the earlier; marks and digits are rarer still.
+_RARE = "zqxjkvbpygfwmucldrhsnioate "
+
+
 def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The inverted index of the trigrams that the rules' queries have: postings (trigram, doc_id)."""
-    grams = sorted({g for r in rules for s in r.query() for g in s})
-    low = docs.select("doc_id", F.lower("text").alias("_low"))
-    there = F.filter(F.array(*[F.when(F.contains("_low", F.lit(g)), F.lit(g)) for g in grams]), lambda g: g.isNotNull())
-    return low.select("doc_id", F.explode(there).alias("trigram"))
+    """The inverted index of the trigrams that the rules' queries have: postings (trigram, doc_id, key), key a hash of the text.
+
+    A query's trigrams are looked up one after another, rare ones first, and a row is listed under one only if it has those
+    before it: an intersection has no use for the rest.
+    """
+    tree: dict = {}
+    for alternative in {a for r in rules for clause in r.query() for a in clause}:
+        at = tree
+        for g in sorted(alternative, key=lambda g: (sum(_RARE.find(c) for c in g), g)):
+            at = at.setdefault(g, {})
+    none = F.array().cast("array<string>")
+
+    def there(branches: dict) -> Column:
+        found = [F.when(F.contains("_low", F.lit(g)), F.concat(F.array(F.lit(g)), there(rest)) if rest else F.array(F.lit(g))).otherwise(none) for g, rest in sorted(branches.items())]
+        return F.concat(*found) if found else none
+
+    low = docs.select("doc_id", F.xxhash64("text").alias("key"), F.lower("text").alias("_low"))
+    return low.select("doc_id", "key", F.explode(F.array_distinct(there(tree))).alias("trigram"))
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, rules): the numbers of the rules whose query the postings of a row answer."""
-    have = postings.groupBy("doc_id").agg(F.collect_set("trigram").alias("_have"))  # of a row: at most the queries' trigrams
+    """(doc_id, key, rules): the numbers of the rules whose query the postings of a row answer."""
+    have = postings.groupBy("doc_id", "key").agg(F.collect_set("trigram").alias("_have"))  # of a row: at most the queries' trigrams
     answers = []
     for no, rule in enumerate(rules):
         if rule.query():
-            hit = F.lit(False)
-            for grams in rule.query():
-                hit = hit | (F.size(F.array_except(F.array(*[F.lit(g) for g in sorted(grams)]), F.col("_have"))) == 0)
+            hit = F.lit(True)
+            for clause in rule.query():
+                ways = F.lit(False)
+                for alternative in sorted(map(sorted, clause)):
+                    ways = ways | (F.size(F.array_except(F.array(*[F.lit(g) for g in alternative]), F.col("_have"))) == 0)
+                hit = hit & ways
             answers.append(F.when(hit, F.lit(no)))
-    return have.select("doc_id", F.filter(F.array(*answers), lambda r: r.isNotNull()).alias("rules")).where(F.size("rules") > 0)
+    return have.select("doc_id", "key", F.filter(F.array(*answers), lambda r: r.isNotNull()).alias("rules")).where(F.size("rules") > 0)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """All columns of ``docs`` (doc_id, text and any others) and ``_spans``: array<struct<start, no, end>> by start, then rule.
 
-    Null and empty texts have no spans; rows with one doc_id share their candidates, which verification then tells
-    apart; null ids are scanned as well. An empty table gives no rows.
+    Null and empty texts have no spans; rows with one doc_id are told apart by a hash of their texts, repeated rows share their
+    candidates; null ids are scanned as well. An empty table gives no rows.
     """
     own = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text"))
-    found = candidates(index(own.where("text is not null"), rules), rules).withColumnsRenamed({"doc_id": "_cand_id", "rules": "_rules"})
-    rows = docs.join(found, docs["`doc_id`"].eqNullSafe(found["_cand_id"]), "left").drop("_cand_id")
-    clean = F.translate(F.coalesce(F.col("`text`"), F.lit("")), OPEN + MID + SHUT, "�" * 3)
+    found = candidates(index(own.where("text is not null"), rules), rules)
+    found = checkpointed(found.select(F.col("doc_id").alias("_cand_id"), F.col("key").alias("_cand_key"), F.col("rules").alias("_rules")))
+    few = found.limit(broadcast_rows + 1).count() <= broadcast_rows
+    rows = docs.withColumn("_key", F.xxhash64(F.col("`text`")))
+    rows = rows.join(F.broadcast(found) if few else found, rows["`doc_id`"].eqNullSafe(found["_cand_id"]) & (rows["_key"] == found["_cand_key"]), "left").drop("_cand_id", "_cand_key", "_key")
+    clean = F.translate(F.coalesce(F.col("`text`"), F.lit("")), OPEN + MID + SHUT, "\ufffd" * 3)
     none = F.array().cast("array<struct<start:int,no:int,end:int>>")
     parts = []
     for no, rule in enumerate(rules):
@@ -124,7 +149,12 @@ def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans for each row."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans for each row.
+
+    Null and empty texts have no spans (the hash is then that of an empty string); null and repeated ids and repeated rows give
+    a row each; matches of several kinds at one place are all there, by the order of the rules. Further columns are
+    ignored; an empty table gives no rows.
+    """
     base = [no for no, r in enumerate(rules) if r.base]
     rows = scan(docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text")), rules)
     count = lambda no: F.size(F.filter("_spans", lambda s: s["no"] == no)).cast("long")
@@ -136,7 +166,11 @@ def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sign: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of its texts replaced by ``sign`` (overlapping spans by one) and n_chars, if there, counted anew."""
+    """``docs`` with every span of its texts replaced by ``sign`` (overlapping spans by one) and n_chars, if there, counted anew.
+
+    Null texts stay null, texts without spans and their n_chars as they are; every row stays, repeated and null ids too, and
+    so do further columns, whatever their names. An empty table gives no rows.
+    """
     plain, names = apart(docs)
     rows = scan(plain, rules)
     text = F.col("`text`")
