@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -32,19 +34,54 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="scoreforge-"))
         path = sc._jsc.sc().getCheckpointDir().get()
-    return path if ":" in path.split("/")[0] else "file://" + path
+    path = sc._jvm.org.apache.hadoop.fs.Path(path)  # without a scheme: of the cluster's default file system
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+_FOLDERS: dict[str, tuple] = {}
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; what is there when this program ends is deleted."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not _FOLDERS:
+        atexit.register(_clear)
+    _FOLDERS[path] = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+    return path
+
+
+def delete(path: str) -> None:
+    """Removes a folder of ``new_folder`` that nothing reads any more."""
+    store, found = _FOLDERS.pop(path)
+    store.delete(found, True)
+
+
+def _clear() -> None:
+    for path in list(_FOLDERS):
+        try:
+            delete(path)
+        except Exception:  # noqa: BLE001  the JVM may have ended before
+            return
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written below the shared folder and read again as Parquet: lineage is cut, a lost executor costs no recompute."""
     path = new_folder(df.sparkSession, "step")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._step = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what ``checkpointed`` wrote for ``df``: only once nothing that may still run reads it."""
+    delete(df._step)
+
+
+def text_key(text: Column) -> Column:
+    """The md5 of a text's bytes (null: empty): with the id it names a row, whatever other rows share the id."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -117,48 +154,63 @@ def gather(src: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return src[idx]
 
 
-_MULT = 0x9E3779B97F4A7C15
-_POW: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    have = _POW.get("p")
-    if have is None or len(have) < n:
-        m = max(n, 1 << 22)
-        inv = pow(_MULT, -1, 1 << 64)
-        for key, base in (("p", _MULT), ("q", inv)):
-            a = np.full(m, base, dtype=np.uint64)
-            a[0] = 1
-            _POW[key] = np.multiply.accumulate(a)
-    return _POW["p"][:n], _POW["q"][:n]
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-_SYMBOL = _mix((np.arange(65536, dtype=np.uint64) + np.uint64(1)) * np.uint64(_MULT))
+#: The low bytes of a word that belong to a segment with so many bytes left.
+_OWN = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Words of eight bytes that are hashed side by side; longer segments are hashed one by one.
+_WIDE = 32
 
 
-def segment_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each segment of symbols, by differences of one running sum."""
-    n = len(cps)
-    p, q = _powers(n + 1)
-    sym = _SYMBOL[cps] if n == 0 or int(cps.max()) < 65536 else _mix((cps.astype(np.uint64) + np.uint64(1)) * np.uint64(_MULT))
-    run = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(sym * p[:n], out=run[1:])
-    h = (run[ends] - run[starts]) * q[starts]
-    return _mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+def segment_digests(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each segment of symbols, as two hashes of 64.
+
+    Each takes in the length and then word after word of eight bytes, a multiplication and shifts between any two, so that it
+    is no polynomial in the symbols, which strings of regular build could defeat.
+    """
+    size = flat.itemsize
+    raw = np.concatenate([np.ascontiguousarray(flat).view(np.uint8), np.zeros(8, np.uint8)])
+    word = np.lib.stride_tricks.as_strided(raw[:8].view("<u8"), (len(raw) - 7,), (1,))  # at every byte
+    at, left = starts.astype(np.int64) * size, (ends - starts).astype(np.int64) * size
+    one = _mix(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    two = _mix(left.astype(np.uint64) + np.uint64(0xD1B54A32D192ED03))
+    live = np.flatnonzero((left > 0) & (left <= 8 * _WIDE))
+    at_, left_ = at[live], left[live]
+    while len(live):
+        w = word[at_] & _OWN[np.minimum(left_, 8)]
+        one[live] = _mix((one[live] ^ w) * np.uint64(0x9E3779B97F4A7C15))
+        two[live] = _mix((two[live] + w) * np.uint64(0xD6E8FEB86659FD93)) ^ w
+        on = left_ > 8
+        live, at_, left_ = live[on], at_[on] + 8, left_[on] - 8
+    for i in np.flatnonzero(left > 8 * _WIDE).tolist():
+        one[i], two[i] = np.frombuffer(hashlib.blake2b(raw[at[i] : at[i] + left[i]], digest_size=16).digest(), "<u8")
+    return one, two
+
+
+def segment_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of each segment."""
+    return segment_digests(flat, starts, ends)[0]
+
+
+def distinct(keys: tuple[np.ndarray, np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct of some 128-bit keys, the place of the first of each, and which of them each key is."""
+    one, two = keys
+    _, first, inv = np.unique(one, return_index=True, return_inverse=True)
+    if (two != two[first][inv]).any():  # equal in 64 bits only
+        _, first, inv = np.unique(np.stack([one, two], axis=1), axis=0, return_index=True, return_inverse=True)
+        inv = inv.ravel()
+    return (one[first], two[first]), first, inv
 
 
 class SegmentTable:
-    """Distinct segments seen so far by a worker, with what was made of each; emptied when over ``most`` entries.
+    """Distinct segments seen so far by a worker, by 128-bit keys, with what was made of each; emptied when over ``most`` entries.
 
-    ``find`` gives row numbers for hashes; the caller adds what is missing with ``add``. Only a cache: what it returns
-    does not depend on what is in it.
+    ``find`` gives row numbers for keys; the caller adds what is missing with ``add``. Only a cache: what it returns does not
+    depend on what is in it, as a key that shares only its first half with an entry counts as missing.
     """
 
     def __init__(self, most: int):
@@ -166,25 +218,26 @@ class SegmentTable:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.keys, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.rows = np.zeros(0, np.int64)
         self.n = 0
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row or -1) of each hash."""
+    def find(self, keys: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Row, or -1, of each key."""
+        one, two = keys
         if not len(self.keys):
-            return np.full(len(hashes), -1, np.int64)
-        at = np.searchsorted(self.keys, hashes)
+            return np.full(len(one), -1, np.int64)
+        at = np.searchsorted(self.keys, one)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == hashes, self.rows[at], -1)
-
-    def add(self, hashes: np.ndarray) -> np.ndarray:
-        """Gives new (distinct, unknown) hashes the next rows."""
-        rows = np.arange(self.n, self.n + len(hashes), dtype=np.int64)
-        self.n += len(hashes)
-        keys, all_rows = np.concatenate([self.keys, hashes]), np.concatenate([self.rows, rows])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rows = keys[order], all_rows[order]
+        return np.where((self.keys[at] == one) & (self.check[at] == two), self.rows[at], -1)
+
+    def add(self, keys: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Gives new (distinct, unknown) keys the next rows."""
+        rows = np.arange(self.n, self.n + len(keys[0]), dtype=np.int64)
+        self.n += len(rows)
+        one, two, all_rows = (np.concatenate(x) for x in ((self.keys, keys[0]), (self.check, keys[1]), (self.rows, rows)))
+        order = np.argsort(one, kind="stable")
+        self.keys, self.check, self.rows = one[order], two[order], all_rows[order]
         return rows
 
 

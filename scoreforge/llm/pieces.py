@@ -192,7 +192,7 @@ def encode_flat(col: pa.Array, path: str) -> tuple[PieceModel, np.ndarray, np.nd
     cut[heads] = True
     starts = np.flatnonzero(cut)
     ends = np.concatenate([starts[1:], [len(flat)]])
-    uniq, first, inv = np.unique(C.segment_hashes(flat, starts, ends), return_index=True, return_inverse=True)
+    uniq, first, inv = C.distinct(C.segment_digests(flat, starts, ends))
     if known.n > known.most:
         known.clear()
         made.clear()
@@ -201,7 +201,7 @@ def encode_flat(col: pa.Array, path: str) -> tuple[PieceModel, np.ndarray, np.nd
     if len(new):
         s, e = starts[first[new]], ends[first[new]]
         made.extend(*model.encode(C.gather(flat, s, e - s), e - s))
-        rows[new] = known.add(uniq[new])
+        rows[new] = known.add((uniq[0][new], uniq[1][new]))
     rows = rows[inv]
     n = made.lens[rows]
     ids = C.gather(made.flat, made.starts[rows], n)

@@ -125,7 +125,7 @@ class WordEncoder:
         counts = np.zeros(n_docs, np.int64)
         ids = np.zeros(0, np.int32)
         if len(starts):
-            uniq, first, inv = np.unique(C.segment_hashes(flat, starts, ends), return_index=True, return_inverse=True)
+            uniq, first, inv = C.distinct(C.segment_digests(flat, starts, ends))
             if self.known.n > self.known.most:
                 self.known.clear()
                 self.made.clear()
@@ -138,7 +138,7 @@ class WordEncoder:
                 got = self.slow([one[a:b] for a, b in zip(cuts, cuts[1:])])
                 sizes = np.array([len(x) for x in got], np.int64)
                 self.made.extend(np.fromiter((i for x in got for i in x), np.int32, int(sizes.sum())), sizes)
-                rows[miss] = self.known.add(uniq[miss])
+                rows[miss] = self.known.add((uniq[0][miss], uniq[1][miss]))
             rows = rows[inv]
             n = self.made.lens[rows]
             ids = C.gather(self.made.flat, self.made.starts[rows], n)

@@ -1,15 +1,16 @@
 """N-gram Jaccard join (operator 4): prefix index lists with set-relation skipping, and the components of its links.
 
-1. Each text becomes its set of word shingles (64-bit hashes); equal sets are one class. The shingles' counts over all
-   documents, kept in a sketch of ``CELLS`` cells, give one order of all shingles, rare ones first.
+1. Each text becomes its set of word shingles (64-bit hashes); equal sets are one class, known by 64 bits of the set, by 64
+   others where two different sets share the first. The shingles' counts over all documents, kept in a sketch of ``CELLS``
+   cells, give one order of all shingles, rare ones first.
 2. Two sets that reach the similarity share a shingle among their first ``n - ceil(similarity * n) + 1`` in that order. These
-   are dealt by shingle into index lists. Lists are sorted by size; entries are met block by block, and a block is
-   skipped where the sizes or positions left in it cannot reach the overlap that a link needs (index-level skipping).
-3. The entries of a list that a block meets, or all of a list of over ``LARGE`` entries, join the group of the list's least
-   class. Lists of near copies mostly have one least class, so a text travels once a group and not once a list. Groups of over
-   ``BLOCK`` classes meet as pairs of blocks. In a group the overlaps of a set with all others are derived from those of a
-   highly similar set already computed, by the shingles in which the two differ (answer-level skipping). A pair counts in
-   the least group that both are in.
+   are dealt by shingle into index lists. A list is sorted by size and cut into blocks that know the farthest reach of their
+   entries; an entry's partners by size are one window of the list, in which blocks whose reach falls short of the
+   overlap that a link needs are skipped. Entries without any partner leave (index-level skipping).
+3. The others of a list join the group of the list's least class. Lists of near copies mostly have one least class, so a
+   text travels once a group and not once a list. Groups of over ``BLOCK`` classes meet as pairs of blocks. In a group the
+   overlaps of a set with all others are derived from those of the most similar set already computed, by the shingles in
+   which the two differ (answer-level skipping). A pair counts in the least group that both are in.
 4. Large-star and small-star rounds give the components.
 """
 
@@ -25,11 +26,11 @@ from .shingles import shingle_sets
 
 CELL_BITS = 20
 CELLS, PARTS = 1 << CELL_BITS, 64
-LARGE, BLOCK, SKIP = 128, 1024, 32
+BLOCK, SKIP = 1024, 32
 #: Shingles that so many documents may have (by the sketch) get no list in one task: Spark finds their least class.
 HOT = 100_000
 #: Sets that differ in less than this share of their shingles count as highly similar.
-CLOSE, PIVOTS = 0.5, 16
+CLOSE = 0.5
 
 
 def _need(t: int, a, b):
@@ -41,16 +42,26 @@ def prefix_size(t: int, n):
     return n - -(-t * n // 100) + 1
 
 
-def _signature(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """64 bits of each set."""
-    run = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(C._mix(h ^ np.uint64(0x5851F42D4C957F2D)), out=run[1:])
+def _signature(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Twice 64 bits of each set."""
     at = np.concatenate([[0], np.cumsum(n)])
-    return C._mix((run[at[1:]] - run[at[:-1]]) ^ (n.astype(np.uint64) << np.uint64(40))).view(np.int64)
+    out = []
+    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        run = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(C._mix(h ^ np.uint64(salt)), out=run[1:])
+        out.append(C._mix((run[at[1:]] - run[at[:-1]]) ^ (n.astype(np.uint64) << np.uint64(40))).view(np.int64))
+    return out[0], out[1]
+
+
+def _classes_of(h: np.ndarray, n: np.ndarray, clash: np.ndarray) -> np.ndarray:
+    """The class of each set: its first 64 bits, the others where different sets share those."""
+    one, two = _signature(h, n)
+    return np.where(np.isin(one, clash), two, one) if len(clash) else one
 
 
 def _first_pass(k: int):
-    """Per row its set's size and class; then, as rows of part >= 0, what the task counted of each cell."""
+    """Per row its set's size and signature; then, as rows of part >= 0, what the task counted of each cell."""
+    names = ["doc_id", "key", "one", "two", "n", "part", "cells"]
 
     def run(batches):
         cells = np.zeros(CELLS, np.int64)
@@ -60,11 +71,12 @@ def _first_pass(k: int):
                 h, n = shingle_sets(col.slice(a, b - a), k)
                 cells += np.bincount((h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS)
                 m = b - a
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(_signature(h, n)), pa.array(n), pa.array(np.full(m, -1, np.int32)), pa.nulls(m, pa.binary())], ["doc_id", "rid", "n", "part", "cells"])
+                one, two = _signature(h, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), batch.column(1).slice(a, m), pa.array(one), pa.array(two), pa.array(n), pa.array(np.full(m, -1, np.int32)), pa.nulls(m, pa.binary())], names)
         if cells.any():
-            parts = np.minimum(cells, 65535).astype("<u2").reshape(PARTS, -1)
+            parts = cells.astype("<u4").reshape(PARTS, -1)  # a task reads far fewer words
             none = pa.nulls(PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "rid", "n", "part", "cells"])
+            yield pa.RecordBatch.from_arrays([*[none] * 5, pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
     return run
 
@@ -73,7 +85,7 @@ def _sum_cells(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            sums[part] = sums.get(part, 0) + np.frombuffer(cells, "<u2").astype(np.int64)
+            sums[part] = sums.get(part, 0) + np.frombuffer(cells, "<u4").astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype("<i8").tobytes() for s in sums.values()], pa.binary())], ["part", "cells"])
 
 
@@ -88,7 +100,7 @@ def _ordered(h: np.ndarray, n: np.ndarray, level: np.ndarray) -> np.ndarray:
     return h[np.lexsort((h, level[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)], owner))]
 
 
-def _prefixes(k: int, t: int, level, hot: int):
+def _prefixes(k: int, t: int, level, hot: int, clash: np.ndarray):
     def run(batches):
         lv = level.value
         from_level = _level(np.array(hot))
@@ -96,7 +108,7 @@ def _prefixes(k: int, t: int, level, hot: int):
             col = C.texts_of(batch)
             for a, b in C.chunks(col):
                 h, n = shingle_sets(col.slice(a, b - a), k)
-                rid = _signature(h, n)
+                rid = _classes_of(h, n, clash)
                 one = np.unique(rid, return_index=True)[1]
                 one = one[n[one] > 0]
                 h = _ordered(h, n, lv)
@@ -111,26 +123,54 @@ def _prefixes(k: int, t: int, level, hot: int):
     return run
 
 
-def list_pairs(rid: np.ndarray, n: np.ndarray, pos: np.ndarray, t: int) -> list[tuple[int, int]]:
-    """Candidate pairs of one index list, block by block."""
-    order = np.lexsort((pos, n))
-    rid, n, pos = rid[order], n[order], pos[order]
-    left = n - pos  # shingles from the common one on: an overlap cannot exceed them
-    out = []
-    for a in range(0, len(n), SKIP):
-        b = min(a + SKIP, len(n))
-        most = int(left[a:b].max())
-        for i in range(a + 1, len(n)):
-            e = min(i, b)
-            need = _need(t, int(n[i]), n[a:e])
-            if min(most, int(left[i])) < int(need[0]) or 100 * int(n[e - 1]) < t * int(n[i]):
-                continue  # the whole block: not even its smallest set can reach its overlap, or all are too small
-            hit = np.flatnonzero(np.minimum(left[a:e], left[i]) >= need)
-            out += [(int(rid[i]), int(x)) for x in rid[a:e][hit]]
+def _greatest(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The greatest of ``v[lo[i]:hi[i]]`` (below all if empty): whole blocks by their own greatest, the ends entry by entry."""
+    least = np.iinfo(np.int64).min
+    out = np.full(len(lo), least)
+    padded = np.full(-(-max(len(v), 1) // SKIP) * SKIP, least)
+    padded[: len(v)] = v
+    blocks = padded.reshape(-1, SKIP).max(axis=1)
+    first, last = -(-lo // SKIP), hi // SKIP
+    over = np.flatnonzero(first < last)
+    if len(over):
+        a, b = first[over], last[over]
+        power = np.log2(b - a).astype(np.int64)
+        best = np.full(len(over), least)
+        for k in range(int(power.max()) + 1):  # blocks: the greatest of 2**k blocks from each on
+            at = np.flatnonzero(power == k)
+            best[at] = np.maximum(blocks[a[at]], blocks[b[at] - (1 << k)])
+            blocks = np.maximum(blocks[: len(blocks) - (1 << k)], blocks[1 << k :]) if len(blocks) > 1 << k else blocks[:0]
+        out[over] = best
+    whole = first < last
+    for s, e in ((lo, np.where(whole, first * SKIP, hi)), (np.where(whole, last * SKIP, hi), hi)):
+        live = np.flatnonzero(s < e)
+        at, end = s[live], e[live]
+        while len(live):
+            out[live] = np.maximum(out[live], v[at])
+            on = at + 1 < end
+            live, at, end = live[on], at[on] + 1, end[on]
     return out
 
 
-def _lists(t: int, large: int):
+def meeting(no: np.ndarray, n: np.ndarray, pos: np.ndarray, t: int) -> np.ndarray:
+    """Which entries of index lists (list ``no``, size, position; in order of list and size) can link with another of the list.
+
+    From a common shingle at their positions on, two sets share ``n - pos`` shingles at most. That ``n - pos`` reaches the
+    overlap which a link with a set of size m needs means ``(100 + t) * (n - pos) - t * n >= t * m``: the left side is
+    the entry's reach. Partners lie in a window of sizes, and must reach the entry's own size.
+    """
+    reach = (100 + t) * (n - pos) - t * n
+    base = no * (100 * int(n.max()) + 1)
+    at = np.arange(len(n))
+    by_size, scaled = base + t * n, base + 100 * n
+    lo = np.searchsorted(scaled, base + t * n)
+    hi = np.minimum(at, np.searchsorted(by_size, base + np.maximum(reach, 0), side="right"))
+    met = _greatest(reach, lo, hi) >= t * n
+    hi = np.searchsorted(by_size, base + np.maximum(np.minimum(reach, 100 * n), 0), side="right")
+    return met | (_greatest(reach, at + 1, hi) >= t * n)
+
+
+def _lists(t: int):
     """Rows come in order of (token, rid). Gives (pivot, rid): which classes are in which groups."""
 
     def run(batches):
@@ -138,34 +178,36 @@ def _lists(t: int, large: int):
         for batch in batches:
             cols = [np.concatenate([k, batch.column(i).to_numpy()]) for i, k in enumerate(keep)]
             cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
-            yield from _settle([c[:cut] for c in cols], t, large)
+            yield from _settle([c[:cut] for c in cols], t)
             keep = [c[cut:] for c in cols]
-        yield from _settle(keep, t, large)
+        yield from _settle(keep, t)
 
     return run
 
 
-def _settle(cols: list[np.ndarray], t: int, large: int):
+def _settle(cols: list[np.ndarray], t: int):
     token, rid, n, pos = cols
-    if not len(token):
-        return
     new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (rid[1:] != rid[:-1])
+    new[1:] = (token[1:] != token[:-1]) | (rid[1:] != rid[:-1])  # of rows of one class one
     token, rid, n, pos = token[new], rid[new], n[new].astype(np.int64), pos[new].astype(np.int64)
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([start, [len(token)]]))
-    two = start[size == 2]
-    ok = np.minimum(n[two] - pos[two], n[two + 1] - pos[two + 1]) >= _need(t, n[two], n[two + 1])
-    a = rid[two[ok]]  # rows are in order of rid: the least is the first
-    found = set(zip(a.tolist(), a.tolist())) | set(zip(a.tolist(), rid[two[ok] + 1].tolist()))
-    for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-        met = {x for p in list_pairs(rid[s : s + m], n[s : s + m], pos[s : s + m], t) for x in p} if m <= large else set(rid[s : s + m].tolist())
-        if met:
-            least = min(met)
-            found.update((least, x) for x in met)
-    if found:
-        x, y = np.array(sorted(found), np.int64).T
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["pivot", "rid"])
+    no = np.repeat(np.arange(len(start)), size)
+    on = size[no] > 1
+    if not on.any():
+        return
+    rid, n, pos, no = rid[on], n[on], pos[on], no[on]
+    order = np.lexsort((n, no))
+    rid, n, pos, no = rid[order], n[order], pos[order], no[order]
+    met = meeting(no, n, pos, t)
+    rid, no = rid[met], no[met]
+    if len(rid):
+        head = np.flatnonzero(np.concatenate([[True], no[1:] != no[:-1]]))
+        pivot = np.repeat(np.minimum.reduceat(rid, head), np.diff(np.append(head, len(no))))
+        order = np.lexsort((rid, pivot))
+        pivot, rid = pivot[order], rid[order]
+        new = np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (rid[1:] != rid[:-1])])
+        yield pa.RecordBatch.from_arrays([pa.array(pivot[new]), pa.array(rid[new])], ["pivot", "rid"])
 
 
 def group_links(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, settled: list[list[int]], t: int) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -187,7 +229,7 @@ def group_links(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, se
             others.setdefault(p, []).append(i)
     own = [ids[cuts[i] : cuts[i + 1]] for i in range(m)]  # ascending, as the hashes are
     count = lambda tokens: np.bincount(C.gather(posting, at[tokens], at[tokens + 1] - at[tokens]), minlength=m)
-    pivots: list[tuple[int, np.ndarray]] = []
+    overlaps = np.zeros((m, m), np.int32)  # at most (2 * BLOCK) ** 2, but for chance in dealing
     linked = np.zeros(m, np.int64)
     edges, root = [], np.arange(m)
     crossing = side.min() != side.max()
@@ -199,14 +241,12 @@ def group_links(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, se
         return i
 
     for y in range(m):
-        near = max(pivots, key=lambda p: 2 * p[1][y] - size[p[0]], default=None)
-        if near is not None and size[near[0]] + size[y] - 2 * near[1][y] < CLOSE * size[y]:
-            x, overlap = near
-            overlap = overlap - count(np.setdiff1d(own[x], own[y], assume_unique=True)) + count(np.setdiff1d(own[y], own[x], assume_unique=True))
+        x = int(np.argmax(2 * overlaps[:y, y] - size[:y])) if y else -1
+        if y and size[x] + size[y] - 2 * int(overlaps[x, y]) < CLOSE * size[y]:
+            overlap = overlaps[x] - count(np.setdiff1d(own[x], own[y], assume_unique=True)) + count(np.setdiff1d(own[y], own[x], assume_unique=True))
         else:
             overlap = count(own[y])
-            if len(pivots) < PIVOTS:
-                pivots.append((y, overlap))
+        overlaps[y] = overlap
         hit = 100 * overlap >= t * (size + size[y] - overlap)
         hit[y] = False
         if crossing:
@@ -223,11 +263,11 @@ def group_links(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, se
     return edges, linked
 
 
-def _groups(k: int, t: int):
+def _groups(k: int, t: int, clash: np.ndarray):
     """Rows come in order of the group (pivot, lo, hi). Gives edges and, with the row itself as other, linked weights."""
 
-    def settle(key, rows):
-        rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: r[0])  # of repeated rows one
+    def settle(key, held):
+        rows = sorted(held.values(), key=lambda r: r[0])
         if len(rows) < 2:
             return []
         side = np.array([r[2] for r in rows])
@@ -240,21 +280,22 @@ def _groups(k: int, t: int):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 3)], ["rid", "other", "weight"])
 
     def run(batches):
-        key, held, out = None, [], []
+        key, held, out = None, {}, []
         for batch in batches:
             col = C.texts_of(batch)
             for a, b in C.chunks(col):
                 h, n = shingle_sets(col.slice(a, b - a), k)
-                sign = _signature(h, n).tolist()
+                sign = _classes_of(h, n, clash).tolist()
                 at = np.concatenate([[0], np.cumsum(n)]).tolist()
                 pivot, lo, hi, rid, copies, side, pivots = (batch.column(i).slice(a, b - a).to_pylist() for i in range(7))
                 for i in range(b - a):
                     if sign[i] != rid[i]:
-                        continue  # another text under the same doc_id
+                        continue  # another text under the same doc_id and hash
                     if key != (pivot[i], lo[i], hi[i]):
                         out += settle(key, held)
-                        key, held = (pivot[i], lo[i], hi[i]), []
-                    held.append((rid[i], copies[i], side[i], pivots[i], h[at[i] : at[i + 1]].copy()))
+                        key, held = (pivot[i], lo[i], hi[i]), {}
+                    if rid[i] not in held:  # of repeated rows one
+                        held[rid[i]] = (rid[i], copies[i], side[i], pivots[i], h[at[i] : at[i + 1]].copy())
                 if len(out) > 5000:
                     yield batch_of(out)
                     out = []
@@ -274,38 +315,41 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")).withColumnRenamed("u", "_u")
         big = both.join(least, F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         big = C.checkpointed(big)
+        C.forget(now)
         least = big.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "_u")
         small = big.join(least, F.col("u") == F.col("_u"))
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("_u").alias("u"), F.col("m").alias("v"))).distinct()
         now = C.checkpointed(small)
+        C.forget(big)
         found = now.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
         if state == tuple(found):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = tuple(found)
 
 
-def join(documents: DataFrame, k: int = 3, similarity: int = 90, large: int = LARGE, block: int = BLOCK, hot: int = HOT) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for each row of ``documents`` (doc_id, text).
-
-    Texts of at least ``similarity`` percent Jaccard similarity of their ``k``-word shingle sets are linked; n_links counts the
-    other rows that a row is linked with, rows with an equal set included. Null, empty and wordless texts have no shingles and no
-    links. Rows that repeat an id are linked like others; null ids take part, and a component of null ids only has id null. A
-    text of fewer than ``k`` words has one shingle. Further columns are ignored; an empty table gives no rows.
-    """
-    spark, t = documents.sparkSession, similarity
-    own = documents.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text"))
-    first = C.checkpointed(own.mapInArrow(_first_pass(k), "doc_id long, rid long, n long, part int, cells binary"))
-    stage = first.where("part = -1").select("doc_id", "rid", "n")
+def _linked(documents: DataFrame, k: int, t: int, block: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """The rows as (doc_id, key, rid, n), and the classes as (rid, least_id, key, copies, root, weight): key is the hash of
+    a text, in the classes of one of least id; weight is the number of rows linked with each of the class, but for its own."""
+    spark = documents.sparkSession
+    own = documents.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.xxhash64(F.col("`text`")).alias("key"), F.col("`text`").alias("text"))
+    first = C.checkpointed(own.mapInArrow(_first_pass(k), "doc_id long, key long, one long, two long, n long, part int, cells binary"))
+    stage = first.where("part = -1")
+    shared = stage.where("n > 0").groupBy("one").agg(F.min("two").alias("_a"), F.max("two").alias("_b")).where("_a <> _b")
+    clash = [r["one"] for r in shared.select("one").collect()]  # different sets of equal 64 bits: hardly any
+    stage = stage.select("doc_id", "key", (F.when(F.col("one").isin(clash), F.col("two")).otherwise(F.col("one")) if clash else F.col("one")).alias("rid"), "n")
+    clash = np.array(clash, np.int64)
     cells = np.zeros(CELLS, np.int64).reshape(PARTS, -1)
     for r in first.where("part >= 0").select("part", "cells").repartition("part").mapInArrow(_sum_cells, "part int, cells binary").collect():  # CELLS numbers
         cells[r["part"]] += np.frombuffer(r["cells"], "<i8")
     levels = _level(cells.ravel())
     level = spark.sparkContext.broadcast(levels)
-    classes = stage.where("n > 0").groupBy("rid").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
-    tokens = own.mapInArrow(_prefixes(k, t, level, hot), "token long, rid long, n int, pos int, hot boolean")
+    last = F.coalesce("doc_id", F.lit((1 << 63) - 1))  # null ids come last
+    classes = stage.where("n > 0").groupBy("rid").agg(F.min("doc_id").alias("least_id"), F.min_by("key", last).alias("key"), F.count(F.lit(1)).alias("copies"))
+    classes = C.checkpointed(classes)
+    tokens = own.select("doc_id", "text").mapInArrow(_prefixes(k, t, level, hot, clash), "token long, rid long, n int, pos int, hot boolean")
     some_hot = bool((levels >= _level(np.array(hot))).any())
     cold = tokens.where("not hot") if some_hot else tokens
-    met = cold.select("token", "rid", "n", "pos").repartition("token").sortWithinPartitions("token", "rid").mapInArrow(_lists(t, large), "pivot long, rid long")
+    met = cold.select("token", "rid", "n", "pos").repartition("token").sortWithinPartitions("token", "rid").mapInArrow(_lists(t), "pivot long, rid long")
     if some_hot:
         entries = tokens.where("hot").select("token", "rid")
         least = entries.groupBy("token").agg(F.min("rid").alias("pivot"), F.max("rid").alias("_most")).where("pivot < _most").select(F.col("token").alias("_t"), "pivot")
@@ -314,18 +358,31 @@ def join(documents: DataFrame, k: int = 3, similarity: int = 90, large: int = LA
     blocks = met.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
     mine = met.join(blocks, "pivot").withColumn("m", F.pmod(F.xxhash64("rid", F.lit(11)), F.col("blocks")).cast("int"))
     mine = mine.groupBy("rid").agg(F.collect_list(F.struct("pivot", "m", "blocks")).alias("groups"))  # of one set: at most its prefix
-    asked = classes.join(mine, "rid").select(F.col("rid").alias("asked"), F.col("least_id").alias("_d"), "copies", "groups")
-    rows = own.join(asked, F.col("doc_id").eqNullSafe(F.col("_d"))).select("text", "asked", "copies", F.transform("groups", lambda g: g["pivot"]).alias("pivots"), F.explode("groups").alias("g"))
+    asked = classes.join(mine, "rid").select(F.col("rid").alias("asked"), F.col("least_id").alias("_d"), F.col("key").alias("_k"), "copies", "groups")
+    rows = own.join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("text", "asked", "copies", F.transform("groups", lambda g: g["pivot"]).alias("pivots"), F.explode("groups").alias("g"))
     rows = rows.select("text", "asked", "copies", "pivots", "g.*", F.explode(F.sequence(F.lit(0), F.col("g.blocks") - 1)).alias("o"))
     rows = rows.select("pivot", F.least("m", "o").alias("lo"), F.greatest("m", "o").alias("hi"), F.col("asked").alias("rid"), "copies", F.when(F.col("m") <= F.col("o"), 0).otherwise(1).alias("side"), "pivots", "text")
-    links = rows.repartition("pivot", "lo", "hi").sortWithinPartitions("pivot", "lo", "hi").mapInArrow(_groups(k, t), "rid long, other long, weight long")
+    links = rows.repartition("pivot", "lo", "hi").sortWithinPartitions("pivot", "lo", "hi").mapInArrow(_groups(k, t, clash), "rid long, other long, weight long")
     links = C.checkpointed(links)
+    C.forget(met)
     weight = links.groupBy("rid").agg(F.sum("weight").alias("_w"))
     roots = components(links.select(F.col("rid").alias("a"), F.col("other").alias("b")))
     known = classes.join(roots.withColumnRenamed("node", "rid"), "rid", "left").join(weight, "rid", "left")
-    known = known.select("rid", "least_id", "copies", F.coalesce("root", "rid").alias("root"), F.coalesce("_w", F.lit(0).cast("long")).alias("_w"))
+    known = known.select("rid", "least_id", "key", "copies", F.coalesce("root", "rid").alias("root"), F.coalesce("_w", F.lit(0).cast("long")).alias("weight"))
+    return stage, known
+
+
+def join(documents: DataFrame, k: int = 3, similarity: int = 90, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for each row of ``documents`` (doc_id, text).
+
+    Texts of at least ``similarity`` percent Jaccard similarity of their ``k``-word shingle sets are linked; n_links counts the
+    other rows that a row is linked with, rows with an equal set included. Null, empty and wordless texts have no shingles and no
+    links. Rows that repeat an id are linked like others; null ids take part, and a component of null ids only has id null. A
+    text of fewer than ``k`` words has one shingle. Further columns are ignored; an empty table gives no rows.
+    """
+    stage, known = _linked(documents, k, similarity, block, hot)
     ids = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_class = known.join(ids, "root").select(F.col("rid").alias("_r"), "component_id", (F.col("copies") - 1 + F.col("_w")).alias("n_links"))
+    by_class = known.join(ids, "root").select(F.col("rid").alias("_r"), "component_id", (F.col("copies") - 1 + F.col("weight")).alias("n_links"))
     out = stage.join(by_class, (F.col("rid") == F.col("_r")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
@@ -363,11 +420,16 @@ def brute(rows: list[tuple[int | None, str | None]], k: int, t: int) -> list[tup
 
 
 def keep_one(documents: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
-    """``documents`` with one row of each component: that of the smallest doc_id. Rows without shingles all stay; of rows
-    that repeat both id and text one stays."""
+    """``documents`` with one row of each component: that of the smallest doc_id, a null id only if there is no other. Rows
+    without shingles (null, empty and wordless texts) all stay; of rows that repeat both id and text one stays, and of rows
+    that repeat the smallest id with different texts one. Further columns, whatever their names, stay; an empty table gives no rows."""
     plain, names = C.apart(documents)
-    found = join(plain, k, similarity).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_keep"), F.count(F.lit(1)).alias("_times"))
-    found = found.where("_keep").select(F.col("doc_id").alias("_id"), "_times")
-    rows = plain.join(found, plain["doc_id"].cast("long").eqNullSafe(found["_id"]))
-    once = rows.where("_times = 1").select(*plain.columns)
-    return C.together(once.unionByName(rows.where("_times > 1").dropDuplicates(["_id", "text"]).select(*plain.columns)), names)
+    stage, known = _linked(plain, k, similarity, BLOCK, HOT)
+    kept = known.groupBy("root").agg(F.min("least_id").alias("_id"), F.min_by("key", F.coalesce("least_id", F.lit((1 << 63) - 1))).alias("_key")).select("_id", "_key")
+    times = stage.where("n > 0").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("_times"))
+    kept = kept.join(times, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key"))).select("_id", "_key", "_times")
+    rows = plain.withColumn("_hash", F.xxhash64("text"))
+    rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")))
+    once = rows.where("_times = 1").select(*plain.columns).unionByName(rows.where("_times > 1").dropDuplicates(["_id", "_key"]).select(*plain.columns))
+    wordless = plain.where(~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
+    return C.together(once.unionByName(wordless), names)

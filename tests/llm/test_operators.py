@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from scoreforge.llm import common as C
-from scoreforge.llm import decontaminate, language, nearest, pieces, quality, queries, records, secrets, setjoin, sharding, suffixes
+from scoreforge.llm import decontaminate, language, nearest, pieces, quality, queries, records, secrets, setjoin, sharding, suffixes, trigrams
 
 from ..conftest import rows
 
@@ -28,12 +28,44 @@ def noisy(rng):
     return "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 120)))
 
 
+def thue_morse(power, a, b):
+    """2**power letters, in which every polynomial hash modulo 2**64 equals that of the letters exchanged from 1024 on."""
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(1 << power))
+
+
+REGULAR = [thue_morse(p, *x) for p in (7, 10, 11, 12) for x in ("ab", "ba", "en", "ne", "is", "si", "éa", "aé", "漢a", "a漢")]
+
+
+def test_segments_of_regular_build_differ():
+    for dtype in (np.uint8, np.uint32):
+        for power in (5, 9, 10, 11, 12, 13):
+            flat = np.array([x for y in (thue_morse(power, "a", "b"), thue_morse(power, "b", "a"), thue_morse(power, "a", "b")) for x in map(ord, y)], dtype)
+            starts = np.arange(3) << power
+            one, two = C.segment_digests(flat, starts, starts + (1 << power))
+            assert one[0] == one[2] and two[0] == two[2] and one[0] != one[1] and two[0] != two[1]
+    rng = random.Random(1)
+    parts = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    parts += [b"x" * n for n in range(500)]
+    ends = np.cumsum([len(p) for p in parts])
+    keys, first, inv = C.distinct(C.segment_digests(np.frombuffer(b"".join(parts), np.uint8), ends - [len(p) for p in parts], ends))
+    assert len(first) == len(set(parts)) and all(parts[first[j]] == p for j, p in zip(inv, parts))
+
+
+def test_keys_that_share_one_half_stay_apart():
+    one, two = np.array([5, 5, 9, 5], np.uint64), np.array([1, 2, 3, 1], np.uint64)
+    keys, first, inv = C.distinct((one, two))
+    assert len(first) == 3 and inv[0] == inv[3] != inv[1]
+    known = C.SegmentTable(10)
+    known.add((one[:1], two[:1]))
+    assert known.find((one[:3], two[:3])).tolist() == [0, -1, -1]
+
+
 def test_pieces_as_the_library(documents):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     rng = random.Random(1)
-    texts = [noisy(rng) for _ in range(1500)] + ["", " ", "ab" * 400, "a" * 700, "the" * 200] + [r.text for r in documents.limit(60).collect()]
+    texts = [noisy(rng) for _ in range(1500)] + ["", " ", "ab" * 400, "a" * 700, "the" * 200] + REGULAR + [r.text for r in documents.limit(60).collect()]
     model, ids, counts = pieces.encode_flat(pa.array(texts, pa.large_string()), PIECES)
     cuts = np.concatenate([[0], np.cumsum(counts)])
     raw, offs = pieces.decode_flat(model, ids, counts)
@@ -59,7 +91,7 @@ def test_records_round_trip(spark):
 
     lib = Tokenizer.from_file(WORDS)
     rng = random.Random(2)
-    data = [(i, noisy(rng)) for i in range(400)] + [(400, None), (None, "x"), (7, "again")]
+    data = [(i, noisy(rng)) for i in range(400)] + [(1000 + i, t) for i, t in enumerate(REGULAR)] + [(400, None), (None, "x"), (7, "again")]
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
     folder = C.new_folder(spark, "records")
     manifest = records.write(df, folder, WORDS)
@@ -156,8 +188,8 @@ def test_deep_shallow():
             assert lcp[k] == (same if order[k - 1][0] == order[k][0] else 0)
 
 
-@pytest.mark.parametrize("large,block,k,t,hot", [(128, 1024, 3, 90, 10**5), (8, 20, 3, 90, 6), (2, 7, 2, 70, 10**5)])
-def test_set_join(spark, large, block, k, t, hot):
+@pytest.mark.parametrize("block,k,t,hot", [(1024, 3, 90, 10**5), (20, 3, 90, 6), (7, 2, 70, 10**5)])
+def test_set_join(spark, block, k, t, hot):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(60)]
     base = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 80))) for _ in range(10)]
@@ -167,9 +199,40 @@ def test_set_join(spark, large, block, k, t, hot):
         for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
             w[rng.randrange(len(w))] = rng.choice(words)
         data.append((i if i % 31 else None, " ".join(w)))
-    data += [(900, None), (901, ""), (902, " \n "), (903, "a b"), (904, "A  b"), (905, "a"), *data[:4]]
+    data += [(900, None), (901, ""), (902, " \n "), (903, "a b"), (904, "A  b"), (905, "a"), *data[:4], (7, "another text of the same id"), (7, "and one more text")]
     df = spark.createDataFrame(data, "doc_id long, text string")
-    assert sorted(map(str, map(tuple, setjoin.join(df, k, t, large, block, hot).collect()))) == sorted(map(str, setjoin.brute(data, k, t)))
+    assert sorted(map(str, map(tuple, setjoin.join(df, k, t, block, hot).collect()))) == sorted(map(str, setjoin.brute(data, k, t)))
+
+
+def test_set_join_keeps_regular_words_and_clashing_classes_apart(spark, monkeypatch):
+    df = spark.createDataFrame([(1, thue_morse(10, "a", "b")), (2, thue_morse(10, "b", "a"))], "doc_id long, text string")
+    assert sorted(map(tuple, setjoin.join(df).collect())) == [(1, 1, 1, 0), (2, 1, 2, 0)]
+    assert setjoin.keep_one(df).count() == 2
+    h, n = np.array([1, 2, 3], np.uint64), np.array([1, 1, 1])
+    one, two = setjoin._signature(h, n)
+    assert setjoin._classes_of(h, n, one[1:2]).tolist() == [one[0], two[1], one[2]]
+
+
+def test_keep_one_of_null_and_repeated_ids(spark):
+    text = "one two three four five six seven"
+    data = [(None, text)] * 3 + [(None, text.upper())] + [(5, "other words that stand all alone here")] * 2 + [(5, "Other words that stand all alone here"), (6, ""), (6, ""), (None, None)]
+    got = setjoin.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), (r.text or "").lower()) for r in got) == sorted([("None", text), ("5", "other words that stand all alone here"), ("6", ""), ("6", ""), ("None", "")])
+
+
+def test_index_lists_skip_no_partner():
+    rng = np.random.default_rng(4)
+    for t, most, lists, entries in ((90, 60, 40, 200), (80, 12, 5, 300), (70, 5, 1, 2000), (90, 3000, 30, 900)):
+        n = rng.integers(1, most, entries)
+        pos = (rng.random(entries) * (setjoin.prefix_size(t, n))).astype(np.int64)
+        no = rng.integers(0, lists, entries)
+        order = np.lexsort((n, no))
+        no, n, pos = no[order], n[order], pos[order]
+        need = setjoin._need(t, n[:, None], n[None, :])
+        left = n - pos
+        pair = (no[:, None] == no[None, :]) & (np.minimum(left[:, None], left[None, :]) >= need) & (100 * np.minimum(n[:, None], n[None, :]) >= t * np.maximum(n[:, None], n[None, :]))
+        np.fill_diagonal(pair, False)
+        assert (setjoin.meeting(no, n, pos, t) == pair.any(axis=1)).all()
 
 
 def test_top_k_over_shards(spark, sf_dir):
@@ -209,6 +272,8 @@ def test_secrets(spark, documents):
     text = {r.doc_id: r.text for r in df.collect()}
     name = lambda spans: ",".join(f"{secrets.RULES[n].kind}:{a}:{b}" for a, n, b in spans)
     total = 0
+    shuffled = secrets.scan(df, broadcast_rows=0).select("doc_id", secrets._joined(F.col("_spans"), secrets.RULES).alias("spans"))
+    assert {tuple(r) for r in shuffled.collect()} == {(r.doc_id, r.spans) for r in secrets.digest(df).collect()}
     for r in secrets.digest(df).collect():
         spans = secrets.brute(text[r.doc_id])
         base = [s for s in spans if secrets.RULES[s[1]].base]
@@ -225,6 +290,57 @@ def test_secrets(spark, documents):
         assert r.text == (out + text[r.doc_id][at:] if text[r.doc_id] is not None else None)
 
 
+def random_rule(rng, depth=0):
+    """A regular expression and how to draw one of its matches."""
+    kind = rng.choice(["text"] * 4 + ["class", "any", "optional", "some", "both", "either"] if depth < 3 else ["text"])
+    if kind == "text":
+        t = "".join(rng.choice("abcABC_1-") for _ in range(rng.randint(1, 5)))
+        return t.replace("-", "\\-"), lambda: t
+    if kind == "class":
+        chars = "".join(rng.sample("abcdxyz", rng.randint(1, 5)))
+        return f"[{chars}]", lambda: rng.choice(chars)
+    if kind == "any":
+        return "[^q]", lambda: rng.choice("abcXYZ é漢")
+    parts = [random_rule(rng, depth + 1) for _ in range(rng.randint(2, 3))]
+    if kind == "either":
+        return "(?:" + "|".join(p for p, _ in parts) + ")", lambda: rng.choice(parts)[1]()
+    if kind == "both":
+        return "".join(p for p, _ in parts), lambda: "".join(draw() for _, draw in parts)
+    (p, draw), lo, more = parts[0], rng.randint(0, 3), rng.randint(0, 2)
+    if kind == "optional":
+        return f"(?:{p})?", lambda: draw() if rng.random() < 0.5 else ""
+    return f"(?:{p}){{{lo},{lo + more}}}", lambda: "".join(draw() for _ in range(rng.randint(lo, lo + more)))
+
+
+def test_every_match_satisfies_its_query():
+    import re
+
+    rng = random.Random(14)
+    with_query = 0
+    for _ in range(1500):
+        parts = [random_rule(rng) for _ in range(rng.randint(1, 4))]
+        pattern = "".join(p for p, _ in parts)
+        query = trigrams.derive(pattern)
+        with_query += bool(query)
+        for _ in range(8):
+            text = "".join(draw() for _, draw in parts)
+            assert re.fullmatch(pattern, text), (pattern, text)
+            for t in ("x" + text + "y", text.upper()):
+                assert trigrams.satisfied(query, t), (pattern, t, query)
+    assert with_query > 300
+
+
+def test_queries_of_the_rules():
+    all_of = lambda *words: frozenset(w[i : i + 3] for w in words for i in range(len(w) - 2))
+    query = {r.kind: r.query() for r in secrets.RULES}
+    assert query["hex"] == ()
+    assert query["access"] == (frozenset([all_of("akia")]),)
+    assert query["assign"] == (frozenset(all_of(w) for w in ("password", "passwd", "secret", "token", "apikey", "api_key")),)
+    assert set(query["private_key"]) == {frozenset([all_of("-----begin ")]), frozenset([all_of("private key-----")])}
+    assert query["prefixed"] == (frozenset(all_of(w) for w in ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "sk_live_")),)
+    assert not trigrams.satisfied(query["assign"], "pass word") and trigrams.satisfied(query["assign"], "My_PassWord")
+
+
 def test_private_keys_are_spans_to_their_end(spark):
     rng = random.Random(12)
     base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -250,7 +366,7 @@ def test_private_keys_are_spans_to_their_end(spark):
 def test_seeds_hit_every_admitted_pattern():
     from itertools import combinations
 
-    for n in range(decontaminate.LEAST, 40):
+    for n in range(1, 40):
         k = min(n, decontaminate.WINDOW)
         differ = k - -(-k * decontaminate.SHARE // 100)
         places = [{p + i for i, c in enumerate(m) if c == "1"} for m in decontaminate.masks_for(k) for p in range(k - len(m) + 1)]
@@ -275,7 +391,7 @@ def test_leaks_as_brute_force(spark):
 
     items, docs = {}, {}
     rng = random.Random(11)
-    for n in [*range(4, 14), 15, 20]:
+    for n in [*range(1, 14), 15, 20]:
         items[n] = " ".join(f"w{n}x{i}" for i in range(n))
         k = min(n, 13)
         differ = k - -(-k * 80 // 100)
@@ -291,7 +407,7 @@ def test_leaks_as_brute_force(spark):
     for _ in range(60):  # few different words: many diagonals
         docs[len(docs)] = " ".join(rng.choice("abcd") for _ in range(rng.randint(3, 30)))
     for i in range(60, 72):
-        items[i] = " ".join(rng.choice("abcd") for _ in range(rng.randint(4, 25)))
+        items[i] = " ".join(rng.choice("abcd") for _ in range(rng.randint(1, 25)))
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
     b = spark.createDataFrame(list(items.items()), "item_id long, text string")
     want = leaks_brute(docs, items)
@@ -317,6 +433,14 @@ def test_leaks_tolerate_substitutions(spark, documents, sf_dir):
     assert want <= {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents, items, broadcast_rows=10).collect()}
 
 
+def test_rows_that_share_an_id_with_a_leak_stay(spark):
+    items = spark.createDataFrame([(1, "seven words of a benchmark item here"), (1, "another version of one"), (2, " !"), (3, None)], "item_id long, text string")
+    rows = [(None, "x seven words of a benchmark item here y"), (None, "clean"), (3, "see ANOTHER version, of one"), (3, "clean too"), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _hash", "2 as _key", "3 as item_id", "4 as version")
+    got = decontaminate.drop_leaks(docs, items.selectExpr("*", "1 as w", "2 as version", "3 as n_words"))
+    assert got.columns == docs.columns and sorted(map(str, [(r.doc_id, r.text, r._hash, r._key, r.item_id, r.version) for r in got.collect()])) == sorted(str((*r, 1, 2, 3, 4)) for r in (rows[1], *rows[3:]))
+
+
 def test_letters_of_all_planes():
     table = language._letters()
     for c in (0x30000, 0x3134A, 0x31350, 0x323AF):
