@@ -6,6 +6,7 @@ import string
 
 from .decontaminate import SHARE, WINDOW
 from .secrets import MID, OPEN, RULES, SHUT
+from .suffixes import LENGTH
 
 TOP_K = """
 WITH v AS (
@@ -40,6 +41,22 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
 
+# Every window of every text by its md5; texts as hexadecimal digits, so that places are bytes.
+REPEATS = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+parts AS (SELECT doc_id, c, substr(x, 2 * c + 1, {2 * (200 + LENGTH - 1)}) AS x FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - {LENGTH - 1}, 200)) AS c FROM d)),
+w AS (SELECT doc_id, c + i AS i, md5(substr(x, 2 * i + 1, {2 * LENGTH})) AS k FROM (SELECT doc_id, c, x, unnest(range(0, length(x) // 2 - {LENGTH - 1})) AS i FROM parts)),
+s AS (SELECT doc_id, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS fresh FROM s),
+r AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM r GROUP BY doc_id, run),
+rest AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN b IS NULL THEN substr(x, 2 * a + 1) ELSE substr(x, 2 * a + 1, 2 * (b - a)) END, '' ORDER BY a) AS y FROM rest JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 # By definition, without masks: all places where a word of an item stands in a document, by diagonal; those that hold enough are compared window by window.
 LEAKS = f"""

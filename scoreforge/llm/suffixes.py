@@ -11,8 +11,10 @@ has a common prefix there is ordered by a blind trie. Common prefixes of neighbo
 anchors have the whole window in common: ranks that no short common prefix parts, on both sides.
 
 Texts that several rows share are taken once, with their number. Occurrences inside a text that repeats itself are settled
-on the spot, one of each kind going on. An anchor hash with over ``HOT`` occurrences is not sorted in one task: its windows
-are counted by their 128-bit hashes instead, wherever they lie.
+on the spot, one of each kind going on. No task sorts an unbounded group: an anchor hash with over ``HOT`` occurrences is
+parted by longer grams. Its windows are taken by runs of neighbouring offsets (``WIDTHS``: ever shorter runs), and those of a
+run are dealt by a hash of all the bytes that the run's windows have in common. Occurrences with the same surroundings are
+then removed for certain and one stands for them all, so that at the last, where a run is one window, a group is one row.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LENGTH, GRAM, HOT = 400, 32, 20_000
+#: Neighbouring offsets whose windows are dealt by what they have in common, where an anchor or a wider run is too frequent.
+WIDTHS = (64, 8, 1)
+#: Surroundings (40 bytes) that several occurrences have are broadcast up to so many, else both sides are shuffled, in SALTS parts.
+BROADCAST_ROWS, SALTS = 500_000, 64
 #: Words of eight bytes that the quicksort looks at before blind tries take over.
 SHALLOW = 8
 #: Bytes of a text that are looked at together; texts over it are taken in overlapping pieces.
@@ -238,14 +244,14 @@ def _first_pass(length: int, piece: int):
     return run
 
 
-#: Rows between passes. kind 0: bytes [p, p + lo) are removed; 1: an anchor with its surroundings; 2: a window of a hot anchor.
-PASSED = "h long, h2 long, doc_id long, key binary, p int, lo int, hi int, left binary, right binary, kind int"
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
+#: Rows between passes. kind 0: bytes [p, p + lo) are removed; 1: an anchor with its surroundings; 2: such of a too frequent anchor.
+PASSED = "h long, doc_id long, key binary, p int, lo int, hi int, left binary, right binary, kind int"
+_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
 _NAMES = [x.split()[0] for x in PASSED.split(", ")]
 
 
 def _rows(rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 10, _KINDS)], _NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 9, _KINDS)], _NAMES)
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -254,80 +260,99 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
 
 
+def _parted(h: int, lo: int, hi: int, left: bytes, right: bytes, width: int, length: int) -> list[tuple[int, int, int, bytes, bytes]]:
+    """An anchor's row as one for each run of ``width`` offsets: hash of what the run's windows have in common, lo, hi, left, right."""
+    out = []
+    for j in range(lo // width, hi // width + 1):
+        a, b = max(lo, j * width), min(hi, j * width + width - 1)
+        end = length - (j * width + width - 1)
+        core = left[len(left) - j * width :] + right[:end] if end > 0 else left[len(left) - j * width : len(left) + end]
+        name = hashlib.blake2b(core, digest_size=8, key=f"{h} {j} {width}".encode()).digest()
+        out.append((int.from_bytes(name, "big", signed=True), a, b, left[len(left) - b :], right[: length - a]))
+    return out
+
+
 def _second_pass(length: int):
     """Brings the bytes around anchors that are not alone."""
 
     def run(batches):
-        out, held = [], 0
+        out, held, last = [], 0, None
         for batch in batches:
             cols = [batch.column(i) for i in range(4)]
             for i in range(batch.num_rows):
-                doc, key, text = cols[0][i].as_py(), cols[1][i].as_py(), (cols[2][i].as_py() or "").encode()
+                doc, key = cols[0][i].as_py(), cols[1][i].as_py()
+                if (doc, key) == last:
+                    continue  # a repeated row: the join gives them one after another
+                last, text = (doc, key), (cols[2][i].as_py() or "").encode()
                 seen: dict = {}
                 for a in cols[3][i].as_py():
-                    h, p, lo, hi = a["h"], a["p"], a["lo"], a["hi"]
-                    left, right = text[p - hi : p], text[p : p + length - lo]
-                    if a["hot"]:
-                        for o in range(lo, hi + 1):
-                            d = hashlib.md5(text[p - o : p - o + length]).digest()
-                            out.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), doc, key, p - o, 0, 0, b"", b"", 2))
-                        held += (hi - lo + 1) * 90
-                    else:
-                        seen.setdefault((h, left, right, lo), []).append(p)
-                    if held > 8_000_000:
-                        yield _rows(out)
-                        out, held = [], 0
+                    p, lo, hi = a["p"], a["lo"], a["hi"]
+                    seen.setdefault((a["h"], a["hot"], text[p - hi : p], text[p : p + length - lo], lo), []).append(p)
                 twice = []  # settled here: it stands twice in this very text
-                for (h, left, right, lo), at in seen.items():
+                for (h, hot, left, right, lo), at in seen.items():
                     hi = len(left)
-                    out.append((h, 0, doc, key, at[0], lo, hi, left, right, 1))
-                    held += 600
+                    if hot:
+                        out += [(h_, doc, key, at[0], lo_, hi_, l_, r_, 2) for h_, lo_, hi_, l_, r_ in _parted(h, lo, hi, left, right, min(WIDTHS[0], length), length)]
+                        held += 4000
+                    else:
+                        out.append((h, doc, key, at[0], lo, hi, left, right, 1))
+                        held += 600
                     if len(at) > 1:
                         twice += [(p - hi, p - lo + length) for p in at]
-                out += [(a, 0, doc, key, a, b - a, 0, b"", b"", 0) for a, b in cover(twice)]
-                if held > 8_000_000:
-                    yield _rows(out)
-                    out, held = [], 0
+                    if held > 8_000_000:
+                        yield _rows(out)
+                        out, held = [], 0
+                out += [(a, doc, key, a, b - a, 0, b"", b"", 0) for a, b in cover(twice)]
         if out:
             yield _rows(out)
 
     return run
 
 
+def _narrowed(width: int, length: int):
+    """Rows parted again by shorter runs of offsets."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for h, doc, key, p, lo, hi, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+                out += [(h_, doc, key, p, lo_, hi_, l_, r_, 2) for h_, lo_, hi_, l_, r_ in _parted(h, lo, hi, left, right, width, length)]
+                if len(out) > 10_000:
+                    yield _rows(out)
+                    out = []
+            yield _rows(out)
+
+    return run
+
+
 def _third_pass(length: int):
     """Sorts whole groups of one hash, as they come in order of it, and gives what is to be removed."""
 
-    def settle(rows: list):
-        rows.sort(key=lambda r: (r[0], r[3], r[4]))
-        rows = [r for i, r in enumerate(rows) if not i or (r[0], r[3], r[4]) != (rows[i - 1][0], rows[i - 1][3], rows[i - 1][4])]  # of repeated rows one
+    def settle(held: dict):
+        rows = sorted(held.values(), key=lambda r: r[0])
         hs = np.array([r[0] for r in rows], np.int64)
         first = np.concatenate([[True], hs[1:] != hs[:-1]])
         keep = np.flatnonzero(~(first & np.concatenate([first[1:], [True]])))
         if not len(keep):
             return []
         rows = [rows[i] for i in keep.tolist()]
-        lo, hi = np.array([r[5] for r in rows]), np.array([r[6] for r in rows])
-        flags = shared_windows(hs[keep], [r[7] for r in rows], [r[8] for r in rows], lo, hi, length)
+        lo, hi = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+        flags = shared_windows(hs[keep], [r[6] for r in rows], [r[7] for r in rows], lo, hi, length)
         out = []
         for r, own in zip(rows, flags):
             for a, b in _runs(own):
-                out.append((0, 0, r[2], r[3], r[4] - b, b - a + length, 0, b"", b"", 0))
+                out.append((0, r[1], r[2], r[3] - b, b - a + length, 0, b"", b"", 0))
         return out
 
     def run(batches):
-        held, last = [], None
+        held, last = {}, None
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns))) if batch.num_rows else []
-            through = [r for r in rows if r[9] == 0]
-            if through:
-                yield _rows(through)
-            for r in rows:
-                if r[9] == 1:
-                    if len(held) >= BATCH and r[0] != last:
-                        yield _rows(settle(held))
-                        held = []
-                    held.append(r)
-                    last = r[0]
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(held) >= BATCH and r[0] != last:
+                    yield _rows(settle(held))
+                    held = {}
+                held[r[0], r[2], r[3]] = r  # of repeated rows one
+                last = r[0]
         if held:
             yield _rows(settle(held))
 
@@ -363,6 +388,30 @@ def cover(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def _parts(passed: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Anchors' rows in groups of ``hot`` at most, ready to be sorted, and the cuts known by then."""
+    ready, cuts = passed.where("kind = 1").select(*_NAMES[:-1]), passed.where("kind = 0").select("doc_id", "key", "p", "lo")
+    rows = passed.where("kind = 2").select(*_NAMES[:-1])
+    for width in (*WIDTHS[1:], 0):
+        rows = rows.withColumn("d", F.unhex(F.md5(F.concat("left", "right"))))
+        kinds = C.checkpointed(rows.groupBy("h", "lo", "hi", "d").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("doc_id", "key", "p", "left", "right")).alias("r")))
+        several = kinds.where("n > 1").select("h", "lo", "hi", "d")
+        where = ["h", "lo", "hi", "d"]
+        if several.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            same = rows.join(F.broadcast(several), where)
+        else:  # one kind may have very many rows
+            parts = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            same = rows.withColumn("salt", F.pmod(F.xxhash64("key", "p"), F.lit(SALTS)).cast("int")).join(parts, [*where, "salt"])
+        cuts = cuts.unionByName(same.select("doc_id", "key", (F.col("p") - F.col("hi")).alias("p"), (F.col("hi") - F.col("lo") + length).alias("lo")))
+        one = kinds.select("h", "r.doc_id", "r.key", "r.p", "lo", "hi", "r.left", "r.right")
+        big = C.checkpointed(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select("h"))
+        if big.isEmpty():  # with runs of one offset always
+            return ready.unionByName(one), cuts
+        ready = ready.unionByName(one.join(big, "h", "left_anti").select(*_NAMES[:-1]))
+        rows = C.checkpointed(one.join(big, "h", "left_semi").select(*_NAMES[:-1]).mapInArrow(_narrowed(width, length), PASSED)).select(*_NAMES[:-1])
+    raise AssertionError("a group of one window has one row")
+
+
 def remove_repeats(documents: DataFrame, length: int = LENGTH, hot: int = HOT, piece: int = PIECE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``documents`` (doc_id, text).
 
@@ -376,15 +425,14 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, hot: int = HOT, p
     found = rep_rows.select("doc_id", "key", F.inline("anchors"))
     shared = C.checkpointed(found.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("h").alias("_h"), (F.col("times") > hot).alias("hot")))
     some_hot = not shared.where("hot").isEmpty()
-    marked = found.join(shared, F.col("h") == F.col("_h")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("h", "p", "lo", "hi", "hot")).alias("list"))  # of one text
-    texts = own.select(F.col("doc_id").alias("_d"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("_k"), "text")
+    marked = found.join(shared, F.col("h") == F.col("_h")).groupBy("doc_id", "key").agg(F.collect_set(F.struct("h", "p", "lo", "hi", "hot")).alias("list"))  # of one text
+    texts = own.select(F.col("doc_id").alias("_d"), C.text_key(F.col("text")).alias("_k"), "text")
     meet = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))
     passed = texts.join(marked, meet).select("doc_id", "key", "text", "list").mapInArrow(_second_pass(length), PASSED)
-    cuts = passed.where("kind < 2").repartition("h").sortWithinPartitions("h").mapInArrow(_third_pass(length), PASSED).select("doc_id", "key", "p", "lo")
-    if some_hot:
-        windows = passed.where("kind = 2").select("h", "h2", "doc_id", "key", "p").distinct()
-        twice = windows.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        cuts = cuts.unionByName(windows.join(twice, ["h", "h2"]).select("doc_id", "key", "p", F.lit(length).alias("lo")))
+    passed = C.checkpointed(passed)
+    ready, cuts = _parts(passed, length, hot) if some_hot else (passed.where("kind = 1"), passed.where("kind = 0").select("doc_id", "key", "p", "lo"))
+    ready = ready.select(*_NAMES[:-1]).repartition("h").sortWithinPartitions("h")
+    cuts = cuts.unionByName(ready.mapInArrow(_third_pass(length), PASSED).select("doc_id", "key", "p", "lo"))
     lists = cuts.groupBy("doc_id", "key").agg(F.collect_set(F.struct("p", "lo")).alias("cuts"))  # of one text
     left = texts.join(lists, meet).select("key", "text", "cuts").mapInArrow(_last_pass, "key binary, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["key"])
     by_key = reps.select(F.col("key").alias("_k"), "copies").join(left.withColumnRenamed("key", "_k2"), F.col("_k") == F.col("_k2"), "left").drop("_k2")

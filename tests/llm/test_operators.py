@@ -144,6 +144,25 @@ def test_suffixes(spark):
         assert got == sorted((str(i if i % 17 else None), *x) for i, x in enumerate(suffixes.brute(texts, length)))
 
 
+def test_suffixes_of_frequent_anchors(spark, monkeypatch):
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passages = [letters(n) for n in (100, 101, 150, 230, 99)] + ["ab" * 90]
+    texts = []
+    for i in range(150):  # passages that many share, whole and in parts, in surroundings of their own and in common ones
+        p = rng.choice(passages)
+        a = rng.choice([0, 0, 1, 7, rng.randrange(len(p) // 2)])
+        texts.append(rng.choice([letters(rng.randint(0, 80)), "same before "]) + p[a : len(p) - rng.choice([0, 0, 3, 20])] + rng.choice([letters(rng.randint(0, 80)), " same after"]))
+    texts += [passages[2] * 3, passages[0] + passages[1], texts[0], texts[0]]
+    data = list(enumerate(texts)) + [(3, texts[3])] * 5 + [(None, texts[4])] * 3
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    want = sorted((str(i), *x) for (i, _), x in zip(data, suffixes.brute([t for _, t in data], 100)))
+    for hot, most in ((40, 10**6), (5, 10**6), (1, 0)):
+        monkeypatch.setattr(suffixes, "BROADCAST_ROWS", most)
+        got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(df, 100, hot).collect())
+        assert got == want
+
+
 def test_suffixes_whole_texts(documents):
     data = documents.select("doc_id", "text").collect()
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(documents).collect())
