@@ -1,10 +1,14 @@
 """Exact top-k search by inner product (operator 3): a KD-tree in each shard.
 
-Rows are hashed to shards of about ``shard_rows``. A shard's tree is cut at medians of its widest component; each node keeps
-the tight bounding box of its rows. For a query, the sum of the larger of ``q * low`` and ``q * high`` bounds every score in a
-box from above; nodes are taken best bound first until the best one left is below the k-th score found. A first round
-searches each query in its own shard; the k-th score found there is handed on to all other shards, whose search starts
-from it. Query blocks and shards meet by their numbers in a cogrouped task, so a task holds one shard and one block at most.
+A sample of the rows gives the top of one KD-tree, cut at medians of the widest component; its leaves are the shards, to which
+all rows are dealt. Shards of over ``shard_rows`` rows fall into blocks of about that many, by a hash. A block's own tree goes
+on with median splits; each node keeps the tight bounding box of its rows. For a query, the sum of the larger of ``q * low``
+and ``q * high`` bounds every score in a box from above; nodes are taken best bound first until the best one left is below
+the k-th score found.
+
+A first round searches each query in its own block and notes the box of each block. The k-th score found there is handed
+on: in the second round a query is sent only to shards whose box reaches it, and the search starts from it there. Blocks that
+get very many queries are copied, one copy for ``asked_rows`` of them, so no task holds more than a block and that many.
 """
 
 from __future__ import annotations
@@ -13,7 +17,6 @@ import heapq
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -21,16 +24,70 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-LEAF, SHARD_ROWS, BLOCK = 128, 20_000, 2048
+LEAF, SHARD_ROWS, ASKED_ROWS = 128, 20_000, 20_000
+#: Bytes of all shards' boxes, which are broadcast: they bound the number of shards. Sampled rows a shard.
+BOX_BYTES, SAMPLE = 1 << 25, 8
+#: Blocks of which numbers are broadcast (24 bytes each).
+BROADCAST_ROWS = 500_000
 #: No bound yet.
 NONE = -(1 << 62)
 
 
+def _matrix(packed: list[bytes], dim: int) -> np.ndarray:
+    """int64 rows of vectors packed with four or eight bytes a component."""
+    if len({len(p) for p in packed}) > 1:
+        return np.stack([np.frombuffer(p, f"<i{len(p) // dim}").astype(np.int64) for p in packed])
+    width = len(packed[0]) // dim
+    return np.frombuffer(b"".join(packed), f"<i{width}").reshape(-1, dim).astype(np.int64)
+
+
+def _most(rows: np.ndarray) -> int:
+    return int(max(abs(int(rows.max())), abs(int(rows.min())))) if rows.size else 0
+
+
+class Splits:
+    """The top of the tree: which shard a row belongs to."""
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.feature, self.cut, self.kids = [], [], []  # kids: a node, or less than 0 for a shard
+        self.leaves = 0
+        todo = [(np.arange(len(sample)), leaves, -1, 0)]
+        while todo:
+            at, many, parent, side = todo.pop()
+            own = sample[at]
+            wide = int(np.argmax(own.max(axis=0) - own.min(axis=0))) if len(at) > 1 and many > 1 else -1
+            values = np.unique(own[:, wide]) if wide >= 0 else []
+            if len(values) < 2:
+                self.leaves += 1
+                no = -self.leaves
+            else:
+                no = len(self.feature)
+                middle = np.sort(own[:, wide])[min(len(at) - 1, max(1, round(len(at) * (many // 2) / many)))]
+                cut = max(int(middle), int(values[1]))
+                self.feature.append(wide)
+                self.cut.append(cut)
+                self.kids.append([0, 0])
+                low = own[:, wide] < cut
+                todo += [(at[~low], many - many // 2, no, 1), (at[low], many // 2, no, 0)]
+            if parent >= 0:
+                self.kids[parent][side] = no
+        self.feature, self.cut, self.kids = np.array(self.feature, np.int64), np.array(self.cut, np.int64), np.array(self.kids, np.int64).reshape(-1, 2)
+
+    def assign(self, rows: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(rows), np.int64) if len(self.feature) else np.full(len(rows), -1)
+        live = np.flatnonzero(node >= 0)
+        while len(live):
+            no = node[live]
+            node[live] = self.kids[no, (rows[live, self.feature[no]] >= self.cut[no]).astype(np.int64)]
+            live = live[node[live] >= 0]
+        return -1 - node
+
+
 class Tree:
     """Median splits with tight boxes; rows are kept leaf by leaf."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf: int = LEAF):
-        order = np.lexsort((ids,))
+    def __init__(self, rid: np.ndarray, ids: np.ndarray, rows: np.ndarray, leaf: int = LEAF):
+        order = np.lexsort((rid, ids))
         spans, kids, low, high = [], [], [], []
         todo = [(0, len(ids), -1, 0)]
         while todo:
@@ -48,13 +105,19 @@ class Tree:
                 mid = (b - a) // 2
                 order[a:b] = order[a:b][np.argpartition(own[:, wide], mid, kind="introselect")]
                 todo += [(a, a + mid, no, 0), (a + mid, b, no, 1)]
-        self.spans, self.kids, self.low, self.high = spans, kids, np.array(low), np.array(high)
-        self.ids, self.rows = ids[order], rows[order]
+        self.spans, self.kids = spans, kids
+        self.ids, self.rid = ids[order], rid[order]
+        self.most = _most(rows)
+        self.exact = rows[order], np.array(low), np.array(high)
+        self.fast = tuple(x.astype(np.float64) for x in self.exact)
 
-    def search(self, own_id: int, q: np.ndarray, k: int, least: int) -> list[tuple[int, int]]:
-        """The k best (score, id) of rows with other ids, ties to smaller ids; scores under ``least`` may be left out."""
-        bounds = np.maximum(self.low * q, self.high * q).sum(axis=1)
-        heap, best = [(-bounds[0], 0)], []  # best: a heap of (score, -id), worst first
+    def search(self, own: int, q: np.ndarray, k: int, least: int) -> list[tuple[int, int, int]]:
+        """The k best (score, id, rid) of rows but ``own``, ties to smaller ids; scores under ``least`` may be left out."""
+        whole = self.most * _most(q) * len(q) < 1 << 52  # then every product is exact in floating point
+        rows, low, high = self.fast if whole else self.exact
+        q = q.astype(rows.dtype)
+        bounds = low @ np.minimum(q, 0) + high @ np.maximum(q, 0)
+        heap, best = [(-bounds[0], 0)], []  # best: a heap of (score, -id, -rid), worst first
         while heap:
             bound, no = heapq.heappop(heap)
             if -bound < max(least, best[0][0] if len(best) == k else NONE):
@@ -65,48 +128,150 @@ class Tree:
                 heapq.heappush(heap, (-bounds[right], right))
                 continue
             a, b = self.spans[no]
-            scores = self.rows[a:b] @ q
+            scores = rows[a:b] @ q
             floor = max(least, best[0][0] if len(best) == k else NONE)
             for i in np.flatnonzero(scores >= floor).tolist():
-                vec = int(self.ids[a + i])
-                if vec != own_id:
-                    item = (int(scores[i]), -vec)
+                rid = int(self.rid[a + i])
+                if rid != own:
+                    item = (int(scores[i]), -int(self.ids[a + i]), -rid)
                     if len(best) < k:
                         heapq.heappush(best, item)
                     elif item > best[0]:
                         heapq.heapreplace(best, item)
-        return [(s, -v) for s, v in sorted(best, reverse=True)]
+        return [(s, -v, -r) for s, v, r in sorted(best, reverse=True)]
+
+
+def _groups(batches, keys: int):
+    """(key, rows) of each run of equal values in the first columns."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy() for i in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(int(c[a]) for c in cols)
+            if held and key != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+
+
+#: Rows of the first round. kind 0: a score (rid and vec_id of the row found); 1: a block's box; 2: a query for the second round.
+FOUND = "kind int, dim int, shard int, sub int, query long, query_id long, score long, rid long, vec_id long, low binary, high binary"
+_I, _L, _B = pa.int32(), pa.int64(), pa.binary()
+_FOUND = pa.schema(list(zip([x.split()[0] for x in FOUND.split(", ")], [_I] * 4 + [_L] * 5 + [_B] * 2)))
+SENT = "dim int, shard int, sub int, rid long, vec_id long, packed binary, least long"
+_SENT = pa.schema([("dim", _I), ("shard", _I), ("sub", _I), ("rid", _L), ("vec_id", _L), ("packed", _B), ("least", _L)])
+SCORES = "query long, query_id long, score long, rid long, vec_id long"
+_SCORES = pa.schema([(x.split()[0], _L) for x in SCORES.split(", ")])
 
 
-def _matrix(packed: pd.Series) -> np.ndarray:
-    """int64 rows; as float64 where every inner product is exact in it."""
-    rows = np.frombuffer(b"".join(packed), "<i8").reshape(len(packed), -1)
-    most = int(np.abs(rows).max()) if rows.size else 0
-    return rows.astype(np.float64) if most * most * max(rows.shape[1], 1) < 1 << 52 else rows
+def _assigned(splits):
+    def run(batches):
+        known = splits.value
+        for batch in batches:
+            dims, packed = batch.column(0).to_numpy(), batch.column(3).to_pylist()
+            shard = np.zeros(len(dims), np.int32)
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                if dim in known and len(known[dim].feature):
+                    shard[at] = known[dim].assign(_matrix([packed[i] for i in at.tolist()], dim))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard)], ["dim", "rid", "vec_id", "packed", "shard"])
+
+    return run
+
+
+def _first_round(k: int, every: int):
+    """Rows in order of (dim, shard, sub)."""
+
+    def run(batches):
+        for (dim, shard, sub), table in _groups(batches, 3):
+            packed = table.column("packed").to_pylist()
+            rid, ids = table.column("rid").to_numpy(), table.column("vec_id").to_numpy()
+            tree = Tree(rid, ids, _matrix(packed, dim))
+            low, high = (x[0].astype("<i8").tobytes() for x in tree.exact[1:])
+            out = [(1, dim, shard, sub, None, None, None, None, None, low, high)]
+            for i in np.flatnonzero(ids % every == 0).tolist():
+                own, vec = int(rid[i]), int(ids[i])
+                best = tree.search(own, _matrix(packed[i : i + 1], dim)[0], k, NONE)
+                out += [(0, dim, shard, sub, own, vec, s, r, v, None, None) for s, v, r in best]
+                out.append((2, dim, shard, sub, own, vec, best[-1][0] if len(best) == k else NONE, None, None, packed[i], None))
+            yield _batch(out, _FOUND)
+
+    return run
+
+
+def _box_of_shard(batches):
+    """Rows (dim, shard, low, high) in order of (dim, shard): one for each shard."""
+    for (dim, shard), table in _groups(batches, 2):
+        low = np.min([np.frombuffer(x, "<i8") for x in table.column("low").to_pylist()], axis=0)
+        high = np.max([np.frombuffer(x, "<i8") for x in table.column("high").to_pylist()], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([dim], _I), pa.array([shard], _I), pa.array([low.tobytes()], _B), pa.array([high.tobytes()], _B)], ["dim", "shard", "low", "high"])
+
+
+def _sent(boxes):
+    """Queries with the blocks of the shards that they must see, but for their own block."""
+
+    def run(batches):
+        known = boxes.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                rows = batch.slice(at, 512).to_pylist()
+                for dim in {r["dim"] for r in rows}:
+                    shards, subs, low, high = known[dim]
+                    asked = [r for r in rows if r["dim"] == dim]
+                    q = _matrix([r["low"] for r in asked], dim)
+                    kind = np.float64 if max(_most(low), _most(high)) * _most(q) * dim < 1 << 52 else np.int64
+                    q, low, high = q.astype(kind), low.astype(kind), high.astype(kind)
+                    bound = np.minimum(q, 0) @ low.T + np.maximum(q, 0) @ high.T
+                    out = []
+                    for i, j in np.argwhere(bound >= np.array([r["score"] for r in asked])[:, None]).tolist():
+                        r, own = asked[i], shards[j] == asked[i]["shard"]
+                        out += [(dim, shards[j], s, r["query"], r["query_id"], r["low"], r["score"]) for s in range(subs[j]) if not (own and s == r["sub"])]
+                        if len(out) > 5000:
+                            yield _batch(out, _SENT)
+                            out = []
+                    yield _batch(out, _SENT)
+
+    return run
+
 
+def _second_round(k: int):
+    """Rows in order of (dim, shard, sub, copy, kind): a block, then the queries sent to it."""
 
-def _searched(k: int):
-    def run(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(data) and len(asked):
-            vectors = _matrix(data["packed"])
-            queries = _matrix(asked["packed"])
-            if vectors.dtype != queries.dtype:
-                vectors, queries = (np.frombuffer(b"".join(x["packed"]), "<i8").reshape(len(x), -1) for x in (data, asked))
-            tree = Tree(data["vec_id"].to_numpy(), vectors)
-            for own, q, least in zip(asked["vec_id"].tolist(), queries, asked["least"].tolist()):
-                out += [(own, s, v) for s, v in tree.search(own, q, k, least)]
-        return pd.DataFrame(out, columns=["query_id", "score", "vec_id"])
+    def run(batches):
+        place, tree = None, None
+        for (*where, kind), table in _groups(batches, 5):
+            dim = where[0]
+            if kind == 0:
+                place, tree = where, Tree(table.column("rid").to_numpy(), table.column("vec_id").to_numpy(), _matrix(table.column("packed").to_pylist(), dim))
+            elif place == where:
+                out = []
+                for own, vec, packed, least in zip(*(table.column(c).to_pylist() for c in ("rid", "vec_id", "packed", "least"))):
+                    out += [(own, vec, s, r, v) for s, v, r in tree.search(own, _matrix([packed], dim)[0], k, least)]
+                yield _batch(out, _SCORES)
 
     return run
 
 
-def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
+def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, shard_rows: int = SHARD_ROWS, asked_rows: int = ASKED_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every`` the k rows of highest inner product.
 
     Components are floor(scale * x). Vectors (and ids) that are null or hold null or non-finite components take no part, nor
-    empty ones; vectors are compared with those of equal length only; a query is compared with rows of other ids, repeated
-    rows count each. Ties go to smaller ids. Fewer rows than k give fewer results; an empty table none.
+    empty ones; vectors are compared with those of equal length only. Every row counts for itself, also where rows repeat
+    an id or are wholly equal: each such query has its k results under that id, and the others of the id are among its
+    candidates. Ties go to smaller ids. Fewer rows than k give fewer results; an empty table none; further columns are ignored.
     """
 
     def pack(batches):
@@ -115,35 +280,50 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 102
             out = []
             flat = vecs.flatten()
             offs = np.concatenate([[0], np.cumsum([0 if v is None else v for v in pa.compute.list_value_length(vecs).to_pylist()])]).astype(np.int64)
-            x = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)
-            whole = np.floor(x * scale)
+            whole = np.floor(flat.cast(pa.float64()).to_numpy(zero_copy_only=False) * scale)
             for i, vec in enumerate(ids):
-                a, b = offs[i], offs[i + 1]
-                if vec is not None and b > a and np.isfinite(whole[a:b]).all():
-                    out.append((vec, int(b - a), whole[a:b].astype("<i8").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["vec_id", "dim", "packed"])
+                own = whole[offs[i] : offs[i + 1]]
+                if vec is not None and len(own) and np.isfinite(own).all():
+                    out.append((vec, len(own), own.astype("<i4" if np.abs(own).max() < 1 << 31 else "<i8").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((_L, _I, _B))], ["vec_id", "dim", "packed"])
 
+    spark = embeddings.sparkSession
     src = embeddings.select(F.col("`vec_id`").cast("long").alias("vec_id"), F.col("`embedding`").cast("array<double>").alias("embedding"))
-    rows = checkpointed(src.mapInArrow(pack, "vec_id long, dim int, packed binary"))
-    asked = rows.where(F.col("vec_id") % every == 0)
-    n, nq = rows.count(), asked.count()
-    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(nq / block))
-    home = F.pmod(F.xxhash64("vec_id", "packed"), F.lit(shards)).cast("int")
-    fresh = [F.col(c).alias(c) for c in ("vec_id", "dim", "packed")]  # a side of its own for the cogroup
-    rows, asked = rows.withColumn("shard", home), asked.select(*fresh).withColumn("shard", home)
-    fields = "query_id long, score long, vec_id long"
-    key = ["dim", "shard"]
-    first = rows.groupBy(*key).cogroup(asked.withColumn("least", F.lit(NONE)).groupBy(*key)).applyInPandas(_searched(k), fields)
-    if shards == 1:
-        found = first
-    else:
-        first = checkpointed(first)
-        kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(NONE)).alias("least"))
-        number = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int")
-        sent = asked.join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").fillna({"least": NONE}).withColumnRenamed("shard", "_home")
-        sent = sent.select(*fresh, "least", number.alias("block"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("_home"))).alias("shard"))
-        held = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        key = [*key, "block"]
-        found = first.unionByName(held.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(_searched(k), fields))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rows = src.mapInArrow(pack, "vec_id long, dim int, packed binary").withColumn("rid", F.monotonically_increasing_id())  # written at once
+    rows = checkpointed(rows).select("dim", "rid", "vec_id", "packed")
+    sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a length
+    n = sum(sizes.values())
+    shards = {dim: max(1, min(math.ceil(m / shard_rows), BOX_BYTES // (16 * max(sizes)))) for dim, m in sizes.items()}
+    splits: dict[int, Splits] = {}
+    if max(shards.values(), default=1) > 1:
+        share = min(1.0, SAMPLE * sum(shards.values()) / n)  # of as many numbers as the boxes have, times SAMPLE / 2
+        drawn = rows.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 40)) < int(share * (1 << 40))).select("dim", "packed").collect()
+        for dim in {r["dim"] for r in drawn}:
+            splits[dim] = Splits(_matrix([bytes(r["packed"]) for r in drawn if r["dim"] == dim], dim), shards[dim])
+    placed = rows.mapInArrow(_assigned(spark.sparkContext.broadcast(splits)), "dim int, rid long, vec_id long, packed binary, shard int")
+    blocks = checkpointed(placed.groupBy("dim", "shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("int").alias("subs")))  # a row a shard
+    dealt = placed.join(F.broadcast(blocks), ["dim", "shard"]).withColumn("sub", F.pmod(F.xxhash64("rid"), F.col("subs")).cast("int"))
+    dealt = dealt.select("dim", "shard", "sub", "rid", "vec_id", "packed")
+    block = ["dim", "shard", "sub"]
+    first = checkpointed(dealt.repartition(*block).sortWithinPartitions(*block).mapInArrow(_first_round(k, every), FOUND))
+    found = first.where("kind = 0").select("query", "query_id", "score", "rid", "vec_id")
+    subs = {(r["dim"], r["shard"]): r["subs"] for r in blocks.collect()}  # a row a shard
+    if sum(subs.values()) > len(sizes):
+        boxes = first.where("kind = 1").select("dim", "shard", "low", "high").repartition("dim", "shard").sortWithinPartitions("dim", "shard")
+        boxes = boxes.mapInArrow(_box_of_shard, "dim int, shard int, low binary, high binary").collect()  # BOX_BYTES at most
+        known = {}
+        for dim in sizes:
+            own = [b for b in boxes if b["dim"] == dim]
+            low, high = (np.array([np.frombuffer(bytes(b[c]), "<i8") for b in own]) for c in ("low", "high"))
+            known[dim] = [b["shard"] for b in own], [subs[dim, b["shard"]] for b in own], low, high
+        sent = first.where("kind = 2").mapInArrow(_sent(spark.sparkContext.broadcast(known)), SENT)
+        copies = checkpointed(sent.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / F.lit(asked_rows)).cast("int").alias("copies")))  # a row a block
+        copies = F.broadcast(copies) if sum(subs.values()) <= BROADCAST_ROWS else copies
+        asked = sent.join(copies, block).withColumn("copy", F.pmod(F.xxhash64("rid", F.lit(3)), F.col("copies")).cast("int"))
+        held = dealt.join(copies, block).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+        place = [*block, "copy", "kind"]
+        both = held.select(*block, "copy", F.lit(0).alias("kind"), "rid", "vec_id", "packed", F.lit(None).cast("long").alias("least"))
+        both = both.unionByName(asked.select(*block, "copy", F.lit(1).alias("kind"), "rid", "vec_id", "packed", "least"))
+        found = found.unionByName(both.repartition(*place[:-1]).sortWithinPartitions(*place).mapInArrow(_second_round(k), SCORES))
+    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "rid")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
