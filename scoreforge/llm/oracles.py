@@ -41,6 +41,17 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
 
+# All records in one order; the crc32 of a text's bytes is run up over its hexadecimal digits with the table of that checksum.
+SHARDS = """
+WITH c AS (SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)) AS crc),
+t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, substr(md5(coalesce(text, '')), 1, 15) AS k FROM documents),
+b AS (SELECT doc_id, k, length(x) // 2 + 16 AS size, list_transform(regexp_extract_all(x, '..'), lambda h: CAST(16 * (strpos('0123456789ABCDEF', h[1]) - 1) + strpos('0123456789ABCDEF', h[2]) - 1 AS BIGINT)) AS bytes FROM t),
+o AS (SELECT doc_id, size, xor(list_reduce([CAST(4294967295 AS BIGINT)] || bytes, lambda a, y: xor(a >> 8, crc[1 + (xor(a, y) & 255)])), CAST(4294967295 AS BIGINT)) AS text_crc32,
+  row_number() OVER (ORDER BY k, doc_id) AS rank, 2 * (sum(size) OVER (ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING)) - size AS middle, sum(size) OVER () AS total FROM b, c),
+s AS (SELECT *, CAST(40 * middle // (2 * total) AS INTEGER) AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, rank - min(rank) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
 # Every window of every text by its md5; texts as hexadecimal digits, so that places are bytes.
 REPEATS = f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),

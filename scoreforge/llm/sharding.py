@@ -1,77 +1,86 @@
 """Sharding (operator 6), DataFrame functions only: sampled splitters and range partitioning, law ``bytes``.
 
-Records are ordered by (hash of the text, doc_id), so equal texts stand together. A size-weighted sample of keys (the
-smallest ``-ln(u) / size``, u from a hash of the row) gives quantile boundaries, which cut the keys into ranges of nearly
-equal bytes. Ranges that hold more bytes or rows than ``SLACK`` times their due, as a text with very many copies makes
-them, are subdivided by a hash of doc_id. The sums of the parts are run up in the order of the parts; within a part rows are
-ranked and summed by one window, so each row's place in all bytes is exact, and so is the shard it lies in: a row is in
-shard ``floor(shards * middle of its bytes / all bytes)``. Shards differ from an equal share by less than one record at
-either end. No task gets more than a part, and only splitters and sums by part leave the executors.
+Records are ordered by (first 60 bits of the text's md5, doc_id), so equal texts stand together, and identical records by a
+number of their own. Keys are sampled by size: a record is drawn with probability ``1 - exp(-SAMPLE * size / bytes)``, by
+a hash. Quantiles of the sample are the boundaries that cut all records into ranges of nearly equal bytes; ranges that still
+hold over ``SLACK`` times their due, or too many rows for a task, are sampled and subdivided in the same way, and so on. A
+text with very many copies is no exception, as boundaries are whole keys with doc_id and number. Sums by range are run up
+in their order; within a range rows are ranked and summed by one window, so each row's place in all bytes is exact, and
+so is the shard it lies in: ``floor(shards * middle of its bytes / all bytes)``. Shards differ from an equal share by less than
+one record at either end. No task gets more than a range, and only boundaries and sums by range are broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, forget
 
-SAMPLE, RANGES, SLACK, PART_ROWS = 8192, 256, 2, 500_000
+SAMPLE, RANGES, SLACK, PART_ROWS, LEVELS = 8192, 256, 2, 500_000, 7
+
+
+def _key() -> Column:
+    """What orders records, as one value that can be compared (null ids first)."""
+    return F.struct("_key", "doc_id", "_row")
+
+
+def _below(bounds: Column, many: int) -> Column:
+    """How many of ``bounds`` (ascending, at most ``many``) are less than a row's key, by halving."""
+    low, step = F.lit(0), 1 << (many.bit_length() - 1)
+    steps = []
+    while step:
+        steps.append(step)
+        step //= 2
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), low, lambda at, s: F.when(at + s > F.size(bounds), at).when(F.get(bounds, at + s - 1) < _key(), at + s).otherwise(at))
 
 
 def shard(docs: DataFrame, shards: int = 40, sample: int = SAMPLE, ranges: int = RANGES, part_rows: int = PART_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law) for each row.
 
-    A null text has 16 bytes and the crc32 of an empty one. Repeated rows each have their slot. Null doc_ids are ordered
-    first within their text. An empty table gives no rows. Further columns are ignored.
+    A null text has 16 bytes and the crc32 and place of an empty one. Repeated rows each have their slot. Null doc_ids are
+    ordered first within their text. An empty table gives no rows. Further columns are ignored.
     """
-    text = F.col("`text`")
+    text = F.coalesce(F.col("`text`"), F.lit(""))
     rows = docs.select(
         F.col("`doc_id`").cast("long").alias("doc_id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
-        F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.xxhash64(text).alias("_key"),
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
+        F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long").alias("_key"),
+        F.monotonically_increasing_id().alias("_row"),  # written at once, so that it never changes
+        F.lit(0).cast("long").alias("_range"),
     )
-    u = (F.pmod(F.xxhash64("_key", "doc_id", F.lit(17)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
-    drawn = rows.select("_key", (-F.log(u) / F.col("size")).alias("_r")).orderBy("_r").limit(sample)
-    cut = drawn.select("_key", F.ntile(ranges).over(W.orderBy("_key")).alias("_n")).groupBy("_n").agg(F.max("_key").alias("_key"))
-    splitters = sorted({r["_key"] for r in cut.collect()})[:-1]  # at most ``ranges`` keys
-    low = F.lit(0)
-    keyed = rows
-    if splitters:
-        width = 1 << (len(splitters) - 1).bit_length()
-        cuts = F.array(*[F.lit(s) for s in splitters + [(1 << 63) - 1] * (2 * width - len(splitters))])
-        keyed = rows.withColumn("_cuts", cuts).withColumn("_low", F.lit(0))
-        step = width
-        while step:
-            hit = F.element_at("_cuts", F.col("_low") + step) < F.col("_key")
-            keyed = keyed.withColumn("_low", F.when(hit, F.col("_low") + step).otherwise(F.col("_low")))
-            step //= 2
-        low = F.col("_low")
-    keyed = checkpointed(keyed.withColumn("_range", low).drop("_cuts", "_low"))  # read four times, without the texts
-    sums = keyed.groupBy("_range").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
-    due = F.sum("_bytes").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) / F.lit(ranges)
-    over = sums.withColumn("_due", due).select(  # of at most ``ranges`` rows
-        "_range",
-        F.when(F.col("_bytes") > SLACK * F.col("_due"), F.ceil(F.col("_bytes") / F.col("_due"))).otherwise(F.lit(1)).cast("long").alias("_by_bytes"),
-        F.ceil(F.col("_rows") / F.lit(part_rows)).cast("long").alias("_by_rows"),
-    ).select("_range", F.greatest("_by_bytes", "_by_rows").alias("_into"))
-    parted = keyed.join(F.broadcast(over), "_range")  # at most ``ranges`` rows
-    parted = parted.withColumn("_sub", F.when(F.col("_into") > 1, F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("_into"))).otherwise(F.lit(0).cast("long"))).drop("_into")
-    parts = parted.groupBy("_range", "_sub").agg(F.sum("size").alias("_pb"), F.count(F.lit(1)).alias("_pn"))
-    run = W.orderBy("_range", "_sub").rowsBetween(W.unboundedPreceding, -1)  # over the sums of parts only
+    rows = checkpointed(rows)  # without the texts
+    every = rows.agg(F.sum("size")).first()[0] or 0
+    for _ in range(LEVELS):
+        sums = rows.groupBy("_range").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
+        over = sums.where((F.col("_rows") > 1) & ((F.col("_bytes") > SLACK * every / ranges) | (F.col("_rows") > part_rows))).select("_range", "_bytes")
+        over = checkpointed(over)  # at most ranges / SLACK, or a row for part_rows of the table's
+        u = (F.pmod(F.xxhash64("_row", F.lit(17)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+        drawn = rows.join(F.broadcast(over), "_range").where(-F.log(u) / F.col("size") < sample / F.col("_bytes"))
+        tile = F.ntile(ranges).over(W.partitionBy("_range").orderBy(_key()))
+        tops = drawn.select("_range", _key().alias("_b"), tile.alias("_t")).groupBy("_range", "_t").agg(F.max("_b").alias("_b"))
+        bounds = tops.groupBy("_range").agg(F.array_sort(F.collect_list("_b")).alias("_bounds"))  # ranges keys each
+        bounds = checkpointed(bounds.where(F.size("_bounds") > 1).withColumn("_bounds", F.slice("_bounds", 1, F.size("_bounds") - 1)))
+        forget(over)
+        if bounds.isEmpty():
+            break
+        cut = rows.join(F.broadcast(bounds), "_range", "left").withColumn("_sub", F.coalesce(_below(F.col("_bounds"), ranges), F.lit(0)))
+        cut = checkpointed(cut.withColumn("_range", F.col("_range") * ranges + F.col("_sub")).drop("_bounds", "_sub"))
+        forget(rows)
+        forget(bounds)
+        rows = cut
+    parts = rows.groupBy("_range").agg(F.sum("size").alias("_pb"), F.count(F.lit(1)).alias("_pn"))
+    run = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # over the sums of ranges only
     zero = F.lit(0).cast("long")
-    placed = parts.select(
-        "_range", "_sub", F.coalesce(F.sum("_pb").over(run), zero).alias("_b0"), F.coalesce(F.sum("_pn").over(run), zero).alias("_n0"),
-        F.sum("_pb").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_all"),
-    )
-    inside = W.partitionBy("_range", "_sub").orderBy("_key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    ranked = parted.withColumn("_b", F.coalesce(F.sum("size").over(inside), zero)).withColumn("_n", F.count(F.lit(1)).over(inside))
+    placed = parts.select("_range", F.coalesce(F.sum("_pb").over(run), zero).alias("_b0"), F.coalesce(F.sum("_pn").over(run), zero).alias("_n0"))
+    inside = W.partitionBy("_range").orderBy("_key", "doc_id", "_row").rowsBetween(W.unboundedPreceding, -1)
+    ranked = rows.withColumn("_b", F.coalesce(F.sum("size").over(inside), zero)).withColumn("_n", F.count(F.lit(1)).over(inside))
     middle = (F.col("_b0") + F.col("_b")) * 2 + F.col("size")
-    at = ranked.join(placed, ["_range", "_sub"]).select(
+    at = ranked.join(placed, "_range").select(
         "doc_id", "size", "text_crc32", (F.col("_n0") + F.col("_n")).alias("_rank"),
-        F.floor(middle.cast("decimal(30,0)") * shards / (F.col("_all") * 2)).cast("int").alias("shard"),
+        F.floor(middle.cast("decimal(30,0)") * shards / (2 * max(every, 1))).cast("int").alias("shard"),
     )
     first = at.groupBy("shard").agg(F.min("_rank").alias("_first"))  # at most ``shards`` rows
     return at.join(F.broadcast(first), "shard").select(
