@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-PROFILE, MOST_LANGS = 400, 5000
+PROFILE = 400
+#: Languages whose profiles are broadcast together (16 bytes an n-gram); more are taken in as many passes as they need.
+MOST_LANGS = 500
 _LETTER: list[np.ndarray] = []
 
 
@@ -78,51 +80,65 @@ def train(docs: DataFrame, profile: int = PROFILE) -> DataFrame:
                         n = np.bincount(inv, weights=np.concatenate([sums[lang][1], n]), minlength=len(u)).astype(np.int64)
                     sums[lang] = [u, n]
         for lang, (u, n) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u)), pa.array(u.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
     rows = docs.select("text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     sums = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = W.partitionBy("lang").orderBy(F.desc("n"), "code")
-    return sums.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < profile).select("lang", "code", "rank")
+    return sums.withColumn("_no", F.row_number().over(order)).where(F.col("_no") <= profile).select("lang", "code", (F.col("_no") - 1).alias("rank"))
 
 
 class Profiles:
-    """All profiles as one table of ranks by n-gram and language."""
+    """Profiles by n-gram: for each code the languages that have it, and its rank there."""
 
     def __init__(self, rows: list[tuple[str, int, int]], size: int):
-        self.langs = sorted({r[0] for r in rows})
+        self.langs, lang = np.unique(np.array([r[0] for r in rows], object), return_inverse=True)
         self.size = size
-        self.codes = np.array(sorted({r[1] for r in rows}), np.uint64)
-        self.ranks = np.full((len(self.codes) + 1, len(self.langs)), -1, np.int32)
-        no = {x: i for i, x in enumerate(self.langs)}
-        at = {int(c): i for i, c in enumerate(self.codes)}
-        for lang, code, rank in rows:
-            self.ranks[at[code], no[lang]] = rank
-
-    def nearest(self, cps: np.ndarray) -> tuple[str, float]:
+        codes = np.array([r[1] for r in rows], np.uint64)
+        order = np.argsort(codes, kind="stable")
+        self.lang, self.rank = lang[order].astype(np.int64), np.array([r[2] for r in rows], np.int64)[order]
+        self.codes, first = np.unique(codes[order], return_index=True)
+        self.start = np.append(first, len(codes))
+
+    def nearest(self, cps: np.ndarray) -> tuple[str | None, float]:
+        """The language of the least distance (the first by name of several) and 1 less its share of the greatest possible."""
         codes = grams(cps)
-        if not len(codes) or not self.langs:
-            return "und", 0.0
+        if not len(codes):
+            return None, 0.0
         top = ranked(codes, self.size)
         at = np.searchsorted(self.codes, top)
         at[at == len(self.codes)] = 0
-        ranks = self.ranks[np.where(self.codes[at] == top, at, -1)]
-        off = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(top), dtype=np.int32)[:, None])).sum(axis=0)
-        best = int(np.argmin(off))
-        return self.langs[best], 1.0 - float(off[best]) / (len(top) * self.size)
+        mine = np.flatnonzero(self.codes[at] == top)
+        a, n = self.start[at[mine]], self.start[at[mine] + 1] - self.start[at[mine]]
+        entry = C.gather(np.arange(len(self.rank)), a, n)
+        saved = np.zeros(len(self.langs), np.int64)  # an n-gram that a profile lacks counts ``size``
+        np.add.at(saved, self.lang[entry], self.size - np.abs(self.rank[entry] - np.repeat(mine, n)))
+        best = int(np.argmax(saved))
+        return self.langs[best], float(saved[best]) / (len(top) * self.size)
 
 
 def identify(docs: DataFrame, training: DataFrame, profile: int = PROFILE) -> DataFrame:
     """doc_id, lang_pred and score for each row of ``docs`` (doc_id, text), whole texts, by profiles of ``training`` (text, lang).
 
     Null texts and texts without a letter are ``und`` with score 0, and so is every text if nothing was learned. Repeated
-    rows and ids give a row each. At most ``MOST_LANGS`` languages may be learned (the profiles are broadcast).
+    rows and ids give a row each, null ids too; further columns are ignored; an empty table gives no rows. Languages equally
+    near go by name. Over ``MOST_LANGS`` languages are compared block after block, the best so far handed on.
     """
-    rows = [(r["lang"], r["code"], r["rank"]) for r in train(training, profile).limit(MOST_LANGS * profile + 1).collect()]
-    if len(rows) > MOST_LANGS * profile:
-        raise ValueError(f"over {MOST_LANGS} languages")
-    model = docs.sparkSession.sparkContext.broadcast(Profiles(rows, profile))
-
+    profiles = C.checkpointed(train(training, profile))
+    langs = profiles.select("lang").distinct()
+    n = langs.count()
+    numbered = langs.select(F.col("lang").alias("_lang"), F.floor((F.row_number().over(W.orderBy("lang")) - 1) / MOST_LANGS).alias("_block"))  # of languages only
+    rows = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text"), F.lit(None).cast("string").alias("lang_pred"), F.lit(0.0).alias("score"))
+    for block in range(-(-n // MOST_LANGS)):
+        own = profiles.join(F.broadcast(numbered.where(F.col("_block") == block)), F.col("lang") == F.col("_lang")) if n > MOST_LANGS else profiles
+        model = docs.sparkSession.sparkContext.broadcast(Profiles([(r["lang"], r["code"], r["rank"]) for r in own.select("lang", "code", "rank").collect()], profile))  # of a block
+        if block:
+            rows = C.checkpointed(rows)  # one block's profiles in memory at a time
+        rows = rows.mapInArrow(_compare(model), rows.schema)
+    return rows.select("doc_id", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), "score")
+
+
+def _compare(model):
     def run(batches):
         m = model.value
         for batch in batches:
@@ -130,14 +146,15 @@ def identify(docs: DataFrame, training: DataFrame, profile: int = PROFILE) -> Da
             for a, b in C.chunks(col):
                 cps, offs = C.utf32_flat(col.slice(a, b - a))
                 got = [m.nearest(cps[s:e]) for s, e in zip(offs.tolist(), offs[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
+                had = list(zip(batch.column(2).slice(a, b - a).to_pylist(), batch.column(3).slice(a, b - a).to_pylist()))
+                best = [new if new[0] is not None and (old[0] is None or new[1] > old[1]) else old for new, old in zip(got, had)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([x[0] for x in best], pa.string()), pa.array([x[1] for x in best], pa.float64())], ["doc_id", "text", "lang_pred", "score"])
 
-    own = C.pick(docs, "doc_id", "text")
-    return own.select(own.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return run
 
 
 def predict(documents: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: learned from the rows that are not held out."""
+    """doc_id, held_out, lang_pred, score for each row: learned from the rows that are not held out (null ids are not)."""
     own = documents.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text"), F.col("`lang`").alias("lang"))
     found = identify(own, own.where(~C.held_out(F.col("doc_id"))))
     return found.select("doc_id", C.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
