@@ -1,6 +1,6 @@
 """Token-ID / binary output (operator 5): length-delimited binary records with an offset index.
 
-Texts are sorted by doc_id over range partitions, encoded, and each partition writes two files below the shared folder:
+Texts are sorted by doc_id (and a hash of the text) over range partitions, encoded, and each partition writes two files below the shared folder:
 
 ``part-*.rec``   for each document: u64 length of the payload, u32 masked crc32 of those 8 bytes, the payload, u32 masked
                  crc32 of the payload. Payload: i64 doc_id, u8 flags (1: doc_id is null), u8 bytes per id (2 or 4), the ids.
@@ -198,8 +198,8 @@ def parse(read) -> tuple[int | None, np.ndarray] | None:
 def write(docs: DataFrame, folder: str, model_path: str, end_id: int | None = 1) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) and writes the files; returns the manifest (part, file, rows, ids, first_id).
 
-    Null texts count as empty (just the end id); rows with the same doc_id stand next to each other by text; null ids come
-    first; further columns are ignored; an empty table gives an empty manifest.
+    Null texts count as empty (just the end id); rows with the same doc_id stand next to each other, by a hash of the text; null ids
+    come first; further columns are ignored; an empty table gives an empty manifest.
     """
 
     def run(batches):
@@ -236,8 +236,8 @@ def write(docs: DataFrame, folder: str, model_path: str, end_id: int | None = 1)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "file": [name], "rows": pa.array([rows], pa.int64()), "ids": pa.array([start], pa.int64())})
 
     rows = C.pick(docs, "doc_id", "text")
-    rows = rows.select(rows.doc_id.cast("long").alias("doc_id"), "text")
-    made = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "part long, file string, rows long, ids long")
+    rows = rows.select(rows.doc_id.cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))  # one id's rows may fill many ranges
+    made = rows.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key", "text").select("doc_id", "text").mapInArrow(run, "part long, file string, rows long, ids long")
     made = C.checkpointed(made)  # a row a file: the files are written once, and named here
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     return made.withColumn("first_id", F.coalesce(F.sum("ids").over(before), F.lit(0).cast("long")))

@@ -49,5 +49,34 @@ def test_vectors(spark):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "7 as shard", "7 as packed", "7 as least")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nearest.top_k(v).collect())
     a, b = 1024 * 1024 * 5, 1024 * 1024 * 4
-    assert got == sorted([(0, 1, 1, a), (0, 2, 100, b), (0, 1, 1, a), (0, 2, 100, b), (100, 1, 0, b), (100, 2, 0, b), (100, 3, 1, b)]) or {g[2:] for g in got if g[0] == 100} == {(0, b), (1, b)}
+    one = [(0, 1, 0, a), (0, 2, 1, a), (0, 3, 100, b)]  # each row of a repeated id is a query and the other's candidate
+    assert got == sorted([*one, *one, (100, 1, 0, b), (100, 2, 0, b), (100, 3, 1, b)])
     assert nearest.top_k(v.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["suffixes", "setjoin", "records", "sharding", "secrets"])
+def test_very_many_null_ids_and_repeated_rows(spark, name):
+    """A third of all rows without an id, a third one row."""
+    ids = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "concat('alone ', id, ' ', id * 7, ' words') as text")
+    same = spark.range(20_000).selectExpr("5L as doc_id", "'one row that stands there again and again, token=abcdefghijklmnop' as text")
+    others = spark.range(20_000).selectExpr("id + 10 as doc_id", "concat('other ', id, ' and ', id * 3, ' text') as text")
+    got = PER_ROW[name](ids.unionByName(same).unionByName(others).repartition(6))
+    assert got.count() == 60_000
+    if name == "setjoin":
+        assert got.groupBy("component_id", "n_links").count().where("n_links > 0").collect() == [(5, 19_999, 20_000)]
+    if name == "sharding":
+        assert got.groupBy("shard").sum("size").agg({"sum(size)": "max"}).first()[0] < 2 * got.selectExpr("sum(size) / 40").first()[0]
+
+
+def test_keep_one_of_very_many(spark):
+    ids = spark.range(5000).selectExpr("cast(null as long) as doc_id", "concat('alone ', id, ' ', id * 7, ' words') as text")
+    same = spark.range(5000).selectExpr("5L as doc_id", "'one row that stands there again and again' as text")
+    assert setjoin.keep_one(ids.unionByName(same)).count() == 5001
+
+
+def test_clashing_columns_of_labels_and_benchmark(spark, edge):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(11)], "doc_id long, quality int").selectExpr("*", "'t' as text", "1 as at", "2 as n", "3 as _no", "4 as c0")
+    assert quality.classify(edge, labels).count() == len(EDGE)
+    assert quality.keep(edge, quality.fit(edge, labels)).columns == edge.columns
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").selectExpr("*", "1 as doc_id", "2 as key", "3 as hits", "4 as seed", "5 as wide", "6 as id")
+    assert {r.doc_id for r in decontaminate.leaks(edge, items).collect()} == {5, 6, 8}
