@@ -48,6 +48,16 @@ def padded(rows: DataFrame, ids: str, by: list[str], pad_id: int, left: bool = F
     return out.withColumn("pad_offset", F.col("_gap") if left else F.lit(0)).drop("_n", "_gap")
 
 
+def padded_frames(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` whose input_features (mel_frames by mel_bins half floats) are filled up with zeros to the longest of the batch, and
+    a 0/1 ``feature_mask`` of the frames that are real."""
+    gap = F.max("mel_frames").over(W.partitionBy(*by)) - F.col("mel_frames")
+    out = rows.withColumn("_gap", gap)
+    fill = F.unhex(F.repeat(F.lit("0000"), F.col("_gap") * F.col("mel_bins")))
+    out = out.withColumn("input_features", F.concat("input_features", fill))
+    return out.withColumn("feature_mask", F.concat(F.array_repeat(F.lit(1), F.col("mel_frames")), F.array_repeat(F.lit(0), F.col("_gap")))).drop("_gap")
+
+
 def generated(ids: Column, pad_offset: Column, prefix: Column) -> Column:
     """What a model added behind the padding and the prompt."""
     start = pad_offset + prefix

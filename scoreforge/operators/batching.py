@@ -1,48 +1,69 @@
 """Batches under a length budget, and their shares among ranks.
 
 Greedy packing is one pass over rows in order, each batch depending on the one before. Only (id, length) take part: rows are
-sorted by Spark and the pass streams, holding one batch's totals. ``partitions`` over 1 packs ranges of lengths side by
-side; it differs from the single pass only in batches not filled up across the ranges' borders.
+sorted by Spark and the pass streams, holding one batch's totals. Very many rows are packed in parts of equal numbers of
+rows side by side; that differs from the single pass only in batches not filled up across the parts' borders.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PACKED = "batch_part int, batch_no long, pos int, sample_id long, length long"
+PACKED = "batch_part long, batch_no long, pos int, sample_id long, length long"
+#: Rows that one pass packs; with more there are parts.
+PASS_ROWS = 10_000_000
+#: Neighbouring ids that are numbered by one task at most, as a power of two.
+ID_BITS = 20
+
+
+def numbered(samples: DataFrame, length: str, sample_id: str) -> DataFrame:
+    """``samples`` with their number ``no`` (from 0) by length and id: counts of runs of ids of one length are run up."""
+    run = F.struct(F.col(length).alias("n"), F.shiftright(F.col(sample_id).cast("long"), ID_BITS).alias("i"))
+    rows = samples.withColumn("_run", run)
+    before = W.orderBy("_run").rowsBetween(W.unboundedPreceding, -1)  # over the counts only
+    first = rows.groupBy("_run").agg(F.count(F.lit(1)).alias("_n")).select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return rows.join(first, "_run").withColumn("no", F.row_number().over(W.partitionBy("_run").orderBy(sample_id)) - 1 + F.col("_first")).drop("_run", "_first")
 
 
 def _packer(budget: int, cap: int, padded: bool):
     def run(batches):
-        from pyspark import TaskContext
-
-        part, no, size, total, most = TaskContext.get().partitionId(), 0, 0, 0, 0
+        here, no, size, total, most = None, 0, 0, 0, 0
         for batch in batches:
             nos, places = [], []
-            for n in batch.column(1).to_pylist():
+            for n, part in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if part != here:
+                    here, no, size, total, most = part, 0, 0, 0, 0
                 weight = (size + 1) * max(most, n) if padded else total + n
                 if size and ((budget > 0 and weight > budget) or size >= cap):
                     no, size, total, most = no + 1, 0, 0, 0
                 nos.append(no)
                 places.append(size)
                 size, total, most = size + 1, total + n, max(most, n)
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(nos), pa.int32()), pa.array(nos, pa.int64()), pa.array(places, pa.int32()), batch.column(0), batch.column(1)], ["batch_part", "batch_no", "pos", "sample_id", "length"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(nos, pa.int64()), pa.array(places, pa.int32()), batch.column(0), batch.column(1)], ["batch_part", "batch_no", "pos", "sample_id", "length"])
 
     return run
 
 
-def pack(samples: DataFrame, length: str, sample_id: str = "sample_id", budget: int = 24000, cap: int = 32, padded: bool = False, partitions: int = 1) -> DataFrame:
-    """batch_id, pos, sample_id, length: rows by length (ties by id), a batch closed before the row that would exceed the
-    budget (the sum of lengths, or with ``padded`` rows times the longest) or the cap. A longer row is a batch of its own."""
-    rows = samples.select(F.col(sample_id).cast("long").alias("sample_id"), F.col(length).cast("long").alias("length"))
-    dealt = rows.repartition(1) if partitions == 1 else rows.repartitionByRange(partitions, "length", "sample_id")
-    packed = dealt.sortWithinPartitions("length", "sample_id").mapInArrow(_packer(budget, cap, padded), PACKED)
-    if partitions == 1:
+def pack(samples: DataFrame, length: str, sample_id: str = "sample_id", budget: int = 24000, cap: int = 32, padded: bool = False, partitions: int | None = None, order: str | Column | None = None, part: str | None = None) -> DataFrame:
+    """batch_id, pos, sample_id, length: a batch is closed before the row that would exceed the budget (the sum of lengths, or with
+    ``padded`` rows times the longest) or the cap; a longer row is a batch of its own. Rows come by length (ties by id), or by
+    ``order``. ``partitions`` parts of equal numbers of rows are packed side by side (by default one for ``PASS_ROWS`` rows);
+    rows in an order of their own bring the number of their part in column ``part``."""
+    own = F.struct(F.col(length).cast("long").alias("length"), F.col(sample_id).cast("long").alias("sample_id")) if order is None else F.col(order) if isinstance(order, str) else order
+    if part is None and order is None:
+        n = samples.count() if partitions != 1 else 0
+        partitions = partitions or max(1, -(-n // PASS_ROWS))
+        if partitions > 1:
+            samples, part = numbered(samples, length, sample_id).withColumn("_part", F.floor(F.col("no") * partitions / n)), "_part"
+    rows = samples.select(F.col(sample_id).cast("long").alias("sample_id"), F.col(length).cast("long").alias("length"), (F.col(part) if part else F.lit(0)).cast("long").alias("part"), own.alias("_o"))
+    dealt = rows.repartition("part") if part else rows.repartition(1)
+    packed = dealt.sortWithinPartitions("part", "_o").select("sample_id", "length", "part").mapInArrow(_packer(budget, cap, padded), PACKED)
+    if not part:
         return packed.select(F.col("batch_no").alias("batch_id"), "pos", "sample_id", "length")
-    sizes = packed.groupBy("batch_part").agg((F.max("batch_no") + 1).alias("_n"))  # a row a partition
+    sizes = packed.groupBy("batch_part").agg((F.max("batch_no") + 1).alias("_n"))  # a row a part
     before = sizes.select("batch_part", F.coalesce(F.sum("_n").over(W.orderBy("batch_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     return packed.join(F.broadcast(before), "batch_part").select((F.col("_b") + F.col("batch_no")).alias("batch_id"), "pos", "sample_id", "length")
 
@@ -53,16 +74,25 @@ def drop_last(batches: DataFrame, least: int = 2) -> DataFrame:
     return batches.join(F.broadcast(last.select("batch_id")), "batch_id", "left_anti")
 
 
-def shuffled_order(samples: DataFrame, length: str, seed: int, epoch: int = 0, sample_id: str = "sample_id", chunks: int = 10, least: int = 100) -> DataFrame:
-    """``samples`` with ``order_key``: chunks of neighbouring lengths in a random order, rows in a random order inside them. The
-    order is one of hashes, the same for the same seed and epoch. Chunk borders are quantiles of the lengths."""
+def shuffled_order(samples: DataFrame, length: str, seed: int, epoch: int = 0, sample_id: str = "sample_id", chunks: int = 10, least: int = 100, partitions: int | None = None) -> DataFrame:
+    """``samples`` with ``chunk``, ``order_key`` and ``part``: by length (ties by id) cut into chunks of a tenth of all rows, at least
+    ``least``; chunks in a random order, rows in a random order inside them. The order is one of hashes, the same for the
+    same seed and epoch. ``part`` numbers runs of that order which may be packed side by side, at least ``partitions`` (by
+    default one for ``PASS_ROWS`` rows)."""
     n = samples.count()
-    chunks = max(1, min(chunks, n // least))
-    cuts = samples.approxQuantile(length, [i / chunks for i in range(1, chunks)], 0.001) if chunks > 1 else []
-    chunk = sum(((F.col(length) > c).cast("int") for c in cuts), F.lit(0))
-    out = samples.withColumn("chunk", chunk)
+    partitions = partitions or max(1, -(-n // PASS_ROWS))
+    size = max(least, n // chunks)
+    many = -(-n // size)
     draw = lambda *x: F.xxhash64(F.lit(seed + epoch), *x)
-    return out.withColumn("order_key", F.struct(draw("chunk").alias("a"), draw(F.col(sample_id)).alias("b")))
+    out = numbered(samples, length, sample_id).withColumn("chunk", F.floor(F.col("no") / size).cast("int")).drop("no")
+    out = out.withColumn("order_key", F.struct(draw("chunk").alias("a"), draw(F.col(sample_id)).alias("b")))
+    if partitions == 1:
+        return out.withColumn("part", F.lit(0).cast("long"))
+    bits = max(0, (-(-partitions // max(many, 1)) - 1).bit_length())
+    turns = samples.sparkSession.range(many).select(F.col("id").cast("int").alias("chunk"))
+    turns = turns.withColumn("_turn", F.row_number().over(W.orderBy(draw("chunk"))) - 1)  # of chunks
+    sub = F.shiftright(F.col("order_key.b"), 64 - bits) + (1 << (bits - 1)) if bits else F.lit(0)
+    return out.join(F.broadcast(turns), "chunk").withColumn("part", (F.col("_turn") * (1 << bits) + sub).cast("long")).drop("_turn")
 
 
 def pad_world(batches: DataFrame, world: int) -> DataFrame:

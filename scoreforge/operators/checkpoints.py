@@ -6,12 +6,18 @@ import json
 import re
 import shutil
 import struct
+from collections.abc import Callable
 from pathlib import Path
 
-# The tensors whose rows are the vocabulary, and the widest hidden layer of the smaller base model.
+# The tensors whose rows are the vocabulary; the widest hidden layer of the smaller base model, and the names of both.
 VOCABULARY_TENSORS = ("embed_tokens.weight", "lm_head.weight")
 SMALL_HIDDEN = 1024
-TOKENIZER_FILES = ("tokenizer.json", "tokenizer_config.json", "vocab.json", "merges.txt", "added_tokens.json", "special_tokens_map.json", "preprocessor_config.json", "chat_template.json", "generation_config.json")
+BASE_MODELS = ("Qwen/Qwen3-ASR-0.6B", "Qwen/Qwen3-ASR-1.7B")
+# The files that make a checkpoint fit for inference.
+NEEDED_FILES = (
+    "config.json", "generation_config.json", "preprocessor_config.json", "processor_config.json", "tokenizer_config.json", "tokenizer.json",
+    "special_tokens_map.json", "chat_template.json", "merges.txt", "vocab.json",
+)
 
 
 def latest(folder: str) -> str | None:
@@ -34,27 +40,33 @@ def vocabulary_size(folder: str) -> int | None:
     return max(rows, default=None)
 
 
-def hidden_size(config: dict) -> int | None:
-    """The first ``hidden_size`` on any level of a model's configuration."""
-    todo = [config]
-    while todo:
-        now = todo.pop(0)
-        if isinstance(now.get("hidden_size"), int):
-            return now["hidden_size"]
-        todo += [v for v in now.values() if isinstance(v, dict)]
-    return None
+def hidden_size(config: dict) -> int:
+    """The width of the text model: on the level of its own configuration, inside the speaking part's if there is one, else 0."""
+    inner = config.get("thinker_config") or {}
+    text = inner.get("text_config") or config.get("text_config") or {}
+    return text.get("hidden_size", 0)
 
 
-def is_small(folder: str) -> bool | None:
-    """Whether the base model is the smaller one; None without a configuration."""
-    path = Path(folder) / "config.json"
-    size = hidden_size(json.loads(path.read_text(encoding="utf-8"))) if path.is_file() else None
-    return None if size is None else size <= SMALL_HIDDEN
+def base_model(folder: str, read_arguments: Callable[[str], object] | None = None) -> str:
+    """The base model of a checkpoint: what its training arguments name (read by the adapter, which may fail), or by the
+    width in its configuration, the larger one without."""
+    arguments, config = Path(folder) / "training_args.bin", Path(folder) / "config.json"
+    if read_arguments is not None and arguments.is_file():
+        try:
+            named = getattr(read_arguments(str(arguments)), "_name_or_path", None)
+        except Exception:  # noqa: BLE001 - arguments that can't be read say nothing
+            named = None
+        if named is not None:
+            return named
+    if config.is_file():
+        return BASE_MODELS[hidden_size(json.loads(config.read_text(encoding="utf-8"))) > SMALL_HIDDEN]
+    return BASE_MODELS[1]
 
 
-def copy_tokenizer(source: str, target: str) -> list[str]:
-    """Copies what inference needs beside the weights; names copied."""
-    there = [n for n in TOKENIZER_FILES if (Path(source) / n).is_file()]
+def copy_needed(source: str, target: str) -> list[str]:
+    """Copies what inference needs beside the weights into a checkpoint, which is made if it is not there; names copied."""
+    Path(target).mkdir(parents=True, exist_ok=True)
+    there = [n for n in NEEDED_FILES if (Path(source) / n).is_file()]
     for n in there:
         shutil.copy2(Path(source) / n, Path(target) / n)
     return there

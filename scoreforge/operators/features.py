@@ -1,12 +1,19 @@
-"""Mel features: an extractor is an adapter; rows never fail a task but carry a status."""
+"""Mel features: an extractor is an adapter, and so is a decoder; rows never fail a task but carry a status.
+
+Audio is opened by path in the task that needs it, so that no audio crosses a shuffle.
+"""
 
 from __future__ import annotations
 
+import io
+import re
+import wave
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreforge.schemas import FEATURE
@@ -18,9 +25,9 @@ Extractor = Callable[[np.ndarray, int], tuple[np.ndarray, int]]
 def energy_bins(bins: int = 8, hop: int = 160) -> Extractor:
     """A deterministic stand-in: mean absolute value of each hop's ``bins`` parts. Real extractors have the same shape."""
 
-    def run(wave: np.ndarray, rate: int) -> tuple[np.ndarray, int]:
-        frames = len(wave) // hop
-        cut = np.abs(wave[: frames * hop]).reshape(frames, bins, hop // bins)
+    def run(sound: np.ndarray, rate: int) -> tuple[np.ndarray, int]:
+        frames = len(sound) // hop
+        cut = np.abs(sound[: frames * hop]).reshape(frames, bins, hop // bins)
         return cut.mean(axis=2).T.astype(np.float32), frames
 
     return run
@@ -42,32 +49,69 @@ def decode_pcm16(content: bytes) -> np.ndarray:
     return np.frombuffer(content, "<i2").astype(np.float32) / 32768.0
 
 
-def extract(samples: DataFrame, extractor: Extractor, decoder: Callable[[bytes], np.ndarray] = decode_pcm16, rate: int = 16000) -> DataFrame:
-    """Features of ``samples`` (dataset_name, content binary, syllables, bpm): status ok, missing (null content) or error."""
+def decode_wav(rate: int = 16000) -> Callable[[bytes], np.ndarray]:
+    """A decoder of RIFF/WAVE files of 8, 16 or 32 bits: channels become one by their mean, and the rate becomes ``rate`` by
+    linear interpolation. Other containers are adapters of the same shape."""
+
+    def run(content: bytes) -> np.ndarray:
+        with wave.open(io.BytesIO(content)) as f:
+            own, channels, width, data = f.getframerate(), f.getnchannels(), f.getsampwidth(), f.readframes(f.getnframes())
+        x = (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128 if width == 1 else np.frombuffer(data, f"<i{width}").astype(np.float32) / (1 << (8 * width - 1))
+        x = x.reshape(-1, channels).mean(axis=1)
+        if own == rate or not len(x):
+            return x.astype(np.float32)
+        at = np.arange(len(x) * rate // own) * (own / rate)
+        return np.interp(at, np.arange(len(x)), x).astype(np.float32)
+
+    return run
+
+
+def open_file(path: str) -> bytes | None:
+    """What is in a file of any store that Arrow reads; None if it is not there or empty."""
+    bare = re.sub("^file:/*", "/", path)
+    store, inside = (pafs.LocalFileSystem(), bare) if bare.startswith("/") else pafs.FileSystem.from_uri(path)
+    try:
+        with store.open_input_stream(inside) as f:
+            return f.read() or None
+    except FileNotFoundError:
+        return None
+
+
+def extract(samples: DataFrame, extractor: Extractor, decoder: Callable[[bytes], np.ndarray] = decode_pcm16, rate: int = 16000, opener: Callable[[str], bytes | None] = open_file) -> DataFrame:
+    """Features of ``samples`` (dataset_name, syllables, bpm and either content binary or audio_path): status ok, missing (null
+    content, no such file, an empty one) or error."""
+    given = "content" if "content" in samples.columns else "audio_path"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                data, frames, bins, status = None, None, None, "ok"
-                if r.content is None:
-                    status = "missing"
-                else:
+            for at in range(0, len(pdf), 256):  # what is made of so many is in memory
+                rows = []
+                for r in pdf.iloc[at : at + 256].itertuples(index=False):
+                    data, frames, bins, status = None, None, None, "ok"
                     try:
-                        data, frames, bins = trim(*extractor(decoder(r.content), rate))
+                        content = r.source if given == "content" or r.source is None else opener(r.source)
+                        if content is None:
+                            status = "missing"
+                        else:
+                            data, frames, bins = trim(*extractor(decoder(content), rate))
                     except Exception:  # noqa: BLE001 - a bad file is a status, not a failed task
                         status = "error"
-                rows.append((r.dataset_name, data, frames, bins, r.syllables, r.bpm, status))
-            yield pd.DataFrame(rows, columns=["dataset_name", "input_features", "mel_frames", "mel_bins", "syllables", "bpm", "status"]).astype({"mel_frames": "Int32", "mel_bins": "Int32", "bpm": "Int32"})
+                    rows.append((r.dataset_name, data, frames, bins, r.syllables, r.bpm, status))
+                yield pd.DataFrame(rows, columns=["dataset_name", "input_features", "mel_frames", "mel_bins", "syllables", "bpm", "status"]).astype({"mel_frames": "Int32", "mel_bins": "Int32", "bpm": "Int32"})
 
-    return samples.select("dataset_name", "content", "syllables", "bpm").mapInPandas(run, FEATURE)
+    return samples.select("dataset_name", F.col(given).alias("source"), "syllables", "bpm").mapInPandas(run, FEATURE)
 
 
-def run_statistics(features: DataFrame) -> DataFrame:
-    """Counts by status, bytes stored and mean frames."""
+def statistics() -> list[Column]:
+    """Counts by status, bytes stored and mean frames, as aggregates: of a table, or observed while it is written."""
     ok = F.col("status") == "ok"
-    return features.agg(
+    return [
         F.count_if(ok).alias("num_samples"), F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.col("status") == "missing").alias("skipped_missing"),
         F.coalesce(F.sum(F.when(ok, F.octet_length("input_features"))), F.lit(0)).alias("total_bytes"),
         F.round(F.coalesce(F.sum(F.when(ok, F.col("mel_frames"))), F.lit(0)) / F.greatest(F.count_if(ok), F.lit(1)), 1).alias("avg_mel_frames"),
-    )
+    ]
+
+
+def run_statistics(features: DataFrame) -> DataFrame:
+    """``statistics`` of all rows."""
+    return features.agg(*statistics())

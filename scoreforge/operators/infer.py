@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,33 +16,52 @@ from .encode import prompt
 MODES = ("audio-only", "audio-lyric")
 #: Makes, once a worker, a function from (payloads, prompts) of a batch to texts. Its result for a sample must not depend on the batch.
 Factory = Callable[[], Callable[[list, list[str]], list[str]]]
-_MADE: dict[int, Callable] = {}
+#: Models that this worker has made, by what made them.
+_MADE: dict[str, Callable] = {}
 #: What raw audio gives in validation, where nothing is generated (a fixed text; it does not parse).
 NOT_SUPPORTED = "[generation not supported for raw audio mode]"
 
 
-def transcribe(samples: DataFrame, factory: Factory, payload: str, mode: str = "audio-only", lyrics: str | None = None, template: str = "", batch_size: int = 32) -> DataFrame:
+def transcribe(samples: DataFrame, factory: Factory, payload: str, mode: str = "audio-only", lyrics: str | None = None, template: str = "", batch_size: int = 32, batch: str | None = None) -> DataFrame:
     """``sample_id, text`` for each row of ``samples``. In ``audio-lyric`` mode every row needs lyrics: rows without get a null
-    text and the job goes on; no lyrics column at all is an error. Batches are runs of ``batch_size`` rows of a partition."""
+    text and the job goes on; no lyrics column at all is an error. Batches are runs of ``batch_size`` rows of a partition, or
+    rows of one value of column ``batch`` that stand next to each other. The model is made once a worker, however many tasks
+    it runs."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     if mode == "audio-lyric" and lyrics is None:
         raise ValueError("audio-lyric needs a lyrics column")
     known = F.when(F.trim(F.coalesce(F.col(lyrics), F.lit(""))) != "", F.col(lyrics)) if mode == "audio-lyric" else None
-    rows = samples.select("sample_id", F.col(payload).alias("payload"), prompt(F.lit(template), known).alias("prompt"))
+    rows = samples.select("sample_id", F.col(payload).alias("payload"), prompt(F.lit(template), known).alias("prompt"), (F.col(batch) if batch else F.lit(None)).cast("long").alias("batch"))
+    made_by = hashlib.md5(cloudpickle.dumps(factory)).hexdigest()
+
+    def texts_of(model, part: pd.DataFrame) -> pd.DataFrame:
+        ready = part["prompt"].notna()
+        own = part[ready]
+        texts = pd.Series([None] * len(part), index=part.index, dtype="object")
+        if len(own):
+            texts[ready] = model(own["payload"].tolist(), own["prompt"].tolist())
+        return pd.DataFrame({"sample_id": part["sample_id"], "text": texts})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = id(factory)
-        model = _MADE.get(key) or _MADE.setdefault(key, factory())
+        if made_by not in _MADE:
+            _MADE[made_by] = factory()
+        model, held = _MADE[made_by], None
         for pdf in batches:
-            for at in range(0, len(pdf), batch_size):
-                part = pdf.iloc[at : at + batch_size]
-                ready = part["prompt"].notna()
-                own = part[ready]
-                texts = pd.Series([None] * len(part), index=part.index, dtype="object")
-                if len(own):
-                    texts[ready] = model(own["payload"].tolist(), own["prompt"].tolist())
-                yield pd.DataFrame({"sample_id": part["sample_id"], "text": texts})
+            if not len(pdf):
+                continue
+            if batch is None:
+                for at in range(0, len(pdf), batch_size):
+                    yield texts_of(model, pdf.iloc[at : at + batch_size])
+                continue
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            run_no = (pdf["batch"] != pdf["batch"].shift()).cumsum()
+            for no, part in pdf.groupby(run_no):
+                if no < run_no.iloc[-1]:
+                    yield texts_of(model, part)
+            held = pdf[run_no == run_no.iloc[-1]]  # the next rows may belong to it
+        if held is not None:
+            yield texts_of(model, held)
 
     return rows.mapInPandas(run, "sample_id long, text string")
 

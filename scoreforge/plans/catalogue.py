@@ -11,7 +11,7 @@ from scoreforge.functions import tensors, vocab
 from scoreforge.operators import align, annotate, batching, encode, features, infer, metrics, parse, report, splits, words
 from scoreforge.schemas import SYLLABLES
 from scoreforge.session import ship
-from scoreforge.sources.annotations import budget
+from scoreforge.sources.annotations import budget, existing
 
 from .fixtures import annotations, damaged, songs, sylls, table, texts
 from .oracles import ORACLE_SQL
@@ -313,6 +313,15 @@ def right_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _padded(spark, sf_dir, False)
 
 
+@query
+def pad_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as features of 0 to 4 frames of 80 bins, in batches of neighbours (each of which has one of 4 frames)."""
+    n = (F.col("event_id") % 5).cast("int")
+    rows = table(spark, sf_dir, "events").select("event_id", F.lit(0).alias("batch"), n.alias("mel_frames"), F.lit(80).alias("mel_bins"), F.unhex(F.repeat(F.lit("3c00"), n * 80)).alias("input_features"))
+    rows = tensors.padded_frames(rows.withColumn("batch", F.floor(F.col("event_id") / 500)), ["batch"])
+    return rows.select("event_id", F.octet_length("input_features").alias("n_bytes"), F.aggregate("feature_mask", F.lit(0), lambda s, x: s + x).alias("n_real"), F.size("feature_mask").alias("n_mask"))
+
+
 @query
 def generated_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(spark, sf_dir).select("sid", _joined(tensors.generated(F.col("ids"), F.lit(1), F.lit(2))).alias("ids"))
@@ -334,6 +343,11 @@ def semi_join_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(there, "l_orderkey", "left_semi").groupBy(F.col("l_orderkey").alias("sid")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def existing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return existing(spark, sf_dir).select(F.regexp_extract("found", "([^/]+)$", 1).alias("name")).where(F.endswith("name", F.lit(".parquet")))
+
+
 @query
 def latest_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [("checkpoint-200", True), ("checkpoint-1000", True), ("checkpoint-x", True), ("checkpoint-9999", False), ("other-5000", True)]

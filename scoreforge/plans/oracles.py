@@ -116,14 +116,14 @@ syl AS (SELECT a.sid, l.w AS word_no, l.k, a.word[l.w + 1] AS char, CASE WHEN l.
   CASE WHEN l.k < len(a.note) THEN a.note[l.k + 1] ELSE '<NOTE_4>' END AS note FROM links l JOIN ann a USING (sid) WHERE l.w < len(a.word))"""
 
 
-def packed(name: str, weight: str, budget: int, cap: int) -> str:
-    """CTE of the greedy packing of documents by n_chars; ``weight`` is a batch's with the next row."""
+def packed(name: str, weight: str, budget: int, cap: int, parts: int = 1) -> str:
+    """CTE of the greedy packing of documents by n_chars, in parts of equal numbers of rows; ``weight`` is a batch's with the next row."""
     return f"""
-ord AS (SELECT doc_id, n_chars AS n, row_number() OVER (ORDER BY n_chars, doc_id) AS r FROM documents),
-{name} AS (SELECT r, doc_id, n, CAST(0 AS BIGINT) AS batch_id, CAST(0 AS INTEGER) AS pos, CAST(n AS HUGEINT) AS total, n AS most FROM ord WHERE r = 1
+ord AS (SELECT doc_id, n_chars AS n, row_number() OVER (ORDER BY n_chars, doc_id) AS r, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) * {parts} // count(*) OVER () AS part FROM documents),
+{name} AS (SELECT r, doc_id, n, part, CAST(0 AS BIGINT) AS batch_id, CAST(0 AS INTEGER) AS pos, CAST(n AS HUGEINT) AS total, n AS most FROM ord WHERE r = 1
   UNION ALL
-  SELECT o.r, o.doc_id, o.n, CASE WHEN c THEN b + 1 ELSE b END, CASE WHEN c THEN 0 ELSE p + 1 END, CASE WHEN c THEN o.n ELSE t + o.n END, CASE WHEN c THEN o.n ELSE greatest(m, o.n) END
-  FROM (SELECT x.batch_id AS b, x.pos AS p, x.total AS t, x.most AS m, y.*, {weight} > {budget} OR x.pos + 1 >= {cap} AS c FROM {name} x JOIN ord y ON y.r = x.r + 1) o)"""
+  SELECT o.r, o.doc_id, o.n, o.part, CASE WHEN c THEN b + 1 ELSE b END, CASE WHEN c THEN 0 ELSE p + 1 END, CASE WHEN c THEN o.n ELSE t + o.n END, CASE WHEN c THEN o.n ELSE greatest(m, o.n) END
+  FROM (SELECT x.batch_id AS b, x.pos AS p, x.total AS t, x.most AS m, y.*, {weight} > {budget} OR x.pos + 1 >= {cap} OR x.part <> y.part AS c FROM {name} x JOIN ord y ON y.r = x.r + 1) o)"""
 
 
 SUM_W, PAD_W = "x.total + y.n", "(x.pos + 2) * greatest(x.most, y.n)"
@@ -177,6 +177,10 @@ SELECT m.sid, m.cer, CAST(CASE WHEN m.readable THEN coalesce(zn.n, 0) ELSE 0 END
   UNION ALL SELECT 'documents', 1, doc_id, CAST(length(text) AS INTEGER) FROM documents)) WHERE r <= 150""",
     "pack_sum": f"WITH RECURSIVE {PACK} SELECT batch_id, pos, doc_id AS sample_id, n AS length FROM pk",
     "pack_padded": f"WITH RECURSIVE {packed('pk', PAD_W, 24000, 64)} SELECT batch_id, pos, doc_id AS sample_id, n AS length FROM pk",
+    "pack_by_ranges": f"WITH RECURSIVE {packed('pk', SUM_W, 24000, 32, 4)} SELECT batch_id, pos, doc_id AS sample_id, n AS length FROM pk",
+    "bucketed_shuffle": "SELECT doc_id, n_chars, CAST((row_number() OVER (ORDER BY n_chars, doc_id) - 1) // greatest(100, count(*) OVER () // 10) AS INTEGER) AS chunk FROM documents",
+    "existing_files": "SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' AS name",
+    "pad_frames": "SELECT event_id, 4 * 160 AS n_bytes, CAST(event_id % 5 AS INTEGER) AS n_real, 4 AS n_mask FROM events",
     "pack_drop_last": f"WITH RECURSIVE {PACK}, s AS (SELECT batch_id, count(*) AS n FROM pk GROUP BY batch_id) SELECT batch_id, count(*) AS n FROM pk WHERE NOT (batch_id = (SELECT max(batch_id) FROM pk) AND (SELECT arg_max(n, batch_id) FROM s) < 40) GROUP BY batch_id",
     "rank_shards": f"WITH RECURSIVE {PACK} SELECT CAST(batch_id % 4 AS INTEGER) AS rank, count(DISTINCT batch_id) AS n_batches, count(*) AS n_samples FROM pk GROUP BY 1",
     "pad_world": f"WITH RECURSIVE {PACK}, m AS (SELECT max(batch_id) + 1 AS n FROM pk) SELECT i AS batch_id, i % n AS source_id FROM m, range(0, 1000000) r(i) WHERE i < ((n + 6) // 7) * 7",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from scoreforge.config import RunConfig
@@ -10,20 +12,25 @@ from scoreforge.functions import tensors
 from scoreforge.operators import batching, encode, features, infer, metrics, report, splits
 from scoreforge.sources import annotations, sinks
 
+#: What a preprocessing run tells of itself.
+STATISTICS = "num_samples long, num_shards long, errors long, skipped_missing long, elapsed_seconds double, format string, sample_rate int, num_workers int, total_bytes long, avg_mel_frames double"
+
 
 def preprocess(spark: SparkSession, config: RunConfig, extractor: features.Extractor, decoder=features.decode_pcm16) -> DataFrame:
     """Reads all data sets, extracts features and writes those that are ok; returns the run's statistics (one row).
 
-    Audio is read by Spark where the samples need it, a file a row; failures are statuses.
+    Each task opens its samples' audio by path; failures are statuses. Counts are observed while the features are written.
     """
     samples = annotations.all_datasets(spark, config.datasets, config.max_samples)
-    roots = sorted({d.get("audio_root") or d["root"] for d in config.datasets if d.get("audio_root") or d.get("root")})
-    bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
-    audio = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).select(bare(F.col("path")).alias("_p"), "content")
-    rows = samples.withColumn("_p", bare(F.col("audio_path"))).join(audio, "_p", "left")
-    made = features.extract(rows, extractor, decoder, config.sample_rate).persist()
+    seen, began = Observation("preprocess"), time.monotonic()
+    made = features.extract(samples, extractor, decoder, config.sample_rate).observe(seen, *features.statistics())
     sinks.write_features(made, config.output_dir, config.shard_size)
-    return features.run_statistics(made)
+    took = round(time.monotonic() - began, 1)
+    counts = seen.get
+    shards = sinks.files(spark, config.output_dir) if counts["num_samples"] else 0
+    run = {"num_shards": shards, "elapsed_seconds": took, "format": "parquet", "sample_rate": config.sample_rate, "num_workers": spark.sparkContext.defaultParallelism}
+    row = {**counts, **run}
+    return spark.createDataFrame([tuple(row[c.split()[0]] for c in STATISTICS.split(", "))], STATISTICS)
 
 
 def targets(samples: DataFrame, config: RunConfig) -> DataFrame:
@@ -47,26 +54,38 @@ def train_and_validation(spark: SparkSession, config: RunConfig) -> tuple[DataFr
     return train, val
 
 
-def training_batches(samples: DataFrame, config: RunConfig, epoch: int = 0, partitions: int = 1, drop_last: bool = False) -> DataFrame:
-    """batch_id, pos, sample_id, length under the padded budget, and ``turn``: a random order of the batches for the epoch."""
-    made = batching.pack(samples, "mel_frames", budget=config.max_batch_tokens, cap=config.max_batch_size, padded=True, partitions=partitions)
+def training_batches(samples: DataFrame, config: RunConfig, epoch: int = 0, partitions: int | None = None, drop_last: bool = False, shuffle: bool = True) -> DataFrame:
+    """batch_id, pos, sample_id, length under the padded budget, and ``turn``: a random order of the batches for the epoch. Rows are
+    shuffled among others of like length before they are packed, anew for each epoch; without ``shuffle`` they come, and so do
+    the batches, in order of sample_id."""
+    size = {"budget": config.max_batch_tokens, "cap": config.max_batch_size, "padded": True}
+    if shuffle:
+        ordered = batching.shuffled_order(samples, "mel_frames", config.seed, epoch, partitions=partitions)
+        made = batching.pack(ordered, "mel_frames", order="order_key", part="part", **size)
+    else:
+        made = batching.pack(samples, "mel_frames", order="sample_id", **size)
     made = batching.drop_last(made) if drop_last else made
-    return made.withColumn("turn", F.xxhash64(F.lit(config.seed + epoch), "batch_id"))
+    return made.withColumn("turn", F.xxhash64(F.lit(config.seed + epoch), "batch_id") if shuffle else F.col("batch_id"))
 
 
 def collate(rows: DataFrame, by: list[str], pad_id: int, audio_id: int | None = None) -> DataFrame:
     """Rows (ids, prefix, mel_frames) of batches as model inputs: the placeholder expanded to the audio's tokens, ids padded on
-    the right, attention mask, and labels that ignore prefix and padding."""
+    the right, attention mask, and labels that ignore prefix and padding. Features that are there (input_features, mel_bins:
+    frames by bins of half floats) are filled up with silent frames to the longest of the batch, with a mask of the real ones."""
     if audio_id is not None:
         n = tensors.encoder_length(F.col("mel_frames"))
         rows = rows.withColumn("prefix", tensors.expanded_prefix(F.col("prefix"), F.col("ids"), audio_id, n)).withColumn("ids", tensors.expand_placeholder(F.col("ids"), audio_id, n))
+    if "input_features" in rows.columns:
+        rows = tensors.padded_frames(rows, by)
     return tensors.padded(rows, "ids", by, pad_id).withColumn("labels", tensors.label_mask(F.col("ids"), F.col("prefix"), pad_id))
 
 
-def transcribe(samples: DataFrame, factory: infer.Factory, payload: str, frames: str, budget: int = 24_000, cap: int = 32, **options) -> DataFrame:
-    """Texts in the order of sample_id: rows meet in ranges of length, so that a task's batches hold like lengths."""
-    ranged = samples.repartitionByRange(frames, "sample_id").sortWithinPartitions(frames, "sample_id")
-    return infer.transcribe(ranged, factory, payload, batch_size=cap, **options).orderBy("sample_id")
+def transcribe(samples: DataFrame, factory: infer.Factory, payload: str, frames: str, budget: int = 24_000, cap: int = 32, partitions: int | None = None, **options) -> DataFrame:
+    """Texts in the order of sample_id. Batches hold samples of like length, at most ``cap`` and at most ``budget`` frames in all
+    (no bound if 0); a batch is one task's, and batches are dealt to tasks by their numbers."""
+    batches = batching.pack(samples, frames, budget=budget, cap=cap, partitions=partitions).select("batch_id", "pos", "sample_id")
+    dealt = samples.join(batches, "sample_id").repartition("batch_id").sortWithinPartitions("batch_id", "pos")
+    return infer.transcribe(dealt, factory, payload, batch="batch_id", **options).orderBy("sample_id")
 
 
 def evaluate(references: DataFrame, predictions: DataFrame, step: int, table: str | None = None) -> tuple[DataFrame, DataFrame]:

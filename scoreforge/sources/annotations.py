@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,5 +103,7 @@ def stored(spark: SparkSession, path: str, columns: list[str] | None = None) ->
 
 
 def arrays(spark: SparkSession, waves: list) -> DataFrame:
-    """In-memory waveforms as a table (sample_id, wave)."""
-    return spark.createDataFrame([(i, [float(x) for x in w]) for i, w in enumerate(waves)], "sample_id long, wave array<float>")
+    """In-memory waveforms as a table (sample_id, wave), by Arrow."""
+    flat = [np.asarray(w, np.float32) for w in waves]
+    wave = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(w) for w in flat])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.float32), *flat])))
+    return spark.createDataFrame(pa.table({"sample_id": pa.array(range(len(flat)), pa.int64()), "wave": wave}), "sample_id long, wave array<float>")

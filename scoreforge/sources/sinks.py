@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_features(features: DataFrame, path: str, shard_size: int = 50000) -> None:
@@ -14,3 +15,9 @@ def write_features(features: DataFrame, path: str, shard_size: int = 50000) -> N
 def append_scalars(scalars: DataFrame, path: str) -> None:
     """(step, key, value) rows added to the metrics table."""
     scalars.coalesce(1).write.mode("append").parquet(path)
+
+
+def files(spark: SparkSession, path: str) -> int:
+    """How many Parquet files a table has; no content is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    return found.agg(F.count("path")).first()[0]

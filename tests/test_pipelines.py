@@ -24,6 +24,8 @@ def test_preprocess_to_scores(spark, tmp_path):
     config = RunConfig.load(str(tmp_path / "run.json"), max_samples=None)
     stats = pipelines.preprocess(spark, config, features.energy_bins()).first()
     assert (stats.num_samples, stats.errors, stats.skipped_missing, stats.avg_mel_frames) == (6, 2, 0, 4.0)
+    assert stats.num_shards == len(list((tmp_path / "preprocessed").rglob("*.parquet"))) and stats.total_bytes == 2 * 2 * 8 * (2 + 4 + 6)
+    assert (stats.format, stats.sample_rate) == ("parquet", 16000) and stats.elapsed_seconds > 0 and stats.num_workers > 0
     train, val = pipelines.train_and_validation(spark, config)
     assert train.count() == val.count() == 3
     made = pipelines.targets(val.withColumn("sample_id", F.col("mel_frames").cast("long")), config)
@@ -53,7 +55,111 @@ def test_checkpoints(tmp_path):
     assert best.endswith("checkpoint-1000") and checkpoints.latest(str(tmp_path / "none")) is None
     header = json.dumps({"__metadata__": {}, "a.embed_tokens.weight": {"shape": [100, 4]}, "lm_head.weight": {"shape": [120, 4]}, "x": {"shape": [999]}}).encode()
     (tmp_path / "checkpoint-1000/m.safetensors").write_bytes(struct.pack("<Q", len(header)) + header)
-    (tmp_path / "checkpoint-1000/config.json").write_text(json.dumps({"text": {"hidden_size": 1024}}))
+    (tmp_path / "checkpoint-1000/config.json").write_text(json.dumps({"audio_config": {"hidden_size": 4096}, "thinker_config": {"text_config": {"hidden_size": 1024}}}))
     (tmp_path / "checkpoint-1000/vocab.json").write_text("{}")
-    assert checkpoints.vocabulary_size(best) == 120 and checkpoints.is_small(best) and checkpoints.is_small(str(tmp_path)) is None
-    assert checkpoints.copy_tokenizer(best, str(tmp_path)) == ["vocab.json"]
+    assert checkpoints.vocabulary_size(best) == 120
+    small, large = checkpoints.BASE_MODELS
+    assert checkpoints.base_model(best) == small and checkpoints.base_model(str(tmp_path)) == large
+    (tmp_path / "config.json").write_text(json.dumps({"text_config": {"hidden_size": 2048}}))
+    assert checkpoints.base_model(str(tmp_path)) == large
+    (tmp_path / "training_args.bin").write_bytes(b"x")
+    assert checkpoints.base_model(str(tmp_path), lambda p: type("Args", (), {"_name_or_path": "own"})) == "own"
+    assert checkpoints.base_model(str(tmp_path), lambda p: 1 / 0) == large and checkpoints.base_model(str(tmp_path), lambda p: object()) == large
+    assert checkpoints.copy_needed(best, str(tmp_path / "new")) == ["config.json", "vocab.json"] and (tmp_path / "new/config.json").is_file()
+
+
+def test_collated_features(spark):
+    rows = [(0, [1], 0, 2, np.ones((2, 3))), (0, [1, 2], 1, 4, np.ones((4, 3)) * 2), (1, [5], 0, 0, np.ones((0, 3)))]
+    df = spark.createDataFrame([(b, i, p, n, 3, bytearray(m.astype("<f2").tobytes())) for b, i, p, n, m in rows], "batch int, ids array<int>, prefix int, mel_frames int, mel_bins int, input_features binary")
+    got = pipelines.collate(df, ["batch"], 0).orderBy("batch", "mel_frames").collect()
+    assert [features.frames_of(bytes(r.input_features), 4 if r.batch == 0 else 0, 3).sum(axis=1).tolist() for r in got] == [[3, 3, 0, 0], [6, 6, 6, 6], []]
+    assert [r.feature_mask for r in got] == [[1, 1, 0, 0], [1, 1, 1, 1], []]
+
+
+def greedy(rows, budget, cap, padded):
+    out, now = [], []
+    for row in rows:
+        most = max([n for _, n in now] + [row[1]])
+        weight = (len(now) + 1) * most if padded else sum(n for _, n in now) + row[1]
+        if now and (weight > budget or len(now) >= cap):
+            out.append(now)
+            now = []
+        now.append(row)
+    return out + [now] if now else out
+
+
+def test_transcription_keeps_its_budget(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, int(n), f"s{i}") for i, n in enumerate(rng.integers(1, 400, 700))]
+    df = spark.createDataFrame(rows, "sample_id long, frames int, payload string").repartition(5)
+
+    def factory():
+        return lambda payloads, prompts: [",".join(payloads)] * len(payloads)  # each text tells its batch
+
+    got = {r.sample_id: r.text for r in pipelines.transcribe(df, factory, "payload", "frames", budget=1000, cap=8).collect()}
+    want = greedy(sorted(((i, n) for i, n, _ in rows), key=lambda r: (r[1], r[0])), 1000, 8, False)
+    assert got == {i: ",".join(f"s{j}" for j, _ in batch) for batch in want for i, _ in batch}
+
+
+def test_models_are_made_once_a_worker(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def make(word):
+        def factory():
+            calls.add(1)
+            return lambda payloads, prompts: [word] * len(payloads)
+
+        return factory
+
+    df = spark.range(400).select(F.col("id").alias("sample_id"), F.lit("x").alias("payload")).repartition(40)
+    for word in ("a", "b"):
+        assert {r.text for r in infer.transcribe(df, make(word), "payload").collect()} == {word}
+
+
+def test_training_batches_differ_by_epoch(spark):
+    rng = np.random.default_rng(2)
+    lens = rng.integers(1, 60, 950).tolist()
+    df = spark.createDataFrame(list(enumerate(lens)), "sample_id long, mel_frames int")
+    config = RunConfig(max_batch_tokens=400, max_batch_size=9)
+    by_epoch = []
+    for epoch, parts in ((0, None), (0, None), (1, None), (1, 30)):
+        got = pipelines.training_batches(df, config, epoch, partitions=parts).collect()
+        batches = {}
+        for r in sorted(got, key=lambda r: r.pos):
+            batches.setdefault((r.turn, r.batch_id), []).append((r.sample_id, r.length))
+        assert sorted(i for b in batches.values() for i, _ in b) == list(range(950))
+        assert all(len(b) <= 9 and (len(b) == 1 or len(b) * max(n for _, n in b) <= 400) for b in batches.values())
+        by_epoch.append(sorted(map(sorted, batches.values())))
+        if parts is None:  # packed in the shuffled order, chunks of like length
+            from scoreforge.operators import batching
+
+            order = [(r.sample_id, r.mel_frames) for r in batching.shuffled_order(df, "mel_frames", config.seed, epoch).orderBy("order_key").collect()]
+            assert [batches[k] for k in sorted(batches, key=lambda k: k[1])] == greedy(order, 400, 9, True)
+    assert by_epoch[0] == by_epoch[1] != by_epoch[2]
+    plain = pipelines.training_batches(df, config, shuffle=False).collect()
+    assert [[i for i, _ in b] for b in greedy(list(enumerate(lens)), 400, 9, True)] == [sorted(r.sample_id for r in plain if r.batch_id == no) for no in range(max(r.batch_id for r in plain) + 1)]
+
+
+def test_wave_files(tmp_path):
+    import io
+    import wave
+
+    def file(rate, channels, width, data):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as f:
+            f.setnchannels(channels)
+            f.setsampwidth(width)
+            f.setframerate(rate)
+            f.writeframes(data)
+        return out.getvalue()
+
+    tone = (np.sin(np.arange(8000) / 20) * 20000).astype("<i2")
+    same = features.decode_wav(8000)(file(8000, 1, 2, tone.tobytes()))
+    assert np.allclose(same, tone / 32768) and same.dtype == np.float32
+    stereo = features.decode_wav(8000)(file(8000, 2, 2, np.stack([tone, -tone], axis=1).tobytes()))
+    assert not stereo.any()
+    double = features.decode_wav(16000)(file(8000, 1, 2, tone.tobytes()))
+    assert len(double) == 16000 and np.allclose(double[::2], same) and np.allclose(double[1:-1:2], (same[:-1] + same[1:]) / 2, atol=1e-6)
+    assert np.allclose(features.decode_wav(8000)(file(8000, 1, 1, bytes([0, 128, 255]))), [-1, 0, 127 / 128])
+    (tmp_path / "e.wav").write_bytes(b"")
+    assert features.open_file(str(tmp_path / "no.wav")) is None and features.open_file(f"file://{tmp_path}/e.wav") is None
