@@ -2,43 +2,123 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scoreforge.functions.expr import let
 from scoreforge.schemas import ALIGNED
 
-def align_lists(a: list, b: list, gap: int = 1) -> list[tuple[int | None, int | None]]:
-    """Index pairs, null where one side has a gap. Ties go, from the end, to a diagonal step, then to an element of ``a`` alone."""
-    if a == b:
-        return [(i, i) for i in range(len(a))]
-    m, n = len(a), len(b)
-    cost = [[j * gap for j in range(n + 1)]]
-    for i, x in enumerate(a, 1):
-        above, row = cost[-1], [i * gap]
-        for j, y in enumerate(b, 1):
-            row.append(min(above[j - 1] + (x != y), above[j] + gap, row[-1] + gap))
-        cost.append(row)
-    out, i, j = [], m, n
-    while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif i and cost[i][j] == cost[i - 1][j] + gap:
-            i -= 1
-            out.append((i, None))
-        else:
-            j -= 1
-            out.append((None, j))
-    return out[::-1]
+#: Cells of the tables of steps that are filled at once.
+CELLS = 1 << 24
+DIAGONAL, UP, LEFT = range(3)
+
+
+def flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The elements of an array of lists one after another, and the n+1 offsets; null lists count as empty."""
+    lens = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten(), np.concatenate([[0], np.cumsum(lens)])
+
+
+def coded(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of two arrays of strings, equal where the strings (or nulls) are."""
+    both = pa.concat_arrays([a.cast(pa.string()), b.cast(pa.string())])
+    codes = pc.fill_null(both.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int32)
+    return codes[: len(a)], codes[len(a) :]
+
+
+def align_many(a: np.ndarray, a_offs: np.ndarray, b: np.ndarray, b_offs: np.ndarray, gap: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Alignments of many pairs of sequences, pair ``i`` being ``a[a_offs[i]:a_offs[i + 1]]`` and the same of ``b``: places in either,
+    -1 for a gap, one alignment after another, and the offsets. Least cost (1 for two that differ, ``gap`` for one alone); ties
+    go, from the end, to a pair, then to an element of ``a`` alone.
+
+    Pairs of like size fill their tables together, a row of all of them at a time: along a row, the steps to the right are
+    a running minimum. Then all go back together, a step at a time.
+    """
+    m, n = np.diff(a_offs), np.diff(b_offs)
+    count = len(m)
+    length, parts = np.zeros(count, np.int64), []
+    bucket = lambda x: np.where(x > 0, 1 << np.ceil(np.log2(np.maximum(x, 1))).astype(np.int64), 0)
+    wide, high = bucket(n), bucket(m)
+    order = np.lexsort((n, m, wide, high))
+    sorted_sizes = np.stack([high[order], wide[order]])
+    cuts = [0, *(np.flatnonzero((sorted_sizes[:, 1:] != sorted_sizes[:, :-1]).any(axis=0)) + 1).tolist(), count] if count else [0]
+    for s, e in zip(cuts, cuts[1:]):
+        some = max(1, CELLS // int((high[order[s]] + 1) * (wide[order[s]] + 1)))
+        for at in range(s, e, some):
+            own = order[at : min(e, at + some)]
+            g, p, size = _together(_rows(a, a_offs, own), m[own], _rows(b, b_offs, own), n[own], gap)
+            length[own] = size
+            parts.append((own, g, p, size))
+    offs = np.concatenate([[0], np.cumsum(length)])
+    g_all, p_all = np.zeros(offs[-1], np.int32), np.zeros(offs[-1], np.int32)
+    for own, g, p, size in parts:
+        to = np.repeat(offs[own] - (np.cumsum(size) - size), size) + np.arange(len(g))
+        g_all[to], p_all[to] = g, p
+    return g_all, p_all, offs
+
+
+def _rows(x: np.ndarray, offs: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Sequences as rows of one matrix; behind their ends stands what is never looked at."""
+    lens = offs[own + 1] - offs[own]
+    out = np.zeros((len(own), int(lens.max(initial=0))), np.int32)
+    row = np.repeat(np.arange(len(own)), lens)
+    col = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
+    out[row, col] = x[np.repeat(offs[own], lens) + col]
+    return out
+
+
+def _together(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    count, high, wide = len(m), a.shape[1], b.shape[1]
+    steps = np.empty((high + 1, count, wide + 1), np.uint8)
+    steps[0], steps[:, :, 0] = LEFT, UP
+    slope = np.arange(wide + 1, dtype=np.int32) * gap
+    above = np.broadcast_to(slope, (count, wide + 1)).copy()
+    for i in range(1, high + 1):
+        row = above + gap
+        pair = above[:, :-1] + (a[:, i - 1 : i] != b)
+        np.minimum(row[:, 1:], pair, out=row[:, 1:])
+        row = np.minimum.accumulate(row - slope, axis=1) + slope
+        steps[i, :, 1:] = np.where(row[:, 1:] == pair, DIAGONAL, np.where(row[:, 1:] == above[:, 1:] + gap, UP, LEFT))
+        above = row
+    g, p = np.full((count, high + wide), -1, np.int32), np.full((count, high + wide), -1, np.int32)
+    i, j, size = m.astype(np.int64), n.astype(np.int64), np.zeros(count, np.int64)
+    live = np.flatnonzero((i > 0) | (j > 0))
+    while len(live):
+        step = steps[i[live], live, j[live]]
+        up, left = live[step != LEFT], live[step != UP]
+        i[up] -= 1
+        j[left] -= 1
+        at = high + wide - 1 - size
+        g[up, at[up]] = i[up]
+        p[left, at[left]] = j[left]
+        size[live] += 1
+        live = live[(i[live] > 0) | (j[live] > 0)]
+    real = np.arange(high + wide) >= (high + wide - size)[:, None]
+    return g[real], p[real], size
+
+
+def cells(g: np.ndarray, p: np.ndarray) -> pa.Array:
+    """Places of alignments as structs, null for a gap."""
+    return pa.StructArray.from_arrays([pa.array(x, pa.int32(), mask=x < 0) for x in (g, p)], ["g", "p"])
+
+
+def listed(values: pa.Array, offs: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), values, mask=None if mask is None else pa.array(mask))
 
 
 def _udf(gap: int):
     @F.arrow_udf(ALIGNED.elementType)
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        pairs = [None if x is None or y is None else [{"g": g, "p": p} for g, p in align_lists(x, y, gap)] for x, y in zip(a.to_pylist(), b.to_pylist())]
-        return pa.array(pairs, pa.list_(pa.struct([("g", pa.int32()), ("p", pa.int32())])))
+        (x, x_offs), (y, y_offs) = flat(a), flat(b)
+        x, y = coded(x, y)
+        g, p, offs = align_many(x, x_offs, y, y_offs, gap)
+        void = pc.or_(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+        keep = ~np.repeat(void, np.diff(offs))
+        size = np.where(void, 0, np.diff(offs))
+        return listed(cells(g[keep], p[keep]), np.concatenate([[0], np.cumsum(size)]), void)
 
     return run
 

@@ -6,7 +6,9 @@ and Python runs only in the alignments.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +16,7 @@ from pyspark.sql import types as T
 from scoreforge.functions.vocab import SILENCES, note_beats, seconds_per_beat
 from scoreforge.schemas import ALIGNED
 
-from . import parse, words
-from .align import align_lists
+from . import align, parse, words
 
 #: (name, needs the extra flag)
 MEANS = (("cer", False), ("pitch_mae", False), ("note_mae", False), ("dur_mae", False), ("bpm_mae", False), ("pitch_error_rate", True), ("note_num_mean_error", True))
@@ -37,19 +38,55 @@ def prepared(rows: DataFrame, gt: str = "gt_text", pred: str = "pred_text") -> D
 ADDED = T.StructType(
     [T.StructField("_words", ALIGNED.elementType), T.StructField("_errors", T.IntegerType()), T.StructField("_n_gl", T.IntegerType()), T.StructField("_n_pl", T.IntegerType()), T.StructField("_n_gw", T.IntegerType()), T.StructField("_n_pw", T.IntegerType()), T.StructField("_facing", ALIGNED.elementType), T.StructField("_notes", ALIGNED)]
 )
-_CELLS = pa.list_(pa.struct([("g", pa.int32()), ("p", pa.int32())]))
-_KINDS = (_CELLS, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), _CELLS, pa.list_(_CELLS))
 
 
-def _one(gc: list, pc: list, gk: list, pk: list, by_place: bool) -> tuple:
-    """Alignments of one sample: characters and note keys of its words."""
-    cells = lambda pairs: [{"g": g, "p": p} for g, p in pairs]
-    met = align_lists(gc, pc)
-    gs, ps = ([i for i, c in enumerate(x) if c not in SILENCES] for x in (gc, pc))
-    gl, pl = [gc[i] for i in gs], [pc[i] for i in ps]
-    errors = sum(g is None or p is None or gl[g] != pl[p] for g, p in align_lists(gl, pl))
-    facing = list(zip(gs, ps)) if by_place else [(g, p) for g, p in met if g is not None and p is not None]
-    return cells(met), errors, len(gl), len(pl), len(gc), len(pc), cells(facing), [cells(align_lists(gk[g], pk[p])) for g, p in facing]
+def _alignments(gc: pa.Array, pc_: pa.Array, gk: pa.Array, pk: pa.Array, by_place: bool) -> list[pa.Array]:
+    """``ADDED`` for a batch: characters and note keys of the samples' words."""
+    (g_char, g_offs), (p_char, p_offs) = align.flat(gc), align.flat(pc_)
+    g, p = align.coded(g_char, p_char)
+    met_g, met_p, met_offs = align.align_many(g, g_offs, p, p_offs)
+    rows = len(gc)
+    silent = pa.array(SILENCES)
+    sides = []
+    for chars, codes, offs in ((g_char, g, g_offs), (p_char, p, p_offs)):
+        sung = np.flatnonzero(~pc.is_in(chars, silent).to_numpy(zero_copy_only=False))
+        row = np.searchsorted(offs, sung, side="right") - 1
+        sides.append((codes[sung], sung - offs[row], row, np.searchsorted(row, np.arange(rows + 1))))
+    (gl, g_at, g_row, gl_offs), (pl, p_at, p_row, pl_offs) = sides
+    lg, lp, l_offs = align.align_many(gl, gl_offs, pl, pl_offs)
+    of = np.repeat(np.arange(rows), np.diff(l_offs))
+    wrong = (lg < 0) | (lp < 0)
+    both = np.flatnonzero(~wrong)
+    wrong[both] = gl[gl_offs[of[both]] + lg[both]] != pl[pl_offs[of[both]] + lp[both]]
+    errors = np.bincount(of[wrong], minlength=rows)
+    if by_place:
+        n = np.minimum(np.diff(gl_offs), np.diff(pl_offs))
+        face_row = np.repeat(np.arange(rows), n)
+        k = np.arange(len(face_row)) - np.repeat(np.cumsum(n) - n, n)
+        face_g, face_p = g_at[gl_offs[face_row] + k], p_at[pl_offs[face_row] + k]
+    else:
+        at = np.flatnonzero((met_g >= 0) & (met_p >= 0))
+        face_row = np.repeat(np.arange(rows), np.diff(met_offs))[at]
+        face_g, face_p = met_g[at], met_p[at]
+    face_offs = np.searchsorted(face_row, np.arange(rows + 1))
+    notes = []
+    for keys, place in ((gk, face_g), (pk, face_p)):
+        words_, word_offs = align.flat(keys)
+        key, key_offs = align.flat(words_)
+        word = word_offs[face_row] + place
+        notes.append((key, key_offs[word], key_offs[word + 1] - key_offs[word]))
+    (gk_, g_from, g_n), (pk_, p_from, p_n) = notes
+    codes = align.coded(gk_, pk_)
+    seqs = []
+    for x, start, n in zip(codes, (g_from, p_from), (g_n, p_n)):
+        offs = np.concatenate([[0], np.cumsum(n)])
+        seqs += [x[np.repeat(start - offs[:-1], n) + np.arange(offs[-1])], offs]
+    note_g, note_p, note_offs = align.align_many(*seqs)
+    ints = lambda x: pa.array(np.asarray(x, np.int32))
+    return [
+        align.listed(align.cells(met_g, met_p), met_offs), ints(errors), ints(np.diff(gl_offs)), ints(np.diff(pl_offs)), ints(np.diff(g_offs)), ints(np.diff(p_offs)),
+        align.listed(align.cells(face_g, face_p), face_offs), align.listed(align.listed(align.cells(note_g, note_p), note_offs), face_offs),
+    ]
 
 
 def aligned(rows: DataFrame, length_matched: bool = False) -> DataFrame:
@@ -67,8 +104,7 @@ def aligned(rows: DataFrame, length_matched: bool = False) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            made = [_one(*r, length_matched) for r in zip(*(batch.column(i).to_pylist() for i in places))]
-            cols = [pa.array(c, k) for c, k in zip(zip(*made) if made else [[]] * len(_KINDS), _KINDS)]
+            cols = _alignments(*(batch.column(i) for i in places), length_matched)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in back), *cols], [*(names[i] for i in back), *ADDED.names])
 
     out = out.mapInArrow(run, T.StructType([*(out.schema.fields[i] for i in back), *ADDED.fields]))

@@ -112,6 +112,51 @@ def test_alignments_agree(spark):
         assert r.d == sum(g is None or p is None or r.a[g] != r.b[p] for g, p in pairs)
 
 
+def align_plain(a, b, gap=1):
+    """Index pairs of two sequences by the definition of the cost, memorised, going back from the ends."""
+    from functools import cache
+
+    @cache
+    def cost(i, j):
+        if not i or not j:
+            return (i + j) * gap
+        return min(cost(i - 1, j - 1) + (a[i - 1] != b[j - 1]), cost(i - 1, j) + gap, cost(i, j - 1) + gap)
+
+    out, i, j = [], len(a), len(b)
+    while i or j:
+        if i and j and cost(i, j) == cost(i - 1, j - 1) + (a[i - 1] != b[j - 1]):
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif i and cost(i, j) == cost(i - 1, j) + gap:
+            i -= 1
+            out.append((i, -1))
+        else:
+            j -= 1
+            out.append((-1, j))
+    return out[::-1]
+
+
+@pytest.mark.parametrize("gap,cells", [(1, 1 << 24), (2, 500), (0, 1 << 24), (3, 40)])
+def test_many_alignments(monkeypatch, gap, cells):
+    import numpy as np
+
+    monkeypatch.setattr(align, "CELLS", cells)
+    rng = random.Random(gap)
+    pairs = [tuple([rng.randrange(k) for _ in range(rng.choice([0, 1, 2, rng.randint(0, 30)]))] for _ in range(2)) for k in (1, 2, 3, 9) for _ in range(120)]
+    offs = [np.cumsum([0] + [len(p[s]) for p in pairs]) for s in (0, 1)]
+    g, p, at = align.align_many(np.array([x for q in pairs for x in q[0]]), offs[0], np.array([x for q in pairs for x in q[1]]), offs[1], gap)
+    for i, (a, b) in enumerate(pairs):
+        assert list(zip(g[at[i] : at[i + 1]].tolist(), p[at[i] : at[i + 1]].tolist())) == align_plain(a, b, gap)
+    none = np.zeros(0, np.int32)
+    assert align.align_many(none, np.zeros(1, np.int64), none, np.zeros(1, np.int64))[2].tolist() == [0]
+
+
+def test_alignment_of_null_lists(spark):
+    df = spark.createDataFrame([(None, ["a"]), (["a"], None), ([], []), (["a", None], [None, "a"])], "a array<string>, b array<string>")
+    got = [r.u and [(x.g, x.p) for x in r.u] for r in df.select(align.align(F.col("a"), F.col("b")).alias("u")).collect()]
+    assert got == [None, None, [], [(0, 0), (1, 1)]]
+
+
 # prediction -> cer, pitch, note, dur, bpm, n_pred, pairs, PER, NNE
 SCORES = [
     (S, 0, 0, 0, 0, 0, 4, 4, 0, 0),
