@@ -18,13 +18,16 @@ DIAGONAL, UP, LEFT = range(3)
 
 def flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The elements of an array of lists one after another, and the n+1 offsets; null lists count as empty."""
+    if not len(lists):
+        return pa.array([], lists.type.value_type), np.zeros(1, np.int64)
     lens = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     return lists.flatten(), np.concatenate([[0], np.cumsum(lens)])
 
 
 def coded(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of two arrays of strings, equal where the strings (or nulls) are."""
-    both = pa.concat_arrays([a.cast(pa.string()), b.cast(pa.string())])
+    some = [x.cast(pa.string()) for x in (a, b) if len(x)]  # of no strings there may be no offsets
+    both = pa.concat_arrays(some) if some else pa.array([], pa.string())
     codes = pc.fill_null(both.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int32)
     return codes[: len(a)], codes[len(a) :]
 

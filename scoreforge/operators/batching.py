@@ -110,3 +110,8 @@ def rank_share(batches: DataFrame, world: int) -> DataFrame:
 
 def length_stats(samples: DataFrame, length: str) -> DataFrame:
     return samples.agg(F.min(length).alias("min_len"), F.max(length).alias("max_len"), F.avg(length).alias("avg_len"), F.count(F.lit(1)).alias("n"))
+
+
+def batch_stats(batches: DataFrame) -> DataFrame:
+    """Number of batches and mean rows of one."""
+    return batches.agg(F.countDistinct("batch_id").alias("n_batches"), (F.count(F.lit(1)) / F.greatest(F.countDistinct("batch_id"), F.lit(1))).alias("mean_size"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,3 +43,8 @@ def cot_target(sylls: Column, bpm: Column, bpm_position: str = "last") -> Column
 def prompt(template: Column, lyric: Column | None = None) -> Column:
     """A chat template's prefix; with lyrics given, they and the separator already stand behind it."""
     return template if lyric is None else F.concat(template, F.lit(OPENING), lyric, F.lit(SEPARATOR))
+
+
+def chat_prefix(render: Callable[[list[dict]], str]) -> str:
+    """The prefix that a chat template (an adapter that renders messages) gives a sample: an empty system message and one audio."""
+    return render([{"role": "system", "content": ""}, {"role": "user", "content": [{"type": "audio", "audio": None}]}])

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import parse
+from . import adapters, parse
 from .encode import prompt
 
 MODES = ("audio-only", "audio-lyric")
 #: Makes, once a worker, a function from (payloads, prompts) of a batch to texts. Its result for a sample must not depend on the batch.
 Factory = Callable[[], Callable[[list, list[str]], list[str]]]
-#: Models that this worker has made, by what made them.
-_MADE: dict[str, Callable] = {}
 #: What raw audio gives in validation, where nothing is generated (a fixed text; it does not parse).
 NOT_SUPPORTED = "[generation not supported for raw audio mode]"
 
@@ -33,7 +29,7 @@ def transcribe(samples: DataFrame, factory: Factory, payload: str, mode: str = "
         raise ValueError("audio-lyric needs a lyrics column")
     known = F.when(F.trim(F.coalesce(F.col(lyrics), F.lit(""))) != "", F.col(lyrics)) if mode == "audio-lyric" else None
     rows = samples.select("sample_id", F.col(payload).alias("payload"), prompt(F.lit(template), known).alias("prompt"), (F.col(batch) if batch else F.lit(None)).cast("long").alias("batch"))
-    made_by = hashlib.md5(cloudpickle.dumps(factory)).hexdigest()
+    made = adapters.once(factory)
 
     def texts_of(model, part: pd.DataFrame) -> pd.DataFrame:
         ready = part["prompt"].notna()
@@ -44,9 +40,7 @@ def transcribe(samples: DataFrame, factory: Factory, payload: str, mode: str = "
         return pd.DataFrame({"sample_id": part["sample_id"], "text": texts})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if made_by not in _MADE:
-            _MADE[made_by] = factory()
-        model, held = _MADE[made_by], None
+        model, held = made(), None
         for pdf in batches:
             if not len(pdf):
                 continue

@@ -49,7 +49,7 @@ def _alignments(gc: pa.Array, pc_: pa.Array, gk: pa.Array, pk: pa.Array, by_plac
     silent = pa.array(SILENCES)
     sides = []
     for chars, codes, offs in ((g_char, g, g_offs), (p_char, p, p_offs)):
-        sung = np.flatnonzero(~pc.is_in(chars, silent).to_numpy(zero_copy_only=False))
+        sung = np.flatnonzero(~pc.is_in(chars, silent).to_numpy(zero_copy_only=False)) if len(chars) else np.zeros(0, np.int64)
         row = np.searchsorted(offs, sung, side="right") - 1
         sides.append((codes[sung], sung - offs[row], row, np.searchsorted(row, np.arange(rows + 1))))
     (gl, g_at, g_row, gl_offs), (pl, p_at, p_row, pl_offs) = sides

@@ -235,6 +235,11 @@ def pack_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir)
 
 
+@query
+def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.batch_stats(_packed(spark, sf_dir)).withColumn("mean_size", F.round("mean_size", 6))
+
+
 @query
 def pack_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir, cap=64, padded=True)

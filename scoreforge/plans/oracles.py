@@ -177,6 +177,7 @@ SELECT m.sid, m.cer, CAST(CASE WHEN m.readable THEN coalesce(zn.n, 0) ELSE 0 END
   UNION ALL SELECT 'documents', 1, doc_id, CAST(length(text) AS INTEGER) FROM documents)) WHERE r <= 150""",
     "pack_sum": f"WITH RECURSIVE {PACK} SELECT batch_id, pos, doc_id AS sample_id, n AS length FROM pk",
     "pack_padded": f"WITH RECURSIVE {packed('pk', PAD_W, 24000, 64)} SELECT batch_id, pos, doc_id AS sample_id, n AS length FROM pk",
+    "batch_stats": f"WITH RECURSIVE {PACK} SELECT count(DISTINCT batch_id) AS n_batches, round(count(*) / count(DISTINCT batch_id), 6) AS mean_size FROM pk",
     "pack_by_ranges": f"WITH RECURSIVE {packed('pk', SUM_W, 24000, 32, 4)} SELECT batch_id, pos, doc_id AS sample_id, n AS length FROM pk",
     "bucketed_shuffle": "SELECT doc_id, n_chars, CAST((row_number() OVER (ORDER BY n_chars, doc_id) - 1) // greatest(100, count(*) OVER () // 10) AS INTEGER) AS chunk FROM documents",
     "existing_files": "SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' AS name",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scoreforge.config import RunConfig
 from scoreforge.functions import tensors
-from scoreforge.operators import batching, encode, features, infer, metrics, report, splits
+from scoreforge.operators import batching, encode, features, infer, metrics, report, splits, tokens
 from scoreforge.sources import annotations, sinks
 
 #: What a preprocessing run tells of itself.
@@ -68,6 +68,13 @@ def training_batches(samples: DataFrame, config: RunConfig, epoch: int = 0, part
     return made.withColumn("turn", F.xxhash64(F.lit(config.seed + epoch), "batch_id") if shuffle else F.col("batch_id"))
 
 
+def model_inputs(samples: DataFrame, batches: DataFrame, config: RunConfig, tokenizer: tokens.Factory, prefix: str, end: str, pad_id: int, audio_id: int | None = None) -> DataFrame:
+    """Stored samples (sample_id, syllables, bpm, mel_frames and, if wanted, features) as inputs, batch by batch: targets, their ids behind
+    the prompt's, and all that ``collate`` adds."""
+    rows = targets(samples.join(batches.select("sample_id", "batch_id", "pos"), "sample_id"), config)
+    return collate(tokens.training_ids(rows, tokenizer, prefix, end), ["batch_id"], pad_id, audio_id)
+
+
 def collate(rows: DataFrame, by: list[str], pad_id: int, audio_id: int | None = None) -> DataFrame:
     """Rows (ids, prefix, mel_frames) of batches as model inputs: the placeholder expanded to the audio's tokens, ids padded on
     the right, attention mask, and labels that ignore prefix and padding. Features that are there (input_features, mel_bins:

@@ -187,6 +187,13 @@ def test_length_matched_and_unreadable(spark):
     assert sorted((r.i, r.cer) for r in metrics.per_sample(rows).collect()) == [(0, pytest.approx(2 / 3)), (1, 1.0), (3, 1.0)]
 
 
+def test_batches_without_words(spark):
+    rows = spark.createDataFrame([(0, "AP <P_0> <NOTE_4> <BPM_100>", "x"), (1, "<P_60>", "")], "i int, gt_text string, pred_text string").repartition(2)
+    assert [(r.i, r.cer, r.n_pred_words, r.n_aligned_pairs) for r in metrics.per_sample(rows).orderBy("i").collect()] == [(0, 1.0, 0, 0), (1, 1.0, 0, 0)]
+    rows = rows.withColumn("pred_text", F.lit(None).cast("string"))
+    assert metrics.per_sample(rows, length_matched=True).count() == 2 and metrics.per_sample(rows.where("i > 5")).count() == 0
+
+
 def test_no_samples_no_means(spark):
     rows = spark.createDataFrame([], "i int, gt_text string, pred_text string")
     assert metrics.over_all(metrics.per_sample(rows)).collect() == []

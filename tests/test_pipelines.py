@@ -7,8 +7,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scoreforge.config import RunConfig
-from scoreforge.operators import checkpoints, encode, features, infer
+from scoreforge.operators import checkpoints, encode, features, infer, tokens
 from scoreforge.plans import pipelines
+from scoreforge.schemas import SYLLABLES
+from scoreforge.sources import sinks
 
 ITEM = {"word": ["感", "受"], "pitch": [68, 60], "note": ["<NOTE_4>", "<NOTE_8>"], "pitch2word": [0, 1], "bpm": 89}
 
@@ -25,6 +27,8 @@ def test_preprocess_to_scores(spark, tmp_path):
     stats = pipelines.preprocess(spark, config, features.energy_bins()).first()
     assert (stats.num_samples, stats.errors, stats.skipped_missing, stats.avg_mel_frames) == (6, 2, 0, 4.0)
     assert stats.num_shards == len(list((tmp_path / "preprocessed").rglob("*.parquet"))) and stats.total_bytes == 2 * 2 * 8 * (2 + 4 + 6)
+    told = sinks.described(spark, config.output_dir, "songs").first()
+    assert (told.description, told.num_rows, told.num_shards, len(told.files)) == ("songs", 6, stats.num_shards, stats.num_shards) and "mel_frames" in told.features
     assert (stats.format, stats.sample_rate) == ("parquet", 16000) and stats.elapsed_seconds > 0 and stats.num_workers > 0
     train, val = pipelines.train_and_validation(spark, config)
     assert train.count() == val.count() == 3
@@ -76,6 +80,35 @@ def test_collated_features(spark):
     assert [r.feature_mask for r in got] == [[1, 1, 0, 0], [1, 1, 1, 1], []]
 
 
+def letters():
+    """A tokenizer of letters: one id each, <audio> is 7, <end> 8."""
+
+    def encode(texts):
+        return [[7 if c == "\x01" else 8 if c == "\x02" else ord(c) for c in t.replace("<audio>", "\x01").replace("<end>", "\x02")] for t in texts]
+
+    def decode(ids):
+        return ["".join("<audio>" if i == 7 else "<end>" if i == 8 else chr(i) for i in x) for x in ids]
+
+    return encode, decode
+
+
+def test_model_inputs(spark):
+    rows = [(0, 9, 60), (1, 17, 70), (2, 1, 80)]
+    df = spark.createDataFrame([(i, [{"char": "a", "pitch": [60], "note": ["<NOTE_4>"]}], bpm, n) for i, n, bpm in rows], f"sample_id long, syllables {SYLLABLES.simpleString()}, bpm int, mel_frames int")
+    batches = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (1, 0, 2)], "batch_id long, pos int, sample_id long")
+    prefix = encode.chat_prefix(lambda messages: "<audio>" + messages[1]["role"][0] + messages[0]["content"])
+    assert prefix == "<audio>u"
+    got = {r.sample_id: r for r in pipelines.model_inputs(df, batches, RunConfig(), letters, prefix, "<end>", 0, 7).collect()}
+    for i, n, bpm in rows:
+        target = f"language Chinese<asr_text>a <P_60> <NOTE_4> <BPM_{bpm}>"
+        own = [7] * -(-n // 8) + [ord("u")] + [ord(c) for c in target] + [8]
+        fill = [0] * (len(got[0].ids) if i < 2 else len(own))
+        assert got[i].ids == (own + fill)[: len(fill)] and got[i].prefix == -(-n // 8) + 1
+        assert got[i].labels == ([-100] * got[i].prefix + own[got[i].prefix :] + [-100] * len(fill))[: len(fill)]
+    texts = tokens.decoded(spark.createDataFrame([(1, [7, 97]), (2, None)], "i int, ids array<int>"), letters, text="ids")
+    assert {r.i: r.text for r in texts.collect()} == {1: "<audio>a", 2: None}
+
+
 def greedy(rows, budget, cap, padded):
     out, now = [], []
     for row in rows:
