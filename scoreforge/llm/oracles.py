@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 
 from .decontaminate import SHARE, WINDOW
+from .language import PROFILE
 from .secrets import MID, OPEN, RULES, SHUT
 from .suffixes import LENGTH
 
@@ -41,17 +42,42 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
 
-# All records in one order; the crc32 of a text's bytes is run up over its hexadecimal digits with the table of that checksum.
-SHARDS = """
-WITH c AS (SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)) AS crc),
+# The table of the crc32 checksum; a checksum is run up over bytes with it.
+CRC = "SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)) AS crc"
+
+
+def _crc32(values: str) -> str:
+    return f"xor(list_reduce([CAST(4294967295 AS BIGINT)] || {values}, lambda a, y: xor(a >> 8, crc[1 + (xor(a, y) & 255)])), CAST(4294967295 AS BIGINT))"
+
+
+# All records in one order.
+SHARDS = f"""
+WITH c AS ({CRC}),
 t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, substr(md5(coalesce(text, '')), 1, 15) AS k FROM documents),
 b AS (SELECT doc_id, k, length(x) // 2 + 16 AS size, list_transform(regexp_extract_all(x, '..'), lambda h: CAST(16 * (strpos('0123456789ABCDEF', h[1]) - 1) + strpos('0123456789ABCDEF', h[2]) - 1 AS BIGINT)) AS bytes FROM t),
-o AS (SELECT doc_id, size, xor(list_reduce([CAST(4294967295 AS BIGINT)] || bytes, lambda a, y: xor(a >> 8, crc[1 + (xor(a, y) & 255)])), CAST(4294967295 AS BIGINT)) AS text_crc32,
+o AS (SELECT doc_id, size, {_crc32("bytes")} AS text_crc32,
   row_number() OVER (ORDER BY k, doc_id) AS rank, 2 * (sum(size) OVER (ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING)) - size AS middle, sum(size) OVER () AS total FROM b, c),
 s AS (SELECT *, CAST(40 * middle // (2 * total) AS INTEGER) AS shard FROM o)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, rank - min(rank) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
 """
 
+# Words in blanks, their n-grams of one to three letters, and ranks.
+LANGUAGES = f"""
+WITH c AS ({CRC}),
+d AS (SELECT doc_id, text, lang, {_crc32("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 4 = 2 AS held_out FROM documents, c),
+s AS (SELECT doc_id, regexp_extract_all(' ' || trim(lower(regexp_replace(coalesce(text, ''), '[^\\p{{L}}]+', ' ', 'g'))) || ' ', '.') AS cs FROM d),
+x AS (SELECT doc_id, unnest(cs) AS a, generate_subscripts(cs, 1) AS i FROM s WHERE len(cs) > 2),
+w AS (SELECT doc_id, a, lead(a) OVER (PARTITION BY doc_id ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM x),
+g AS (SELECT doc_id, a AS g FROM w WHERE a <> ' ' UNION ALL SELECT doc_id, a || b FROM w WHERE b IS NOT NULL UNION ALL SELECT doc_id, a || b || c FROM w WHERE c IS NOT NULL AND b <> ' '),
+n AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY doc_id, g),
+own AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(g), g) AS rank FROM n QUALIFY rank <= {PROFILE}),
+p AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(g), g) AS rank FROM n JOIN d USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL AND text IS NOT NULL GROUP BY lang, g QUALIFY rank <= {PROFILE}),
+met AS (SELECT doc_id, lang, sum({PROFILE} - abs(own.rank - p.rank)) AS saved FROM own JOIN p USING (g) GROUP BY doc_id, lang),
+every AS (SELECT o.doc_id, l.lang, o.many, coalesce(saved, 0) AS saved FROM (SELECT doc_id, count(*) AS many FROM own GROUP BY doc_id) o CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN met ON met.doc_id = o.doc_id AND met.lang = l.lang),
+best AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY saved DESC, lang) = 1)
+SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(CAST(saved AS DOUBLE) / (many * {PROFILE}), 0.0) AS score FROM d LEFT JOIN best USING (doc_id)
+"""
+
 # Every window of every text by its md5; texts as hexadecimal digits, so that places are bytes.
 REPEATS = f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),

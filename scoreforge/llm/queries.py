@@ -69,4 +69,4 @@ def _shipped(query):
 
 
 QUERIES = {q.__name__: _shipped(q) for q in (op1_decontaminate, op2_suffix_dedup, op3_top_k, op4_jaccard_join, op5_token_records, op6_sharding, op7_sentencepiece, op8_language, op9_secrets, op10_quality)}
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": oracles.LEAKS, "op2_suffix_dedup": oracles.REPEATS, "op3_top_k": oracles.TOP_K, "op4_jaccard_join": oracles.JACCARD, "op6_sharding": oracles.SHARDS, "op9_secrets": oracles.SECRETS}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": oracles.LEAKS, "op2_suffix_dedup": oracles.REPEATS, "op3_top_k": oracles.TOP_K, "op4_jaccard_join": oracles.JACCARD, "op6_sharding": oracles.SHARDS, "op8_language": oracles.LANGUAGES, "op9_secrets": oracles.SECRETS}
