@@ -178,14 +178,14 @@ def segment_digests(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
     at, left = starts.astype(np.int64) * size, (ends - starts).astype(np.int64) * size
     one = _mix(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     two = _mix(left.astype(np.uint64) + np.uint64(0xD1B54A32D192ED03))
-    live = np.flatnonzero((left > 0) & (left <= 8 * _WIDE))
-    at_, left_ = at[live], left[live]
-    while len(live):
+    live = None  # all, the first time
+    while live is None or len(live):
+        own, at_, left_ = (slice(None), at, left) if live is None else (live, at_, left_)
         w = word[at_] & _OWN[np.minimum(left_, 8)]
-        one[live] = _mix((one[live] ^ w) * np.uint64(0x9E3779B97F4A7C15))
-        two[live] = _mix((two[live] + w) * np.uint64(0xD6E8FEB86659FD93)) ^ w
-        on = left_ > 8
-        live, at_, left_ = live[on], at_[on] + 8, left_[on] - 8
+        one[own] = _mix((one[own] ^ w) * np.uint64(0x9E3779B97F4A7C15))
+        two[own] = _mix((two[own] + w) * np.uint64(0xD6E8FEB86659FD93)) ^ w
+        on = np.flatnonzero((left_ > 8) & (left_ <= 8 * _WIDE) if live is None else left_ > 8)
+        live, at_, left_ = on if live is None else live[on], at_[on] + 8, left_[on] - 8
     for i in np.flatnonzero(left > 8 * _WIDE).tolist():
         one[i], two[i] = np.frombuffer(hashlib.blake2b(raw[at[i] : at[i] + left[i]], digest_size=16).digest(), "<u8")
     return one, two
@@ -197,12 +197,16 @@ def segment_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
 
 
 def distinct(keys: tuple[np.ndarray, np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
-    """The distinct of some 128-bit keys, the place of the first of each, and which of them each key is."""
+    """The distinct of some 128-bit keys, a place of each, and which of them each key is."""
     one, two = keys
-    _, first, inv = np.unique(one, return_index=True, return_inverse=True)
-    if (two != two[first][inv]).any():  # equal in 64 bits only
-        _, first, inv = np.unique(np.stack([one, two], axis=1), axis=0, return_index=True, return_inverse=True)
-        inv = inv.ravel()
+    order = np.argsort(one)
+    if len(one) and (two[order][1:] != two[order][:-1])[one[order][1:] == one[order][:-1]].any():  # equal in 64 bits only
+        order = np.lexsort((two, one))
+    new = np.ones(len(one), bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    inv = np.empty(len(one), np.int64)
+    inv[order] = np.cumsum(new) - 1
+    first = order[new]
     return (one[first], two[first]), first, inv
 
 

@@ -95,9 +95,13 @@ def _level(count: np.ndarray) -> np.ndarray:
 
 
 def _ordered(h: np.ndarray, n: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The sets' hashes in the common order, set by set."""
-    owner = np.repeat(np.arange(len(n)), n)
-    return h[np.lexsort((h, level[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)], owner))]
+    """The sets' hashes in the common order (by level, then hash), set by set; they come ascending."""
+    lv, out = level[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)], h.copy()
+    cuts = np.concatenate([[0], np.cumsum(n)]).tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        if b - a > 1:
+            out[a:b] = h[a:b][np.argsort(lv[a:b], kind="stable")]
+    return out
 
 
 def _prefixes(k: int, t: int, level, hot: int, clash: np.ndarray):

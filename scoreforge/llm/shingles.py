@@ -41,8 +41,9 @@ def shingle_sets(col: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     for i in range(k):
         h = np.where(i < width, C._mix((h ^ padded[at + i]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1)), h)
     owner = np.repeat(np.arange(n), runs)
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
+    cuts = np.concatenate([[0], np.cumsum(runs)]).tolist()
+    for a, b in zip(cuts, cuts[1:]):  # text by text: much faster than all of them by text and hash
+        h[a:b].sort()
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     return h[keep], np.bincount(owner[keep], minlength=n).astype(np.int64)
