@@ -2,34 +2,22 @@
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreforge.functions import tensors, vocab
 from scoreforge.operators import align, annotate, batching, encode, features, infer, metrics, parse, report, splits, words
 from scoreforge.schemas import SYLLABLES
-from scoreforge.session import ship
 from scoreforge.sources.annotations import budget, existing
 
-from .fixtures import annotations, damaged, songs, sylls, table, texts
-from .oracles import ORACLE_SQL
+from . import jobs, oracles
+from .fixtures import annotations, damaged, songs, stub_features, sylls, table, texts
+from .registry import QUERIES, query
 
-QUERIES: dict = {}
+ORACLE_SQL = oracles.ORACLE_SQL | jobs.ORACLE_SQL
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 
-def query(f):
-    @wraps(f)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
-        return f(spark, sf_dir)
-
-    QUERIES[f.__name__] = run
-    return run
-
-
 def _pairs(pairs):
     return F.array_join(F.transform(pairs, lambda p: F.concat_ws(" ", p["pitch"], p["note"])), ",")
 
@@ -370,17 +358,9 @@ def first_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.first_samples(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), 25, "doc_id")
 
 
-def _stub_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as audio: a tenth missing, a tenth broken, the others of 0 to 4 frames."""
-    n = (F.col("event_id") % 5 * 320).cast("int")
-    content = F.when(F.col("event_id") % 10 == 0, None).when(F.col("event_id") % 10 == 1, F.lit("odd")).otherwise(F.repeat(F.lit("\x01"), n))
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("dataset_name"), content.cast("binary").alias("content"), F.lit(None).cast(SYLLABLES).alias("syllables"), F.lit(120).alias("bpm"))
-    return features.extract(rows, features.energy_bins())
-
-
 @query
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.run_statistics(_stub_features(spark, sf_dir))
+    return features.run_statistics(stub_features(spark, sf_dir))
 
 
 @query

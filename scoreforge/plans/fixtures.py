@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreforge.functions.vocab import CONTINUED, NOTE_BEATS
-from scoreforge.operators import encode
+from scoreforge.operators import encode, features
+from scoreforge.schemas import SYLLABLES
 
 NOTES = list(NOTE_BEATS)
 CHARS = ["感", "受", "停", "在", "AP", "我", "发", "SP", "端", "指"]
@@ -73,3 +74,11 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = F.slice(F.transform("gt", lambda x: x["note"]), F.lit(1), F.when(F.col("sid") % 5 == 0, n - 1).otherwise(n))
     link = F.transform("gt", lambda x: F.when((F.col("sid") % 11 == 0) & (x["k"] == n - 1), F.floor(x["k"] / 2) + 1).otherwise(F.floor(x["k"] / 2)).cast("int"))
     return songs(spark, sf_dir).select("sid", "bpm", word.alias("word"), pitch.alias("pitch"), note.alias("note"), link.alias("pitch2word"))
+
+
+def stub_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as audio: a tenth missing, a tenth broken, the others of 0 to 4 frames."""
+    n = (F.col("event_id") % 5 * 320).cast("int")
+    content = F.when(F.col("event_id") % 10 == 0, None).when(F.col("event_id") % 10 == 1, F.lit("odd")).otherwise(F.repeat(F.lit("\x01"), n))
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("dataset_name"), content.cast("binary").alias("content"), F.lit(None).cast(SYLLABLES).alias("syllables"), F.lit(120).alias("bpm"))
+    return features.extract(rows, features.energy_bins())

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,3 +22,40 @@ def ship(spark: SparkSession) -> None:
     made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='scoreforge-')}/scoreforge", "zip", root.parent, root.name)
     sc.addPyFile(made)
     _SHIPPED.add(sc.applicationId)
+
+
+_SCRATCH: list[tuple] = []
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh path below the folder that all executors share, ``spark.checkpoint.dir`` (a temporary one only where that is unset, as
+    in tests); what is there when the program ends is deleted."""
+    sc = spark.sparkContext
+    found = sc._jsc.sc().getCheckpointDir()
+    shared = found.get() if found.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="scoreforge-"))
+        shared = sc._jsc.sc().getCheckpointDir().get()
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared}/{what}-{uuid.uuid4().hex}")
+    store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not _SCRATCH:
+        atexit.register(_clear)
+    _SCRATCH.append((store, path))
+    return store.makeQualified(path).toString()
+
+
+def _clear() -> None:
+    for store, path in _SCRATCH:
+        try:
+            store.delete(path, True)
+        except Exception:  # noqa: BLE001  the JVM may have ended before
+            return
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """Writes one small file from the driver, in whatever store the path names."""
+    sc = spark.sparkContext
+    found = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = found.getFileSystem(sc._jsc.hadoopConfiguration()).create(found)
+    out.write(bytearray(content))
+    out.close()
