@@ -70,26 +70,27 @@ def _overlaps(documents: DataFrame, benchmark: DataFrame, window: int, share: in
     listed = lambda own: F.array(*[F.lit(m) for m in own])
     whole = F.col("n_words") < 100 / (100 - share) if share < 100 else F.col("n_words") <= window  # no word may differ: a hit is the item
     asked = _seeds(items.withColumn("n_words", F.size("w")), masks, F.coalesce(*[F.when(wide == n, listed(own)) for n, own in sets.items()])).distinct()  # all places of a seed
-    asked = asked.select("seed", "item_id", "version", whole.alias("whole"), F.col("place").alias("at"))
+    asked = asked.select("seed", "item_id", "version", "n_words", whole.alias("whole"), F.col("place").alias("at"))
     few = asked.limit(broadcast_rows + 1).count() <= broadcast_rows
     hits = _seeds(docs, masks, listed(masks)).join(F.broadcast(asked) if few else asked, "seed").withColumn("diagonal", F.col("place") - F.col("at"))
     lists = max(1, sum(r["items"] for r in sizes) // ITEMS_A_LIST)
-    found = hits.groupBy("doc_id", "key", "item_id", "version", F.when(~F.col("whole"), F.col("diagonal")).alias("_d")).agg(F.min("diagonal").alias("diagonal"))  # of a whole item's only the first
-    found = found.groupBy("doc_id", "key", F.pmod(F.col("version"), F.lit(lists)).alias("_l")).agg(F.collect_list(F.struct("item_id", "version", "diagonal")).alias("hits"))
+    found = hits.groupBy("doc_id", "key", "item_id", "version", F.when(~F.col("whole"), F.col("diagonal")).alias("_d")).agg(F.min("diagonal").alias("diagonal"), F.max("n_words").alias("n_words"))  # of a whole item's only the first
+    found = found.groupBy("doc_id", "key", F.pmod(F.col("version"), F.lit(lists)).alias("_l")).agg(F.collect_list(F.struct("item_id", "version", "n_words", "diagonal")).alias("hits"))
     found = checkpointed(found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "hits"))
     n_hits = found.agg(F.sum(F.size("hits"))).first()[0] or 0
     back = documents.select(F.col("`doc_id`").cast("long").alias("doc_id"), key.alias("key"), text.alias("text"))
     back = back.join(F.broadcast(found) if n_hits <= broadcast_rows else found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
     lined = back.select("doc_id", "key", words(F.col("text")).alias("w"), "hits").select("doc_id", "key", "w", F.explode("hits").alias("hit")).select("doc_id", "key", "w", "hit.*")
-    texts = items.select(F.col("item_id").alias("_i"), F.col("version").alias("_v"), F.col("w").alias("iw"))
-    texts = F.broadcast(texts) if sum(r["n"] for r in sizes) <= broadcast_rows else texts
-    lined = lined.join(texts, F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("version") == F.col("_v")))
     start = F.greatest(F.lit(0), F.col("diagonal"))
     skip = F.greatest(F.lit(0), -F.col("diagonal"))
-    n = F.least(F.size("w") - start, F.size("iw") - skip)
-    lined = lined.select("doc_id", "key", "item_id", F.size("iw").alias("n_words"), start.alias("start"), n.alias("n"), F.zip_with(F.slice("w", start + 1, n), F.slice("iw", skip + 1, n), lambda a, b: (a == b).cast("int")).alias("same"))
+    n = F.greatest(F.lit(0), F.least(F.size("w") - start, F.col("n_words") - skip))
     wide = F.least(F.lit(window), F.col("n_words"))
-    lined = lined.where(F.col("n") >= wide).withColumn("n_compared", wide)
+    lined = lined.select("doc_id", "key", "item_id", "version", "n_words", wide.alias("n_compared"), start.alias("start"), skip.alias("skip"), n.alias("n"), F.slice("w", start + 1, n).alias("dw"))
+    lined = lined.where(F.col("n") >= F.col("n_compared"))  # of the document, what lies beside the item
+    texts = items.select(F.col("item_id").alias("_i"), F.col("version").alias("_v"), F.col("w").alias("iw"))
+    texts = F.broadcast(texts) if sum(r["n"] for r in sizes) <= broadcast_rows else texts
+    lined = lined.join(texts, F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("version") == F.col("_v")))
+    lined = lined.withColumn("same", F.zip_with("dw", F.slice("iw", F.col("skip") + 1, F.col("n")), lambda a, b: (a == b).cast("int")))
     sums = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("n_compared")), lambda i: F.struct(F.aggregate(F.slice("same", i + 1, F.col("n_compared")), F.lit(0), lambda s, x: s + x).alias("n_equal"), (-(F.col("start") + i)).alias("back")))
     return lined.select("doc_id", "key", "item_id", "n_words", "n_compared", F.array_max(sums).alias("best")).where(F.col("best.n_equal") * 100 >= F.col("n_compared") * share)
 
