@@ -26,7 +26,7 @@ COVERS = {
     (13, 2): ("11101111", "11110010011", "10111111"),
 }
 WINDOW, SHARE = 13, 80
-#: What is broadcast: so many hashes of the benchmark's (24 bytes each), words of its items (8 bytes) or hits (40 bytes); beyond it both sides are shuffled.
+#: What is broadcast: so many hashes of the benchmark's (24 bytes each), words of its items (8 bytes), hits (40 bytes) or documents to drop (16 bytes); beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: A list of hits of a document holds those of about so many items.
 ITEMS_A_LIST = 1000
@@ -114,6 +114,8 @@ def drop_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     names, stay as they are; without items all rows stay."""
     plain, names = apart(documents)
     bad = _overlaps(plain, benchmark, WINDOW, SHARE, BROADCAST_ROWS).select(F.col("doc_id").alias("_bad"), F.col("key").alias("_key")).distinct()
+    bad = checkpointed(bad)
+    few = bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = plain.withColumn("_hash", F.xxhash64("text"))
-    kept = rows.join(bad, rows["doc_id"].cast("long").eqNullSafe(bad["_bad"]) & (rows["_hash"] == bad["_key"]), "left_anti")
+    kept = rows.join(F.broadcast(bad) if few else bad, rows["doc_id"].cast("long").eqNullSafe(bad["_bad"]) & (rows["_hash"] == bad["_key"]), "left_anti")
     return together(kept, names)
