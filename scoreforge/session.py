@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -52,6 +52,13 @@ def _clear() -> None:
             return
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to a fresh folder of ``scratch`` and read again: lineage is cut, and a lost executor costs no recompute."""
+    path = scratch(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def put(spark: SparkSession, path: str, content: bytes) -> None:
     """Writes one small file from the driver, in whatever store the path names."""
     sc = spark.sparkContext
