@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -154,7 +156,7 @@ def gather(src: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return src[idx]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -164,36 +166,69 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _OWN = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 #: Words of eight bytes that are hashed side by side; longer segments are hashed one by one.
 _WIDE = 32
+_LOW = np.uint64(0xFFFFFFFF)
+#: What hashes that do not leave this process are made with.
+OWN_SECRET = os.urandom(32)
 
 
-def segment_digests(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each segment of symbols, as two hashes of 64.
+@lru_cache(maxsize=64)
+def _keys(secret: bytes, what: str, n: int) -> np.ndarray:
+    """n by four passes by two numbers of 32 bits that nobody knows who does not know the secret."""
+    data = hashlib.shake_256(what.encode() + b":" + secret).digest(n * 32)
+    return np.frombuffer(data, "<u4").reshape(n, 4, 2)
 
-    Each takes in the length and then word after word of eight bytes, a multiplication and shifts between any two, so that it
-    is no polynomial in the symbols, which strings of regular build could defeat.
+
+def _passes(words: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
+    """Of each word of 64 bits, for each pass, the product of its halves, each with a secret number added modulo 2**32."""
+    low, high = (words & _LOW).astype(np.uint32), (words >> np.uint64(32)).astype(np.uint32)
+    return [np.multiply(low + x, high + y, dtype=np.uint64) for x, y in keys]
+
+
+def _folded(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return mix(one + np.uint64(0x9E3779B97F4A7C15) * mix(two))
+
+
+def segment_digests(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, secret: bytes = OWN_SECRET, halves: int = 2) -> list[np.ndarray]:
+    """128 bits of each segment of symbols, as two hashes of 64 (or as many ``halves`` as are asked for).
+
+    Each is made of two sums, over the length and the words of eight bytes, of products of secret numbers and the words' halves:
+    two different segments agree in a sum for at most one secret in 2**32, whatever the segments are, so nobody can make two
+    segments that agree without the secret. Long segments take BLAKE2 with the secret as its key.
     """
     size = flat.itemsize
     raw = np.concatenate([np.ascontiguousarray(flat).view(np.uint8), np.zeros(8, np.uint8)])
     word = np.lib.stride_tricks.as_strided(raw[:8].view("<u8"), (len(raw) - 7,), (1,))  # at every byte
     at, left = starts.astype(np.int64) * size, (ends - starts).astype(np.int64) * size
-    one = _mix(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    two = _mix(left.astype(np.uint64) + np.uint64(0xD1B54A32D192ED03))
-    live = None  # all, the first time
+    keys = _keys(secret, "segment", _WIDE + 1)[:, : 2 * halves]
+    sums = _passes(left.astype(np.uint64), keys[_WIDE])
+    live, i = None, 0  # all, the first time
     while live is None or len(live):
         own, at_, left_ = (slice(None), at, left) if live is None else (live, at_, left_)
-        w = word[at_] & _OWN[np.minimum(left_, 8)]
-        one[own] = _mix((one[own] ^ w) * np.uint64(0x9E3779B97F4A7C15))
-        two[own] = _mix((two[own] + w) * np.uint64(0xD6E8FEB86659FD93)) ^ w
+        for total, more in zip(sums, _passes(word[at_] & _OWN[np.minimum(left_, 8)], keys[i])):
+            total[own] += more
         on = np.flatnonzero((left_ > 8) & (left_ <= 8 * _WIDE) if live is None else left_ > 8)
-        live, at_, left_ = on if live is None else live[on], at_[on] + 8, left_[on] - 8
+        live, at_, left_, i = on if live is None else live[on], at_[on] + 8, left_[on] - 8, i + 1
+    out = [_folded(*sums[2 * h : 2 * h + 2]) for h in range(halves)]
     for i in np.flatnonzero(left > 8 * _WIDE).tolist():
-        one[i], two[i] = np.frombuffer(hashlib.blake2b(raw[at[i] : at[i] + left[i]], digest_size=16).digest(), "<u8")
-    return one, two
+        whole = np.frombuffer(hashlib.blake2b(raw[at[i] : at[i] + left[i]], digest_size=16, key=secret).digest(), "<u8")
+        for h in range(halves):
+            out[h][i] = whole[h]
+    return out
 
 
 def segment_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits of each segment."""
-    return segment_digests(flat, starts, ends)[0]
+    """64 bits of each segment, the same in every process: for bins, where nothing depends on two segments being apart."""
+    return segment_digests(flat, starts, ends, b"no secret", halves=1)[0]
+
+
+def combined(parts: list[np.ndarray], secret: bytes, salt: str = "run") -> np.ndarray:
+    """64 bits of each row of some hashes (0: none), in their order, made like those of segments."""
+    keys = _keys(secret, salt, len(parts))
+    sums = [np.zeros(len(parts[0]), np.uint64), np.zeros(len(parts[0]), np.uint64)]
+    for words, own in zip(parts, keys):
+        for total, more in zip(sums, _passes(words, own[:2])):
+            total += more
+    return _folded(*sums)
 
 
 def distinct(keys: tuple[np.ndarray, np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
@@ -213,8 +248,9 @@ def distinct(keys: tuple[np.ndarray, np.ndarray]) -> tuple[tuple[np.ndarray, np.
 class SegmentTable:
     """Distinct segments seen so far by a worker, by 128-bit keys, with what was made of each; emptied when over ``most`` entries.
 
-    ``find`` gives row numbers for keys; the caller adds what is missing with ``add``. Only a cache: what it returns does not
-    depend on what is in it, as a key that shares only its first half with an entry counts as missing.
+    ``find`` gives row numbers for keys; the caller adds what is missing with ``add``. Only a cache: a key that shares only its
+    first half with an entry counts as missing, and a text can't be made to share both with another, as the process draws its
+    own secret for them; so what it returns does not depend on what is in it, but for a chance of 2**-128 a pair of segments.
     """
 
     def __init__(self, most: int):

@@ -61,6 +61,43 @@ s AS (SELECT *, CAST(40 * middle // (2 * total) AS INTEGER) AS shard FROM o)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, rank - min(rank) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
 """
 
+# Every distinct n-gram is hashed once; buckets of both tables give the gains.
+IMPORTANCE = f"""
+WITH c AS ({CRC}),
+t AS (SELECT 'd' AS side, row_number() OVER () AS row, doc_id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+w AS (SELECT side, row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t),
+g AS (SELECT side, row, unnest(w || list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w),
+n AS (SELECT side, row, g, count(*) AS n FROM g GROUP BY ALL),
+known AS (SELECT g, hex(encode(g)) AS x FROM n GROUP BY g),
+hashed AS (SELECT g, {_crc32("list_transform(regexp_extract_all(x, '..'), lambda h: CAST(16 * (strpos('0123456789ABCDEF', h[1]) - 1) + strpos('0123456789ABCDEF', h[2]) - 1 AS BIGINT))")} % 10000 AS bucket FROM known, c),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 'd'), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 'b'), 0) AS t FROM n JOIN hashed USING (g) GROUP BY bucket),
+every AS (SELECT sum(s) AS s, sum(t) AS t FROM sums),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((CAST(sums.t AS DOUBLE) + 1) * (CAST(every.s AS DOUBLE) + 10000) / ((CAST(sums.s AS DOUBLE) + 1) * (CAST(every.t AS DOUBLE) + 10000)))) AS BIGINT) AS gain FROM sums, every),
+weights AS (SELECT row, CAST(sum(n * gain) AS BIGINT) AS weight FROM n JOIN hashed USING (g) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY row),
+scored AS (SELECT row, doc_id, len(w) AS words, len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS n_features, coalesce(weight, 0) AS weight,
+  list_reduce([0] || list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', sha256('42:' || doc_id)[i]) - 1), lambda a, b: 16 * a + b) AS h FROM w LEFT JOIN weights USING (row) WHERE side = 'd'),
+noisy AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score, count(*) FILTER (WHERE words >= 20) OVER () AS able FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place FROM noisy)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 5 * able // 100 THEN place END AS rank FROM ranked
+"""
+
+NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id AS vec_id, q.label = c.label AS same, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+  SELECT anchor_id, positive_id, positive_score, s.vec_id AS negative_id, score AS negative_score, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 # Words in blanks, their n-grams of one to three letters, and ranks.
 LANGUAGES = f"""
 WITH c AS ({CRC}),

@@ -1,12 +1,13 @@
-"""The eleven queries of this subpackage but ``pipeline``: each applies one operator to its whole table."""
+"""The queries of this subpackage but ``pipeline``: each applies one operator to its whole table."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontaminate, language, nearest, oracles, pieces, quality, records, secrets, setjoin, sharding, suffixes
+from . import decontaminate, importance, language, nearest, negatives, oracles, packing, pieces, quality, records, secrets, setjoin, sharding, suffixes
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's texts, and the five percent that are drawn."""
+    return importance.resample(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each anchor and positive; every seventh row has the next label."""
+    rows = C.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.mine(rows)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens."""
+    return packing.pack(C.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         C.ship(spark)
@@ -68,5 +85,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op1_decontaminate, op2_suffix_dedup, op3_top_k, op4_jaccard_join, op5_token_records, op6_sharding, op7_sentencepiece, op8_language, op9_secrets, op10_quality)}
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": oracles.LEAKS, "op2_suffix_dedup": oracles.REPEATS, "op3_top_k": oracles.TOP_K, "op4_jaccard_join": oracles.JACCARD, "op6_sharding": oracles.SHARDS, "op8_language": oracles.LANGUAGES, "op9_secrets": oracles.SECRETS}
+QUERIES = {q.__name__: _shipped(q) for q in (op1_decontaminate, op2_suffix_dedup, op3_top_k, op4_jaccard_join, op5_token_records, op6_sharding, op7_sentencepiece, op8_language, op9_secrets, op10_quality, op11_importance, op12_hard_negatives, op13_packing)}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": oracles.LEAKS, "op2_suffix_dedup": oracles.REPEATS, "op3_top_k": oracles.TOP_K, "op4_jaccard_join": oracles.JACCARD, "op6_sharding": oracles.SHARDS, "op8_language": oracles.LANGUAGES, "op9_secrets": oracles.SECRETS, "op11_importance": oracles.IMPORTANCE, "op12_hard_negatives": oracles.NEGATIVES}

@@ -158,7 +158,7 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
@@ -216,7 +216,7 @@ def write(docs: DataFrame, folder: str, model_path: str, end_id: int | None = 1)
                 fs, path = _store(folder)
                 fs.create_dir(path, recursive=True)
                 out, idx = (fs.open_output_stream(f"{path}/{name}.{x}", buffer_size=1 << 20) for x in ("rec", "idx"))
-            enc, col, ids_of = _encoder(model_path), C.texts_of(batch), batch.column(0).to_pylist()
+            enc, col, ids_of = encoder(model_path), C.texts_of(batch), batch.column(0).to_pylist()
             for a, b in C.chunks(col):
                 flat, counts = enc.encode(col.slice(a, b - a))
                 cuts = np.concatenate([[0], np.cumsum(counts)])

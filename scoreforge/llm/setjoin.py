@@ -1,7 +1,8 @@
 """N-gram Jaccard join (operator 4): prefix index lists with set-relation skipping, and the components of its links.
 
-1. Each text becomes its set of word shingles (64-bit hashes); equal sets are one class, known by 64 bits of the set, by 64
-   others where two different sets share the first. The shingles' counts over all documents, kept in a sketch of ``CELLS``
+1. Each text becomes its set of word shingles: 64-bit hashes made with a secret that each run draws, so that no texts can be
+   built whose shingles agree; by chance two do once in 2**64 pairs. Equal sets are one class, known by 64 bits of the
+   set, by 64 others where two different sets share the first (128 also for a set of one shingle). The shingles' counts over all documents, kept in a sketch of ``CELLS``
    cells, give one order of all shingles, rare ones first.
 2. Two sets that reach the similarity share a shingle among their first ``n - ceil(similarity * n) + 1`` in that order. These
    are dealt by shingle into index lists. A list is sorted by size and cut into blocks that know the farthest reach of their
@@ -16,6 +17,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,24 +45,24 @@ def prefix_size(t: int, n):
     return n - -(-t * n // 100) + 1
 
 
-def _signature(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Twice 64 bits of each set."""
+def _signature(h: np.ndarray, n: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Twice 64 bits of each set; the second also takes in what the hashes of shingles do not hold."""
     at = np.concatenate([[0], np.cumsum(n)])
     out = []
-    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+    for salt, more in ((0x5851F42D4C957F2D, np.zeros_like(least)), (0x14057B7EF767814F, least)):
         run = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(C._mix(h ^ np.uint64(salt)), out=run[1:])
-        out.append(C._mix((run[at[1:]] - run[at[:-1]]) ^ (n.astype(np.uint64) << np.uint64(40))).view(np.int64))
+        np.cumsum(C.mix(h ^ np.uint64(salt)), out=run[1:])
+        out.append(C.mix((run[at[1:]] - run[at[:-1]]) ^ (n.astype(np.uint64) << np.uint64(40)) ^ C.mix(more)).view(np.int64))
     return out[0], out[1]
 
 
-def _classes_of(h: np.ndarray, n: np.ndarray, clash: np.ndarray) -> np.ndarray:
+def _classes_of(h: np.ndarray, n: np.ndarray, least: np.ndarray, clash: np.ndarray) -> np.ndarray:
     """The class of each set: its first 64 bits, the others where different sets share those."""
-    one, two = _signature(h, n)
+    one, two = _signature(h, n, least)
     return np.where(np.isin(one, clash), two, one) if len(clash) else one
 
 
-def _first_pass(k: int):
+def _first_pass(k: int, secret: bytes):
     """Per row its set's size and signature; then, as rows of part >= 0, what the task counted of each cell."""
     names = ["doc_id", "key", "one", "two", "n", "part", "cells"]
 
@@ -68,10 +71,10 @@ def _first_pass(k: int):
         for batch in batches:
             col = C.texts_of(batch)
             for a, b in C.chunks(col):
-                h, n = shingle_sets(col.slice(a, b - a), k)
+                h, n, least = shingle_sets(col.slice(a, b - a), k, secret)
                 cells += np.bincount((h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS)
                 m = b - a
-                one, two = _signature(h, n)
+                one, two = _signature(h, n, least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), batch.column(1).slice(a, m), pa.array(one), pa.array(two), pa.array(n), pa.array(np.full(m, -1, np.int32)), pa.nulls(m, pa.binary())], names)
         if cells.any():
             parts = cells.astype("<u4").reshape(PARTS, -1)  # a task reads far fewer words
@@ -104,15 +107,15 @@ def _ordered(h: np.ndarray, n: np.ndarray, level: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prefixes(k: int, t: int, level, hot: int, clash: np.ndarray):
+def _prefixes(k: int, t: int, secret: bytes, level, hot: int, clash: np.ndarray):
     def run(batches):
         lv = level.value
         from_level = _level(np.array(hot))
         for batch in batches:
             col = C.texts_of(batch)
             for a, b in C.chunks(col):
-                h, n = shingle_sets(col.slice(a, b - a), k)
-                rid = _classes_of(h, n, clash)
+                h, n, least = shingle_sets(col.slice(a, b - a), k, secret)
+                rid = _classes_of(h, n, least, clash)
                 one = np.unique(rid, return_index=True)[1]
                 one = one[n[one] > 0]
                 h = _ordered(h, n, lv)
@@ -267,7 +270,7 @@ def group_links(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, se
     return edges, linked
 
 
-def _groups(k: int, t: int, clash: np.ndarray):
+def _groups(k: int, t: int, secret: bytes, clash: np.ndarray):
     """Rows come in order of the group (pivot, lo, hi). Gives edges and, with the row itself as other, linked weights."""
 
     def settle(key, held):
@@ -288,8 +291,8 @@ def _groups(k: int, t: int, clash: np.ndarray):
         for batch in batches:
             col = C.texts_of(batch)
             for a, b in C.chunks(col):
-                h, n = shingle_sets(col.slice(a, b - a), k)
-                sign = _classes_of(h, n, clash).tolist()
+                h, n, least = shingle_sets(col.slice(a, b - a), k, secret)
+                sign = _classes_of(h, n, least, clash).tolist()
                 at = np.concatenate([[0], np.cumsum(n)]).tolist()
                 pivot, lo, hi, rid, copies, side, pivots = (batch.column(i).slice(a, b - a).to_pylist() for i in range(7))
                 for i in range(b - a):
@@ -334,9 +337,9 @@ def components(edges: DataFrame) -> DataFrame:
 def _linked(documents: DataFrame, k: int, t: int, block: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """The rows as (doc_id, key, rid, n), and the classes as (rid, least_id, key, copies, root, weight): key is the hash of
     a text, in the classes of one of least id; weight is the number of rows linked with each of the class, but for its own."""
-    spark = documents.sparkSession
+    spark, secret = documents.sparkSession, os.urandom(32)
     own = documents.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.xxhash64(F.col("`text`")).alias("key"), F.col("`text`").alias("text"))
-    first = C.checkpointed(own.mapInArrow(_first_pass(k), "doc_id long, key long, one long, two long, n long, part int, cells binary"))
+    first = C.checkpointed(own.mapInArrow(_first_pass(k, secret), "doc_id long, key long, one long, two long, n long, part int, cells binary"))
     stage = first.where("part = -1")
     shared = stage.where("n > 0").groupBy("one").agg(F.min("two").alias("_a"), F.max("two").alias("_b")).where("_a <> _b")
     clash = [r["one"] for r in shared.select("one").collect()]  # different sets of equal 64 bits: hardly any
@@ -350,7 +353,7 @@ def _linked(documents: DataFrame, k: int, t: int, block: int, hot: int) -> tuple
     last = F.coalesce("doc_id", F.lit((1 << 63) - 1))  # null ids come last
     classes = stage.where("n > 0").groupBy("rid").agg(F.min("doc_id").alias("least_id"), F.min_by("key", last).alias("key"), F.count(F.lit(1)).alias("copies"))
     classes = C.checkpointed(classes)
-    tokens = own.select("doc_id", "text").mapInArrow(_prefixes(k, t, level, hot, clash), "token long, rid long, n int, pos int, hot boolean")
+    tokens = own.select("doc_id", "text").mapInArrow(_prefixes(k, t, secret, level, hot, clash), "token long, rid long, n int, pos int, hot boolean")
     some_hot = bool((levels >= _level(np.array(hot))).any())
     cold = tokens.where("not hot") if some_hot else tokens
     met = cold.select("token", "rid", "n", "pos").repartition("token").sortWithinPartitions("token", "rid").mapInArrow(_lists(t), "pivot long, rid long")
@@ -366,7 +369,7 @@ def _linked(documents: DataFrame, k: int, t: int, block: int, hot: int) -> tuple
     rows = own.join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("text", "asked", "copies", F.transform("groups", lambda g: g["pivot"]).alias("pivots"), F.explode("groups").alias("g"))
     rows = rows.select("text", "asked", "copies", "pivots", "g.*", F.explode(F.sequence(F.lit(0), F.col("g.blocks") - 1)).alias("o"))
     rows = rows.select("pivot", F.least("m", "o").alias("lo"), F.greatest("m", "o").alias("hi"), F.col("asked").alias("rid"), "copies", F.when(F.col("m") <= F.col("o"), 0).otherwise(1).alias("side"), "pivots", "text")
-    links = rows.repartition("pivot", "lo", "hi").sortWithinPartitions("pivot", "lo", "hi").mapInArrow(_groups(k, t, clash), "rid long, other long, weight long")
+    links = rows.repartition("pivot", "lo", "hi").sortWithinPartitions("pivot", "lo", "hi").mapInArrow(_groups(k, t, secret, clash), "rid long, other long, weight long")
     links = C.checkpointed(links)
     C.forget(met)
     weight = links.groupBy("rid").agg(F.sum("weight").alias("_w"))

@@ -7,21 +7,22 @@ import pyarrow as pa
 
 from . import common as C
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def shingle_sets(col: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(col: pa.Array, k: int, secret: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes of each text's runs of ``k`` words (of all its words, if fewer), ascending, one text after another,
-    and their number per text. Words are what blanks part, A-Z in lower case; a text without words has none."""
+    their number per text, and the least of 64 further bits of each run (0: no words). Words are what blanks part, A-Z in lower
+    case; a text without words has none. Two runs that differ can't be made to agree without the secret."""
     raw, offs = C.utf8_flat(col)
-    raw = _LOWER[raw]
+    raw = LOWER[raw]
     blank = _SPACE[raw]
     n = len(offs) - 1
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.uint64)
     start = ~blank
     start[1:] &= blank[:-1]
     heads = offs[:-1][np.diff(offs) > 0]
@@ -30,20 +31,22 @@ def shingle_sets(col: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     stop = blank.copy()
     ends = np.flatnonzero(stop)
     ends = np.sort(np.concatenate([ends, offs[1:]]))
-    words = C.segment_hashes(raw, starts, ends[np.searchsorted(ends, starts, side="right")])
+    words = C.segment_digests(raw, starts, ends[np.searchsorted(ends, starts, side="right")], secret)
     first = np.searchsorted(starts, offs)
     count = np.diff(first)
     runs = np.where(count >= k, count - k + 1, np.where(count > 0, 1, 0))
-    at = C.gather(np.arange(len(words)), first[:-1], runs)
+    at = C.gather(np.arange(len(starts)), first[:-1], runs)
     width = np.repeat(np.minimum(count, k), runs)
-    h = np.zeros(len(at), np.uint64)
-    padded = np.concatenate([words, np.zeros(k, np.uint64)])
-    for i in range(k):
-        h = np.where(i < width, C._mix((h ^ padded[at + i]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1)), h)
+    short = count.min(initial=k) < k
+    h, more = (C.combined([np.where(i < width, x[at + i], 0) if short else x[at + i] for i in range(k)], secret, salt) for salt, x in (("run", np.concatenate([words[0], np.zeros(k, np.uint64)])), ("further", np.concatenate([words[1], np.zeros(k, np.uint64)]))))
+    some = np.flatnonzero(runs)
+    least = np.zeros(n, np.uint64)
+    if len(some):
+        least[some] = np.minimum.reduceat(more, (np.cumsum(runs) - runs)[some])
     owner = np.repeat(np.arange(n), runs)
     cuts = np.concatenate([[0], np.cumsum(runs)]).tolist()
     for a, b in zip(cuts, cuts[1:]):  # text by text: much faster than all of them by text and hash
         h[a:b].sort()
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    return h[keep], np.bincount(owner[keep], minlength=n).astype(np.int64)
+    return h[keep], np.bincount(owner[keep], minlength=n).astype(np.int64), least

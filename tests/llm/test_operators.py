@@ -233,9 +233,10 @@ def test_set_join_keeps_regular_words_and_clashing_classes_apart(spark, monkeypa
     df = spark.createDataFrame([(1, thue_morse(10, "a", "b")), (2, thue_morse(10, "b", "a"))], "doc_id long, text string")
     assert sorted(map(tuple, setjoin.join(df).collect())) == [(1, 1, 1, 0), (2, 1, 2, 0)]
     assert setjoin.keep_one(df).count() == 2
-    h, n = np.array([1, 2, 3], np.uint64), np.array([1, 1, 1])
-    one, two = setjoin._signature(h, n)
-    assert setjoin._classes_of(h, n, one[1:2]).tolist() == [one[0], two[1], one[2]]
+    h, n, least = np.array([1, 2, 3], np.uint64), np.array([1, 1, 1]), np.array([4, 5, 6], np.uint64)
+    one, two = setjoin._signature(h, n, least)
+    assert setjoin._classes_of(h, n, least, one[1:2]).tolist() == [one[0], two[1], one[2]]
+    assert setjoin._signature(h, n, least + np.uint64(1))[0].tolist() == one.tolist() and setjoin._signature(h, n, least + np.uint64(1))[1].tolist() != two.tolist()
 
 
 def test_keep_one_of_null_and_repeated_ids(spark):
