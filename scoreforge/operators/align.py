@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from scoreforge.functions.expr import let
 from scoreforge.schemas import ALIGNED
 
-#: Cells of the tables of steps that are filled at once.
+#: Cells of the tables of steps that are filled at once, a byte each.
 CELLS = 1 << 24
 DIAGONAL, UP, LEFT = range(3)
 
@@ -32,27 +34,44 @@ def coded(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes[: len(a)], codes[len(a) :]
 
 
-def align_many(a: np.ndarray, a_offs: np.ndarray, b: np.ndarray, b_offs: np.ndarray, gap: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Sequences one after another: numbers, or several arrays of the same length by name (what elements are compared by).
+Flat = np.ndarray | dict[str, np.ndarray]
+#: Which elements of two shapes that broadcast count as equal; any relation, transitive or not.
+Same = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
+
+
+def _equal(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+    return a[""] == b[""]
+
+
+def align_many(a: Flat, a_offs: np.ndarray, b: Flat, b_offs: np.ndarray, gap: int = 1, same: Same = _equal) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Alignments of many pairs of sequences, pair ``i`` being ``a[a_offs[i]:a_offs[i + 1]]`` and the same of ``b``: places in either,
     -1 for a gap, one alignment after another, and the offsets. Least cost (1 for two that differ, ``gap`` for one alone); ties
     go, from the end, to a pair, then to an element of ``a`` alone.
 
     Pairs of like size fill their tables together, a row of all of them at a time: along a row, the steps to the right are
-    a running minimum. Then all go back together, a step at a time.
+    a running minimum. Then all go back together, a step at a time. Pairs of more than ``CELLS`` cells are cut up by ``_long``.
     """
+    a, b = ({"": x} if isinstance(x, np.ndarray) else x for x in (a, b))
     m, n = np.diff(a_offs), np.diff(b_offs)
     count = len(m)
     length, parts = np.zeros(count, np.int64), []
+    long = (m + 1) * (n + 1) > CELLS
+    for i in np.flatnonzero(long).tolist():
+        g, p = _long({k: x[a_offs[i] : a_offs[i + 1]] for k, x in a.items()}, {k: x[b_offs[i] : b_offs[i + 1]] for k, x in b.items()}, int(m[i]), int(n[i]), gap, same)
+        length[i] = len(g)
+        parts.append((np.array([i]), g, p, length[i : i + 1]))
     bucket = lambda x: np.where(x > 0, 1 << np.ceil(np.log2(np.maximum(x, 1))).astype(np.int64), 0)
     wide, high = bucket(n), bucket(m)
     order = np.lexsort((n, m, wide, high))
+    order = order[~long[order]]
     sorted_sizes = np.stack([high[order], wide[order]])
-    cuts = [0, *(np.flatnonzero((sorted_sizes[:, 1:] != sorted_sizes[:, :-1]).any(axis=0)) + 1).tolist(), count] if count else [0]
+    cuts = [0, *(np.flatnonzero((sorted_sizes[:, 1:] != sorted_sizes[:, :-1]).any(axis=0)) + 1).tolist(), len(order)] if len(order) else [0]
     for s, e in zip(cuts, cuts[1:]):
         some = max(1, CELLS // int((high[order[s]] + 1) * (wide[order[s]] + 1)))
         for at in range(s, e, some):
             own = order[at : min(e, at + some)]
-            g, p, size = _together(_rows(a, a_offs, own), m[own], _rows(b, b_offs, own), n[own], gap)
+            g, p, size = _together(_rows(a, a_offs, own), m[own], _rows(b, b_offs, own), n[own], gap, same)
             length[own] = size
             parts.append((own, g, p, size))
     offs = np.concatenate([[0], np.cumsum(length)])
@@ -63,27 +82,26 @@ def align_many(a: np.ndarray, a_offs: np.ndarray, b: np.ndarray, b_offs: np.ndar
     return g_all, p_all, offs
 
 
-def _rows(x: np.ndarray, offs: np.ndarray, own: np.ndarray) -> np.ndarray:
+def _rows(x: dict[str, np.ndarray], offs: np.ndarray, own: np.ndarray) -> dict[str, np.ndarray]:
     """Sequences as rows of one matrix; behind their ends stands what is never looked at."""
     lens = offs[own + 1] - offs[own]
-    out = np.zeros((len(own), int(lens.max(initial=0))), np.int32)
     row = np.repeat(np.arange(len(own)), lens)
     col = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
-    out[row, col] = x[np.repeat(offs[own], lens) + col]
-    return out
+    made = {}
+    for k, values in x.items():
+        made[k] = np.zeros((len(own), int(lens.max(initial=0))), values.dtype)
+        made[k][row, col] = values[np.repeat(offs[own], lens) + col]
+    return made
 
 
-def _together(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    count, high, wide = len(m), a.shape[1], b.shape[1]
+def _together(a: dict[str, np.ndarray], m: np.ndarray, b: dict[str, np.ndarray], n: np.ndarray, gap: int, same: Same) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    count, high, wide = len(m), int(m.max(initial=0)), int(n.max(initial=0))
     steps = np.empty((high + 1, count, wide + 1), np.uint8)
     steps[0], steps[:, :, 0] = LEFT, UP
     slope = np.arange(wide + 1, dtype=np.int32) * gap
     above = np.broadcast_to(slope, (count, wide + 1)).copy()
     for i in range(1, high + 1):
-        row = above + gap
-        pair = above[:, :-1] + (a[:, i - 1 : i] != b)
-        np.minimum(row[:, 1:], pair, out=row[:, 1:])
-        row = np.minimum.accumulate(row - slope, axis=1) + slope
+        row, pair = _next_row(above, {k: x[:, i - 1 : i] for k, x in a.items()}, b, slope, gap, same)
         steps[i, :, 1:] = np.where(row[:, 1:] == pair, DIAGONAL, np.where(row[:, 1:] == above[:, 1:] + gap, UP, LEFT))
         above = row
     g, p = np.full((count, high + wide), -1, np.int32), np.full((count, high + wide), -1, np.int32)
@@ -103,6 +121,54 @@ def _together(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, gap: i
     return g[real], p[real], size
 
 
+def _next_row(above: np.ndarray, x: dict[str, np.ndarray], b: dict[str, np.ndarray], slope: np.ndarray, gap: int, same: Same) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each cost table from the row above, and what its cells would cost as pairs."""
+    row = above + gap
+    pair = above[:, :-1] + ~same(x, b)
+    np.minimum(row[:, 1:], pair, out=row[:, 1:])
+    return np.minimum.accumulate(row - slope, axis=1) + slope, pair
+
+
+def _long(a: dict[str, np.ndarray], b: dict[str, np.ndarray], m: int, n: int, gap: int, same: Same) -> tuple[np.ndarray, np.ndarray]:
+    """The alignment of one pair in memory that grows with ``m + n``: the table is halved by rows until a piece has at most ``CELLS``.
+
+    What is halved is one path, that of the rule for ties: below the middle row each cell hands on the column in which its path
+    left that row, so the path of the last cell is known to pass there. On that path no step of higher rank costs the
+    least, and it does not in the pieces either, where all other cells cost the same or more; so the pieces' paths are parts of it.
+    """
+    todo, parts = [(0, m, 0, n)], []
+    while todo:
+        top, bottom, left, right = todo.pop()
+        x, y = {k: v[None, top:bottom] for k, v in a.items()}, {k: v[None, left:right] for k, v in b.items()}
+        if bottom - top < 2 or (bottom - top + 1) * (right - left + 1) <= CELLS:
+            g, p, _ = _together(x, np.array([bottom - top]), y, np.array([right - left]), gap, same)
+            parts.append((np.where(g < 0, g, g + top), np.where(p < 0, p, p + left)))
+            continue
+        middle = (top + bottom) // 2
+        at = left + _crossing(x, y, middle - top, gap, same)
+        todo += [(middle, bottom, at, right), (top, middle, left, at)]
+    return np.concatenate([g for g, _ in parts]), np.concatenate([p for _, p in parts])
+
+
+def _crossing(a: dict[str, np.ndarray], b: dict[str, np.ndarray], middle: int, gap: int, same: Same) -> int:
+    """The column in which the path of the last cell, seen from there, comes to the row ``middle``."""
+    high, wide = (next(iter(x.values())).shape[1] for x in (a, b))
+    places = np.arange(wide + 1)
+    slope = places[None].astype(np.int32) * gap
+    above, crossed = slope.copy(), places
+    for i in range(1, high + 1):
+        row, pair = _next_row(above, {k: x[:, i - 1 : i] for k, x in a.items()}, b, slope, gap, same)
+        if i > middle:
+            diagonal, up = row[0, 1:] == pair[0], row[0, 1:] == above[0, 1:] + gap
+            own = crossed.copy()  # of the cell above
+            own[1:] = np.where(diagonal, crossed[:-1], crossed[1:])
+            start = places.copy()  # the last cell to the left that is not reached from its left
+            start[1:][~(diagonal | up)] = 0
+            crossed = own[np.maximum.accumulate(start)]
+        above = row
+    return int(crossed[-1])
+
+
 def cells(g: np.ndarray, p: np.ndarray) -> pa.Array:
     """Places of alignments as structs, null for a gap."""
     return pa.StructArray.from_arrays([pa.array(x, pa.int32(), mask=x < 0) for x in (g, p)], ["g", "p"])
@@ -117,15 +183,38 @@ def _udf(gap: int):
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         (x, x_offs), (y, y_offs) = flat(a), flat(b)
         x, y = coded(x, y)
-        g, p, offs = align_many(x, x_offs, y, y_offs, gap)
-        void = pc.or_(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
-        keep = ~np.repeat(void, np.diff(offs))
-        size = np.where(void, 0, np.diff(offs))
-        return listed(cells(g[keep], p[keep]), np.concatenate([[0], np.cumsum(size)]), void)
+        return _listed_alignments(a, b, *align_many(x, x_offs, y, y_offs, gap))
 
     return run
 
 
+def _fields(lists: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    elements, offs = flat(lists)
+    names = [f.name for f in lists.type.value_type]
+    return {k: pc.struct_field(elements, [k]).to_numpy(zero_copy_only=False) for k in names}, offs
+
+
+def align_where(a: Column, b: Column, same: Same, gap: int = 1) -> Column:
+    """Alignment of two sequences of structs (array<struct>) in which ``same`` says which elements are equal: of arrays of their
+    fields by name, in shapes that broadcast, a truth for each two. It need not be transitive, as a tolerance is not, so no key could
+    stand for it. Null elements, or nulls in what ``same`` compares, are what numpy makes of them (nan for numbers)."""
+
+    @F.arrow_udf(ALIGNED.elementType)
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        (x, x_offs), (y, y_offs) = _fields(a), _fields(b)
+        return _listed_alignments(a, b, *align_many(x, x_offs, y, y_offs, gap, same))
+
+    return run(a, b)
+
+
+def _listed_alignments(a: pa.Array, b: pa.Array, g: np.ndarray, p: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """Alignments as lists, null where either sequence is."""
+    void = pc.or_(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+    keep = ~np.repeat(void, np.diff(offs))
+    size = np.where(void, 0, np.diff(offs))
+    return listed(cells(g[keep], p[keep]), np.concatenate([[0], np.cumsum(size)]), void)
+
+
 def align(a: Column, b: Column, gap: int = 1) -> Column:
     """Alignment of two sequences of keys (array<string>): array<struct<g, p>> of places, null where one side has a gap."""
     return _udf(gap)(a, b)
@@ -179,4 +268,5 @@ def edit_distance(a: Column, b: Column) -> Column:
         text = lambda ws: F.array_join(F.transform(ws, letter), "")
         return F.when(F.size(known) > MOST_LETTERS, F.raise_error(F.lit("too many different words")).cast("int")).otherwise(F.levenshtein(text(a), text(b)))
 
-    return let(F.array_distinct(F.concat(a, b)), of)
+    single = lambda ws: F.forall(ws, lambda w: F.char_length(w) == 1)  # noqa: E731  then they stand for themselves
+    return F.when(single(a) & single(b), F.levenshtein(F.array_join(a, ""), F.array_join(b, ""))).otherwise(let(F.array_distinct(F.concat(a, b)), of))

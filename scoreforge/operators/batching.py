@@ -1,31 +1,26 @@
 """Batches under a length budget, and their shares among ranks.
 
-Greedy packing is one pass over rows in order, each batch depending on the one before. Only (id, length) take part: rows are
-sorted by Spark and the pass streams, holding one batch's totals. Very many rows are packed in parts of equal numbers of
-rows side by side; that differs from the single pass only in batches not filled up across the parts' borders.
+Greedy packing is one pass over rows in order, each batch depending on the one before. Little input goes through one task, as
+(id, length) pairs that stream by. More is numbered in its order and cut into blocks of rows. A batch has at most ``cap`` rows,
+so the first batch that begins in a block begins at one of its first ``cap`` rows: for each of these, each block tells where
+its batches would end and how many they are. Put together block by block, a few numbers each, that gives the row at which each
+block's first batch really begins; then all blocks write their batches side by side. The batches are those of the single pass.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PACKED = "batch_part long, batch_no long, pos int, sample_id long, length long"
-#: Rows that one pass packs; with more there are parts.
-PASS_ROWS = 10_000_000
-#: Neighbouring ids that are numbered by one task at most, as a power of two.
-ID_BITS = 20
+from scoreforge.session import size_of
 
+from .numbering import numbered
 
-def numbered(samples: DataFrame, length: str, sample_id: str) -> DataFrame:
-    """``samples`` with their number ``no`` (from 0) by length and id: counts of runs of ids of one length are run up."""
-    run = F.struct(F.col(length).alias("n"), F.shiftright(F.col(sample_id).cast("long"), ID_BITS).alias("i"))
-    rows = samples.withColumn("_run", run)
-    before = W.orderBy("_run").rowsBetween(W.unboundedPreceding, -1)  # over the counts only
-    first = rows.groupBy("_run").agg(F.count(F.lit(1)).alias("_n")).select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    return rows.join(first, "_run").withColumn("no", F.row_number().over(W.partitionBy("_run").orderBy(sample_id)) - 1 + F.col("_first")).drop("_run", "_first")
+PACKED = "batch_part long, batch_no long, pos int, sample_id long, length long"
+#: Bytes of input, as Spark estimates them, up to which one task packs; rows of a block beyond.
+SMALL, BLOCK_ROWS = 64 << 20, 1 << 20
 
 
 def _packer(budget: int, cap: int, padded: bool):
@@ -47,25 +42,117 @@ def _packer(budget: int, cap: int, padded: bool):
     return run
 
 
-def pack(samples: DataFrame, length: str, sample_id: str = "sample_id", budget: int = 24000, cap: int = 32, padded: bool = False, partitions: int | None = None, order: str | Column | None = None, part: str | None = None) -> DataFrame:
+def _jumps(length: np.ndarray, part: np.ndarray, own: int, budget: int, cap: int, padded: bool) -> np.ndarray:
+    """For each of the first ``own`` rows the row behind the batch that would begin with it."""
+    size, run, live = np.ones(own, np.int64), length[:own].copy(), np.arange(own)
+    for k in range(1, cap):
+        live = live[live + k < len(length)]
+        more = length[live + k]
+        run[live] = np.maximum(run[live], more) if padded else run[live] + more
+        fits = part[live + k] == part[live]
+        if budget > 0:
+            fits &= (run[live] * (k + 1) if padded else run[live]) <= budget
+        live = live[fits]
+        if not len(live):
+            break
+        size[live] += 1
+    return np.arange(own) + size
+
+
+def _blocks(batches):
+    """(block, columns) of rows that come in order of block and number: block, no, sample_id, length, part."""
+    held, last = [], None
+    for batch in batches:
+        numbers = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            if s < e:
+                if held and numbers[s] != last:
+                    yield last, pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(s, e - s))
+                last = int(numbers[s])
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+ENDS = "block long, own long, ends binary, counts binary, lasts binary"
+
+
+def _ends(size: int, budget: int, cap: int, padded: bool):
+    """For each row at which a block's first batch may begin: how far its batches reach into the next block, how many they are, and where
+    the last of them begins."""
+
+    def run(batches):
+        for block, rows in _blocks(batches):
+            no, length, part = (rows.column(i).to_numpy() for i in (1, 3, 4))
+            own = int(np.searchsorted(no, (block + 1) * size))
+            jump = _jumps(length, part, own, budget, cap, padded).tolist()
+            known: dict[int, tuple[int, int, int]] = {}
+            for first in range(min(cap, own)):
+                way, i = [], first
+                while i < own and i not in known:
+                    way.append(i)
+                    i = jump[i]
+                end, n, last = known[i] if i < own else (i - own, 0, -1)
+                for i in reversed(way):
+                    n, last = n + 1, i if last < 0 else last
+                    known[i] = end, n, last
+            told = np.array([known[i] for i in range(min(cap, own))], "<i8").reshape(-1, 3)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "own": pa.array([own], pa.int64()), **{k: pa.array([told[:, i].tobytes()], pa.binary()) for i, k in enumerate(("ends", "counts", "lasts"))}})
+
+    return run
+
+
+def _written(size: int, budget: int, cap: int, padded: bool, starts):
+    """Batches of each block, whose first batch begins at a row that is known now."""
+
+    def run(batches):
+        for block, rows in _blocks(batches):
+            no, ids, length, part = (rows.column(i).to_numpy() for i in (1, 2, 3, 4))
+            own = int(np.searchsorted(no, (block + 1) * size))
+            jump = _jumps(length, part, own, budget, cap, padded).tolist()
+            entry, first, behind = starts.value[block]
+            begins, i = [], entry
+            while i < own:
+                begins.append(i)
+                i = jump[i]
+            fresh = np.zeros(own, np.int64)
+            fresh[begins] = 1
+            batch = np.cumsum(fresh)
+            begin = np.concatenate([[-behind], begins]).astype(np.int64)  # of the batch that came over from the block before, too
+            yield pa.RecordBatch.from_arrays([pa.array(first - 1 + batch), pa.array((np.arange(own) - begin[batch]).astype(np.int32)), pa.array(ids[:own]), pa.array(length[:own])], ["batch_id", "pos", "sample_id", "length"])
+
+    return run
+
+
+def pack(samples: DataFrame, length: str, sample_id: str = "sample_id", budget: int = 24000, cap: int = 32, padded: bool = False, partitions: int | None = None, order: str | Column | None = None, block_rows: int | None = None) -> DataFrame:
     """batch_id, pos, sample_id, length: a batch is closed before the row that would exceed the budget (the sum of lengths, or with
     ``padded`` rows times the longest) or the cap; a longer row is a batch of its own. Rows come by length (ties by id), or by
-    ``order``. ``partitions`` parts of equal numbers of rows are packed side by side (by default one for ``PASS_ROWS`` rows);
-    rows in an order of their own bring the number of their part in column ``part``."""
-    own = F.struct(F.col(length).cast("long").alias("length"), F.col(sample_id).cast("long").alias("sample_id")) if order is None else F.col(order) if isinstance(order, str) else order
-    if part is None and order is None:
-        n = samples.count() if partitions != 1 else 0
-        partitions = partitions or max(1, -(-n // PASS_ROWS))
-        if partitions > 1:
-            samples, part = numbered(samples, length, sample_id).withColumn("_part", F.floor(F.col("no") * partitions / n)), "_part"
-    rows = samples.select(F.col(sample_id).cast("long").alias("sample_id"), F.col(length).cast("long").alias("length"), (F.col(part) if part else F.lit(0)).cast("long").alias("part"), own.alias("_o"))
-    dealt = rows.repartition("part") if part else rows.repartition(1)
-    packed = dealt.sortWithinPartitions("part", "_o").select("sample_id", "length", "part").mapInArrow(_packer(budget, cap, padded), PACKED)
-    if not part:
+    ``order`` (ties by id). With ``partitions`` no batch crosses the borders of so many parts of equal numbers of rows. ``block_rows``
+    asks for blocks of so many rows whatever the input's size; the batches are the same."""
+    keys = [F.col(length).cast("long")] if order is None else [F.col(order) if isinstance(order, str) else order]
+    rows = samples.select(F.col(sample_id).cast("long").alias("sample_id"), F.col(length).cast("long").alias("length"), *[k.alias(f"_o{i}") for i, k in enumerate(keys)])
+    places = [*[f"_o{i}" for i in range(len(keys))], "sample_id"]
+    if block_rows is None and (partitions or 1) == 1 and size_of(samples) <= SMALL:
+        packed = rows.repartition(1).sortWithinPartitions(*places).select("sample_id", "length", F.lit(0).cast("long").alias("part")).mapInArrow(_packer(budget, cap, padded), PACKED)
         return packed.select(F.col("batch_no").alias("batch_id"), "pos", "sample_id", "length")
-    sizes = packed.groupBy("batch_part").agg((F.max("batch_no") + 1).alias("_n"))  # a row a part
-    before = sizes.select("batch_part", F.coalesce(F.sum("_n").over(W.orderBy("batch_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return packed.join(F.broadcast(before), "batch_part").select((F.col("_b") + F.col("batch_no")).alias("batch_id"), "pos", "sample_id", "length")
+    spark, size = samples.sparkSession, max(block_rows or BLOCK_ROWS, cap)
+    rows = numbered(rows, places)
+    part = F.lit(0).cast("long")
+    if (partitions or 1) > 1:
+        part = F.floor(F.col("no") * partitions / rows.count())
+    own = F.floor(F.col("no") / size).cast("long")
+    near = (F.col("no") % size < cap) & (F.col("no") >= size)  # also seen by the block before, whose last batch may reach them
+    dealt = rows.select(F.explode(F.when(near, F.array(own - 1, own)).otherwise(F.array(own))).alias("block"), "no", "sample_id", "length", part.alias("part"))
+    dealt = dealt.repartition("block").sortWithinPartitions("block", "no")
+    entry, first, behind, starts = 0, 0, 0, {}
+    for r in sorted(dealt.mapInArrow(_ends(size, budget, cap, padded), ENDS).collect(), key=lambda r: r["block"]):  # three times ``cap`` numbers a block
+        starts[r["block"]] = entry, first, behind
+        if entry < r["own"]:
+            end, n, last = (int(np.frombuffer(r[c], "<i8")[entry]) for c in ("ends", "counts", "lasts"))
+            entry, first, behind = end, first + n, r["own"] - last
+    return dealt.mapInArrow(_written(size, budget, cap, padded, spark.sparkContext.broadcast(starts)), "batch_id long, pos int, sample_id long, length long")
 
 
 def drop_last(batches: DataFrame, least: int = 2) -> DataFrame:
@@ -74,25 +161,14 @@ def drop_last(batches: DataFrame, least: int = 2) -> DataFrame:
     return batches.join(F.broadcast(last.select("batch_id")), "batch_id", "left_anti")
 
 
-def shuffled_order(samples: DataFrame, length: str, seed: int, epoch: int = 0, sample_id: str = "sample_id", chunks: int = 10, least: int = 100, partitions: int | None = None) -> DataFrame:
-    """``samples`` with ``chunk``, ``order_key`` and ``part``: by length (ties by id) cut into chunks of a tenth of all rows, at least
-    ``least``; chunks in a random order, rows in a random order inside them. The order is one of hashes, the same for the
-    same seed and epoch. ``part`` numbers runs of that order which may be packed side by side, at least ``partitions`` (by
-    default one for ``PASS_ROWS`` rows)."""
-    n = samples.count()
-    partitions = partitions or max(1, -(-n // PASS_ROWS))
-    size = max(least, n // chunks)
-    many = -(-n // size)
+def shuffled_order(samples: DataFrame, length: str, seed: int, epoch: int = 0, sample_id: str = "sample_id", chunks: int = 10, least: int = 100) -> DataFrame:
+    """``samples`` with ``chunk`` and ``order_key``: by length (ties by id) cut into chunks of a tenth of all rows, at least ``least``;
+    chunks in a random order, rows in a random order inside them. The order is one of hashes, the same for the same seed
+    and epoch."""
+    size = max(least, samples.count() // chunks)
     draw = lambda *x: F.xxhash64(F.lit(seed + epoch), *x)
-    out = numbered(samples, length, sample_id).withColumn("chunk", F.floor(F.col("no") / size).cast("int")).drop("no")
-    out = out.withColumn("order_key", F.struct(draw("chunk").alias("a"), draw(F.col(sample_id)).alias("b")))
-    if partitions == 1:
-        return out.withColumn("part", F.lit(0).cast("long"))
-    bits = max(0, (-(-partitions // max(many, 1)) - 1).bit_length())
-    turns = samples.sparkSession.range(many).select(F.col("id").cast("int").alias("chunk"))
-    turns = turns.withColumn("_turn", F.row_number().over(W.orderBy(draw("chunk"))) - 1)  # of chunks
-    sub = F.shiftright(F.col("order_key.b"), 64 - bits) + (1 << (bits - 1)) if bits else F.lit(0)
-    return out.join(F.broadcast(turns), "chunk").withColumn("part", (F.col("_turn") * (1 << bits) + sub).cast("long")).drop("_turn")
+    out = numbered(samples, [length, sample_id]).withColumn("chunk", F.floor(F.col("no") / size).cast("int")).drop("no")
+    return out.withColumn("order_key", F.struct(draw("chunk").alias("a"), draw(F.col(sample_id)).alias("b")))
 
 
 def pad_world(batches: DataFrame, world: int) -> DataFrame:

@@ -6,28 +6,29 @@ Audio is opened by path in the task that needs it, so that no audio crosses a sh
 from __future__ import annotations
 
 import io
-import re
 import wave
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreforge.schemas import FEATURE
+from scoreforge.sources.files import store_of
+
+from . import sound
 
 #: waveform (float32), sample rate -> (mel of bins x frames, frames that are real)
 Extractor = Callable[[np.ndarray, int], tuple[np.ndarray, int]]
 
 
 def energy_bins(bins: int = 8, hop: int = 160) -> Extractor:
-    """A deterministic stand-in: mean absolute value of each hop's ``bins`` parts. Real extractors have the same shape."""
+    """A cheap extractor for tests: mean absolute value of each hop's ``bins`` parts; that of speech models is ``sound.log_mel``."""
 
-    def run(sound: np.ndarray, rate: int) -> tuple[np.ndarray, int]:
-        frames = len(sound) // hop
-        cut = np.abs(sound[: frames * hop]).reshape(frames, bins, hop // bins)
+    def run(x: np.ndarray, rate: int) -> tuple[np.ndarray, int]:
+        frames = len(x) // hop
+        cut = np.abs(x[: frames * hop]).reshape(frames, bins, hop // bins)
         return cut.mean(axis=2).T.astype(np.float32), frames
 
     return run
@@ -50,26 +51,33 @@ def decode_pcm16(content: bytes) -> np.ndarray:
 
 
 def decode_wav(rate: int = 16000) -> Callable[[bytes], np.ndarray]:
-    """A decoder of RIFF/WAVE files of 8, 16 or 32 bits: channels become one by their mean, and the rate becomes ``rate`` by
-    linear interpolation. Other containers are adapters of the same shape."""
+    """A decoder of RIFF/WAVE files of 8, 16 or 32 bits: channels become one by their mean, and the rate becomes ``rate``."""
 
     def run(content: bytes) -> np.ndarray:
         with wave.open(io.BytesIO(content)) as f:
             own, channels, width, data = f.getframerate(), f.getnchannels(), f.getsampwidth(), f.readframes(f.getnframes())
         x = (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128 if width == 1 else np.frombuffer(data, f"<i{width}").astype(np.float32) / (1 << (8 * width - 1))
-        x = x.reshape(-1, channels).mean(axis=1)
-        if own == rate or not len(x):
-            return x.astype(np.float32)
-        at = np.arange(len(x) * rate // own) * (own / rate)
-        return np.interp(at, np.arange(len(x)), x).astype(np.float32)
+        return sound.resample(x.reshape(-1, channels).mean(axis=1), own, rate)
+
+    return run
+
+
+def decode_audio(rate: int = 16000) -> Callable[[bytes], np.ndarray]:
+    """A decoder of WAVE and FLAC files, told apart by their first bytes; other containers are adapters of the same shape."""
+    waves = decode_wav(rate)
+
+    def run(content: bytes) -> np.ndarray:
+        if content[:4] != sound.MAGIC:
+            return waves(content)
+        x, own, width = sound.decode_flac(content)
+        return sound.resample((x / (1 << (width - 1))).mean(axis=1), own, rate)
 
     return run
 
 
 def open_file(path: str) -> bytes | None:
     """What is in a file of any store that Arrow reads; None if it is not there or empty."""
-    bare = re.sub("^file:/*", "/", path)
-    store, inside = (pafs.LocalFileSystem(), bare) if bare.startswith("/") else pafs.FileSystem.from_uri(path)
+    store, inside = store_of(path)
     try:
         with store.open_input_stream(inside) as f:
             return f.read() or None

@@ -40,12 +40,22 @@ ADDED = T.StructType(
 )
 
 
-def _alignments(gc: pa.Array, pc_: pa.Array, gk: pa.Array, pk: pa.Array, by_place: bool) -> list[pa.Array]:
-    """``ADDED`` for a batch: characters and note keys of the samples' words."""
+#: What can be asked of ``aligned``, with the columns that it adds.
+PARTS = {"words": ("_words", "_n_gw", "_n_pw"), "lyrics": ("_errors", "_n_gl", "_n_pl"), "notes": ("_facing", "_notes", "_n_gw", "_n_pw")}
+
+
+def _alignments(gc: pa.Array, pc_: pa.Array, gk: pa.Array | None, pk: pa.Array | None, by_place: bool, parts: set[str]) -> dict[str, pa.Array]:
+    """Columns of ``ADDED`` for a batch, as far as they are asked for: characters and note keys of the samples' words."""
     (g_char, g_offs), (p_char, p_offs) = align.flat(gc), align.flat(pc_)
     g, p = align.coded(g_char, p_char)
-    met_g, met_p, met_offs = align.align_many(g, g_offs, p, p_offs)
+    ints = lambda x: pa.array(np.asarray(x, np.int32))
+    made = {"_n_gw": ints(np.diff(g_offs)), "_n_pw": ints(np.diff(p_offs))}
     rows = len(gc)
+    if "words" in parts or ("notes" in parts and not by_place):
+        met_g, met_p, met_offs = align.align_many(g, g_offs, p, p_offs)
+        made["_words"] = align.listed(align.cells(met_g, met_p), met_offs) if "words" in parts else None
+    if parts == {"words"}:
+        return made
     silent = pa.array(SILENCES)
     sides = []
     for chars, codes, offs in ((g_char, g, g_offs), (p_char, p, p_offs)):
@@ -53,12 +63,16 @@ def _alignments(gc: pa.Array, pc_: pa.Array, gk: pa.Array, pk: pa.Array, by_plac
         row = np.searchsorted(offs, sung, side="right") - 1
         sides.append((codes[sung], sung - offs[row], row, np.searchsorted(row, np.arange(rows + 1))))
     (gl, g_at, g_row, gl_offs), (pl, p_at, p_row, pl_offs) = sides
-    lg, lp, l_offs = align.align_many(gl, gl_offs, pl, pl_offs)
-    of = np.repeat(np.arange(rows), np.diff(l_offs))
-    wrong = (lg < 0) | (lp < 0)
-    both = np.flatnonzero(~wrong)
-    wrong[both] = gl[gl_offs[of[both]] + lg[both]] != pl[pl_offs[of[both]] + lp[both]]
-    errors = np.bincount(of[wrong], minlength=rows)
+    made |= {"_n_gl": ints(np.diff(gl_offs)), "_n_pl": ints(np.diff(pl_offs))}
+    if "lyrics" in parts:
+        lg, lp, l_offs = align.align_many(gl, gl_offs, pl, pl_offs)
+        of = np.repeat(np.arange(rows), np.diff(l_offs))
+        wrong = (lg < 0) | (lp < 0)
+        both = np.flatnonzero(~wrong)
+        wrong[both] = gl[gl_offs[of[both]] + lg[both]] != pl[pl_offs[of[both]] + lp[both]]
+        made["_errors"] = ints(np.bincount(of[wrong], minlength=rows))
+    if "notes" not in parts:
+        return made
     if by_place:
         n = np.minimum(np.diff(gl_offs), np.diff(pl_offs))
         face_row = np.repeat(np.arange(rows), n)
@@ -82,34 +96,39 @@ def _alignments(gc: pa.Array, pc_: pa.Array, gk: pa.Array, pk: pa.Array, by_plac
         offs = np.concatenate([[0], np.cumsum(n)])
         seqs += [x[np.repeat(start - offs[:-1], n) + np.arange(offs[-1])], offs]
     note_g, note_p, note_offs = align.align_many(*seqs)
-    ints = lambda x: pa.array(np.asarray(x, np.int32))
-    return [
-        align.listed(align.cells(met_g, met_p), met_offs), ints(errors), ints(np.diff(gl_offs)), ints(np.diff(pl_offs)), ints(np.diff(g_offs)), ints(np.diff(p_offs)),
-        align.listed(align.cells(face_g, face_p), face_offs), align.listed(align.listed(align.cells(note_g, note_p), note_offs), face_offs),
-    ]
+    made["_facing"] = align.listed(align.cells(face_g, face_p), face_offs)
+    made["_notes"] = align.listed(align.listed(align.cells(note_g, note_p), note_offs), face_offs)
+    return made
 
 
-def aligned(rows: DataFrame, length_matched: bool = False) -> DataFrame:
-    """Adds merged pairs by word (``_gm``, ``_pm``), ``ADDED``, and ``_pairs``: array<struct<gp, gn, pp, pn>> of the notes that face
-    each other inside the words that do. The rows pass through Python once."""
-    out = rows
+def aligned(rows: DataFrame, length_matched: bool = False, parts: tuple[str, ...] = ("words", "lyrics", "notes")) -> DataFrame:
+    """Adds what the ``parts`` asked for bring (``PARTS``): the words' alignment, the lyrics' errors, and for the notes the merged pairs
+    by word (``_gm``, ``_pm``) and ``_pairs``: array<struct<gp, gn, pp, pn>> of the notes that face each other inside the words
+    that do. Only those alignments are made; the rows pass through Python once."""
+    out, notes = rows, "notes" in parts
     for side in "gp":
-        out = out.withColumn(f"_{side}m", F.transform(f"_{side}w", lambda w: words.merged(w["pairs"])))
+        if notes:
+            out = out.withColumn(f"_{side}m", F.transform(f"_{side}w", lambda w: words.merged(w["pairs"])))
+            out = out.withColumn(f"_{side}k", F.transform(f"_{side}m", lambda m: F.transform(m, lambda x: F.concat_ws(" ", x["pitch"], x["note"]))))
         out = out.withColumn(f"_{side}c", F.transform(f"_{side}w", lambda w: w["char"]))
-        out = out.withColumn(f"_{side}k", F.transform(f"_{side}m", lambda m: F.transform(m, lambda x: F.concat_ws(" ", x["pitch"], x["note"]))))
         out = out.withColumn(f"_{side}", F.when(F.col(f"_{side}").isNotNull(), F.struct(f"_{side}.bpm"))).drop(f"_{side}w")
     names, sent = out.columns, ("_gc", "_pc", "_gk", "_pk")
-    places = [names.index(n) for n in sent]
+    places = [names.index(n) if n in names else None for n in sent]
     back = [i for i, n in enumerate(names) if n not in sent]  # what Python alone needs does not come back
+    asked = {*parts, "lyrics"} if length_matched else set(parts)
+    added = [f for f in ADDED.fields if any(f.name in PARTS[p] for p in asked)]
+    wanted = [f.name for f in added]
 
     def run(batches):
         for batch in batches:
-            cols = _alignments(*(batch.column(i) for i in places), length_matched)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in back), *cols], [*(names[i] for i in back), *ADDED.names])
+            made = _alignments(*(None if i is None else batch.column(i) for i in places), length_matched, asked)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in back), *(made[n] for n in wanted)], [*(names[i] for i in back), *wanted])
 
-    out = out.mapInArrow(run, T.StructType([*(out.schema.fields[i] for i in back), *ADDED.fields]))
+    out = out.mapInArrow(run, T.StructType([*(out.schema.fields[i] for i in back), *added]))
     if length_matched:
         out = out.where("_p is null or _n_gl = _n_pl")
+    if not notes:
+        return out
 
     def one(f, k):
         both = F.filter(F.get("_notes", k), lambda c: c["g"].isNotNull() & c["p"].isNotNull())
@@ -124,7 +143,7 @@ def per_sample(rows: DataFrame, gt: str = "gt_text", pred: str = "pred_text", in
     prediction can't be read have an error rate of 1 and nothing else. With ``length_matched`` rows whose lyrics differ in
     length go, and words face each other by place."""
     keep = rows.columns
-    out = aligned(prepared(rows, gt, pred), length_matched)
+    out = aligned(prepared(rows, gt, pred), length_matched, ("lyrics", "notes"))
     read = F.col("_p").isNotNull()
     cer = F.when(~read, F.lit(1.0)).when(F.col("_n_gl") == 0, F.when(F.col("_n_pl") == 0, 0.0).otherwise(1.0)).otherwise(F.col("_errors") / F.col("_n_gl"))
     gap = lambda x: F.abs(F.log2(note_beats(x["gn"])) - F.log2(note_beats(x["pn"])))

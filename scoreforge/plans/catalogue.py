@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from scoreforge.functions import tensors, vocab
 from scoreforge.operators import align, annotate, batching, encode, features, infer, metrics, parse, report, splits, words
 from scoreforge.schemas import SYLLABLES
-from scoreforge.sources.annotations import budget, existing
+from scoreforge.sources.annotations import budget
+from scoreforge.sources.files import existing
 
 from . import jobs, oracles
 from .fixtures import annotations, damaged, songs, stub_features, sylls, table, texts
@@ -139,13 +140,13 @@ def cer_per_song(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def align_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = metrics.aligned(metrics.prepared(texts(spark, sf_dir))).select("sid", F.posexplode("_words").alias("step", "x"))
+    rows = metrics.aligned(metrics.prepared(texts(spark, sf_dir)), parts=("words",)).select("sid", F.posexplode("_words").alias("step", "x"))
     return rows.select("sid", "step", "x.g", "x.p")
 
 
 @query
 def align_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = metrics.aligned(metrics.prepared(texts(spark, sf_dir)))
+    rows = metrics.aligned(metrics.prepared(texts(spark, sf_dir)), parts=("notes",))
     rows = rows.select("sid", F.explode(F.arrays_zip("_facing", "_notes")).alias("z"))
     return rows.select("sid", F.col("z._facing.g").alias("g_word"), F.col("z._facing.p").alias("p_word"), F.posexplode("z._notes").alias("step", "x")).select("sid", "g_word", "p_word", "step", "x.g", "x.p")
 

@@ -61,20 +61,21 @@ def worded(name: str) -> str:
   (SELECT arg_min(d.note, (abs(d.beats - q.beats), d.beats)) FROM dim d) END AS note FROM {name}_q q)"""
 
 
-def nw(name: str, source: str) -> str:
-    """CTE ``<name>`` (id, step, g, p) of alignments of a source (id, a, b: lists of keys), by recursion over rows of the table and back."""
+def nw(name: str, source: str, same: str = "{0} = {1}") -> str:
+    """CTE ``<name>`` (id, step, g, p) of alignments of a source (id, a, b: lists), by recursion over rows of the table and back; ``same`` tells
+    which elements are equal."""
     return f"""
 {name}_dp AS (SELECT id, a, b, 0 AS i, range(0, len(b) + 1) AS cost FROM {source}
   UNION ALL
   SELECT id, a, b, i + 1, list_transform(range(0, len(b) + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda k:
-    j - k + CASE WHEN k = 0 THEN i + 1 ELSE least(cost[k + 1] + 1, cost[k] + CASE WHEN a[i + 1] = b[k] THEN 0 ELSE 1 END) END)))
+    j - k + CASE WHEN k = 0 THEN i + 1 ELSE least(cost[k + 1] + 1, cost[k] + CASE WHEN {same.format('a[i + 1]', 'b[k]')} THEN 0 ELSE 1 END) END)))
   FROM {name}_dp WHERE i < len(a)),
 {name}_tb AS (SELECT id, len(a) AS i, len(b) AS j, 0 AS step, CAST(NULL AS BIGINT) AS g, CAST(NULL AS BIGINT) AS p FROM {source}
   UNION ALL
   SELECT id, CASE WHEN move < 2 THEN i - 1 ELSE i END, CASE WHEN move <> 1 THEN j - 1 ELSE j END, step + 1,
     CASE WHEN move < 2 THEN i - 1 END, CASE WHEN move <> 1 THEN j - 1 END
   FROM (SELECT t.id, t.i, t.j, t.step, CASE
-      WHEN t.i > 0 AND t.j > 0 AND here.cost[t.j + 1] = up.cost[t.j] + CASE WHEN here.a[t.i] = here.b[t.j] THEN 0 ELSE 1 END THEN 0
+      WHEN t.i > 0 AND t.j > 0 AND here.cost[t.j + 1] = up.cost[t.j] + CASE WHEN {same.format('here.a[t.i]', 'here.b[t.j]')} THEN 0 ELSE 1 END THEN 0
       WHEN t.i > 0 AND here.cost[t.j + 1] = up.cost[t.j + 1] + 1 THEN 1 ELSE 2 END AS move
     FROM {name}_tb t JOIN {name}_dp here ON here.id = t.id AND here.i = t.i LEFT JOIN {name}_dp up ON up.id = t.id AND up.i = t.i - 1
     WHERE t.i > 0 OR t.j > 0)),

@@ -54,14 +54,14 @@ def train_and_validation(spark: SparkSession, config: RunConfig) -> tuple[DataFr
     return train, val
 
 
-def training_batches(samples: DataFrame, config: RunConfig, epoch: int = 0, partitions: int | None = None, drop_last: bool = False, shuffle: bool = True) -> DataFrame:
+def training_batches(samples: DataFrame, config: RunConfig, epoch: int = 0, drop_last: bool = False, shuffle: bool = True) -> DataFrame:
     """batch_id, pos, sample_id, length under the padded budget, and ``turn``: a random order of the batches for the epoch. Rows are
     shuffled among others of like length before they are packed, anew for each epoch; without ``shuffle`` they come, and so do
     the batches, in order of sample_id."""
     size = {"budget": config.max_batch_tokens, "cap": config.max_batch_size, "padded": True}
     if shuffle:
-        ordered = batching.shuffled_order(samples, "mel_frames", config.seed, epoch, partitions=partitions)
-        made = batching.pack(ordered, "mel_frames", order="order_key", part="part", **size)
+        ordered = batching.shuffled_order(samples, "mel_frames", config.seed, epoch)
+        made = batching.pack(ordered, "mel_frames", order="order_key", **size)
     else:
         made = batching.pack(samples, "mel_frames", order="sample_id", **size)
     made = batching.drop_last(made) if drop_last else made

@@ -52,6 +52,11 @@ def _clear() -> None:
             return
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes of what ``df`` reads, as Spark's optimizer estimates them; no job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to a fresh folder of ``scratch`` and read again: lineage is cut, and a lost executor costs no recompute."""
     path = scratch(df.sparkSession, "step")

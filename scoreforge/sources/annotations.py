@@ -7,13 +7,15 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoreforge.functions.vocab import DEFAULT_BPM
 from scoreforge.operators.annotate import syllables
+from scoreforge.operators.numbering import numbered
 from scoreforge.schemas import ANNOTATION, SAMPLE
 
+from . import files
+
 AUDIO = (".flac", ".wav", ".mp3")
 
 
@@ -34,49 +36,57 @@ def _kept(rows: DataFrame) -> DataFrame:
     return rows.withColumn("syllables", syllables(F.col("word"), _numbers(F.col("pitch")), F.col("note"), _numbers(F.col("pitch2word"))))
 
 
-def existing(spark: SparkSession, root: str) -> DataFrame:
-    """Paths of all files below ``root`` that are not empty; no content is read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("found"))
-
-
-def json_file(spark: SparkSession, name: str, path: str, audio_root: str, max_samples: int = -1) -> DataFrame:
-    """One JSON list of annotations; rows without a file name, or whose audio file is not there, go."""
-    rows = spark.read.option("multiLine", True).schema(ANNOTATION).json(path).where("wav_fn is not null and wav_fn <> ''")
-    rows = _kept(rows.withColumn("audio_path", F.concat(F.lit(audio_root.rstrip("/") + "/"), "wav_fn")))
-    bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
-    rows = rows.join(existing(spark, audio_root), bare(F.col("audio_path")) == bare(F.col("found")), "left_semi")
+def json_file(spark: SparkSession, name: str, path: str, audio_root: str, max_samples: int = -1, split_bytes: int = files.SPLIT_BYTES) -> DataFrame:
+    """One JSON list of annotations (or several, in the files of a folder); rows without a file name, or whose audio file is not
+    there, go. Lists are read by ranges of ``split_bytes``, so that a long one is many tasks' work."""
+    if files.arrow_reads(path):
+        rows = files.json_elements(spark, path, split_bytes).select(F.from_json("element", ANNOTATION).alias("a")).select("a.*")
+    else:
+        rows = spark.read.option("multiLine", True).schema(ANNOTATION).json(path)
+    rows = _kept(rows.where("wav_fn is not null and wav_fn <> ''").withColumn("audio_path", F.concat(F.lit(audio_root.rstrip("/") + "/"), "wav_fn")))
+    rows = rows.join(files.existing(spark, audio_root), files.bare(F.col("audio_path")) == files.bare(F.col("found")), "left_semi")
     rows = rows.select(F.lit(name).alias("dataset_name"), "audio_path", F.coalesce(whole_number(F.col("bpm")), F.lit(DEFAULT_BPM)).alias("bpm"), "syllables")
     return rows.limit(max_samples) if max_samples > 0 else rows
 
 
 def folder(spark: SparkSession, name: str, root: str, max_samples: int = -1, extensions: tuple[str, ...] = AUDIO) -> DataFrame:
     """A tree root/song/segment.{audio,json} with one metadata.json a song, which alone gives the tempo (120 without it).
-    A segment needs both files; each of its audio files is a sample; unreadable annotations go."""
-    path = F.regexp_replace("found", "/+$", "")
-    files = existing(spark, root).withColumn("_f", F.regexp_extract(path, "([^/]+)$", 1)).withColumn("song", F.regexp_extract(path, "([^/]+)/[^/]+$", 1))
-    depth = len([p for p in root.split(":", 1)[-1].split("/") if p]) + 2
-    files = files.where(F.size(F.filter(F.split(F.regexp_replace("found", "^[a-z0-9]+:", ""), "/"), lambda p: p != "")) == depth)
-    ending = F.lower(F.regexp_extract("_f", "(\\.[^.]+)$", 1))
-    files = files.withColumn("base", F.regexp_replace("_f", "\\.[^.]+$", ""))
-    audio = files.where(ending.isin(*extensions)).select("song", "base", F.col("found").alias("audio_path"))
-    read = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).schema(ANNOTATION).json(root)
-    read = read.withColumn("found", F.col("_metadata.file_path"))
-    own = read.select("*", F.regexp_extract("found", "([^/]+)/[^/]+$", 1).alias("song"), F.regexp_replace(F.regexp_extract("found", "([^/]+)$", 1), "\\.[^.]+$", "").alias("base"))
-    tempo = own.where("base = 'metadata'").groupBy("song").agg(F.max(whole_number(F.col("bpm"))).alias("song_bpm"))
-    notes = _kept(own.where("base <> 'metadata'")).select("song", "base", "syllables")
-    rows = audio.join(notes, ["song", "base"]).join(tempo, "song", "left")
+    A segment needs both files; each of its audio files is a sample; unreadable annotations go, and so do links. Tasks list the
+    songs' folders and open their annotations; the driver sees neither. (Of stores that only Spark reads, Spark's index is used.)"""
+    if files.arrow_reads(root):
+        found = files.listed(spark, root, 2).where("size > 0")
+        notes = files.opened(found.where("found like '%.json'").select("found")).select("found", F.from_json("content", ANNOTATION).alias("a")).select("found", "a.*")
+    else:
+        depth = len([p for p in root.split(":", 1)[-1].split("/") if p]) + 2
+        found = files.indexed(spark, root).where(F.size(F.filter(F.split(files.bare(F.col("found")), "/"), lambda p: p != "")) == depth)
+        notes = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).schema(ANNOTATION).json(root)
+        notes = notes.withColumn("found", F.col("_metadata.file_path"))
+    own = lambda rows: rows.withColumn("song", F.regexp_extract("found", "([^/]+)/[^/]+$", 1)).withColumn("file", F.regexp_extract("found", "([^/]+)$", 1)).withColumn("base", F.regexp_replace("file", "\\.[^.]+$", ""))
+    audio = own(found).where(F.lower(F.regexp_extract("file", "(\\.[^.]+)$", 1)).isin(*extensions)).select("song", "base", F.col("found").alias("audio_path"))
+    notes = own(notes)
+    tempo = notes.where("file = 'metadata.json'").groupBy("song").agg(F.max(whole_number(F.col("bpm"))).alias("song_bpm"))
+    rows = audio.join(_kept(notes.where("file <> 'metadata.json'")).select("song", "base", "syllables"), ["song", "base"]).join(tempo, "song", "left")
     rows = rows.select(F.lit(name).alias("dataset_name"), "audio_path", F.coalesce("song_bpm", F.lit(DEFAULT_BPM)).alias("bpm"), "syllables")
     return rows.limit(max_samples) if max_samples > 0 else rows
 
 
 def budget(parts: list[DataFrame], max_samples: int, order: list[str]) -> DataFrame:
-    """The parts one after another, ``max_samples`` rows in all (no bound if not positive), earlier parts first. Each part gives at
-    most the bound, so what is ranked together is bounded by parts times the bound."""
+    """The parts one after another, ``max_samples`` rows in all (no bound if not positive), earlier parts first, each part's rows in
+    ``order``. Parts are counted until the bound is reached: those before are whole, those behind are not read, and the rows
+    of the one that meets it are numbered over ranges of the order, so no task sees more than a range, whatever the bound."""
     if max_samples <= 0:
         return reduce(DataFrame.unionByName, parts)
-    cut = [p.orderBy(*order).limit(max_samples).withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
-    rows = reduce(DataFrame.unionByName, cut)
-    return rows.withColumn("_n", F.row_number().over(W.orderBy("_part", *order))).where(F.col("_n") <= max_samples).drop("_n", "_part")
+    whole, room = [], max_samples
+    for part in parts:
+        n = part.count()
+        if n > room:
+            whole.append(numbered(part, order, "_n").where(F.col("_n") < room).drop("_n"))
+            break
+        whole.append(part)
+        room -= n
+        if not room:
+            break
+    return reduce(DataFrame.unionByName, whole)
 
 
 def all_datasets(spark: SparkSession, configs: list[dict], max_samples: int = -1) -> DataFrame:

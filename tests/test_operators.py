@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scoreforge.functions import tensors, vocab
-from scoreforge.operators import align, annotate, batching, encode, metrics, parse, report, splits, words
+from scoreforge.operators import align, annotate, batching, encode, metrics, numbering, parse, report, splits, words
 from scoreforge.operators.parse import SEPARATOR
+from scoreforge.sources import annotations
 
 S = "感 <P_68> <NOTE_4> 受 <P_60> <NOTE_8> AP <P_0> <NOTE_8> 停 <P_62> <NOTE_4> <BPM_120>"
 
@@ -215,6 +217,98 @@ def test_packing(spark, padded):
         assert sorted(r.pos for r in g) == list(range(len(g)))
     ranged = batching.pack(df, "n", budget=120, cap=6, padded=padded, partitions=3).collect()
     assert sorted(r.sample_id for r in ranged) == list(range(len(lens)))
+    for block in (1, 6, 7, 50, 1000):  # the batches do not depend on the blocks
+        assert sorted(map(tuple, batching.pack(df, "n", budget=120, cap=6, padded=padded, block_rows=block).collect())) == sorted(map(tuple, got))
+
+
+@pytest.mark.parametrize("padded", [False, True])
+def test_packing_in_blocks_and_any_order(spark, padded):
+    rng = random.Random(19)
+    lens = [rng.choice([0, 1, 3, 30, 200]) for _ in range(5000)]
+    df = spark.createDataFrame(list(enumerate(lens)), "sample_id long, n int").withColumn("o", F.xxhash64("sample_id")).repartition(50)
+    for budget, cap in ((120, 9), (0, 7), (1, 5), (100_000, 64)):
+        for order in (None, "o"):
+            whole = sorted(map(tuple, batching.pack(df, "n", budget=budget, cap=cap, padded=padded, order=order).collect()))
+            assert whole == sorted(map(tuple, batching.pack(df, "n", budget=budget, cap=cap, padded=padded, order=order, block_rows=100).collect()))
+    assert batching.pack(df.limit(0), "n", block_rows=5).collect() == []
+
+
+def test_numbers_of_all_rows(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("k")).repartition(9)  # a frequent null
+    want = sorted(((r.k is not None, r.k or 0, r.id) for r in df.collect()))
+    for parts in (1, 50):
+        got = numbering.numbered(df, ["k", "id"], partitions=parts)
+        assert [(r.k is not None, r.k or 0, r.id) for r in got.orderBy("no").collect()] == want and sorted(r.no for r in got.collect()) == list(range(3000))
+    assert numbering.numbered(df.limit(0), ["id"]).collect() == []
+
+
+def test_row_budget_over_parts(spark):
+    parts = [spark.range(n).select(F.lit(name).alias("dataset_name"), F.col("id").alias("i")).repartition(5) for name, n in (("a", 30), ("b", 0), ("c", 50), ("d", 10))]
+    for most in (1, 29, 30, 31, 79, 80, 85, 1000):
+        got = sorted((r.dataset_name, r.i) for r in annotations.budget(parts, most, ["i"]).collect())
+        assert got == [*(("a", i) for i in range(30)), *(("c", i) for i in range(50)), *(("d", i) for i in range(10))][:most]
+    assert annotations.budget(parts, 0, ["i"]).count() == 90
+
+
+def test_long_pairs_align_as_short_ones(monkeypatch):
+    rng = np.random.default_rng(1)
+    for gap in (1, 2):
+        for kinds in (2, 4, 30):
+            seqs = [[rng.integers(kinds, size=rng.integers(0, 60)).astype(np.int32) for _ in range(60)] for _ in "ab"]
+            a, b = (np.concatenate(x) for x in seqs)
+            a_offs, b_offs = (np.concatenate([[0], np.cumsum([len(y) for y in x])]) for x in seqs)
+            monkeypatch.setattr(align, "CELLS", 1 << 24)
+            whole = align.align_many(a, a_offs, b, b_offs, gap)
+            for cells in (4, 30, 200):
+                monkeypatch.setattr(align, "CELLS", cells)
+                assert all((x == y).all() for x, y in zip(whole, align.align_many(a, a_offs, b, b_offs, gap)))
+
+
+def test_a_very_long_pair_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    a = rng.integers(500, size=20_000).astype(np.int32)
+    b = np.delete(a, rng.integers(20_000, size=500))
+    tracemalloc.start()
+    g, p, _ = align.align_many(a, np.array([0, len(a)]), b, np.array([0, len(b)]))
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    assert (g >= 0).sum() == len(a) and (p >= 0).sum() == len(b) and (a[g[p >= 0]] == b[p[p >= 0]]).all()
+
+
+def by_rows(a, b, same, gap=1):
+    """Cell by cell."""
+    cost = [[gap * (i + j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            cost[i][j] = min(cost[i - 1][j - 1] + (not same(a[i - 1], b[j - 1])), cost[i - 1][j] + gap, cost[i][j - 1] + gap)
+    i, j, out = len(a), len(b), []
+    while i or j:
+        if i and j and cost[i][j] == cost[i - 1][j - 1] + (not same(a[i - 1], b[j - 1])):
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif i and cost[i][j] == cost[i - 1][j] + gap:
+            i -= 1
+            out.append((i, None))
+        else:
+            j -= 1
+            out.append((None, j))
+    return out[::-1]
+
+
+@pytest.mark.parametrize("cells", [40, 1 << 24])
+def test_alignment_by_a_tolerance(spark, monkeypatch, cells):
+    monkeypatch.setattr(align, "CELLS", cells)
+    rng = random.Random(4)
+    notes = lambda: [(rng.randint(60, 64), rng.choice([0.25, 0.5, 0.75, 1.0])) for _ in range(rng.randint(0, 12))]
+    data = [(i, notes(), notes()) for i in range(80)] + [(80, None, notes()), (81, [], [])]
+    kind = "array<struct<pitch:int,beats:double>>"
+    df = spark.createDataFrame(data, f"i int, a {kind}, b {kind}").repartition(3)
+    near = lambda x, y: (np.abs(x["pitch"] - y["pitch"]) <= 1) & (np.maximum(x["beats"], y["beats"]) <= 1.5 * np.minimum(x["beats"], y["beats"]))
+    got = {r.i: r.x and [(c.g, c.p) for c in r.x] for r in df.select("i", align.align_where(F.col("a"), F.col("b"), near).alias("x")).collect()}
+    same = lambda x, y: abs(x[0] - y[0]) <= 1 and max(x[1], y[1]) <= 1.5 * min(x[1], y[1])
+    assert got == {i: None if a is None or b is None else by_rows(a, b, same) for i, a, b in data}
 
 
 def test_splits(spark):

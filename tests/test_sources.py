@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scoreforge.operators import features, infer
 from scoreforge.sources import annotations as A
-from scoreforge.sources import sinks
+from scoreforge.sources import files, sinks
 from scoreforge.streaming import score
 
 ITEM = {"word": ["感", "受"], "pitch": [68, 60], "note": ["<NOTE_4>", "<NOTE_8>"], "pitch2word": [0, 1], "bpm": 89, "wav_fn": "a/1.wav"}
@@ -73,3 +73,67 @@ def test_stream(spark, tmp_path):
         (tmp_path / f"in/{i}.json").write_text(json.dumps({"sid": i, "gt_text": text, "pred_text": text if i else "x"}))
     score.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.sid, r.cer) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, 1.0), (1, 0.0), (2, 0.0)]
+
+
+def tricky(rng, n):
+    """Elements with brackets, commas, quotes and backslashes in strings, nested lists, and all sorts of white space between."""
+    words = ['a"b', "\\", '\\"', "[", "]", "{,}", "é漢", "", ",", "\\\\\\", "x" * 40, '"']
+    items = [{"i": i, "w": [rng.choice(words) for _ in range(rng.randint(0, 4))], "d": {"x": [[1], {"y": [rng.choice(words)]}]}} for i in range(n)]
+    text = "[" + rng.choice(["", " ", "\n"]) + (rng.choice([",", " ,\n ", ", "])).join(json.dumps(x, ensure_ascii=rng.random() < 0.5) for x in items) + "\n]\n"
+    return items, text
+
+
+@pytest.mark.parametrize("split", [1, 7, 40, 1000, 8 << 20])
+def test_lists_cut_by_bytes(spark, tmp_path, monkeypatch, split):
+    import random
+
+    monkeypatch.setattr(files, "AHEAD", 5)
+    rng, want = random.Random(6), []
+    (tmp_path / "l").mkdir()
+    for no in range(3):
+        items, text = tricky(rng, 25)
+        (tmp_path / f"l/{no}.json").write_text(text, encoding="utf-8")
+        want += [json.dumps(x, sort_keys=True) for x in items]
+    for name, text in (("empty", ""), ("none", "[]"), ("blank", " [ \n ] "), ("plain", '[1, "]", null]'), ("open", '[{"k": 1}, {"k": 2')):
+        (tmp_path / f"l/{name}.json").write_text(text)
+    got = [r.element for r in files.json_elements(spark, str(tmp_path / "l"), split).collect()]
+    assert sorted(json.dumps(json.loads(x), sort_keys=True) for x in got) == sorted([*want, "1", '"]"', "null", '{"k": 1}'])
+
+
+def test_a_long_run_of_backslashes_over_many_ranges(spark, tmp_path):
+    items = [{"w": "\\" * n + '"'} for n in (0, 1, 63, 64, 65, 200)]
+    (tmp_path / "b.json").write_text(json.dumps(items))
+    for split in (3, 50, 10_000):
+        assert sorted(r.element for r in files.json_elements(spark, str(tmp_path / "b.json"), split).collect()) == sorted(json.dumps(x) for x in items)
+
+
+def test_json_file_in_any_ranges(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/1.wav").write_bytes(b"x")
+    (tmp_path / "x.json").write_text(json.dumps([ITEM | {"bpm": i, "word": ["[感,", '受"']} for i in range(200)]))
+    rows = [sorted(map(str, A.json_file(spark, "d", str(tmp_path / "x.json"), str(tmp_path), split_bytes=n).collect())) for n in (100, 10**6)]
+    assert len(rows[0]) == 200 and rows[0] == rows[1]
+
+
+def test_listing_by_tasks(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"r/s{i}/deep").mkdir(parents=True)
+        for j in range(i % 4):
+            (tmp_path / f"r/s{i}/f{j}.wav").write_bytes(b"x" * j)
+        (tmp_path / f"r/s{i}/deep/g").write_bytes(b"yy")
+    (tmp_path / "r/top").write_bytes(b"z")
+    (tmp_path / "r/link").symlink_to(tmp_path / "r/s1")
+    (tmp_path / "r/s1/linked.wav").symlink_to(tmp_path / "r/s2/f1.wav")
+    root = str(tmp_path / "r")
+    got = sorted((r.found.removeprefix(root), r.size, r.depth) for r in files.listed(spark, f"{root}/", tasks=5).collect())
+    assert got == sorted([("/top", 1, 1), *((f"/s{i}/f{j}.wav", j, 2) for i in range(30) for j in range(i % 4)), *((f"/s{i}/deep/g", 2, 3) for i in range(30))])
+    assert files.listed(spark, f"file:{root}", 2).count() == sum(i % 4 for i in range(30)) == files.listed(spark, f"file://{root}", 2).where("found like 'file:%'").count()
+    assert files.listed(spark, f"{root}/nowhere").collect() == [] and files.listed(spark, root, 7).collect() == []
+    assert sorted(r.found for r in files.existing(spark, root).collect()) == sorted(f"{root}{f}" for f, n, _ in got if n)
+
+
+def test_opened_files(spark, tmp_path):
+    (tmp_path / "a").write_text("﻿é")
+    (tmp_path / "b").write_bytes(b"\xff\xfe\xff")
+    df = spark.createDataFrame([(str(tmp_path / x), x) for x in "abc"], "found string, k string")
+    assert {r.k: r.content for r in files.opened(df).collect()} == {"a": "é", "b": None, "c": None}
