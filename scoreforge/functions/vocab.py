@@ -70,7 +70,7 @@ def tokens(spark: SparkSession, legacy: bool = False) -> DataFrame:
     return out
 
 
-def vocabulary_fits(base: int, size: int) -> bool:
-    """Whether a checkpoint's vocabulary is the base's with the added tokens, or with the legacy ones too."""
+def vocabulary_fits(base: int | Column, size: int | Column) -> bool | Column:
+    """Whether a checkpoint's vocabulary is the base's with the added tokens, or with the legacy ones too; of numbers or columns."""
     added = PITCHES + len(NOTE_BEATS) + TEMPOS
-    return size in (base + added, base + added + 2 + LEGACY_DURATIONS)
+    return (size == base + added) | (size == base + added + 2 + LEGACY_DURATIONS)

@@ -17,6 +17,17 @@ def scalars(metrics: DataFrame, step: int) -> DataFrame:
     return metrics.select(F.lit(step).alias("step"), F.explode(pairs).alias("m")).select("step", "m.key", "m.value").where("value is not null and not isnan(value)")
 
 
+def rates(logs: DataFrame, world: int = 1, summed: list[str] | None = None, by: list[str] | None = None, step: str = "step", at: str = "ts") -> DataFrame:
+    """A log with its ``summed`` columns (loss, gradient norms: added up over all ranks) by rank, and ``steps_per_second`` since the line
+    before, of the same run if ``by`` names what tells runs apart (a task sees one run's lines). Null for the first line, where
+    the step did not go up, and where no time passed."""
+    before = W.partitionBy(*(by or [])).orderBy(at, step)
+    now = F.unix_micros(F.col(at).cast("timestamp"))
+    done, took = F.col(step) - F.lag(step).over(before), now - F.lag(now).over(before)
+    out = logs.withColumns({c: F.col(c) / world for c in summed or []}) if world > 1 else logs
+    return out.withColumn("steps_per_second", F.when((done > 0) & (took > 0), F.round(done * 1e6 / took, 2)))
+
+
 def geometry(notes: DataFrame, by: str, order: str) -> DataFrame:
     """``notes`` with each one's width in beats and where it starts in its score."""
     width = note_beats(F.col("note"))

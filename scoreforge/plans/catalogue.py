@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreforge.functions import tensors, vocab
-from scoreforge.operators import align, annotate, batching, encode, features, infer, metrics, parse, report, splits, words
+from scoreforge.operators import align, annotate, batching, encode, features, infer, metrics, numbering, parse, report, splits, words
 from scoreforge.schemas import SYLLABLES
-from scoreforge.sources.annotations import budget
+from scoreforge.sources.annotations import budget, with_files
 from scoreforge.sources.files import existing
 
-from . import jobs, oracles
+from . import jobs, media, oracles
 from .fixtures import annotations, damaged, songs, stub_features, sylls, table, texts
 from .registry import QUERIES, query
 
-ORACLE_SQL = oracles.ORACLE_SQL | jobs.ORACLE_SQL
+ORACLE_SQL = oracles.ORACLE_SQL | jobs.ORACLE_SQL | media.ORACLE_SQL
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 
@@ -27,25 +27,40 @@ def _joined(values):
     return F.array_join(F.transform(values, lambda x: x.cast("string")), ",")
 
 
+def _used(known: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``known`` with the number of rows of ``found`` (key) for each; 0 for those that never occur."""
+    n = found.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    return known.join(n, F.col(key) == F.col("_k"), "left").withColumn("n", F.coalesce("_n", F.lit(0).cast("long"))).drop("_k", "_n")
+
+
 @query
 def vocab_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.tokens(spark)
+    """The added tokens, and how often each stands in the songs' texts."""
+    found = texts(spark, sf_dir).select(F.explode(F.split("gt_text", " ")).alias("token"))
+    return _used(vocab.tokens(spark), found, "token")
 
 
 @query
 def vocab_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.tokens(spark, legacy=True).where("kind in ('legacy', 'duration')")
+    """The tokens of earlier models; for those of durations, how many notes last so many hundredths of a second."""
+    notes = songs(spark, sf_dir).select("bpm", F.explode("gt").alias("x"))
+    found = notes.select(F.lit("duration").alias("kind"), (F.floor(vocab.note_beats(F.col("x.note")) * 100 * vocab.seconds_per_beat(F.col("bpm"))) - 1).cast("int").alias("no"))
+    known = vocab.tokens(spark, legacy=True).where("kind in ('legacy', 'duration')").withColumn("_key", F.concat_ws(" ", "kind", "no"))
+    return _used(known, found.select(F.concat_ws(" ", "kind", "no").alias("_key")), "_key").drop("_key")
 
 
 @query
 def note_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(n,) for n in vocab.NOTE_BEATS], "note string")
-    return rows.select("note", vocab.note_beats(F.col("note")).alias("beats"), (vocab.note_beats(F.col("note")) * vocab.seconds_per_beat(F.lit(120))).alias("seconds"))
+    """Beats and seconds of each note value that songs use, and how many notes have it."""
+    rows = songs(spark, sf_dir).select(F.explode("gt").alias("x")).groupBy("x.note").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("note", vocab.note_beats(F.col("note")).alias("beats"), (vocab.note_beats(F.col("note")) * vocab.seconds_per_beat(F.lit(120))).alias("seconds"), "n")
 
 
 @query
 def nearest_note(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1, 257).select((F.col("id") / 32.0).alias("beats")).withColumn("note", vocab.nearest_note(F.col("beats")))
+    """Quantities as beats, in 32nds up to 8, with the note value nearest to each."""
+    rows = table(spark, sf_dir, "lineitem").select((((F.col("l_partkey") * 7 + F.col("l_quantity").cast("long")) % 256 + 1) / 32.0).alias("beats"))
+    return rows.groupBy("beats").agg(F.count(F.lit(1)).alias("n")).withColumn("note", vocab.nearest_note(F.col("beats")))
 
 
 def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,6 +166,15 @@ def align_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sid", F.col("z._facing.g").alias("g_word"), F.col("z._facing.p").alias("p_word"), F.posexplode("z._notes").alias("step", "x")).select("sid", "g_word", "p_word", "step", "x.g", "x.p")
 
 
+@query
+def align_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents against themselves without every seventh word: the gaps, and the words that meet."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", parse.tokens(F.coalesce("text", F.lit(""))).alias("a")).withColumn("b", F.filter("a", lambda x, i: i % 7 != 3))
+    rows = rows.withColumn("x", align.align(F.col("a"), F.col("b")))
+    met = F.filter("x", lambda c: c["g"].isNotNull() & c["p"].isNotNull() & (F.get("a", c["g"]) == F.get("b", c["p"])))
+    return rows.select("doc_id", F.size("a").alias("n_words"), F.size(F.filter("x", lambda c: c["p"].isNull())).alias("n_gaps"), F.size(met).alias("n_equal"))
+
+
 @query
 def align_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = metrics.prepared(texts(spark, sf_dir)).select("sid", *[F.transform(c, lambda w: w["char"]).alias(c) for c in ("_gw", "_pw")])
@@ -239,6 +263,23 @@ def pack_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir, partitions=4)
 
 
+@query
+def pack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches of ``pack_sum``, made in blocks of a hundred rows side by side."""
+    return _packed(spark, sf_dir, block_rows=100)
+
+
+@query
+def pack_padded_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, cap=64, padded=True, block_rows=64)
+
+
+@query
+def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents numbered by language (nulls first), length and id."""
+    return numbering.numbered(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), ["lang", "n_chars", "doc_id"]).select("doc_id", "no")
+
+
 @query
 def pack_drop_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.drop_last(_packed(spark, sf_dir), 40).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
@@ -333,8 +374,10 @@ def score_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def semi_join_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    there = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, sf_dir, "lineitem").join(there, "l_orderkey", "left_semi").groupBy(F.col("l_orderkey").alias("sid")).agg(F.count(F.lit(1)).alias("n"))
+    """Lines whose order's file is there: paths are compared without the names of their stores."""
+    there = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.format_string("file:/a/%d.wav", "o_orderkey").alias("found"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sid"), F.format_string("/a/%d.wav", "l_orderkey").alias("audio_path"))
+    return with_files(rows, there).groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -344,8 +387,18 @@ def existing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def latest_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [("checkpoint-200", True), ("checkpoint-1000", True), ("checkpoint-x", True), ("checkpoint-9999", False), ("other-5000", True)]
-    return report.latest_checkpoint(spark.createDataFrame(names, "name string, is_dir boolean"))
+    """Orders as names: a third are files, some have another beginning, or an end that is no number."""
+    key = F.col("o_orderkey")
+    name = F.when(key % 5 == 0, F.format_string("other-%d", key)).when(key % 7 == 0, F.format_string("checkpoint-%dx", key)).otherwise(F.format_string("checkpoint-%d", key))
+    return report.latest_checkpoint(table(spark, sf_dir, "orders").select(name.alias("name"), (key % 3 != 0).alias("is_dir")))
+
+
+@query
+def step_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the log of a run for each user: loss by rank, and steps a second since the line before."""
+    logs = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), "ts", F.col("value").alias("loss"))
+    rows = report.rates(logs, 4, ["loss"], by=["run"])
+    return rows.select("run", "step", F.round("loss", 6).alias("loss"), "steps_per_second")
 
 
 @query

@@ -83,7 +83,7 @@ def folder_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sources.json_file(spark, "list", _json_list(spark, sf_dir), sf_dir)
+    rows = sources.json_file(spark, "list", _json_list(spark, sf_dir), sf_dir, split_bytes=1 << 18)
     pitches = F.aggregate(F.flatten(F.transform("syllables", lambda s: s["pitch"])), F.lit(0), lambda a, x: a + x)
     rows = rows.select(F.regexp_extract("audio_path", "([^/]+)$", 1).alias("name"), "bpm", F.size("syllables").alias("w"), pitches.alias("p"))
     return rows.groupBy("name", "bpm").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("n_words"), F.sum("p").alias("pitches"))
@@ -108,20 +108,28 @@ def eval_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def in_memory_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sources.arrays(spark, [np.full(n, 0.5) for n in range(64)])
+    """Waves that a program holds, one for each supplier, as a table."""
+    held = table(spark, sf_dir, "supplier").orderBy("s_suppkey").select("s_suppkey", "s_nationkey").collect()  # what is in memory by its nature
+    rows = sources.arrays(spark, [np.full(r.s_suppkey % 64, r.s_nationkey / 2) for r in held])
     return rows.select("sample_id", F.size("wave").alias("n"), F.aggregate("wave", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 @query
 def run_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = RunConfig.of({"output_dir": "out", "max_samples": 7, "unknown": 1, "asr_cot": True, "seed": None, "val_datasets": ["b"]}, max_samples=5, bpm_position=None, shard_size=100)
+    """A configuration over the documents' languages as data sets: known fields, defaults, and what wins over what."""
+    langs = [r.lang for r in table(spark, sf_dir, "documents").where("lang is not null").select("lang").distinct().orderBy("lang").collect()]  # data sets
+    n = table(spark, sf_dir, "documents").count()
+    given = {"datasets": [{"name": x} for x in langs], "output_dir": "out", "max_samples": n, "unknown": 1, "asr_cot": True, "seed": None, "val_datasets": langs[:1]}
+    made = RunConfig.of(given, max_samples=n // 2, bpm_position=None, shard_size=100)
     return spark.createDataFrame([(k, json.dumps(v)) for k, v in asdict(made).items()], "name string, value string")
 
 
 @query
 def vocabulary_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(base, base + added, vocab.vocabulary_fits(base, base + added)) for base in (0, 151_936) for added in (0, 395, 396, 397, 1397, 1398, 1399)]
-    return spark.createDataFrame(rows, "base long, size long, fits boolean")
+    """Parts as checkpoints whose vocabularies are some hundred tokens larger than their base's."""
+    base = F.when(F.col("p_partkey") % 2 == 0, 151_936).otherwise(0).cast("long")
+    rows = table(spark, sf_dir, "part").select("p_partkey", base.alias("base"), (base + 390 + F.col("p_partkey") % 1010).alias("size"))
+    return rows.withColumn("fits", vocab.vocabulary_fits(F.col("base"), F.col("size")))
 
 
 # ---------------------------------------------------------------- features
@@ -166,7 +174,7 @@ def feature_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def preprocess_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = RunConfig.of({"datasets": [{"name": "songs", "root": _tree(spark, sf_dir)}], "output_dir": scratch(spark, "preprocessed"), "shard_size": 10})
-    told = pipelines.preprocess(spark, config, features.energy_bins(), features.decode_wav())
+    told = pipelines.preprocess(spark, config, features.energy_bins(), features.decode_audio())
     return told.select("num_samples", "errors", "skipped_missing", "total_bytes", "avg_mel_frames", "format", "sample_rate")
 
 
@@ -259,10 +267,14 @@ SELECT CASE sid % 4 WHEN 0 THEN 'region.parquet' ELSE 'nation.parquet' END AS na
 FROM ann LEFT JOIN w USING (sid) WHERE sid % 4 < 2 AND len(word) > 0 AND len(pitch) > 0 AND len(note) > 0 GROUP BY 1, 2""",
     "source_dispatch": f"WITH {_FILES} SELECT 'songs' AS dataset_name, count(*) AS n FROM f UNION ALL SELECT 'list', 40 - count(*) FROM f",
     "eval_source": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
-    "in_memory_waves": "SELECT range AS sample_id, CAST(range AS INTEGER) AS n, CAST(range * 0.5 AS DOUBLE) AS total FROM range(64)",
-    "run_config": """SELECT unnest(['datasets', 'val_datasets', 'eval_file', 'output_dir', 'max_samples', 'bpm_position', 'asr_cot', 'shard_size', 'sample_rate', 'max_batch_tokens', 'max_batch_size', 'seed']) AS name,
-  unnest(['[]', '["b"]', '""', '"out"', '5', '"last"', 'true', '100', '16000', '24000', '64', '42']) AS value""",
-    "vocabulary_sizes": "SELECT base, base + added AS size, added IN (128 + 12 + 256, 128 + 12 + 256 + 2 + 1000) AS fits FROM (SELECT CAST(unnest([0, 151936]) AS BIGINT) AS base), (SELECT unnest([0, 395, 396, 397, 1397, 1398, 1399]) AS added)",
+    "in_memory_waves": "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS sample_id, CAST(s_suppkey % 64 AS INTEGER) AS n, CAST(s_suppkey % 64 * s_nationkey / 2.0 AS DOUBLE) AS total FROM supplier",
+    "run_config": """WITH l AS (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)
+SELECT 'datasets' AS name, '[' || string_agg('{"name": "' || lang || '"}', ', ' ORDER BY lang) || ']' AS value FROM l UNION ALL SELECT 'val_datasets', '["' || min(lang) || '"]' FROM l
+UNION ALL SELECT 'max_samples', CAST(count(*) // 2 AS VARCHAR) FROM documents
+UNION ALL SELECT unnest(['eval_file', 'output_dir', 'bpm_position', 'asr_cot', 'shard_size', 'sample_rate', 'max_batch_tokens', 'max_batch_size', 'seed']),
+  unnest(['""', '"out"', '"last"', 'true', '100', '16000', '24000', '64', '42'])""",
+    "vocabulary_sizes": """SELECT p_partkey, CAST(CASE WHEN p_partkey % 2 = 0 THEN 151936 ELSE 0 END AS BIGINT) AS base, CASE WHEN p_partkey % 2 = 0 THEN 151936 ELSE 0 END + 390 + p_partkey % 1010 AS size,
+  390 + p_partkey % 1010 IN (128 + 12 + 256, 128 + 12 + 256 + 2 + 1000) AS fits FROM part""",
     "stored_features": f"WITH {_EVENTS} SELECT dataset_name, count(*) AS n, CAST(sum(frames) AS BIGINT) AS n_frames, CAST(sum(frames * 16) AS BIGINT) AS n_bytes, true AS files_fit FROM e GROUP BY dataset_name",
     "feature_descriptor": f"WITH {_EVENTS} SELECT 'events' AS description, count(*) AS num_rows, 6 AS n_columns, true AS all_files FROM e",
     "feature_frames": f"WITH {_EVENTS} SELECT dataset_name, frames AS n_frames, CAST(8 AS BIGINT) AS n_bins, count(*) AS n FROM e GROUP BY dataset_name, frames",

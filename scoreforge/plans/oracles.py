@@ -132,13 +132,17 @@ PACK = packed("pk", SUM_W, 24000, 32)
 
 ORACLE_SQL = {
     "align_native": f"WITH RECURSIVE {SCORED},{nw('wal', 'wsrc')} SELECT id AS sid, CAST(step AS INTEGER) AS step, g, p FROM wal",
-    "vocab_tokens": """SELECT 'pitch' AS kind, CAST(range AS INTEGER) AS no, '<P_' || range || '>' AS token FROM range(128)
+    "vocab_tokens": f"""WITH {TEXTS}, v AS (SELECT 'pitch' AS kind, CAST(range AS INTEGER) AS no, '<P_' || range || '>' AS token FROM range(128)
 UNION ALL SELECT 'bpm', CAST(range AS INTEGER), '<BPM_' || range || '>' FROM range(256)
-UNION ALL SELECT 'note', CAST(i AS INTEGER), '<NOTE_' || (CASE WHEN i >= 6 THEN 'DOT_' ELSE '' END) || CAST(pow(2, i % 6) AS INTEGER) || '>' FROM range(12) t(i)""",
-    "vocab_legacy": """SELECT 'legacy' AS kind, CAST(0 AS INTEGER) AS no, '<SLUR>' AS token UNION ALL SELECT 'legacy', 1, '<SVS_MASK>'
-UNION ALL SELECT 'duration', CAST(range AS INTEGER), printf('<dur_%d.%02d>', (range + 1) // 100, (range + 1) % 100) FROM range(1000)""",
-    "note_durations": f"WITH {DIM} SELECT note, beats, beats * 60.0 / 120 AS seconds FROM dim",
-    "nearest_note": f"WITH {DIM}, b AS (SELECT range / 32.0 AS beats FROM range(1, 257)) SELECT CAST(b.beats AS DOUBLE) AS beats, (SELECT arg_min(d.note, (abs(d.beats - b.beats), d.beats)) FROM dim d) AS note FROM b",
+UNION ALL SELECT 'note', CAST(i AS INTEGER), '<NOTE_' || (CASE WHEN i >= 6 THEN 'DOT_' ELSE '' END) || CAST(pow(2, i % 6) AS INTEGER) || '>' FROM range(12) t(i)),
+u AS (SELECT unnest(string_split(gt_text, ' ')) AS token FROM gt_texts), c AS (SELECT token, count(*) AS n FROM u GROUP BY token)
+SELECT kind, no, token, coalesce(n, 0) AS n FROM v LEFT JOIN c USING (token)""",
+    "vocab_legacy": f"""WITH {GT}, {DIM}, v AS (SELECT 'legacy' AS kind, CAST(0 AS INTEGER) AS no, '<SLUR>' AS token UNION ALL SELECT 'legacy', 1, '<SVS_MASK>'
+UNION ALL SELECT 'duration', CAST(range AS INTEGER), printf('<dur_%d.%02d>', (range + 1) // 100, (range + 1) % 100) FROM range(1000)),
+c AS (SELECT 'duration' AS kind, CAST(floor(beats * 100 * (60.0::DOUBLE / greatest(bpm, 1))) - 1 AS INTEGER) AS no, count(*) AS n FROM notes_gt JOIN dim USING (note) GROUP BY 2)
+SELECT kind, no, token, coalesce(n, 0) AS n FROM v LEFT JOIN c USING (kind, no)""",
+    "note_durations": f"WITH {GT}, {DIM} SELECT note, beats, beats * 60.0 / 120 AS seconds, count(*) AS n FROM notes_gt JOIN dim USING (note) GROUP BY note, beats",
+    "nearest_note": f"WITH {DIM}, b AS (SELECT ((l_partkey * 7 + CAST(l_quantity AS BIGINT)) % 256 + 1) / 32.0 AS beats, count(*) AS n FROM lineitem GROUP BY 1) SELECT CAST(b.beats AS DOUBLE) AS beats, n, (SELECT arg_min(d.note, (abs(d.beats - b.beats), d.beats)) FROM dim d) AS note FROM b",
     "annotation_to_syllables": f"""WITH {ANNOTATIONS}, one AS (SELECT sid, word_no, any_value(char) || ':' || string_agg(CAST(pitch AS VARCHAR), '|' ORDER BY k) || ':' || string_agg(note, '|' ORDER BY k) AS s FROM syl GROUP BY sid, word_no)
 SELECT a.sid, coalesce((SELECT string_agg(s, ' ' ORDER BY word_no) FROM one WHERE one.sid = a.sid), '') AS syllables FROM ann a""",
     "expand_melisma": f"""WITH {ANNOTATIONS} SELECT sid, CAST(row_number() OVER (PARTITION BY sid ORDER BY word_no, k) - 1 AS INTEGER) AS note_idx, CAST(dense_rank() OVER (PARTITION BY sid ORDER BY word_no) - 1 AS INTEGER) AS word_idx, char, pitch, note FROM syl""",
@@ -200,7 +204,19 @@ SELECT sid, array_to_string(list_concat(ids, list_transform(range(most - len(ids
     "fit_length": f"WITH {GT}, s AS (SELECT sid, list(pitch ORDER BY k) AS ids FROM notes_gt GROUP BY sid) SELECT sid, array_to_string(list_concat(ids[1:4], list_transform(range(greatest(4 - len(ids), 0)), lambda x: 0)), ',') AS ids FROM s",
     "score_geometry": f"WITH {GT}, {DIM} SELECT sid, k, beats AS width, coalesce(sum(beats) OVER (PARTITION BY sid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS start FROM notes_gt JOIN dim USING (note)",
     "semi_join_files": "SELECT l_orderkey AS sid, count(*) AS n FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F') GROUP BY 1",
-    "latest_checkpoint": "SELECT 'checkpoint-1000' AS name, CAST(1000 AS BIGINT) AS step",
+    "latest_checkpoint": "SELECT 'checkpoint-' || max(o_orderkey) AS name, max(o_orderkey) AS step FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 3 <> 0",
+    "step_rates": """WITH l AS (SELECT user_id AS run, event_id AS step, value, event_id - lag(event_id) OVER w AS done, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS took FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT run, step, round(value / 4, 6) AS loss, CASE WHEN done > 0 AND took > 0 THEN round(done * 1e6 / took, 2) END AS steps_per_second FROM l""",
+    "align_documents": """WITH t AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '<[^>]+>|[^\\s\\x1c-\\x1f\\x{85}\\p{Z}<>]+')) AS n FROM documents)
+SELECT doc_id, CAST(n AS INTEGER) AS n_words, CAST((n + 3) // 7 AS INTEGER) AS n_gaps, CAST(n - (n + 3) // 7 AS INTEGER) AS n_equal FROM t""",
+    "align_tolerant": f"""WITH RECURSIVE {GT},{PRED}, {DIM},
+ga AS (SELECT sid, list({{'pitch': pitch, 'beats': beats}} ORDER BY k) AS a FROM notes_gt JOIN dim USING (note) GROUP BY sid),
+pb AS (SELECT sid, list({{'pitch': pitch, 'beats': beats}} ORDER BY k) AS b FROM notes_pred JOIN dim USING (note) GROUP BY sid),
+src AS (SELECT sid AS id, a, coalesce(b, a[1:0]) AS b FROM ga LEFT JOIN pb USING (sid)),{nw('al', 'src', 'abs({0}.pitch - {1}.pitch) <= 1 AND greatest({0}.beats, {1}.beats) <= 1.5 * least({0}.beats, {1}.beats)')}
+SELECT id AS sid, CAST(step AS INTEGER) AS step, g, p FROM al""",
+    "pack_blocks": f"WITH RECURSIVE {PACK} SELECT batch_id, pos, doc_id AS sample_id, n AS length FROM pk",
+    "pack_padded_blocks": f"WITH RECURSIVE {packed('pk', PAD_W, 24000, 64)} SELECT batch_id, pos, doc_id AS sample_id, n AS length FROM pk",
+    "row_numbers": "SELECT doc_id, row_number() OVER (ORDER BY lang NULLS FIRST, n_chars, doc_id) - 1 AS no FROM documents",
     "json_roundtrip": f"WITH {GT} SELECT sid, CAST(count(*) AS INTEGER) AS n, string_agg(ch, '' ORDER BY k) AS chars FROM notes_gt GROUP BY sid",
     "first_samples": "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 25",
     "status_counts": """SELECT count(*) FILTER (WHERE s = 'ok') AS num_samples, count(*) FILTER (WHERE s = 'error') AS errors, count(*) FILTER (WHERE s = 'missing') AS skipped_missing,

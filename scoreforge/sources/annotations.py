@@ -36,6 +36,11 @@ def _kept(rows: DataFrame) -> DataFrame:
     return rows.withColumn("syllables", syllables(F.col("word"), _numbers(F.col("pitch")), F.col("note"), _numbers(F.col("pitch2word"))))
 
 
+def with_files(rows: DataFrame, found: DataFrame, path: str = "audio_path") -> DataFrame:
+    """``rows`` whose path is among those ``found``, whatever names of the store either begins with."""
+    return rows.join(found.select(files.bare(F.col("found")).alias("_found")), files.bare(F.col(path)) == F.col("_found"), "left_semi")
+
+
 def json_file(spark: SparkSession, name: str, path: str, audio_root: str, max_samples: int = -1, split_bytes: int = files.SPLIT_BYTES) -> DataFrame:
     """One JSON list of annotations (or several, in the files of a folder); rows without a file name, or whose audio file is not
     there, go. Lists are read by ranges of ``split_bytes``, so that a long one is many tasks' work."""
@@ -44,7 +49,7 @@ def json_file(spark: SparkSession, name: str, path: str, audio_root: str, max_sa
     else:
         rows = spark.read.option("multiLine", True).schema(ANNOTATION).json(path)
     rows = _kept(rows.where("wav_fn is not null and wav_fn <> ''").withColumn("audio_path", F.concat(F.lit(audio_root.rstrip("/") + "/"), "wav_fn")))
-    rows = rows.join(files.existing(spark, audio_root), files.bare(F.col("audio_path")) == files.bare(F.col("found")), "left_semi")
+    rows = with_files(rows, files.existing(spark, audio_root))
     rows = rows.select(F.lit(name).alias("dataset_name"), "audio_path", F.coalesce(whole_number(F.col("bpm")), F.lit(DEFAULT_BPM)).alias("bpm"), "syllables")
     return rows.limit(max_samples) if max_samples > 0 else rows
 
@@ -95,7 +100,7 @@ def all_datasets(spark: SparkSession, configs: list[dict], max_samples: int = -1
     for c in configs:
         kind = c.get("type", "folder_based")
         if kind == "folder_based":
-            parts.append(folder(spark, c["name"], c["root"], extensions=tuple(c.get("extensions", AUDIO))))
+            parts.append(folder(spark, c["name"], c["root"] if "root" in c else c["dataset_root"], extensions=tuple(c.get("extensions", AUDIO))))
         elif kind == "json_file":
             parts.append(json_file(spark, c["name"], c["json_path"], c["audio_root"]))
     return budget(parts, max_samples, ["audio_path"]) if parts else spark.createDataFrame([], SAMPLE)
