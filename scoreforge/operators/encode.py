@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from scoreforge.functions import template
 from scoreforge.functions.vocab import bpm_token, note_token, pitch_token
 
 from .annotate import lyrics
@@ -40,11 +42,18 @@ def cot_target(sylls: Column, bpm: Column, bpm_position: str = "last") -> Column
     return target(text(sylls, bpm, bpm_position), lyrics(sylls))
 
 
-def prompt(template: Column, lyric: Column | None = None) -> Column:
+def prompt(prefix: Column, lyric: Column | None = None) -> Column:
     """A chat template's prefix; with lyrics given, they and the separator already stand behind it."""
-    return template if lyric is None else F.concat(template, F.lit(OPENING), lyric, F.lit(SEPARATOR))
+    return prefix if lyric is None else F.concat(prefix, F.lit(OPENING), lyric, F.lit(SEPARATOR))
 
 
 def chat_prefix(render: Callable[[list[dict]], str]) -> str:
     """The prefix that a chat template (an adapter that renders messages) gives a sample: an empty system message and one audio."""
     return render([{"role": "system", "content": ""}, {"role": "user", "content": [{"type": "audio", "audio": None}]}])
+
+
+def template_prefix(source: str, audio: str) -> Column:
+    """The same as an expression of a template's source, rendered natively: ``audio`` stands for the user's sound."""
+    kind = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), F.lit(content).alias("content"))
+    return template.rendered(source, F.array(message("system", ""), message("user", audio)), kind, True)

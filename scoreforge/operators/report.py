@@ -28,10 +28,10 @@ def rates(logs: DataFrame, world: int = 1, summed: list[str] | None = None, by:
     return out.withColumn("steps_per_second", F.when((done > 0) & (took > 0), F.round(done * 1e6 / took, 2)))
 
 
-def geometry(notes: DataFrame, by: str, order: str) -> DataFrame:
+def geometry(notes: DataFrame, by: str | list[str], order: str) -> DataFrame:
     """``notes`` with each one's width in beats and where it starts in its score."""
     width = note_beats(F.col("note"))
-    before = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return notes.withColumn("width", width).withColumn("start", F.coalesce(F.sum("width").over(before), F.lit(0.0)))
 
 

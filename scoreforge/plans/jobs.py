@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreforge.config import RunConfig
-from scoreforge.functions import vocab
+from scoreforge.functions import template, vocab
 from scoreforge.operators import features
 from scoreforge.session import put, scratch
 from scoreforge.sources import annotations as sources
@@ -21,12 +21,14 @@ from scoreforge.streaming import score
 
 from . import pipelines
 from .fixtures import annotations, songs, stub_features, sylls, table, texts
-from .oracles import ANNOTATIONS, METRICS, PACK, PAD_W, TEXTS, packed
+from .oracles import ANNOTATIONS, DIM, METRICS, PACK, PAD_W, TEXTS, packed, parsed
+from .oracles import ORACLE_SQL as SCORED_SQL
 from .registry import query
 
 #: Songs of one file of a JSON list.
 SONGS_A_FILE = 5000
 BUDGET, CAP, SHARD = 24_000, 64, 1000
+CHAT = "{% for m in messages %}{% if loop.first and m.role != 'system' %}{{ '<|system|>' }}{% endif %}<|{{ m['role'] }}|>{{ m.content | trim }}{% if not loop.last %},{% endif %}{% endfor %}{% if add_generation_prompt %}<|assistant|>{% endif %}"
 
 
 def _rounded(rows: DataFrame) -> DataFrame:
@@ -246,6 +248,42 @@ def evaluation_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(scored.drop("gt_text", "pred_text"))
 
 
+def recalled():
+    """Stands in for a model: each payload is the text that it writes."""
+    return lambda payloads, prompts: list(payloads)
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = _samples(spark, sf_dir).join(texts(spark, sf_dir).select(F.col("sid").alias("sample_id"), "pred_text"), "sample_id")
+    return pipelines.validate(rows, recalled, "pred_text", 7, RunConfig(), num_samples=-1, num_display=20, budget=2000)
+
+
+@query
+def validation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a validation pass shows: its first twenty samples."""
+    return _validated(spark, sf_dir)[0]
+
+
+@query
+def validation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of those, as a figure of both would have them."""
+    return _validated(spark, sf_dir)[1]
+
+
+@query
+def validation_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The means of a validation pass over all songs."""
+    return _validated(spark, sf_dir)[2].withColumn("value", F.round("value", 4))
+
+
+@query
+def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a chat template writes them."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    text = template.rendered(CHAT, F.col("m"), turns.schema["m"].dataType, True)
+    return turns.select("conv_id", F.size("m").alias("n_turns"), F.md5(text.cast("binary")).alias("text_md5"))
+
+
 @query
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same errors by the stream, of files that came in."""
@@ -287,5 +325,14 @@ SELECT sid AS sample_id, CAST(max(p + t) OVER (PARTITION BY sid % 50) AS INTEGER
     "epoch_batches": "SELECT count(*) AS n_samples, count(DISTINCT doc_id) AS n_ids, CAST(0 AS BIGINT) AS n_over FROM documents",
     "transcription_job": f"WITH RECURSIVE {PACK} SELECT doc_id AS sample_id, CAST(count(*) OVER (PARTITION BY batch_id) AS VARCHAR) AS text FROM pk",
     "evaluation_job": f"WITH RECURSIVE {METRICS} SELECT sid AS sample_id, {_ERRORS} FROM metrics",
+    "validation_texts": f"""WITH {TEXTS},{parsed('p', 'pred_texts', 'pred_text')} SELECT sid AS sample_id, left('language Chinese<asr_text>' || gt_text, 300) AS gt, left(pred_text, 300) AS pred,
+  sid IN (SELECT sid FROM p_e) AS readable FROM gt_texts JOIN pred_texts USING (sid) ORDER BY sid LIMIT 20""",
+    "validation_notes": f"""WITH {TEXTS}, {DIM},{parsed('p', 'pred_texts', 'pred_text')}, f AS (SELECT sid FROM gt_texts ORDER BY sid LIMIT 20),
+n AS (SELECT sid AS sample_id, 'gt' AS side, k, pitch, note FROM notes_gt SEMI JOIN p_e USING (sid) SEMI JOIN f USING (sid) UNION ALL SELECT sid, 'pred', entry_idx, pitch, note FROM p_e SEMI JOIN f USING (sid))
+SELECT sample_id, side, k, pitch, note, beats AS width, coalesce(sum(beats) OVER (PARTITION BY sample_id, side ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS start FROM n JOIN dim USING (note)""",
+    "validation_scalars": SCORED_SQL["metrics_scalars"],
+    "chat_prompts": """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id, CAST(any_value(n) AS INTEGER) AS n_turns, md5(string_agg(CASE WHEN i = 1 AND coalesce(role, '') <> 'system' THEN '<|system|>' ELSE '' END || '<|' || coalesce(role, '') || '|>'
+  || regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') || CASE WHEN i < n THEN ',' ELSE '' END, '' ORDER BY i) || '<|assistant|>') AS text_md5 FROM t GROUP BY conv_id""",
     "stream_scores": f"WITH RECURSIVE {METRICS} SELECT sid, {_ERRORS} FROM metrics",
 }

@@ -1,4 +1,4 @@
-"""The three jobs: preprocessing, batch transcription, scoring; and the rows of training batches."""
+"""The jobs: preprocessing, batch transcription, scoring, validation in training; and the rows of training batches."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from scoreforge.config import RunConfig
 from scoreforge.functions import tensors
-from scoreforge.operators import batching, encode, features, infer, metrics, report, splits, tokens
+from scoreforge.operators import batching, encode, features, infer, metrics, parse, report, splits, tokens
+from scoreforge.session import written
 from scoreforge.sources import annotations, sinks
 
 #: What a preprocessing run tells of itself.
@@ -103,3 +104,31 @@ def evaluate(references: DataFrame, predictions: DataFrame, step: int, table: st
     if table:
         sinks.append_scalars(report.scalars(means, step), table)
     return samples, means
+
+
+#: Characters of a text that a validation pass shows.
+SHOWN = 300
+
+
+def validate(samples: DataFrame, factory: infer.Factory, payload: str, step: int, config: RunConfig, num_samples: int = 5, num_display: int = 5, budget: int = 0, cap: int = 32, table: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A validation pass at a training step, over the first ``num_samples`` of ``samples`` (sample_id, syllables, bpm, mel_frames; all if
+    negative): texts are generated in batches of like length, at most ``cap`` samples and ``budget`` frames (no bound if 0).
+
+    Returns the shown texts (sample_id, gt, pred, readable) of the first ``num_display`` samples; their scores as notes (sample_id, side,
+    k, pitch, note, width, start) wherever both can be read; and the scalars (step, key, value) of all samples' errors, which are
+    added to the metrics table if one is named. Samples without a text count as read wrong, not as missing.
+    """
+    rows = targets(report.first_samples(samples, num_samples), config)
+    texts = transcribe(rows, factory, payload, "mel_frames", budget, cap)
+    both = rows.select("sample_id", F.col("target").alias("gt_text")).join(texts.withColumnRenamed("text", "pred_text"), "sample_id", "left")
+    both = written(both)  # generated once, read three times
+    scalars = report.scalars(metrics.over_all(metrics.per_sample(both)), step)
+    if table:
+        sinks.append_scalars(scalars, table)
+    shown = report.first_samples(both, min(num_display, num_samples) if num_samples > 0 else num_display)
+    shown = shown.withColumn("_g", parse.parse(F.col("gt_text"))).withColumn("_p", parse.parse(F.col("pred_text")))
+    readable = F.col("_g").isNotNull() & F.col("_p").isNotNull()
+    heads = shown.select("sample_id", F.left("gt_text", F.lit(SHOWN)).alias("gt"), F.left("pred_text", F.lit(SHOWN)).alias("pred"), readable.alias("readable"))
+    sides = F.array(*[F.struct(F.lit(name).alias("side"), F.col(f"{c}.entries").alias("entries")) for name, c in (("gt", "_g"), ("pred", "_p"))])
+    notes = shown.where(readable).select("sample_id", F.explode(sides).alias("s")).select("sample_id", "s.side", F.posexplode("s.entries").alias("k", "e")).select("sample_id", "side", "k", "e.pitch", "e.note")
+    return heads, report.geometry(notes, ["sample_id", "side"], "k"), scalars
