@@ -7,6 +7,7 @@ import string
 from .decontaminate import SHARE, WINDOW
 from .language import PROFILE
 from .secrets import MID, OPEN, RULES, SHUT
+from .sharding import WHOLE
 from .suffixes import LENGTH
 
 TOP_K = """
@@ -55,9 +56,10 @@ SHARDS = f"""
 WITH c AS ({CRC}),
 t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, substr(md5(coalesce(text, '')), 1, 15) AS k FROM documents),
 b AS (SELECT doc_id, k, length(x) // 2 + 16 AS size, list_transform(regexp_extract_all(x, '..'), lambda h: CAST(16 * (strpos('0123456789ABCDEF', h[1]) - 1) + strpos('0123456789ABCDEF', h[2]) - 1 AS BIGINT)) AS bytes FROM t),
-o AS (SELECT doc_id, size, {_crc32("bytes")} AS text_crc32,
+o AS (SELECT doc_id, k, size, {_crc32("bytes")} AS text_crc32,
   row_number() OVER (ORDER BY k, doc_id) AS rank, 2 * (sum(size) OVER (ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING)) - size AS middle, sum(size) OVER () AS total FROM b, c),
-s AS (SELECT *, CAST(40 * middle // (2 * total) AS INTEGER) AS shard FROM o)
+g AS (SELECT *, sum(size) OVER (PARTITION BY k) AS whole, min((middle - size) // 2) OVER (PARTITION BY k) AS before FROM o),
+s AS (SELECT *, CAST(CASE WHEN whole * {WHOLE} * 40 <= total THEN 40 * (2 * before + whole) // (2 * total) ELSE 40 * middle // (2 * total) END AS INTEGER) AS shard FROM g)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, rank - min(rank) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
 """
 

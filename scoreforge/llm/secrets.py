@@ -1,9 +1,10 @@
 """Secret scans (operator 9), DataFrame functions only: a trigram inverted index chooses what each rule must scan.
 
 From each rule's regular expression ``trigrams.derive`` makes a Boolean query on trigrams (in lower case, so that it holds for
-either case). The index lists, for each trigram that any query has, the rows that contain it, as postings (trigram, row).
-A query is answered by intersecting postings: of one row's trigrams, does each clause have an alternative that is wholly
-there? Its candidates are verified by the expression itself, where the texts lie: few candidates are broadcast to them.
+either case). The index lists, for each trigram that any query has, the rows that contain it, as postings (trigram, row); it is
+written, and its lists are counted. A query is answered by intersecting postings, the shortest lists first: they name the
+rows of which the other lists are read; a row is a candidate if each clause has an alternative that is wholly there.
+Candidates are verified by the expression itself, where the texts lie: few candidates are broadcast to them.
 Rules whose expression has no mandatory trigram scan every text.
 
 Spans are code points [start, end) of leftmost non-overlapping matches by kind. They are found without leaving the JVM:
@@ -81,34 +82,36 @@ def _spans(text: Column, rule: Rule, no: int) -> Column:
     return F.when(F.contains(marked, F.lit(OPEN)), found).otherwise(F.array().cast("array<struct<start:int,no:int,end:int>>"))
 
 
-#: Characters of texts, the rarer the earlier; marks and digits are rarer still.
-_RARE = "zqxjkvbpygfwmucldrhsnioate "
-
-
 def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The inverted index of the trigrams that the rules' queries have: postings (trigram, doc_id, key), key a hash of the text.
-
-    A query's trigrams are looked up one after another, rare ones first, and a row is listed under one only if it has those
-    before it: an intersection has no use for the rest.
-    """
-    tree: dict = {}
-    for alternative in {a for r in rules for clause in r.query() for a in clause}:
-        at = tree
-        for g in sorted(alternative, key=lambda g: (sum(_RARE.find(c) for c in g), g)):
-            at = at.setdefault(g, {})
-    none = F.array().cast("array<string>")
-
-    def there(branches: dict) -> Column:
-        found = [F.when(F.contains("_low", F.lit(g)), F.concat(F.array(F.lit(g)), there(rest)) if rest else F.array(F.lit(g))).otherwise(none) for g, rest in sorted(branches.items())]
-        return F.concat(*found) if found else none
-
+    """The inverted index of the trigrams that the rules' queries have: postings (trigram, doc_id, key), key a hash of the text."""
+    wanted = sorted({g for r in rules for clause in r.query() for alternative in clause for g in alternative})
     low = docs.select("doc_id", F.xxhash64("text").alias("key"), F.lower("text").alias("_low"))
-    return low.select("doc_id", "key", F.explode(F.array_distinct(there(tree))).alias("trigram"))
-
-
-def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, key, rules): the numbers of the rules whose query the postings of a row answer."""
-    have = postings.groupBy("doc_id", "key").agg(F.collect_set("trigram").alias("_have"))  # of a row: at most the queries' trigrams
+    there = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(g)), F.lit(g)) for g in wanted])) if wanted else F.array().cast("array<string>")
+    return low.select("doc_id", "key", F.explode(there).alias("trigram"))
+
+
+def shortest(rules: tuple[Rule, ...], sizes: dict[str, int]) -> set[str]:
+    """The trigrams whose postings have to be read first: of each rule's clauses the one that the fewest rows can satisfy, of each of its
+    alternatives the trigram of the shortest list. An alternative with a trigram of no postings is met by no row."""
+    first = set()
+    for rule in rules:
+        ways = []
+        for clause in rule.query():
+            least = [min(alternative, key=lambda g: (sizes.get(g, 0), g)) for alternative in clause]
+            ways.append([g for g in least if sizes.get(g, 0)])
+        first.update(min(ways, key=lambda gs: sum(sizes[g] for g in set(gs)), default=[]))
+    return first
+
+
+def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, key, rules): the numbers of the rules whose query the postings of a row answer. Postings are intersected from the
+    shortest lists on: only rows that these name are looked up in the others."""
+    sizes = {r["trigram"]: r["n"] for r in postings.groupBy("trigram").agg(F.count(F.lit(1)).alias("n")).collect()}  # the queries' trigrams
+    first = shortest(rules, sizes)
+    rows = postings.where(F.col("trigram").isin(*sorted(first)) if first else F.lit(False)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    few = sum(sizes[g] for g in first) <= broadcast_rows
+    met = postings.join(F.broadcast(rows) if few else rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
+    have = met.groupBy("doc_id", "key").agg(F.collect_set("trigram").alias("_have"))  # of a row: at most the queries' trigrams
     answers = []
     for no, rule in enumerate(rules):
         if rule.query():
@@ -119,7 +122,7 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
                     ways = ways | (F.size(F.array_except(F.array(*[F.lit(g) for g in alternative]), F.col("_have"))) == 0)
                 hit = hit & ways
             answers.append(F.when(hit, F.lit(no)))
-    return have.select("doc_id", "key", F.filter(F.array(*answers), lambda r: r.isNotNull()).alias("rules")).where(F.size("rules") > 0)
+    return have.select("doc_id", "key", F.filter(F.array(*answers) if answers else F.array().cast("array<int>"), lambda r: r.isNotNull()).alias("rules")).where(F.size("rules") > 0)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -129,7 +132,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_rows: int =
     candidates; null ids are scanned as well. An empty table gives no rows.
     """
     own = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text"))
-    found = candidates(index(own.where("text is not null"), rules), rules)
+    found = candidates(checkpointed(index(own.where("text is not null"), rules)), rules, broadcast_rows)
     found = checkpointed(found.select(F.col("doc_id").alias("_cand_id"), F.col("key").alias("_cand_key"), F.col("rules").alias("_rules")))
     few = found.limit(broadcast_rows + 1).count() <= broadcast_rows
     rows = docs.withColumn("_key", F.xxhash64(F.col("`text`")))
@@ -152,8 +155,8 @@ def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans for each row.
 
     Null and empty texts have no spans (the hash is then that of an empty string); null and repeated ids and repeated rows give
-    a row each; matches of several kinds at one place are all there, by the order of the rules. Further columns are
-    ignored; an empty table gives no rows.
+    a row each; matches of several kinds at one place are all there, by the order of the rules. Either case means A-Z and a-z: the
+    long s or the Kelvin sign stand for no letter of a rule. Further columns are ignored; an empty table gives no rows.
     """
     base = [no for no, r in enumerate(rules) if r.base]
     rows = scan(docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text")), rules)
@@ -191,10 +194,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sign: str = "[secre
 
 
 def brute(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:
-    """The same spans (start, rule, end) by Python's own engine: for tests."""
+    """The same spans (start, rule, end) by Python's own engine: for tests. Letters in either case are those of ASCII, as Spark has it."""
     out = []
     for no, r in enumerate(rules):
-        for m in re.finditer(r.pattern + r.rest, text or ""):
+        for m in re.finditer(r.pattern + r.rest, text or "", re.ASCII):
             if len(m[r.keep]) >= r.least:
                 out.append((m.start(), no, m.end()))
     return sorted(out)

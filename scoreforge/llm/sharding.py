@@ -6,8 +6,11 @@ a hash. Quantiles of the sample are the boundaries that cut all records into ran
 hold over ``SLACK`` times their due, or too many rows for a task, are sampled and subdivided in the same way, and so on. A
 text with very many copies is no exception, as boundaries are whole keys with doc_id and number. Sums by range are run up
 in their order; within a range rows are ranked and summed by one window, so each row's place in all bytes is exact, and
-so is the shard it lies in: ``floor(shards * middle of its bytes / all bytes)``. Shards differ from an equal share by less than
-one record at either end. No task gets more than a range, and only boundaries and sums by range are broadcast.
+so is the shard it lies in: ``floor(shards * middle of its bytes / all bytes)``. A shard's border may fall into a group of equal
+texts. Of at most ``shards - 1`` groups that are cut so, those of no more than a ``WHOLE``-th of a shard's due go wholly to the
+side of their middle; larger ones stay cut, or shards would not be equal. So shards differ from an equal share by less than
+one record, or half such a group, at either end. No task gets more than a range, and only boundaries, sums by range and the
+groups at borders are broadcast.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, forget
 
 SAMPLE, RANGES, SLACK, PART_ROWS, LEVELS = 8192, 256, 2, 500_000, 7
+WHOLE = 20
 
 
 def _key() -> Column:
@@ -78,10 +82,17 @@ def shard(docs: DataFrame, shards: int = 40, sample: int = SAMPLE, ranges: int =
     inside = W.partitionBy("_range").orderBy("_key", "doc_id", "_row").rowsBetween(W.unboundedPreceding, -1)
     ranked = rows.withColumn("_b", F.coalesce(F.sum("size").over(inside), zero)).withColumn("_n", F.count(F.lit(1)).over(inside))
     middle = (F.col("_b0") + F.col("_b")) * 2 + F.col("size")
+    shard_of = lambda twice: F.floor(twice.cast("decimal(30,0)") * shards / (2 * max(every, 1))).cast("int")
     at = ranked.join(placed, "_range").select(
-        "doc_id", "size", "text_crc32", (F.col("_n0") + F.col("_n")).alias("_rank"),
-        F.floor(middle.cast("decimal(30,0)") * shards / (2 * max(every, 1))).cast("int").alias("shard"),
+        "doc_id", "size", "text_crc32", "_key", (F.col("_n0") + F.col("_n")).alias("_rank"), (F.col("_b0") + F.col("_b")).alias("_before"), shard_of(middle).alias("shard")
     )
+    at = checkpointed(at)
+    ends = at.groupBy("shard").agg(F.min("_key").alias("low"), F.max("_key").alias("high")).collect()  # at most ``shards`` rows, keys in order
+    cut = sorted({r["low"] for r in ends} & {r["high"] for r in ends})  # a group at a border, or one that fills shards
+    if cut:
+        groups = at.where(F.col("_key").isin(*cut)).groupBy("_key").agg(F.sum("size").alias("_all"), F.min("_before").alias("_from")).where(F.col("_all") * WHOLE * shards <= every)
+        groups = groups.select(F.col("_key").alias("_k"), shard_of(F.col("_from") * 2 + F.col("_all")).alias("_whole"))
+        at = at.join(F.broadcast(groups), F.col("_key") == F.col("_k"), "left").withColumn("shard", F.coalesce("_whole", "shard"))
     first = at.groupBy("shard").agg(F.min("_rank").alias("_first"))  # at most ``shards`` rows
     return at.join(F.broadcast(first), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_rank") - F.col("_first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")

@@ -122,9 +122,14 @@ def test_sharding(spark, documents):
     same = spark.range(400).select(F.lit(7).cast("long").alias("doc_id"), F.lit("identical rows").alias("text"))
     df = documents.select("doc_id", "text").unionByName(copies).unionByName(same)
     data = sorted(((hashlib.md5((r.text or "").encode()).hexdigest()[:15], r.doc_id is not None, r.doc_id or 0, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in df.collect()))
-    total, run, want, slots = sum(d[3] for d in data), 0, [], {}
-    for _, known, doc, size, crc in data:
-        no = 40 * (2 * run + size) // (2 * total)
+    total, run, want, slots, groups = sum(d[3] for d in data), 0, [], {}, {}
+    for key, _, _, size, _ in data:
+        groups.setdefault(key, [run, 0])[1] += size
+        run += size
+    run = 0
+    for key, known, doc, size, crc in data:
+        before, whole = groups[key]
+        no = 40 * (2 * before + whole) // (2 * total) if whole * sharding.WHOLE * 40 <= total else 40 * (2 * run + size) // (2 * total)
         run += size
         slots[no] = slots.get(no, -1) + 1
         want.append((str(doc if known else None), size, crc, "bytes", no, slots[no], None))
@@ -132,7 +137,21 @@ def test_sharding(spark, documents):
         got = sharding.shard(df, 40, **options).collect()
         assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in got) == sorted(want)
         sums = {n: sum(r.size for r in got if r.shard == n) for n in range(40)}
-        assert max(sums.values()) - min(sums.values()) <= 2 * max(r.size for r in got)
+        assert max(sums.values()) - min(sums.values()) <= 2 * max(r.size for r in got) + total // 40 // sharding.WHOLE
+
+
+def test_groups_stay_whole_at_borders(spark):
+    """Pairs and triples of copies are never parted; only groups larger than a shard's twentieth are."""
+    rows = [(i, f"text {i // 3 if i < 1500 else i // 2 * 7} " + "x" * (i // 6 % 50)) for i in range(4000)] + [(10_000 + i, "many copies of one text " * 3) for i in range(2000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect()
+    shards = {}
+    for r in got:
+        shards.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    assert [k for k, s in shards.items() if len(s) > 1] == [(got[-1].text_crc32, got[-1].size)] or sum(len(s) > 1 for s in shards.values()) == 1
+    sums = {n: sum(r.size for r in got if r.shard == n) for n in range(40)}
+    due = sum(sums.values()) / 40
+    assert all(0.94 * due < s < 1.06 * due for s in sums.values())
+    assert all(sorted(r.slot for r in got if r.shard == n) == list(range(sum(r.shard == n for r in got))) for n in range(40))
 
 
 def test_suffixes(spark):
@@ -458,6 +477,30 @@ def test_secrets(spark, documents):
         assert r.text == (out + text[r.doc_id][at:] if text[r.doc_id] is not None else None)
 
 
+def test_either_case_is_that_of_ascii(spark):
+    texts = ["\u017fecret=abcdefghijklmnop", "to\u212aen=abcdefghijklmnop", "SeCrEt=abcdefghijklmnop", "PASSWORD=abcdefghijklmnop"]
+    got = {r.doc_id: r.n_assign for r in secrets.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 1} == {i: len(secrets.brute(t)) for i, t in enumerate(texts)}
+
+
+def test_postings_are_read_from_the_shortest_on(spark):
+    rows = [(i, "a password here" if i % 5 == 0 else "passes over, word" if i % 2 else "nothing") for i in range(100)] + [(200, "AKIA of old"), (201, "akin to kia")]
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    postings = secrets.index(own)
+    listed = {}
+    for r in postings.collect():
+        listed.setdefault(r.trigram, set()).add(r.doc_id)
+    wanted = {g for r in secrets.RULES for clause in r.query() for a in clause for g in a}
+    text = dict(rows)
+    assert listed == {g: found for g in wanted if (found := {i for i, t in text.items() if g in t.lower()})}
+    first = secrets.shortest(secrets.RULES, {g: len(x) for g, x in listed.items()})
+    assert "pas" not in first and all(listed[g] for g in first)
+    for few in (0, 10**6):
+        got = {(r.doc_id, tuple(r.rules)) for r in secrets.candidates(postings, secrets.RULES, few).collect()}
+        want = {(i, tuple(n for n, rule in enumerate(secrets.RULES) if rule.query() and trigrams.satisfied(rule.query(), t))) for i, t in rows}
+        assert got == {(i, rules) for i, rules in want if rules}
+
+
 def random_rule(rng, depth=0):
     """A regular expression and how to draw one of its matches."""
     kind = rng.choice(["text"] * 4 + ["class", "any", "optional", "some", "both", "either"] if depth < 3 else ["text"])
