@@ -2,8 +2,8 @@
 
 1. Each text becomes its set of word shingles: 64-bit hashes made with a secret that each run draws, so that no texts can be
    built whose shingles agree; by chance two do once in 2**64 pairs. Equal sets are one class, known by 64 bits of the
-   set, by 64 others where two different sets share the first (128 also for a set of one shingle). The shingles' counts over all documents, kept in a sketch of ``CELLS``
-   cells, give one order of all shingles, rare ones first.
+   set, by 64 others where two different sets share the first (128 also for a set of one shingle). The shingles' counts
+   over all documents, kept in a sketch of some million cells, give one order of all shingles, rare ones first.
 2. Two sets that reach the similarity share a shingle among their first ``n - ceil(similarity * n) + 1`` in that order. These
    are dealt by shingle into index lists. A list is sorted by size and cut into blocks that know the farthest reach of their
    entries; an entry's partners by size are one window of the list, in which blocks whose reach falls short of the
@@ -24,18 +24,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreforge.session import size_of
+
 from . import common as C
 from .shingles import shingle_sets
 
-CELL_BITS = 20
-CELLS, PARTS = 1 << CELL_BITS, 64
+#: Cells of the sketch as a power of two: the least, and the most, which a broadcast holds in 16 MB. In between they grow with the
+#: input, from ``SKETCH_BYTES`` on.
+CELL_BITS, MOST_CELL_BITS, SKETCH_BYTES = 20, 24, 100 << 30
+PARTS = 64
 BLOCK, SKIP = 1024, 32
-#: Shingles that so many documents may have (by the sketch) get no list in one task: Spark finds their least class.
-HOT = 100_000
+#: Shingles that so many documents may have get no list in one task: Spark finds their least class. By the sketch, a shingle that
+#: stands out from the mean of all cells ``NOISE`` times: cells that are full of rare shingles are not mistaken for frequent ones.
+HOT, NOISE = 100_000, 16
+#: Entries of one list that a task holds; a longer list joins the group of its least class as it streams by.
+LIST_ROWS = 1_000_000
 #: Sets that differ in less than this share of their shingles count as highly similar.
 CLOSE = 0.5
 
 
+def cell_bits(size: int) -> int:
+    """Cells of the sketch for an input of ``size`` bytes, as a power of two."""
+    return min(MOST_CELL_BITS, CELL_BITS + max(0, (size // SKETCH_BYTES).bit_length()))
+
+
+def frequent(cells: np.ndarray, hot: int) -> float:
+    """The count of a cell from which its shingles count as ``hot``."""
+    return max(hot, NOISE * float(cells.mean()))
+
+
 def _need(t: int, a, b):
     """The least overlap of a link between sets of the given sizes."""
     return -(-t * (a + b) // (100 + t))
@@ -62,17 +79,17 @@ def _classes_of(h: np.ndarray, n: np.ndarray, least: np.ndarray, clash: np.ndarr
     return np.where(np.isin(one, clash), two, one) if len(clash) else one
 
 
-def _first_pass(k: int, secret: bytes):
+def _first_pass(k: int, secret: bytes, bits: int):
     """Per row its set's size and signature; then, as rows of part >= 0, what the task counted of each cell."""
     names = ["doc_id", "key", "one", "two", "n", "part", "cells"]
 
     def run(batches):
-        cells = np.zeros(CELLS, np.int64)
+        cells = np.zeros(1 << bits, np.int64)
         for batch in batches:
             col = C.texts_of(batch)
             for a, b in C.chunks(col):
                 h, n, least = shingle_sets(col.slice(a, b - a), k, secret)
-                cells += np.bincount((h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS)
+                cells += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=len(cells))
                 m = b - a
                 one, two = _signature(h, n, least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), batch.column(1).slice(a, m), pa.array(one), pa.array(two), pa.array(n), pa.array(np.full(m, -1, np.int32)), pa.nulls(m, pa.binary())], names)
@@ -97,9 +114,13 @@ def _level(count: np.ndarray) -> np.ndarray:
     return (2 * np.log2(count + 1)).astype(np.uint8)
 
 
+def _cell(h: np.ndarray, level: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - (len(level).bit_length() - 1))).astype(np.int64)
+
+
 def _ordered(h: np.ndarray, n: np.ndarray, level: np.ndarray) -> np.ndarray:
     """The sets' hashes in the common order (by level, then hash), set by set; they come ascending."""
-    lv, out = level[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)], h.copy()
+    lv, out = level[_cell(h, level)], h.copy()
     cuts = np.concatenate([[0], np.cumsum(n)]).tolist()
     for a, b in zip(cuts, cuts[1:]):
         if b - a > 1:
@@ -107,10 +128,9 @@ def _ordered(h: np.ndarray, n: np.ndarray, level: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prefixes(k: int, t: int, secret: bytes, level, hot: int, clash: np.ndarray):
+def _prefixes(k: int, t: int, secret: bytes, level, from_level: int, clash: np.ndarray):
     def run(batches):
         lv = level.value
-        from_level = _level(np.array(hot))
         for batch in batches:
             col = C.texts_of(batch)
             for a, b in C.chunks(col):
@@ -123,7 +143,7 @@ def _prefixes(k: int, t: int, secret: bytes, level, hot: int, clash: np.ndarray)
                 start = (np.cumsum(n) - n)[one]
                 token = C.gather(h, start, p)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token.view(np.int64)), pa.array(np.repeat(rid[one], p)), pa.array(np.repeat(n[one], p).astype(np.int32)), pa.array(C.gather(np.arange(int(p.max()) if len(p) else 0), np.zeros(len(p), np.int64), p).astype(np.int32)), pa.array(lv[(token >> np.uint64(64 - CELL_BITS)).astype(np.int64)] >= from_level)],
+                    [pa.array(token.view(np.int64)), pa.array(np.repeat(rid[one], p)), pa.array(np.repeat(n[one], p).astype(np.int32)), pa.array(C.gather(np.arange(int(p.max()) if len(p) else 0), np.zeros(len(p), np.int64), p).astype(np.int32)), pa.array(lv[_cell(token, lv)] >= from_level)],
                     ["token", "rid", "n", "pos", "hot"],
                 )
 
@@ -181,17 +201,32 @@ def _lists(t: int):
     """Rows come in order of (token, rid). Gives (pivot, rid): which classes are in which groups."""
 
     def run(batches):
-        keep = [np.zeros(0, np.int64)] * 4
+        keep, streamed = [np.zeros(0, np.int64)] * 4, None  # streamed: a list too long to hold, and its least class
         for batch in batches:
             cols = [np.concatenate([k, batch.column(i).to_numpy()]) for i, k in enumerate(keep)]
+            if streamed is not None:
+                on = int(np.searchsorted(cols[0], streamed[0], side="right"))
+                yield from _streamed(streamed[1], cols[1][:on])
+                cols = [c[on:] for c in cols]
+                streamed = streamed if not len(cols[0]) else None
             cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
             yield from _settle([c[:cut] for c in cols], t)
             keep = [c[cut:] for c in cols]
+            if len(keep[0]) > LIST_ROWS:
+                streamed = int(keep[0][0]), int(keep[1][0])
+                yield from _streamed(streamed[1], keep[1])
+                keep = [k[:0] for k in keep]
         yield from _settle(keep, t)
 
     return run
 
 
+def _streamed(pivot: int, rid: np.ndarray):
+    rid = np.unique(rid)
+    if len(rid):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rid), pivot)), pa.array(rid)], ["pivot", "rid"])
+
+
 def _settle(cols: list[np.ndarray], t: int):
     token, rid, n, pos = cols
     new = np.ones(len(token), bool)
@@ -337,24 +372,24 @@ def components(edges: DataFrame) -> DataFrame:
 def _linked(documents: DataFrame, k: int, t: int, block: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """The rows as (doc_id, key, rid, n), and the classes as (rid, least_id, key, copies, root, weight): key is the hash of
     a text, in the classes of one of least id; weight is the number of rows linked with each of the class, but for its own."""
-    spark, secret = documents.sparkSession, os.urandom(32)
+    spark, secret, bits = documents.sparkSession, os.urandom(32), cell_bits(size_of(documents))
     own = documents.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.xxhash64(F.col("`text`")).alias("key"), F.col("`text`").alias("text"))
-    first = C.checkpointed(own.mapInArrow(_first_pass(k, secret), "doc_id long, key long, one long, two long, n long, part int, cells binary"))
+    first = C.checkpointed(own.mapInArrow(_first_pass(k, secret, bits), "doc_id long, key long, one long, two long, n long, part int, cells binary"))
     stage = first.where("part = -1")
     shared = stage.where("n > 0").groupBy("one").agg(F.min("two").alias("_a"), F.max("two").alias("_b")).where("_a <> _b")
     clash = [r["one"] for r in shared.select("one").collect()]  # different sets of equal 64 bits: hardly any
     stage = stage.select("doc_id", "key", (F.when(F.col("one").isin(clash), F.col("two")).otherwise(F.col("one")) if clash else F.col("one")).alias("rid"), "n")
     clash = np.array(clash, np.int64)
-    cells = np.zeros(CELLS, np.int64).reshape(PARTS, -1)
-    for r in first.where("part >= 0").select("part", "cells").repartition("part").mapInArrow(_sum_cells, "part int, cells binary").collect():  # CELLS numbers
+    cells = np.zeros(1 << bits, np.int64).reshape(PARTS, -1)
+    for r in first.where("part >= 0").select("part", "cells").repartition("part").mapInArrow(_sum_cells, "part int, cells binary").collect():  # a number a cell
         cells[r["part"]] += np.frombuffer(r["cells"], "<i8")
-    levels = _level(cells.ravel())
+    levels, from_level = _level(cells.ravel()), int(_level(np.array(frequent(cells, hot))))
     level = spark.sparkContext.broadcast(levels)
     last = F.coalesce("doc_id", F.lit((1 << 63) - 1))  # null ids come last
     classes = stage.where("n > 0").groupBy("rid").agg(F.min("doc_id").alias("least_id"), F.min_by("key", last).alias("key"), F.count(F.lit(1)).alias("copies"))
     classes = C.checkpointed(classes)
-    tokens = own.select("doc_id", "text").mapInArrow(_prefixes(k, t, secret, level, hot, clash), "token long, rid long, n int, pos int, hot boolean")
-    some_hot = bool((levels >= _level(np.array(hot))).any())
+    tokens = own.select("doc_id", "text").mapInArrow(_prefixes(k, t, secret, level, from_level, clash), "token long, rid long, n int, pos int, hot boolean")
+    some_hot = bool((levels >= from_level).any())
     cold = tokens.where("not hot") if some_hot else tokens
     met = cold.select("token", "rid", "n", "pos").repartition("token").sortWithinPartitions("token", "rid").mapInArrow(_lists(t), "pivot long, rid long")
     if some_hot:

@@ -221,3 +221,55 @@ def test_noise_is_that_of_the_id(spark):
     for i, z in got.items():
         h = int(hashlib.sha256(f"42:{i}".encode()).hexdigest()[:8], 16)
         assert z == math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+
+
+@pytest.mark.parametrize("bits, list_rows, hot", [(4, 1_000_000, 3), (20, 2, 100_000), (6, 1, 100_000), (20, 1_000_000, 2)])
+def test_set_join_with_a_full_sketch_and_long_lists(spark, monkeypatch, bits, list_rows, hot):
+    """Links do not depend on how well the sketch tells shingles apart, nor on which lists are held."""
+    monkeypatch.setattr(setjoin, "CELL_BITS", bits)
+    run = setjoin._lists
+
+    def held(t):
+        inner = run(t)
+
+        def lists(batches):
+            setjoin.LIST_ROWS = list_rows
+            return inner(batches)
+
+        return lists
+
+    monkeypatch.setattr(setjoin, "_lists", held)
+    rng = random.Random(21)
+    words, data = [f"w{i}" for i in range(30)], []
+    base = [[rng.choice(words) for _ in range(rng.randint(1, 25))] for _ in range(12)]
+    for i in range(150):
+        w = list(rng.choice(base))
+        if rng.random() < 0.5:
+            w[rng.randrange(len(w))] = rng.choice(words)
+        data.append((i, " ".join(w)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, setjoin.join(df, 2, 80, 7, hot).collect())) == sorted(setjoin.brute(data, 2, 80))
+
+
+def test_a_full_sketch_makes_nothing_frequent():
+    rng = np.random.default_rng(5)
+    cells = rng.poisson(2_000_000, 1 << 12)
+    assert (cells >= setjoin.frequent(cells, setjoin.HOT)).mean() == 0
+    cells[7] += 10**9
+    assert np.flatnonzero(cells >= setjoin.frequent(cells, setjoin.HOT)).tolist() == [7]
+    assert [setjoin.cell_bits(n) for n in (0, 10**9, 200 << 30, 10**14, 10**20)] == [20, 20, 22, 24, 24]
+
+
+def test_long_lists_stream_by():
+    token, rid = np.repeat([1, 5, 9], [3, 2000, 2]), np.concatenate([[1, 2, 3], np.arange(2000) // 2 + 50, [7, 8]])
+    cols = [pa.array(x) for x in (token, rid, np.full(2005, 10, np.int32), np.zeros(2005, np.int32))]
+    batches = [pa.RecordBatch.from_arrays([c.slice(i, 100) for c in cols], ["token", "rid", "n", "pos"]) for i in range(0, 2005, 100)]
+    old = setjoin.LIST_ROWS
+    try:
+        found = []
+        for limit in (10**6, 150):
+            setjoin.LIST_ROWS = limit
+            found.append(sorted({x for b in setjoin._lists(90)(iter(batches)) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}))
+    finally:
+        setjoin.LIST_ROWS = old
+    assert found[0] == found[1] == sorted([(1, 1), (1, 2), (1, 3), *((50, 50 + i) for i in range(1000)), (7, 7), (7, 8)])
