@@ -7,8 +7,11 @@ and ``q * high`` bounds every score in a box from above; nodes are taken best bo
 the k-th score found.
 
 A first round searches each query in its own block and notes the box of each block. The k-th score found there is handed
-on: in the second round a query is sent only to shards whose box reaches it, and the search starts from it there. Blocks that
-get very many queries are copied, one copy for ``asked_rows`` of them, so no task holds more than a block and that many.
+on: in the second round a query is sent only to shards whose box reaches it, and the search starts from it there. Queries travel
+in packs of ``PACK``, a row for a pack and block. Blocks that get very many queries are copied, one copy for ``asked_rows`` of
+them, so no task holds more than a block and that many.
+
+Where vectors lie evenly in many dimensions no box can be skipped, and every query meets every block; the README says how many.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 LEAF, SHARD_ROWS, ASKED_ROWS = 128, 20_000, 20_000
+#: Queries that travel together.
+PACK = 512
 #: Bytes of all shards' boxes, which are broadcast: they bound the number of shards. Sampled rows a shard.
 BOX_BYTES, SAMPLE = 1 << 25, 8
 #: Blocks of which numbers are broadcast (24 bytes each).
@@ -171,8 +176,9 @@ def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
 FOUND = "kind int, dim int, shard int, sub int, query long, query_id long, score long, rid long, vec_id long, low binary, high binary"
 _I, _L, _B = pa.int32(), pa.int64(), pa.binary()
 _FOUND = pa.schema(list(zip([x.split()[0] for x in FOUND.split(", ")], [_I] * 4 + [_L] * 5 + [_B] * 2)))
-SENT = "dim int, shard int, sub int, rid long, vec_id long, packed binary, least long"
-_SENT = pa.schema([("dim", _I), ("shard", _I), ("sub", _I), ("rid", _L), ("vec_id", _L), ("packed", _B), ("least", _L)])
+#: Queries that go to one block together: their numbers, ids, vectors (8 bytes a component) and bounds.
+SENT = "dim int, shard int, sub int, n int, rids binary, ids binary, vectors binary, leasts binary"
+_SENT = pa.schema([("dim", _I), ("shard", _I), ("sub", _I), ("n", _I), ("rids", _B), ("ids", _B), ("vectors", _B), ("leasts", _B)])
 SCORES = "query long, query_id long, score long, rid long, vec_id long"
 _SCORES = pa.schema([(x.split()[0], _L) for x in SCORES.split(", ")])
 
@@ -220,35 +226,39 @@ def _box_of_shard(batches):
         yield pa.RecordBatch.from_arrays([pa.array([dim], _I), pa.array([shard], _I), pa.array([low.tobytes()], _B), pa.array([high.tobytes()], _B)], ["dim", "shard", "low", "high"])
 
 
+def _reached(q: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which boxes (columns) may hold a score of at least ``least`` for each query (rows)."""
+    kind = np.float64 if max(_most(low), _most(high)) * _most(q) * q.shape[1] < 1 << 52 else np.int64
+    q, low, high = q.astype(kind), low.astype(kind), high.astype(kind)
+    return np.minimum(q, 0) @ low.T + np.maximum(q, 0) @ high.T >= least[:, None]
+
+
 def _sent(boxes):
-    """Queries with the blocks of the shards that they must see, but for their own block."""
+    """Queries, packed, with the blocks of the shards that they must see, but for their own block."""
 
     def run(batches):
         known = boxes.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512).to_pylist()
-                for dim in {r["dim"] for r in rows}:
+            for at in range(0, batch.num_rows, PACK):
+                rows = batch.slice(at, PACK).to_pylist()
+                for dim in sorted({r["dim"] for r in rows}):
                     shards, subs, low, high = known[dim]
                     asked = [r for r in rows if r["dim"] == dim]
                     q = _matrix([r["low"] for r in asked], dim)
-                    kind = np.float64 if max(_most(low), _most(high)) * _most(q) * dim < 1 << 52 else np.int64
-                    q, low, high = q.astype(kind), low.astype(kind), high.astype(kind)
-                    bound = np.minimum(q, 0) @ low.T + np.maximum(q, 0) @ high.T
-                    out = []
-                    for i, j in np.argwhere(bound >= np.array([r["score"] for r in asked])[:, None]).tolist():
-                        r, own = asked[i], shards[j] == asked[i]["shard"]
-                        out += [(dim, shards[j], s, r["query"], r["query_id"], r["low"], r["score"]) for s in range(subs[j]) if not (own and s == r["sub"])]
-                        if len(out) > 5000:
-                            yield _batch(out, _SENT)
-                            out = []
+                    rids, ids, leasts, shard, sub = (np.array([r[c] for r in asked], np.int64) for c in ("query", "query_id", "score", "shard", "sub"))
+                    met, out = _reached(q, low, high, leasts), []
+                    for j in np.flatnonzero(met.any(axis=0)).tolist():
+                        for s in range(subs[j]):
+                            mine = np.flatnonzero(met[:, j] & ~((shard == shards[j]) & (sub == s)))
+                            if len(mine):
+                                out.append((dim, shards[j], s, len(mine), *(x[mine].astype("<i8").tobytes() for x in (rids, ids, q, leasts))))
                     yield _batch(out, _SENT)
 
     return run
 
 
 def _second_round(k: int):
-    """Rows in order of (dim, shard, sub, copy, kind): a block, then the queries sent to it."""
+    """Rows in order of (dim, shard, sub, copy, kind): a block, then the packs of queries sent to it."""
 
     def run(batches):
         place, tree = None, None
@@ -257,19 +267,29 @@ def _second_round(k: int):
             if kind == 0:
                 place, tree = where, Tree(table.column("rid").to_numpy(), table.column("vec_id").to_numpy(), _matrix(table.column("packed").to_pylist(), dim))
             elif place == where:
-                out = []
-                for own, vec, packed, least in zip(*(table.column(c).to_pylist() for c in ("rid", "vec_id", "packed", "least"))):
-                    out += [(own, vec, s, r, v) for s, v, r in tree.search(own, _matrix([packed], dim)[0], k, least)]
-                yield _batch(out, _SCORES)
+                for packed in zip(*(table.column(c).to_pylist() for c in ("rids", "ids", "packed", "leasts"))):
+                    rids, ids, vectors, leasts = (np.frombuffer(x, "<i8") for x in packed)
+                    out = []
+                    for own, vec, q, least in zip(rids.tolist(), ids.tolist(), vectors.reshape(-1, dim), leasts.tolist()):
+                        out += [(own, vec, s, r, v) for s, v, r in tree.search(own, q, k, least)]
+                    yield _batch(out, _SCORES)
 
     return run
 
 
+def _shards(sizes: dict[int, int], shard_rows: int) -> dict[int, int]:
+    """How many shards the rows of each length fall into: one for ``shard_rows`` rows, fewer if all boxes together were over ``BOX_BYTES``."""
+    wanted = {dim: math.ceil(m / shard_rows) for dim, m in sizes.items()}
+    fit = min(1.0, BOX_BYTES / max(1, sum(16 * dim * many for dim, many in wanted.items())))
+    return {dim: max(1, int(many * fit)) for dim, many in wanted.items()}
+
+
 def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, shard_rows: int = SHARD_ROWS, asked_rows: int = ASKED_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every`` the k rows of highest inner product.
 
     Components are floor(scale * x). Vectors (and ids) that are null or hold null or non-finite components take no part, nor
-    empty ones; vectors are compared with those of equal length only. Every row counts for itself, also where rows repeat
+    empty ones; vectors are compared with those of equal length only. A component is stored in 4 or 8 bytes, and one that needs
+    more, or a product of two vectors that could, is an error. Every row counts for itself, also where rows repeat
     an id or are wholly equal: each such query has its k results under that id, and the others of the id are among its
     candidates. Ties go to smaller ids. Fewer rows than k give fewer results; an empty table none; further columns are ignored.
     """
@@ -284,6 +304,8 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 102
             for i, vec in enumerate(ids):
                 own = whole[offs[i] : offs[i + 1]]
                 if vec is not None and len(own) and np.isfinite(own).all():
+                    if float(np.abs(own).max()) ** 2 * len(own) >= 1 << 62:
+                        raise ValueError(f"the scores of vector {vec} need more than 64 bits")
                     out.append((vec, len(own), own.astype("<i4" if np.abs(own).max() < 1 << 31 else "<i8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((_L, _I, _B))], ["vec_id", "dim", "packed"])
 
@@ -293,7 +315,7 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 102
     rows = checkpointed(rows).select("dim", "rid", "vec_id", "packed")
     sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a length
     n = sum(sizes.values())
-    shards = {dim: max(1, min(math.ceil(m / shard_rows), BOX_BYTES // (16 * max(sizes)))) for dim, m in sizes.items()}
+    shards = _shards(sizes, shard_rows)
     splits: dict[int, Splits] = {}
     if max(shards.values(), default=1) > 1:
         share = min(1.0, SAMPLE * sum(shards.values()) / n)  # of as many numbers as the boxes have, times SAMPLE / 2
@@ -317,13 +339,15 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 102
             low, high = (np.array([np.frombuffer(bytes(b[c]), "<i8") for b in own]) for c in ("low", "high"))
             known[dim] = [b["shard"] for b in own], [subs[dim, b["shard"]] for b in own], low, high
         sent = first.where("kind = 2").mapInArrow(_sent(spark.sparkContext.broadcast(known)), SENT)
-        copies = checkpointed(sent.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / F.lit(asked_rows)).cast("int").alias("copies")))  # a row a block
+        sent = checkpointed(sent)
+        copies = checkpointed(sent.groupBy(*block).agg(F.ceil(F.sum("n") / F.lit(asked_rows)).cast("int").alias("copies")))  # a row a block
         copies = F.broadcast(copies) if sum(subs.values()) <= BROADCAST_ROWS else copies
-        asked = sent.join(copies, block).withColumn("copy", F.pmod(F.xxhash64("rid", F.lit(3)), F.col("copies")).cast("int"))
+        asked = sent.join(copies, block).withColumn("copy", F.pmod(F.xxhash64("rids", F.lit(3)), F.col("copies")).cast("int"))
         held = dealt.join(copies, block).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
         place = [*block, "copy", "kind"]
-        both = held.select(*block, "copy", F.lit(0).alias("kind"), "rid", "vec_id", "packed", F.lit(None).cast("long").alias("least"))
-        both = both.unionByName(asked.select(*block, "copy", F.lit(1).alias("kind"), "rid", "vec_id", "packed", "least"))
+        none = lambda kind: F.lit(None).cast(kind)
+        both = held.select(*block, "copy", F.lit(0).alias("kind"), "rid", "vec_id", "packed", none("binary").alias("rids"), none("binary").alias("ids"), none("binary").alias("leasts"))
+        both = both.unionByName(asked.select(*block, "copy", F.lit(1).alias("kind"), none("long").alias("rid"), none("long").alias("vec_id"), F.col("vectors").alias("packed"), "rids", "ids", "leasts"))
         found = found.unionByName(both.repartition(*place[:-1]).sortWithinPartitions(*place).mapInArrow(_second_round(k), SCORES))
     order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "rid")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -314,8 +314,8 @@ def test_top_k_of_repeated_rows_and_other_lengths(spark, monkeypatch):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in nearest.top_k(df, shard_rows=20).collect()) == want
 
 
-def test_top_k_skips_shards(spark):
-    """Queries of well parted clusters are sent to few blocks only."""
+def test_top_k_skips_shards(spark, monkeypatch):
+    """Queries of well parted clusters are sent to few blocks only, in packs."""
     rng = np.random.default_rng(41)
     centers = rng.normal(size=(16, 8)) * 20
     data = [(i, (centers[i % 16] + rng.normal(size=8) * 0.1).tolist()) for i in range(3200)]
@@ -324,7 +324,35 @@ def test_top_k_skips_shards(spark):
     shard = splits.assign(nearest._matrix([r[3] for r in rows], 8))
     assert splits.leaves == 16 and np.bincount(shard).max() <= 2 * 200
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    kept = []
+    step = nearest.checkpointed
+    monkeypatch.setattr(nearest, "checkpointed", lambda d: kept.append(step(d)) or kept[-1])
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in nearest.top_k(df, shard_rows=200).collect()) == top_k_brute(data)
+    sent = next(d for d in kept if "leasts" in d.columns)
+    asked, packs = sent.agg(F.sum("n"), F.count(F.lit(1))).first()
+    queries = sum(i % 100 == 0 for i, _ in data)
+    assert (asked or 0) <= 0.2 * queries * 16 and packs <= 16 * 8  # of a query and a shard each
+
+
+def test_top_k_of_even_vectors_sends_packs(spark, monkeypatch):
+    """No box can be skipped: a pack for each block and part of the queries, not a row for each query and block."""
+    rng = np.random.default_rng(42)
+    data = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.normal(size=(2000, 64)))]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").coalesce(1)
+    kept = []
+    step = nearest.checkpointed
+    monkeypatch.setattr(nearest, "checkpointed", lambda d: kept.append(step(d)) or kept[-1])
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in nearest.top_k(df, every=4, shard_rows=250).collect()) == top_k_brute(data, every=4)
+    asked, packs = next(d for d in kept if "leasts" in d.columns).agg(F.sum("n"), F.count(F.lit(1))).first()
+    blocks = next(d for d in kept if "subs" in d.columns).agg(F.sum("subs")).first()[0]
+    assert asked == 500 * (blocks - 1) and packs <= blocks * 8  # the rest of the queries' own blocks, by parts of the first round
+
+
+def test_boxes_of_all_lengths_fit_together():
+    sizes = {d: 10**9 for d in (8, 64, 512, 4096)}
+    made = nearest._shards(sizes, nearest.SHARD_ROWS)
+    assert sum(16 * d * n for d, n in made.items()) <= nearest.BOX_BYTES and min(made.values()) > 1
+    assert nearest._shards({64: 50_000, 3: 1}, 20_000) == {64: 3, 3: 1}
 
 
 def test_languages(spark):
