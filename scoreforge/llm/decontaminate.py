@@ -28,6 +28,9 @@ COVERS = {
 WINDOW, SHARE = 13, 80
 #: What is broadcast: so many hashes of the benchmark's (24 bytes each), words of its items (8 bytes), hits (40 bytes) or documents to drop (16 bytes); beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Beyond it, bits for a seed and, as a power of two, at most (128 MB) in a bitmap of the benchmark's seeds that is broadcast, so that
+#: only a share of the documents' is shuffled.
+BITS_A_SEED, MOST_BITS = 32, 30
 #: A list of hits of a document holds those of about so many items.
 ITEMS_A_LIST = 1000
 SPLIT = "[^\\p{L}\\p{N}]+"
@@ -57,6 +60,18 @@ def _seeds(rows: DataFrame, masks: list[str], own: Column) -> DataFrame:
     return opened.select(*others, "place", F.explode(seeds).alias("seed")).where("seed is not null")
 
 
+def _possible(seeds: DataFrame, asked: DataFrame) -> DataFrame:
+    """``seeds`` (seed and others) without most of those that are not in ``asked``: a bitmap of ``asked``, of ``BITS_A_SEED`` bits a seed
+    and ``MOST_BITS`` at most, is broadcast in pieces of 4 KB; a seed is kept if the bit of its hash is set."""
+    bits = 1 << min(MOST_BITS, max(20, (BITS_A_SEED * asked.count()).bit_length()))
+    place = F.pmod(F.xxhash64("seed", F.lit(5)), F.lit(bits)) + 1
+    known = asked.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bitmap"))
+    at = F.bitmap_bit_position("_p").cast("int")
+    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    met = seeds.withColumn("_p", place).withColumn("_b", F.bitmap_bucket_number("_p")).join(F.broadcast(known), F.col("_b") == F.col("_bucket"))
+    return met.where(F.call_function("shiftright", byte, at.bitwiseAND(7)).bitwiseAND(1) == 1).select(*seeds.columns)
+
+
 def _overlaps(documents: DataFrame, benchmark: DataFrame, window: int, share: int, broadcast_rows: int) -> DataFrame:
     """doc_id, key (a hash of the text), item_id, n_words, n_compared and best (n_equal, back: less the place) for each pair that overlaps."""
     text, key = F.col("`text`"), F.xxhash64(F.col("`text`"))
@@ -72,7 +87,8 @@ def _overlaps(documents: DataFrame, benchmark: DataFrame, window: int, share: in
     asked = _seeds(items.withColumn("n_words", F.size("w")), masks, F.coalesce(*[F.when(wide == n, listed(own)) for n, own in sets.items()])).distinct()  # all places of a seed
     asked = asked.select("seed", "item_id", "version", "n_words", whole.alias("whole"), F.col("place").alias("at"))
     few = asked.limit(broadcast_rows + 1).count() <= broadcast_rows
-    hits = _seeds(docs, masks, listed(masks)).join(F.broadcast(asked) if few else asked, "seed").withColumn("diagonal", F.col("place") - F.col("at"))
+    seeds = _seeds(docs, masks, listed(masks))
+    hits = (seeds.join(F.broadcast(asked), "seed") if few else _possible(seeds, asked).join(asked, "seed")).withColumn("diagonal", F.col("place") - F.col("at"))
     lists = max(1, sum(r["items"] for r in sizes) // ITEMS_A_LIST)
     found = hits.groupBy("doc_id", "key", "item_id", "version", F.when(~F.col("whole"), F.col("diagonal")).alias("_d")).agg(F.min("diagonal").alias("diagonal"), F.max("n_words").alias("n_words"))  # of a whole item's only the first
     found = found.groupBy("doc_id", "key", F.pmod(F.col("version"), F.lit(lists)).alias("_l")).agg(F.collect_list(F.struct("item_id", "version", "n_words", "diagonal")).alias("hits"))

@@ -672,6 +672,18 @@ def test_leaks_tolerate_substitutions(spark, documents, sf_dir):
     assert want <= {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents, items, broadcast_rows=10).collect()}
 
 
+def test_seeds_beyond_the_broadcast(spark, documents, sf_dir):
+    """A bitmap keeps all seeds that the benchmark has, and few others; the overlaps are the same."""
+    items = C.table(spark, sf_dir, "benchmark")
+    whole = sorted(map(tuple, decontaminate.leaks(documents, items).collect()))
+    assert whole and sorted(map(tuple, decontaminate.leaks(documents, items, broadcast_rows=0).collect())) == whole
+    asked = spark.range(0, 30_000, 10).select(F.xxhash64("id").alias("seed"))
+    seeds = spark.range(30_000).select(F.xxhash64("id").alias("seed"), "id")
+    kept = {r.id for r in decontaminate._possible(seeds, asked).collect()}
+    assert set(range(0, 30_000, 10)) <= kept and len(kept) < 3000 + 1500
+    assert decontaminate._possible(seeds, asked.limit(0)).collect() == []
+
+
 def test_rows_that_share_an_id_with_a_leak_stay(spark):
     items = spark.createDataFrame([(1, "seven words of a benchmark item here"), (1, "another version of one"), (2, " !"), (3, None)], "item_id long, text string")
     rows = [(None, "x seven words of a benchmark item here y"), (None, "clean"), (3, "see ANOTHER version, of one"), (3, "clean too"), (4, None), (4, "")]
