@@ -24,7 +24,7 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-_SCRATCH: list[tuple] = []
+_SCRATCH: dict[str, tuple] = {}
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -37,17 +37,24 @@ def scratch(spark: SparkSession, what: str) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="scoreforge-"))
         shared = sc._jsc.sc().getCheckpointDir().get()
     path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared}/{what}-{uuid.uuid4().hex}")
-    store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    store = path.getFileSystem(sc._jsc.hadoopConfiguration())  # without a scheme: the cluster's default file system
+    path = store.makeQualified(path)
     if not _SCRATCH:
         atexit.register(_clear)
-    _SCRATCH.append((store, path))
-    return store.makeQualified(path).toString()
+    _SCRATCH[path.toString()] = store, path
+    return path.toString()
+
+
+def discard(path: str) -> None:
+    """Deletes a folder of ``scratch`` that nothing reads any more."""
+    store, found = _SCRATCH.pop(path)
+    store.delete(found, True)
 
 
 def _clear() -> None:
-    for store, path in _SCRATCH:
+    for path in list(_SCRATCH):
         try:
-            store.delete(path, True)
+            discard(path)
         except Exception:  # noqa: BLE001  the JVM may have ended before
             return
 
