@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import hashlib
 import os
-import tempfile
-import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -15,9 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreforge.session import ship
+from scoreforge.session import discard, ship
+from scoreforge.session import scratch as new_folder
 
-__all__ = ["ship"]
+__all__ = ["new_folder", "ship"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,48 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (tests on one machine) a temporary folder is made and set.
-    """
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    path = found.get() if found.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="scoreforge-"))
-        path = sc._jsc.sc().getCheckpointDir().get()
-    path = sc._jvm.org.apache.hadoop.fs.Path(path)  # without a scheme: of the cluster's default file system
-    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
-
-
-_FOLDERS: dict[str, tuple] = {}
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder; what is there when this program ends is deleted."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not _FOLDERS:
-        atexit.register(_clear)
-    _FOLDERS[path] = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
-    return path
-
-
-def delete(path: str) -> None:
-    """Removes a folder of ``new_folder`` that nothing reads any more."""
-    store, found = _FOLDERS.pop(path)
-    store.delete(found, True)
-
-
-def _clear() -> None:
-    for path in list(_FOLDERS):
-        try:
-            delete(path)
-        except Exception:  # noqa: BLE001  the JVM may have ended before
-            return
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written below the shared folder and read again as Parquet: lineage is cut, a lost executor costs no recompute."""
     path = new_folder(df.sparkSession, "step")
@@ -78,7 +34,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Deletes what ``checkpointed`` wrote for ``df``: only once nothing that may still run reads it."""
-    delete(df._step)
+    discard(df._step)
 
 
 def text_key(text: Column) -> Column:
