@@ -161,14 +161,18 @@ def drop_last(batches: DataFrame, least: int = 2) -> DataFrame:
     return batches.join(F.broadcast(last.select("batch_id")), "batch_id", "left_anti")
 
 
+def draw(seed: int, *of: Column) -> Column:
+    """A random key of some values, the same for the same seed."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in of]).cast("binary"))
+
+
 def shuffled_order(samples: DataFrame, length: str, seed: int, epoch: int = 0, sample_id: str = "sample_id", chunks: int = 10, least: int = 100) -> DataFrame:
     """``samples`` with ``chunk`` and ``order_key``: by length (ties by id) cut into chunks of a tenth of all rows, at least ``least``;
     chunks in a random order, rows in a random order inside them. The order is one of hashes, the same for the same seed
     and epoch."""
     size = max(least, samples.count() // chunks)
-    draw = lambda *x: F.xxhash64(F.lit(seed + epoch), *x)
     out = numbered(samples, [length, sample_id]).withColumn("chunk", F.floor(F.col("no") / size).cast("int")).drop("no")
-    return out.withColumn("order_key", F.struct(draw("chunk").alias("a"), draw(F.col(sample_id)).alias("b")))
+    return out.withColumn("order_key", F.struct(draw(seed + epoch, F.col("chunk")).alias("a"), draw(seed + epoch, F.col(sample_id)).alias("b")))
 
 
 def pad_world(batches: DataFrame, world: int) -> DataFrame:

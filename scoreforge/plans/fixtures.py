@@ -80,5 +80,6 @@ def stub_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as audio: a tenth missing, a tenth broken, the others of 0 to 4 frames."""
     n = (F.col("event_id") % 5 * 320).cast("int")
     content = F.when(F.col("event_id") % 10 == 0, None).when(F.col("event_id") % 10 == 1, F.lit("odd")).otherwise(F.repeat(F.lit("\x01"), n))
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("dataset_name"), content.cast("binary").alias("content"), F.lit(None).cast(SYLLABLES).alias("syllables"), F.lit(120).alias("bpm"))
+    events = table(spark, sf_dir, "events").select("event_id", "event_type").repartition(spark.sparkContext.defaultParallelism, "event_id")  # one small file, but work for all
+    rows = events.select(F.col("event_type").alias("dataset_name"), content.cast("binary").alias("content"), F.lit(None).cast(SYLLABLES).alias("syllables"), F.lit(120).alias("bpm"))
     return features.extract(rows, features.energy_bins())

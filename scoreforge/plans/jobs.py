@@ -220,12 +220,9 @@ def plain_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shuffled batches: every sample is in one, and no batch of several is over its bounds."""
+    """The batches of an epoch, packed in its shuffled order, and the turn of each."""
     config = RunConfig(max_batch_tokens=BUDGET, max_batch_size=CAP)
-    rows = pipelines.training_batches(_lengths(spark, sf_dir), config, epoch=1)
-    sizes = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sample_id").alias("ids"), F.max("length").alias("most"))
-    over = (F.col("n") > CAP) | ((F.col("n") > 1) & (F.col("n") * F.col("most") > BUDGET))
-    return sizes.agg(F.sum("n").alias("n_samples"), F.sum("ids").alias("n_ids"), F.count_if(over).alias("n_over"))
+    return pipelines.training_batches(_lengths(spark, sf_dir), config, epoch=1)
 
 
 def batch_sizes():
@@ -322,7 +319,9 @@ UNION ALL SELECT unnest(['eval_file', 'output_dir', 'bpm_position', 'asr_cot', '
     "training_inputs": f"""WITH {TEXTS}, n AS (SELECT sid, 1 + greatest(1, ceil(sid % 90 / 8.0)) AS p, length('language Chinese<asr_text>' || gt_text) + 1 AS t FROM gt_texts)
 SELECT sid AS sample_id, CAST(max(p + t) OVER (PARTITION BY sid % 50) AS INTEGER) AS n_ids, CAST(p + t AS INTEGER) AS n_real, CAST(p AS INTEGER) AS prefix, CAST(t AS INTEGER) AS n_labels FROM n""",
     "plain_batches": f"WITH RECURSIVE {packed('pk', PAD_W, BUDGET, CAP, order='doc_id')} SELECT batch_id, pos, doc_id AS sample_id, n AS length FROM pk",
-    "epoch_batches": "SELECT count(*) AS n_samples, count(DISTINCT doc_id) AS n_ids, CAST(0 AS BIGINT) AS n_over FROM documents",
+    "epoch_batches": f"""WITH RECURSIVE c AS (SELECT doc_id, n_chars, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // greatest(100, count(*) OVER () // 10) AS chunk FROM documents),
+shuf AS (SELECT doc_id, n_chars, md5('43:' || chunk) AS a, md5('43:' || doc_id) AS b FROM c),{packed('pk', PAD_W, BUDGET, CAP, order='a, b', source='shuf')}
+SELECT batch_id, pos, doc_id AS sample_id, n AS length, md5('43:' || batch_id) AS turn FROM pk""",
     "transcription_job": f"WITH RECURSIVE {PACK} SELECT doc_id AS sample_id, CAST(count(*) OVER (PARTITION BY batch_id) AS VARCHAR) AS text FROM pk",
     "evaluation_job": f"WITH RECURSIVE {METRICS} SELECT sid AS sample_id, {_ERRORS} FROM metrics",
     "validation_texts": f"""WITH {TEXTS},{parsed('p', 'pred_texts', 'pred_text')} SELECT sid AS sample_id, left('language Chinese<asr_text>' || gt_text, 300) AS gt, left(pred_text, 300) AS pred,

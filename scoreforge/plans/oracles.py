@@ -117,10 +117,10 @@ syl AS (SELECT a.sid, l.w AS word_no, l.k, a.word[l.w + 1] AS char, CASE WHEN l.
   CASE WHEN l.k < len(a.note) THEN a.note[l.k + 1] ELSE '<NOTE_4>' END AS note FROM links l JOIN ann a USING (sid) WHERE l.w < len(a.word))"""
 
 
-def packed(name: str, weight: str, budget: int, cap: int, parts: int = 1, order: str = "n_chars, doc_id") -> str:
-    """CTE of the greedy packing of documents by ``order``, in parts of equal numbers of rows; ``weight`` is a batch's with the next row."""
+def packed(name: str, weight: str, budget: int, cap: int, parts: int = 1, order: str = "n_chars, doc_id", source: str = "documents") -> str:
+    """CTE of the greedy packing of documents (or another source of doc_id and n_chars) by ``order``, in parts of equal numbers of rows; ``weight`` is a batch's with the next row."""
     return f"""
-ord AS (SELECT doc_id, n_chars AS n, row_number() OVER (ORDER BY {order}) AS r, (row_number() OVER (ORDER BY {order}) - 1) * {parts} // count(*) OVER () AS part FROM documents),
+ord AS (SELECT doc_id, n_chars AS n, row_number() OVER (ORDER BY {order}) AS r, (row_number() OVER (ORDER BY {order}) - 1) * {parts} // count(*) OVER () AS part FROM {source}),
 {name} AS (SELECT r, doc_id, n, part, CAST(0 AS BIGINT) AS batch_id, CAST(0 AS INTEGER) AS pos, CAST(n AS HUGEINT) AS total, n AS most FROM ord WHERE r = 1
   UNION ALL
   SELECT o.r, o.doc_id, o.n, o.part, CASE WHEN c THEN b + 1 ELSE b END, CASE WHEN c THEN 0 ELSE p + 1 END, CASE WHEN c THEN o.n ELSE t + o.n END, CASE WHEN c THEN o.n ELSE greatest(m, o.n) END

@@ -66,7 +66,7 @@ def training_batches(samples: DataFrame, config: RunConfig, epoch: int = 0, drop
     else:
         made = batching.pack(samples, "mel_frames", order="sample_id", **size)
     made = batching.drop_last(made) if drop_last else made
-    return made.withColumn("turn", F.xxhash64(F.lit(config.seed + epoch), "batch_id") if shuffle else F.col("batch_id"))
+    return made.withColumn("turn", batching.draw(config.seed + epoch, F.col("batch_id")) if shuffle else F.col("batch_id"))
 
 
 def model_inputs(samples: DataFrame, batches: DataFrame, config: RunConfig, tokenizer: tokens.Factory, prefix: str, end: str, pad_id: int, audio_id: int | None = None) -> DataFrame:
