@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is evaluated once, however often (and inside whatever lambdas) it is referred to."""
     return F.transform(F.array(value), use)[0]
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as a column that is computed once a row, whatever filters or explodes by it afterwards. A filter on a column
+    made of expressions is moved below them, and they are made once for it and once more for the result; it stays above
+    a projection that also holds the row's place, which is not deterministic."""
+    return df.withColumns({name: value, "_place": F.monotonically_increasing_id()}).where("_place >= 0").drop("_place")

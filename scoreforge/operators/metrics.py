@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scoreforge.functions.expr import once
 from scoreforge.functions.vocab import SILENCES, note_beats, seconds_per_beat
 from scoreforge.schemas import ALIGNED
 
@@ -29,7 +30,7 @@ def _mean(values: Column) -> Column:
 
 def prepared(rows: DataFrame, gt: str = "gt_text", pred: str = "pred_text") -> DataFrame:
     """``rows`` with both texts parsed (``_g``, ``_p``) and as words (``_gw``, ``_pw``); rows whose reference can't be read go."""
-    out = rows.withColumn("_g", parse.parse(F.col(gt))).withColumn("_p", parse.parse(F.col(pred))).where("_g is not null")
+    out = once(rows, "_g", parse.parse(F.col(gt))).where("_g is not null").withColumn("_p", parse.parse(F.col(pred)))
     none = F.array().cast(out.schema["_g"].dataType["entries"].dataType)
     return out.withColumn("_gw", words.words(F.col("_g.entries"))).withColumn("_pw", words.words(F.coalesce(F.col("_p.entries"), none)))
 

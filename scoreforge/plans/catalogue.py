@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreforge.functions import tensors, vocab
+from scoreforge.functions.expr import once
 from scoreforge.operators import align, annotate, batching, encode, features, infer, metrics, numbering, parse, report, splits, words
 from scoreforge.schemas import SYLLABLES
 from scoreforge.sources.annotations import budget, with_files
@@ -111,7 +112,7 @@ def tokenize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entries(rows: DataFrame, text: str) -> DataFrame:
-    rows = rows.select("sid", parse.parse(F.col(text)).alias("s")).where("s is not null")
+    rows = once(rows, "s", parse.parse(F.col(text))).where("s is not null")
     return rows.select("sid", "s.bpm", F.posexplode("s.entries").alias("entry_idx", "e")).select("sid", "entry_idx", "e.*", "bpm")
 
 
@@ -131,7 +132,7 @@ def parse_bpm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = texts(spark, sf_dir).select("sid", parse.entries(F.col("gt_text")).alias("e")).where("size(e) > 0")
+    rows = once(texts(spark, sf_dir), "e", parse.entries(F.col("gt_text"))).where("size(e) > 0")
     return rows.select("sid", F.posexplode(words.words(F.col("e"))).alias("word_idx", "w"))
 
 
