@@ -16,5 +16,5 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with ``value`` as a column that is computed once a row, whatever filters or explodes by it afterwards. A filter on a column
     made of expressions is moved below them, and they are made once for it and once more for the result; it stays above
-    a projection that also holds the row's place, which is not deterministic."""
-    return df.withColumns({name: value, "_place": F.monotonically_increasing_id()}).where("_place >= 0").drop("_place")
+    a projection that also holds a random number (which streams may have, too)."""
+    return df.withColumns({name: value, "_any": F.rand(0)}).where("_any >= 0").drop("_any")

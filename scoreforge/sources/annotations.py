@@ -13,6 +13,7 @@ from scoreforge.functions.vocab import DEFAULT_BPM
 from scoreforge.operators.annotate import syllables
 from scoreforge.operators.numbering import numbered
 from scoreforge.schemas import ANNOTATION, SAMPLE
+from scoreforge.session import written
 
 from . import files
 
@@ -77,12 +78,13 @@ def folder(spark: SparkSession, name: str, root: str, max_samples: int = -1, ext
 
 def budget(parts: list[DataFrame], max_samples: int, order: list[str]) -> DataFrame:
     """The parts one after another, ``max_samples`` rows in all (no bound if not positive), earlier parts first, each part's rows in
-    ``order``. Parts are counted until the bound is reached: those before are whole, those behind are not read, and the rows
-    of the one that meets it are numbered over ranges of the order, so no task sees more than a range, whatever the bound."""
+    ``order``. Parts are written and counted until the bound is reached: those before are whole, those behind are not read, and the
+    rows of the one that meets it are numbered over ranges of the order, so no task sees more than a range, whatever the bound."""
     if max_samples <= 0:
         return reduce(DataFrame.unionByName, parts)
     whole, room = [], max_samples
     for part in parts:
+        part = written(part)  # read from its files once
         n = part.count()
         if n > room:
             whole.append(numbered(part, order, "_n").where(F.col("_n") < room).drop("_n"))
