@@ -1,6 +1,7 @@
 """The pipeline against plain versions of its stages, each judged on its own input."""
 
 import hashlib
+import random
 
 import pytest
 
@@ -9,6 +10,8 @@ import public_tokenizers
 from scoreforge.llm import common as C
 from scoreforge.llm import quality, secrets, setjoin
 
+from .test_operators import leaks_brute
+
 
 def test_stages(spark, sf_dir):
     import sentencepiece
@@ -28,9 +31,9 @@ def test_stages(spark, sf_dir):
     own = [(i, r.text) for i, r in data[1].items()]
     assert set(data[2]) == {doc for doc, n, component, _ in setjoin.brute(own, 5, 80) if not n or doc == component}
 
-    items = [r.text for r in C.table(spark, sf_dir, "benchmark").collect()]
-    leaked = {i for i, r in data[2].items() if any(t in r.text for t in items)}
-    assert set(data[3]) == set(data[2]) - leaked
+    items = {r.item_id: r.text for r in C.table(spark, sf_dir, "benchmark").collect()}
+    leaked = {doc for doc, _ in leaks_brute({i: r.text for i, r in data[2].items()}, items)}
+    assert set(data[3]) == set(data[2]) - leaked and leaked >= {i for i, r in data[2].items() if any(t in r.text for t in items.values())}
 
     assert set(data[4]) == set(data[3])
     for i, r in data[4].items():
@@ -43,6 +46,43 @@ def test_stages(spark, sf_dir):
         assert r.ids == ids and r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
 
 
+def test_planted_copies_and_passages(spark, sf_dir):
+    """Copies with some words changed go if their five-word shingles are 80 percent alike, and only then; passages with a fifth of their words
+    changed are found; clean documents stay."""
+    rng = random.Random(17)
+    words = [f"{a}{b}" for a in ("stone", "river", "cloud", "grass", "light") for b in ("y", "ing", "less", "s", "ward", "fall", "side")]
+    text = lambda n: [rng.choice(words) + str(rng.randrange(50)) for _ in range(n)]
+    rows, near = [], {}
+    for i in range(40):
+        own = text(200)
+        rows.append((10 * i, " ".join(own)))
+        for j in range(1, 5):
+            copy = list(own)
+            for at in rng.sample(range(200), 2 * j):
+                copy[at] = "other" + str(rng.randrange(1000))
+            sets = [{tuple(w[k : k + 5]) for k in range(196)} for w in (own, copy)]
+            rows.append((10 * i + j, " ".join(copy)))
+            near[10 * i + j] = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.duplicates_stage(spark, docs, sf_dir).collect()}
+    assert kept == {doc for doc, n, component, _ in setjoin.brute(rows, 5, 80) if doc == component}
+    assert {i for i, s in near.items() if s >= 0.8}.isdisjoint(kept) and all(10 * i in kept for i in range(40))
+    by_changes = [sum(10 * i + j not in kept for i in range(40)) for j in range(1, 5)]  # of 40, with 2, 4, 6 and 8 words changed
+    assert by_changes[0] == by_changes[1] == 40 and by_changes == sorted(by_changes, reverse=True)
+
+    items = {r.item_id: r.text for r in C.table(spark, sf_dir, "benchmark").collect()}
+    passages = {}
+    for k, item in enumerate(sorted(items)):
+        w = items[item].split()
+        if len(w) >= 13:
+            for at in range(rng.randrange(7), len(w), 7):  # at most two of thirteen neighbours
+                w[at] = "changed"
+            passages[5000 + k] = " ".join([*text(30), *w, *text(30)])
+    clean = {9000 + i: " ".join(text(120)) for i in range(30)}
+    docs = spark.createDataFrame([*passages.items(), *clean.items()], "doc_id long, text string")
+    assert len(passages) > 5 and {r.doc_id for r in corpus_pipeline.decontamination_stage(spark, docs, sf_dir).collect()} == set(clean)
+
+
 def test_run(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.count() and {"doc_id", "n_tokens", "ids"} <= set(got.columns)
