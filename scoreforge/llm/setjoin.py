@@ -134,7 +134,7 @@ def _prefixes(k: int, t: int, secret: bytes, level, from_level: int, clash: np.n
         for batch in batches:
             col = C.texts_of(batch)
             for a, b in C.chunks(col):
-                h, n, least = shingle_sets(col.slice(a, b - a), k, secret)
+                h, n, least = shingle_sets(col.slice(a, b - a), k, secret, len(clash) > 0)
                 rid = _classes_of(h, n, least, clash)
                 one = np.unique(rid, return_index=True)[1]
                 one = one[n[one] > 0]
@@ -326,7 +326,7 @@ def _groups(k: int, t: int, secret: bytes, clash: np.ndarray):
         for batch in batches:
             col = C.texts_of(batch)
             for a, b in C.chunks(col):
-                h, n, least = shingle_sets(col.slice(a, b - a), k, secret)
+                h, n, least = shingle_sets(col.slice(a, b - a), k, secret, len(clash) > 0)
                 sign = _classes_of(h, n, least, clash).tolist()
                 at = np.concatenate([[0], np.cumsum(n)]).tolist()
                 pivot, lo, hi, rid, copies, side, pivots = (batch.column(i).slice(a, b - a).to_pylist() for i in range(7))

@@ -194,6 +194,8 @@ def test_hashes_change_with_the_secret():
     col = pa.array(["one two three four", "one two three five", "x", ""], pa.large_string())
     a, b = (shingles.shingle_sets(col, 3, s) for s in (b"one", b"two"))
     assert a[1].tolist() == b[1].tolist() == [2, 2, 1, 0] and not set(a[0]) & set(b[0]) and a[2][3] == 0
+    plain = shingles.shingle_sets(col, 3, b"one", False)
+    assert (plain[0] == a[0]).all() and not plain[2].any() and len(set(a[2])) == 4
     assert len(set(a[0])) == 4 and a[0].tolist() == shingles.shingle_sets(col, 3, b"one")[0].tolist()
     flat = np.frombuffer(b"abcdefgh" * 100, np.uint8)
     starts = np.arange(0, 400, 7)
