@@ -111,7 +111,7 @@ def aligned(rows: DataFrame, length_matched: bool = False, parts: tuple[str, ...
         if notes:
             out = out.withColumn(f"_{side}m", F.transform(f"_{side}w", lambda w: words.merged(w["pairs"])))
             out = out.withColumn(f"_{side}k", F.transform(f"_{side}m", lambda m: F.transform(m, lambda x: F.concat_ws(" ", x["pitch"], x["note"]))))
-        out = out.withColumn(f"_{side}c", F.transform(f"_{side}w", lambda w: w["char"]))
+        out = out.withColumn(f"_{side}c", words.chars(F.col(f"_{side}.entries")))
         out = out.withColumn(f"_{side}", F.when(F.col(f"_{side}").isNotNull(), F.struct(f"_{side}.bpm"))).drop(f"_{side}w")
     names, sent = out.columns, ("_gc", "_pc", "_gk", "_pk")
     places = [names.index(n) if n in names else None for n in sent]
@@ -139,12 +139,12 @@ def aligned(rows: DataFrame, length_matched: bool = False, parts: tuple[str, ...
     return out.withColumn("_pairs", F.flatten(F.transform("_facing", one)))
 
 
-def per_sample(rows: DataFrame, gt: str = "gt_text", pred: str = "pred_text", inference_only: bool = False, length_matched: bool = False) -> DataFrame:
-    """``rows`` with the errors of each sample; what is undefined is null. Rows whose reference can't be read go; those whose
+def per_sample(rows: DataFrame, gt: str = "gt_text", pred: str = "pred_text", inference_only: bool = False, length_matched: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """``rows`` (their columns ``keep``, all by default) with the errors of each sample; what is undefined is null. Rows whose reference can't be read go; those whose
     prediction can't be read have an error rate of 1 and nothing else. With ``length_matched`` rows whose lyrics differ in
     length go, and words face each other by place."""
-    keep = rows.columns
-    out = aligned(prepared(rows, gt, pred), length_matched, ("lyrics", "notes"))
+    keep = rows.columns if keep is None else keep
+    out = aligned(prepared(rows, gt, pred).drop(*{*rows.columns} - {*keep}), length_matched, ("lyrics", "notes"))
     read = F.col("_p").isNotNull()
     cer = F.when(~read, F.lit(1.0)).when(F.col("_n_gl") == 0, F.when(F.col("_n_pl") == 0, 0.0).otherwise(1.0)).otherwise(F.col("_errors") / F.col("_n_gl"))
     gap = lambda x: F.abs(F.log2(note_beats(x["gn"])) - F.log2(note_beats(x["pn"])))

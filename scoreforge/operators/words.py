@@ -34,6 +34,11 @@ def words(entries: Column) -> Column:
     return let(entries, of)
 
 
+def chars(entries: Column) -> Column:
+    """array<string>: what ``words`` gives as its words' characters, without their notes."""
+    return F.transform(F.filter(entries, lambda e, i: (i == 0) | (e["word"] != CONTINUED)), lambda e: e["word"])
+
+
 def merged(pairs: Column) -> Column:
     """Neighbouring pairs of one pitch as one, of the note nearest to their beats; single pairs keep their note."""
 

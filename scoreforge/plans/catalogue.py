@@ -148,21 +148,21 @@ def tie_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cer_per_song(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chars = lambda ws: F.transform(words.sung(F.col(ws)), lambda w: w["char"])
-    rows = metrics.prepared(texts(spark, sf_dir)).select("sid", chars("_gw").alias("a"), chars("_pw").alias("b")).withColumn("errors", align.edit_distance(F.col("a"), F.col("b")))
+    sung = lambda c: F.coalesce(F.filter(words.chars(F.col(f"{c}.entries")), lambda w: ~w.isin(*vocab.SILENCES)), F.array().cast("array<string>"))
+    rows = metrics.prepared(texts(spark, sf_dir)).select("sid", sung("_g").alias("a"), sung("_p").alias("b")).withColumn("errors", align.edit_distance(F.col("a"), F.col("b")))
     cer = F.when(F.size("a") == 0, F.when(F.size("b") == 0, 0.0).otherwise(1.0)).otherwise(F.col("errors") / F.size("a"))
     return rows.select("sid", "errors", F.size("a").alias("n_words"), F.round(cer, 6).alias("cer"))
 
 
 @query
 def align_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = metrics.aligned(metrics.prepared(texts(spark, sf_dir)), parts=("words",)).select("sid", F.posexplode("_words").alias("step", "x"))
+    rows = metrics.aligned(metrics.prepared(texts(spark, sf_dir)).drop("gt_text", "pred_text"), parts=("words",)).select("sid", F.posexplode("_words").alias("step", "x"))
     return rows.select("sid", "step", "x.g", "x.p")
 
 
 @query
 def align_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = metrics.aligned(metrics.prepared(texts(spark, sf_dir)), parts=("notes",))
+    rows = metrics.aligned(metrics.prepared(texts(spark, sf_dir)).drop("gt_text", "pred_text"), parts=("notes",))
     rows = rows.select("sid", F.explode(F.arrays_zip("_facing", "_notes")).alias("z"))
     return rows.select("sid", F.col("z._facing.g").alias("g_word"), F.col("z._facing.p").alias("p_word"), F.posexplode("z._notes").alias("step", "x")).select("sid", "g_word", "p_word", "step", "x.g", "x.p")
 
@@ -184,7 +184,7 @@ def align_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str, **flags) -> DataFrame:
-    rows = metrics.per_sample(texts(spark, sf_dir), **flags).drop("gt_text", "pred_text")
+    rows = metrics.per_sample(texts(spark, sf_dir), keep=["sid"], **flags)
     return rows.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
