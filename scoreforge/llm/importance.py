@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreforge.operators.numbering import numbered
+from scoreforge.session import size_of
 
 from . import common as C
 from .shingles import LOWER
@@ -30,6 +31,9 @@ from .shingles import LOWER
 BUCKETS, SEED, LEAST_WORDS, PERCENT = 10_000, 42, 20, 5
 #: Bytes of text that are taken apart together, unless one text is longer.
 CHUNK = 6_000_000
+#: Parts that n-grams are dealt to: as many as the session shuffles to, more where one were of over ``PART_BYTES`` of input, up to
+#: ``MOST_PARTS``; of a part larger still, ``HELD`` bytes are counted at a time.
+PART_BYTES, MOST_PARTS, HELD = 64 << 20, 4096, 256 << 20
 BLANK = 32
 HEAD = struct.Struct("<3Q")
 
@@ -237,14 +241,14 @@ def _settle(blobs: list[tuple[bytes, int]], sums: np.ndarray) -> None:
 
 
 def _count(batches):
-    """Rows in order of part: a part's n-grams are in memory together."""
-    sums, part, held = np.zeros(BUCKETS, np.int64), None, []
+    """Rows in order of part: a part's n-grams are in memory together, or ``HELD`` bytes of them (then one may be hashed again)."""
+    sums, part, held, room = np.zeros(BUCKETS, np.int64), None, [], HELD
     for batch in batches:
         for no, packed, size in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if no != part and held:
+            if held and (no != part or size > room):
                 _settle(held, sums)
-                held = []
-            part = no
+                held, room = [], HELD
+            part, room = no, room - size
             held.append((packed, size))
     if held:
         _settle(held, sums)
@@ -255,6 +259,7 @@ def _count(batches):
 def bucket_counts(texts: DataFrame) -> np.ndarray:
     """How many features of ``texts`` (text) fall into each bucket."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, min(MOST_PARTS, size_of(texts) // PART_BYTES))
     dealt = texts.select(F.col("`text`").alias("text")).mapInArrow(_deal(parts), "part int, packed binary, size long")
     found = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_count, "bucket int, n long")
     out = np.zeros(BUCKETS, np.int64)

@@ -36,6 +36,19 @@ def test_importance_as_brute_force(spark, monkeypatch, chunk):
     assert sorted(map(tuple, got.collect()), key=key) == sorted(importance.brute(rows, target, percent=30), key=key)
 
 
+def test_importance_counts_do_not_depend_on_what_is_held(monkeypatch):
+    texts = pa.array(some_texts(random.Random(8), 200), pa.large_string())
+    rows = [(p, d, n) for i in range(0, 200, 20) for p, d, n in importance.Grams(texts.slice(i, 20)).parted(5)]
+    rows.sort(key=lambda r: r[0])
+    found = []
+    for held in (1, 5000, 1 << 28):
+        monkeypatch.setattr(importance, "HELD", held)
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.int64()))], ["part", "packed", "size"])
+        (out,) = importance._count(iter([batch.slice(0, 17), batch.slice(17)]))
+        found.append(dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist())))
+    assert found[0] == found[1] == found[2] and sum(found[0].values()) == sum(importance.Grams(texts).gains(np.zeros(importance.BUCKETS, np.int64))[0])
+
+
 def test_importance_hashes_like_the_library():
     rng = random.Random(5)
     words = sorted({"".join(rng.choice("abé漢9") for _ in range(rng.choice([1, 3, 8, 39, 40, 41, 90]))).encode() for _ in range(200)})
