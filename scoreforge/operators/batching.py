@@ -134,7 +134,8 @@ def pack(samples: DataFrame, length: str, sample_id: str = "sample_id", budget:
     keys = [F.col(length).cast("long")] if order is None else [F.col(order) if isinstance(order, str) else order]
     rows = samples.select(F.col(sample_id).cast("long").alias("sample_id"), F.col(length).cast("long").alias("length"), *[k.alias(f"_o{i}") for i, k in enumerate(keys)])
     places = [*[f"_o{i}" for i in range(len(keys))], "sample_id"]
-    if block_rows is None and (partitions or 1) == 1 and size_of(samples) <= SMALL:
+    known = size_of(samples)
+    if block_rows is None and (partitions or 1) == 1 and known is not None and known <= SMALL:
         packed = rows.repartition(1).sortWithinPartitions(*places).select("sample_id", "length", F.lit(0).cast("long").alias("part")).mapInArrow(_packer(budget, cap, padded), PACKED)
         return packed.select(F.col("batch_no").alias("batch_id"), "pos", "sample_id", "length")
     spark, size = samples.sparkSession, max(block_rows or BLOCK_ROWS, cap)

@@ -59,9 +59,10 @@ def _clear() -> None:
             return
 
 
-def size_of(df: DataFrame) -> int:
-    """Bytes of what ``df`` reads, as Spark's optimizer estimates them; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def size_of(df: DataFrame) -> int | None:
+    """Bytes of what ``df`` reads, as Spark's optimizer estimates them (no job runs); None where it can't tell, which it says by exabytes."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 53 else None
 
 
 def written(df: DataFrame) -> DataFrame:
