@@ -259,7 +259,7 @@ def _count(batches):
 def bucket_counts(texts: DataFrame) -> np.ndarray:
     """How many features of ``texts`` (text) fall into each bucket."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(parts, min(MOST_PARTS, size_of(texts) // PART_BYTES))
+    parts = max(parts, min(MOST_PARTS, (size_of(texts) or 0) // PART_BYTES))
     dealt = texts.select(F.col("`text`").alias("text")).mapInArrow(_deal(parts), "part int, packed binary, size long")
     found = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_count, "bucket int, n long")
     out = np.zeros(BUCKETS, np.int64)

@@ -372,7 +372,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _linked(documents: DataFrame, k: int, t: int, block: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """The rows as (doc_id, key, rid, n), and the classes as (rid, least_id, key, copies, root, weight): key is the hash of
     a text, in the classes of one of least id; weight is the number of rows linked with each of the class, but for its own."""
-    spark, secret, bits = documents.sparkSession, os.urandom(32), cell_bits(size_of(documents))
+    spark, secret, bits = documents.sparkSession, os.urandom(32), cell_bits(size_of(documents) or 0)
     own = documents.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.xxhash64(F.col("`text`")).alias("key"), F.col("`text`").alias("text"))
     first = C.checkpointed(own.mapInArrow(_first_pass(k, secret, bits), "doc_id long, key long, one long, two long, n long, part int, cells binary"))
     stage = first.where("part = -1")
