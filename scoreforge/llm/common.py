@@ -134,10 +134,11 @@ def _keys(secret: bytes, what: str, n: int) -> np.ndarray:
     return np.frombuffer(data, "<u4").reshape(n, 4, 2)
 
 
-def _passes(words: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
-    """Of each word of 64 bits, for each pass, the product of its halves, each with a secret number added modulo 2**32."""
+def _passes(words: np.ndarray, keys: np.ndarray):
+    """Of each word of 64 bits, pass by pass, the product of its halves, each with a secret number added modulo 2**32."""
     low, high = (words & _LOW).astype(np.uint32), (words >> np.uint64(32)).astype(np.uint32)
-    return [np.multiply(low + x, high + y, dtype=np.uint64) for x, y in keys]
+    for x, y in keys:
+        yield np.multiply(low + x, high + y, dtype=np.uint64)
 
 
 def _folded(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -156,7 +157,7 @@ def segment_digests(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, secr
     word = np.lib.stride_tricks.as_strided(raw[:8].view("<u8"), (len(raw) - 7,), (1,))  # at every byte
     at, left = starts.astype(np.int64) * size, (ends - starts).astype(np.int64) * size
     keys = _keys(secret, "segment", _WIDE + 1)[:, : 2 * halves]
-    sums = _passes(left.astype(np.uint64), keys[_WIDE])
+    sums = list(_passes(left.astype(np.uint64), keys[_WIDE]))
     live, i = None, 0  # all, the first time
     while live is None or len(live):
         own, at_, left_ = (slice(None), at, left) if live is None else (live, at_, left_)

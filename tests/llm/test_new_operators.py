@@ -238,7 +238,7 @@ def test_noise_is_that_of_the_id(spark):
         assert z == math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
 
 
-@pytest.mark.parametrize("bits, list_rows, hot", [(4, 1_000_000, 3), (20, 2, 100_000), (6, 1, 100_000), (20, 1_000_000, 2)])
+@pytest.mark.parametrize("bits, list_rows, hot", [(6, 1_000_000, 3), (20, 2, 100_000), (7, 1, 100_000), (20, 1_000_000, 2)])
 def test_set_join_with_a_full_sketch_and_long_lists(spark, monkeypatch, bits, list_rows, hot):
     """Links do not depend on how well the sketch tells shingles apart, nor on which lists are held."""
     monkeypatch.setattr(setjoin, "CELL_BITS", bits)
