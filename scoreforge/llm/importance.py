@@ -30,7 +30,7 @@ from .shingles import LOWER
 
 BUCKETS, SEED, LEAST_WORDS, PERCENT = 10_000, 42, 20, 5
 #: Bytes of text that are taken apart together, unless one text is longer.
-CHUNK = 6_000_000
+CHUNK = 2_000_000
 #: Parts that n-grams are dealt to: as many as the session shuffles to, more where one were of over ``PART_BYTES`` of input, up to
 #: ``MOST_PARTS``; of a part larger still, ``HELD`` bytes are counted at a time.
 PART_BYTES, MOST_PARTS, HELD = 64 << 20, 4096, 256 << 20
@@ -122,17 +122,15 @@ class Grams:
     def __init__(self, col: pa.Array):
         raw, offs = C.utf8_flat(col)
         n = len(offs) - 1
-        lens = np.diff(offs)
-        wide = np.full(len(raw) + n, BLANK, np.uint8)  # a blank behind each text
-        wide[np.arange(len(raw)) + np.repeat(np.arange(n), lens)] = LOWER[raw]
+        wide = np.insert(LOWER[raw], offs[1:], BLANK)  # a blank behind each text
         inside = _IN_WORD[wide]
         keep = inside.copy()
         keep[1:] |= inside[:-1]
         words = _listed(np.where(inside, wide, BLANK).astype(np.uint8)[keep])
         start = inside.copy()
         start[1:] &= ~inside[:-1]
-        before = np.concatenate([[0], np.cumsum(start)])
-        self.words = before[offs[1:] + np.arange(1, n + 1)] - before[offs[:-1] + np.arange(n)]  # of each text
+        before = np.concatenate([np.zeros(1, np.int32), np.cumsum(start, dtype=np.int32)])
+        self.words = (before[offs[1:] + np.arange(1, n + 1)] - before[offs[:-1] + np.arange(n)]).astype(np.int64)  # of each text
         coded = words.dictionary_encode()
         self.known = coded.dictionary
         a = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
