@@ -33,7 +33,7 @@ BUCKETS, SEED, LEAST_WORDS, PERCENT = 10_000, 42, 20, 5
 CHUNK = 2_000_000
 #: Parts that n-grams are dealt to: as many as the session shuffles to, more where one were of over ``PART_BYTES`` of input, up to
 #: ``MOST_PARTS``; of a part larger still, ``HELD`` bytes are counted at a time.
-PART_BYTES, MOST_PARTS, HELD = 64 << 20, 4096, 256 << 20
+PART_BYTES, MOST_PARTS, HELD = 4 << 20, 4096, 64 << 20
 BLANK = 32
 HEAD = struct.Struct("<3Q")
 
@@ -217,11 +217,13 @@ def _settle(blobs: list[tuple[bytes, int]], sums: np.ndarray) -> None:
     """Adds the counts of a part's n-grams to their buckets; each distinct one is hashed once."""
     counts, flats = zip(*(_unpacked(*b) for b in blobs))
     coded = _listed(np.concatenate(flats)).dictionary_encode()
-    known, codes = Vocabulary(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    known, codes = Vocabulary(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
+    del flats
     sizes = np.array([[len(x) for x in c] for c in counts])  # words, pairs, pairs, triples of each blob
     cut = np.cumsum(np.stack([sizes[:, 0], 2 * sizes[:, 1], sizes[:, 3]], axis=1).ravel())
     pieces = np.split(codes, cut[:-1])
     own, pair, c = (np.concatenate(pieces[i::3]) for i in range(3))
+    del codes, coded, pieces
     n1, n2, tails, n3 = (np.concatenate([x[i] for x in counts]) for i in range(4))
     a, b = pair[::2], pair[1::2]
     some = max(len(known.crc), 1)
@@ -231,7 +233,7 @@ def _settle(blobs: list[tuple[bytes, int]], sums: np.ndarray) -> None:
 
     words, which = np.unique(own, return_inverse=True)
     add(known.crc[words], np.bincount(which, weights=n1, minlength=len(words)).astype(np.int64))
-    pairs, which = np.unique(a * some + b, return_inverse=True)
+    pairs, which = np.unique(a.astype(np.int64) * some + b, return_inverse=True)
     add(known.pairs(pairs // some, pairs % some), np.bincount(which, weights=n2, minlength=len(pairs)).astype(np.int64))
     triples, which = np.unique(np.repeat(which, tails) * some + c, return_inverse=True)
     a, b = pairs[triples // some] // some, pairs[triples // some] % some
