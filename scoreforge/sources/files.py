@@ -38,6 +38,11 @@ def bare(path: Column) -> Column:
     return F.regexp_replace(path, "^[a-z0-9]+:/*", "/")
 
 
+def bare_path(path: str) -> str:
+    """The same of one path."""
+    return re.sub("^[a-z0-9]+:/*", "/", path)
+
+
 def indexed(spark: SparkSession, root: str) -> DataFrame:
     """Paths of all files below ``root`` that are not empty, as Spark's own index has them; no content is read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("found"), F.col("length").alias("size"))

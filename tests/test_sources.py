@@ -137,3 +137,15 @@ def test_opened_files(spark, tmp_path):
     (tmp_path / "b").write_bytes(b"\xff\xfe\xff")
     df = spark.createDataFrame([(str(tmp_path / x), x) for x in "abc"], "found string, k string")
     assert {r.k: r.content for r in files.opened(df).collect()} == {"a": "é", "b": None, "c": None}
+
+
+def test_tables_in_folders_are_named_once(spark, tmp_path):
+    from scoreforge.plans.catalogue import existing_files
+
+    for name in ("a.parquet/part-0.parquet", "a.parquet/part-1.parquet", "a.parquet/.part-0.parquet.crc", "b.parquet", "c.txt/part.parquet"):
+        p = tmp_path / "sf" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(b"x")
+    (tmp_path / "sf/d.parquet").mkdir()
+    for root in (f"{tmp_path}/sf", f"file:{tmp_path}/sf/"):
+        assert sorted(r.name for r in existing_files(spark, root).collect()) == ["a.parquet", "b.parquet"]
