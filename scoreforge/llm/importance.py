@@ -34,6 +34,8 @@ CHUNK = 2_000_000
 #: Parts that n-grams are dealt to: as many as the session shuffles to, more where one were of over ``PART_BYTES`` of input, up to
 #: ``MOST_PARTS``; of a part larger still, ``HELD`` bytes are counted at a time.
 PART_BYTES, MOST_PARTS, HELD = 4 << 20, 4096, 64 << 20
+#: Buckets whose sums travel in one row; divides ``BUCKETS``.
+SLICE = 500
 BLANK = 32
 HEAD = struct.Struct("<3Q")
 
@@ -256,15 +258,33 @@ def _count(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["bucket", "n"])
 
 
+def _count_sliced(batches):
+    """What ``_count`` gives, ``SLICE`` buckets a row: as many rows a task whatever was counted."""
+    for found in _count(batches):
+        sums = np.zeros(BUCKETS, "<i8")
+        sums[found.column(0)] = found.column(1)
+        at = np.arange(0, BUCKETS, SLICE, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([sums[x : x + SLICE].tobytes() for x in at], pa.binary())], ["bucket", "n"])
+
+
+def _add(batches):
+    """The sum of the rows of each slice."""
+    found = {}
+    for batch in batches:
+        for at, n in zip(*(batch.column(i).to_pylist() for i in range(2))):
+            found[at] = found.get(at, 0) + np.frombuffer(n, "<i8")
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["bucket", "n"])
+
+
 def bucket_counts(texts: DataFrame) -> np.ndarray:
     """How many features of ``texts`` (text) fall into each bucket."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(parts, min(MOST_PARTS, (size_of(texts) or 0) // PART_BYTES))
     dealt = texts.select(F.col("`text`").alias("text")).mapInArrow(_deal(parts), "part int, packed binary, size long")
-    found = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_count, "bucket int, n long")
+    found = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_count_sliced, "bucket int, n binary")
     out = np.zeros(BUCKETS, np.int64)
-    for r in found.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows
-        out[r["bucket"]] = r["n"]
+    for r in found.repartition(BUCKETS // SLICE, "bucket").mapInArrow(_add, "bucket int, n binary").collect():  # BUCKETS numbers
+        out[r["bucket"] : r["bucket"] + SLICE] += np.frombuffer(r["n"], "<i8")
     return out
 
 

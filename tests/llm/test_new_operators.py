@@ -36,6 +36,25 @@ def test_importance_as_brute_force(spark, monkeypatch, chunk):
     assert sorted(map(tuple, got.collect()), key=key) == sorted(importance.brute(rows, target, percent=30), key=key)
 
 
+def test_importance_counts_travel_in_as_many_rows_whatever_was_counted():
+    def packed(texts):
+        part, data, size = zip(*importance.Grams(pa.array(texts, pa.large_string())).parted(1))
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(data), pa.array(size)], ["part", "packed", "size"])
+
+    few, many = packed(["a b"]), packed([f"w{i} v{i * 7} u{i * 5}" for i in range(5000)])
+    made = [list(importance._count_sliced(iter([b]))) for b in (few, many)]
+    assert [sum(b.num_rows for b in m) for m in made] == [importance.BUCKETS // importance.SLICE] * 2
+    (summed,) = importance._add(iter([b for m in made for b in m]))
+    got = np.zeros(importance.BUCKETS, np.int64)
+    for at, n in zip(summed.column(0).to_pylist(), summed.column(1).to_pylist()):
+        got[at : at + importance.SLICE] += np.frombuffer(n, "<i8")
+    want = np.zeros(importance.BUCKETS, np.int64)
+    for b in (few, many):
+        for out in importance._count(iter([b])):
+            np.add.at(want, out.column(0).to_numpy(), out.column(1).to_numpy())
+    assert (got == want).all() and got.sum() == 3 + 6 * 5000
+
+
 def test_importance_counts_do_not_depend_on_what_is_held(monkeypatch):
     texts = pa.array(some_texts(random.Random(8), 200), pa.large_string())
     rows = [(p, d, n) for i in range(0, 200, 20) for p, d, n in importance.Grams(texts.slice(i, 20)).parted(5)]
