@@ -18,6 +18,8 @@ from scoreforge.session import written
 from . import files
 
 AUDIO = (".flac", ".wav", ".mp3")
+#: Rows that a task may keep as its first ones in some order.
+HEAD = 10_000
 
 
 def whole_number(text: Column) -> Column:
@@ -78,16 +80,22 @@ def folder(spark: SparkSession, name: str, root: str, max_samples: int = -1, ext
 
 def budget(parts: list[DataFrame], max_samples: int, order: list[str]) -> DataFrame:
     """The parts one after another, ``max_samples`` rows in all (no bound if not positive), earlier parts first, each part's rows in
-    ``order``. Parts are written and counted until the bound is reached: those before are whole, those behind are not read, and the
-    rows of the one that meets it are numbered over ranges of the order, so no task sees more than a range, whatever the bound."""
+    ``order`` (rows of equal order in any). Parts behind the bound are not read.
+
+    Of a part that may bring up to ``HEAD`` rows only its first ones are kept, by each task and then of all tasks; it is written and
+    counted without the rest. For a larger bound it is written whole, and if it meets the bound its rows are numbered over ranges of
+    the order, in which a checksum of the row parts those of equal order, so no task sees more than a range.
+    """
     if max_samples <= 0:
         return reduce(DataFrame.unionByName, parts)
     whole, room = [], max_samples
     for part in parts:
-        part = written(part)  # read from its files once
+        few = room <= HEAD
+        part = written(part.orderBy(*order).limit(room) if few else part)  # read from its files once
         n = part.count()
         if n > room:
-            whole.append(numbered(part, order, "_n").where(F.col("_n") < room).drop("_n"))
+            ties = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in part.columns])))
+            whole.append(numbered(part, [*order, ties], "_n").where(F.col("_n") < room).drop("_n"))
             break
         whole.append(part)
         room -= n

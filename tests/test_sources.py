@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scoreforge.operators import features, infer
+from scoreforge.operators import features, infer, numbering
 from scoreforge.sources import annotations as A
 from scoreforge.sources import files, sinks
 from scoreforge.streaming import score
@@ -149,3 +149,24 @@ def test_tables_in_folders_are_named_once(spark, tmp_path):
     (tmp_path / "sf/d.parquet").mkdir()
     for root in (f"{tmp_path}/sf", f"file:{tmp_path}/sf/"):
         assert sorted(r.name for r in existing_files(spark, root).collect()) == ["a.parquet", "b.parquet"]
+
+
+@pytest.mark.parametrize("head", [10_000, 10])
+def test_budget_of_rows_of_equal_order(spark, monkeypatch, head):
+    """Neither a small bound nor a large one makes one task see all rows of one order."""
+    seen, kept = [], A.written
+    monkeypatch.setattr(A, "HEAD", head)
+    monkeypatch.setattr(A, "written", lambda rows: seen.append(kept(rows)) or seen[-1])
+    deal = numbering.written
+    monkeypatch.setattr(numbering, "written", lambda rows: seen.append(deal(rows)) or seen[-1])
+    part = spark.range(4000).select(F.lit("same").alias("audio_path"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = A.budget([part.where("id < 30"), part.where("id >= 30"), part], 700, ["audio_path"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len({r.id for r in got}) == 700 and {r.id for r in got} >= set(range(30))
+    if head > 700:
+        assert [x.count() for x in seen] == [30, 670]  # no rows are written but those that may be drawn
+    else:
+        assert seen[-1].groupBy(F.shiftright("_at", numbering.PLACE_BITS)).count().agg(F.max("count")).first()[0] < 2500
