@@ -36,16 +36,35 @@ def _per_wave(column: str, function, names: dict[str, pa.DataType]):
     return run
 
 
+def _files(rate: int):
+    """A task's function that puts FLAC files of the waves beside sid, those of a batch together."""
+
+    def run(batches):
+        for batch in batches:
+            wave, offs = align.flat(batch.column(batch.schema.get_field_index("wave")))
+            made = sound.encode_flac_many(wave.to_numpy(zero_copy_only=False), offs, rate)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["sid", "content"])
+
+    return run
+
+
 @query
 def flac_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Waves as FLAC files and back: number of samples, their sum, and their sum weighted by place."""
-    files = _waves(spark, sf_dir).mapInArrow(_per_wave("wave", lambda x: (sound.encode_flac(np.array(x), 16000),), {"content": pa.binary()}), "sid long, content binary")
+    files = _waves(spark, sf_dir).mapInArrow(_files(16000), "sid long, content binary")
 
-    def told(content: bytes):
-        x = sound.decode_flac(content)[0][:, 0]
-        return len(x), int(x.sum()), int((x * np.arange(1, len(x) + 1)).sum())
+    def told(batches):
+        for batch in batches:
+            rows = []
+            for made in sound.decode_flac_many(batch.column(1).to_pylist()):
+                if isinstance(made, Exception):
+                    raise made
+                x = made[0][:, 0]
+                rows.append((len(x), int(x.sum()), int(x @ np.arange(1, len(x) + 1))))
+            cols = zip(*rows) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["sid", "n", "total", "weighted"])
 
-    return files.mapInArrow(_per_wave("content", told, {n: pa.int64() for n in ("n", "total", "weighted")}), "sid long, n long, total long, weighted long")
+    return files.mapInArrow(told, "sid long, n long, total long, weighted long")
 
 
 @query
@@ -63,7 +82,7 @@ def mel_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def flac_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of FLAC files: decoded, brought to twice their rate, and measured."""
-    files = _waves(spark, sf_dir).mapInArrow(_per_wave("wave", lambda x: (sound.encode_flac(np.array(x), 8000),), {"content": pa.binary()}), "sid long, content binary")
+    files = _waves(spark, sf_dir).mapInArrow(_files(8000), "sid long, content binary")
     files = files.withColumn("dataset_name", F.col("sid").cast("string")).withColumn("bpm", F.lit(120)).withColumn("syllables", F.lit(None).cast("array<struct<char:string,pitch:array<int>,note:array<string>>>"))
     made = features.extract(files, sound.log_mel(BINS, SIZE, HOP), features.decode_audio(16000))
     return made.groupBy("status", "mel_bins").agg(F.count(F.lit(1)).alias("n"), F.sum("mel_frames").alias("n_frames"), F.sum(F.octet_length("input_features")).cast("long").alias("n_bytes"))

@@ -160,3 +160,41 @@ def test_decoder_tells_containers_apart(spark):
     assert sorted((r.status, r.mel_frames, r.mel_bins) for r in got if r.status == "ok") == [("ok", 0, 20), ("ok", 250, 20)]
     assert sorted(r.status for r in got) == ["error", "missing", "ok", "ok"]
     assert hashlib.md5(x.tobytes()).digest() in sound.encode_flac(x, 16000)
+
+
+def test_many_files_are_the_files_one_by_one():
+    """Short sounds coded together: the same bytes, the same samples, and the same errors for damaged files."""
+    rng = np.random.default_rng(4)
+    waves = []
+    for i in range(400):
+        n = int(rng.integers(1, 200))
+        steps = rng.integers(-3, 4, n)
+        waves.append([steps, np.cumsum(steps), rng.integers(-32768, 32768, n), np.full(n, -7), np.zeros(0, np.int64) if i > 390 else np.cumsum(np.cumsum(steps)) % 30000, np.arange(5000 + i) % 99][i % 6 if i > 60 else i % 5])
+    waves = [w.astype(np.int64) for w in waves]
+    offs = np.concatenate([[0], np.cumsum([len(w) for w in waves])])
+    files = sound.encode_flac_many(np.concatenate(waves), offs, 16000)
+    assert files == [sound.encode_flac(w, 16000) for w in waves]
+    for w, (x, rate, width) in zip(waves, sound.decode_flac_many(files)):
+        assert x[:, 0].tolist() == w.tolist() and (rate, width) == (16000, 16)
+    broken = []
+    for f in files[:200]:
+        at = int(rng.integers(0, len(f)))
+        broken += [f[:at], f[:at] + bytes([f[at] ^ 4]) + f[at + 1 :]]
+    stereo = sound.encode_flac(np.stack([waves[2], waves[2][::-1]], axis=1), 8000)
+    for f, got in zip([*broken, stereo], sound.decode_flac_many([*broken, stereo])):
+        try:
+            want = sound.decode_flac(f)
+        except Exception as error:  # noqa: BLE001
+            assert type(got) is type(error)
+        else:
+            assert (got[0] == want[0]).all() and got[1:] == want[1:]
+
+
+def test_short_files_are_not_coded_one_by_one(monkeypatch):
+    rng = np.random.default_rng(5)
+    waves = [rng.integers(-500, 500, 64) for _ in range(300)]
+    files = [sound.encode_flac(w, 16000) for w in waves]
+    monkeypatch.setattr(sound, "encode_flac", None)
+    monkeypatch.setattr(sound, "decode_flac", None)
+    assert sound.encode_flac_many(np.concatenate(waves), np.arange(301) * 64, 16000) == files
+    assert all((x[:, 0] == w).all() for w, (x, _, _) in zip(waves, sound.decode_flac_many(files)))
