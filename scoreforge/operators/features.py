@@ -69,9 +69,24 @@ def decode_audio(rate: int = 16000) -> Callable[[bytes], np.ndarray]:
     def run(content: bytes) -> np.ndarray:
         if content[:4] != sound.MAGIC:
             return waves(content)
-        x, own, width = sound.decode_flac(content)
+        return made(*sound.decode_flac(content))
+
+    def made(x: np.ndarray, own: int, width: int) -> np.ndarray:
         return sound.resample((x / (1 << (width - 1))).mean(axis=1), own, rate)
 
+    def many(contents: list[bytes | None]) -> list[np.ndarray | Exception | None]:
+        """The same of many, FLAC files decoded together; of one that can't be read the error, of none none."""
+        out: list = [None] * len(contents)
+        flac = [i for i, c in enumerate(contents) if c is not None and c[:4] == sound.MAGIC]
+        found = dict(zip(flac, sound.decode_flac_many([contents[i] for i in flac])))
+        for i, c in enumerate(contents):
+            try:
+                out[i] = None if c is None else found[i] if isinstance(found.get(i), Exception) else made(*found[i]) if i in found else waves(c)
+            except Exception as odd:  # noqa: BLE001 - a status of its row
+                out[i] = odd
+        return out
+
+    run.many = many
     return run
 
 
@@ -89,19 +104,23 @@ def extract(samples: DataFrame, extractor: Extractor, decoder: Callable[[bytes],
     """Features of ``samples`` (dataset_name, syllables, bpm and either content binary or audio_path): status ok, missing (null
     content, no such file, an empty one) or error."""
     given = "content" if "content" in samples.columns else "audio_path"
+    many = getattr(decoder, "many", None) if given == "content" else None  # what is opened by path is held one at a time
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 256):  # what is made of so many is in memory
-                rows = []
-                for r in pdf.iloc[at : at + 256].itertuples(index=False):
+                rows, some = [], pdf.iloc[at : at + 256]
+                together = many(some["source"].tolist()) if many else [None] * len(some)
+                for r, heard in zip(some.itertuples(index=False), together):
                     data, frames, bins, status = None, None, None, "ok"
                     try:
+                        if isinstance(heard, Exception):
+                            raise heard
                         content = r.source if given == "content" or r.source is None else opener(r.source)
                         if content is None:
                             status = "missing"
                         else:
-                            data, frames, bins = trim(*extractor(decoder(content), rate))
+                            data, frames, bins = trim(*extractor(decoder(content) if heard is None else heard, rate))
                     except Exception:  # noqa: BLE001 - a bad file is a status, not a failed task
                         status = "error"
                     rows.append((r.dataset_name, data, frames, bins, r.syllables, r.bpm, status))
