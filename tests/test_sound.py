@@ -198,3 +198,11 @@ def test_short_files_are_not_coded_one_by_one(monkeypatch):
     monkeypatch.setattr(sound, "decode_flac", None)
     assert sound.encode_flac_many(np.concatenate(waves), np.arange(301) * 64, 16000) == files
     assert all((x[:, 0] == w).all() for w, (x, _, _) in zip(waves, sound.decode_flac_many(files)))
+
+
+def test_filters_are_made_once_a_rate():
+    sound.mel_filters.cache_clear()
+    extract = sound.log_mel(4, 16, 8)
+    for _ in range(5):
+        extract(np.ones(50), 160)
+    assert sound.mel_filters.cache_info().misses == 1
