@@ -13,6 +13,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def joined(*arrays: Column) -> Column:
+    """Arrays one after another, null if one is: what ``concat`` gives, several times as fast where Spark interprets it (in lambdas)."""
+    return F.flatten(F.array(*arrays))
+
+
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with ``value`` as a column that is computed once a row, whatever filters or explodes by it afterwards. A filter on a column
     made of expressions is moved below them, and they are made once for it and once more for the result; it stays above

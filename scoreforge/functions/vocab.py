@@ -42,14 +42,19 @@ def seconds_per_beat(bpm: Column) -> Column:
     return F.lit(60.0) / F.greatest(bpm, F.lit(1))
 
 
+def _numbered(kind: str, n: int, no: Column) -> Column:
+    """``<kind_no>`` of an int below ``n``, else null: looked up among the tokens, as formatting a number takes many times as long."""
+    return F.get(F.split(F.lit(" ".join(f"<{kind}_{i}>" for i in range(n))), " "), no)
+
+
 def bpm_token(bpm: Column) -> Column:
     """``<BPM_n>``, that of 120 if out of range."""
-    return F.format_string("<BPM_%d>", F.when(bpm.between(0, TEMPOS - 1), bpm).otherwise(F.lit(DEFAULT_BPM)))
+    return F.coalesce(_numbered("BPM", TEMPOS, bpm), F.lit(f"<BPM_{DEFAULT_BPM}>"))
 
 
 def pitch_token(pitch: Column) -> Column:
     """``<P_n>``, null if out of range."""
-    return F.when(pitch.between(0, PITCHES - 1), F.format_string("<P_%d>", pitch))
+    return _numbered("P", PITCHES, pitch)
 
 
 def note_token(note: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreforge.functions import template
+from scoreforge.functions.expr import joined
 from scoreforge.functions.vocab import bpm_token, note_token, pitch_token
 
 from .annotate import lyrics
@@ -25,11 +26,11 @@ def text(sylls: Column, bpm: Column, bpm_position: str = "last") -> Column:
         n = F.least(F.size(s["pitch"]), F.size(s["note"]))
         pairs = F.arrays_zip(F.slice(s["pitch"], F.lit(1), n).alias("pitch"), F.slice(s["note"], F.lit(1), n).alias("note"))
         played = F.flatten(F.transform(pairs, lambda p: F.array(pitch_token(p["pitch"]), note_token(p["note"]))))
-        return F.when(n > 0, F.concat(F.array(s["char"]), played)).otherwise(F.array().cast("array<string>"))
+        return F.when(n > 0, joined(F.array(s["char"]), played)).otherwise(F.array().cast("array<string>"))
 
     body = F.flatten(F.transform(sylls, one))
     tempo = F.array(bpm_token(bpm))
-    parts = {"last": F.concat(body, tempo), "first": F.concat(tempo, body)}.get(bpm_position, body)
+    parts = {"last": joined(body, tempo), "first": joined(tempo, body)}.get(bpm_position, body)
     return F.array_join(parts, " ")
 
 

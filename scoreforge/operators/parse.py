@@ -33,7 +33,7 @@ def tokens(text: Column) -> Column:
 
 
 def _joined(text: Column) -> Column:
-    return F.array_join(F.transform(tokens(F.translate(text, MARK, "�")), lambda t: F.concat(F.lit(MARK), t, F.lit(MARK))), "")
+    return F.concat(F.lit(MARK), F.array_join(tokens(F.translate(text, MARK, "�")), MARK + MARK), F.lit(MARK))
 
 
 def _entries(joined: Column) -> Column:

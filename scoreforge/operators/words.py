@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scoreforge.functions.expr import let
+from scoreforge.functions.expr import joined, let
 from scoreforge.functions.vocab import CONTINUED, nearest_note, note_beats
 
 from .annotate import without_silence
@@ -15,7 +15,7 @@ def _runs(values: Column, begins) -> Column:
     """array<struct<a, n>> of the runs whose first places are those where ``begins(i)``."""
     places = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(F.array().cast("array<int>"))
     def spans(heads):
-        ends = F.concat(F.slice(heads, F.lit(2), F.greatest(F.size(heads) - 1, F.lit(0))), F.array(F.size(values)))
+        ends = joined(F.slice(heads, F.lit(2), F.greatest(F.size(heads) - 1, F.lit(0))), F.array(F.size(values)))
         return F.zip_with(heads, F.when(F.size(heads) > 0, ends).otherwise(heads), lambda a, b: F.struct(a.alias("a"), (b - a).alias("n")))
 
     return let(F.filter(places, lambda i: (i == 0) | begins(i)), spans)

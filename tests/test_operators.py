@@ -336,3 +336,17 @@ def test_edit_distance_of_many_words(spark):
     b = a[:10] + ["x"] + a[10:4150] + ["y", "z"] + a[4152:4190]
     df = spark.createDataFrame([(a, b), (a, a), (a, []), (["p", "q"], ["q"])], "a array<string>, b array<string>")
     assert [r.d for r in df.select(align.edit_distance(F.col("a"), F.col("b")).alias("d")).collect()] == [13, 0, 4200, 1]
+
+
+def test_tokens_by_number_and_joined_arrays(spark):
+    """Tokens are looked up, not formatted, and arrays joined without ``concat``: the values and the nulls stay what they were."""
+    from scoreforge.functions import vocab
+    from scoreforge.functions.expr import joined
+
+    rows = spark.createDataFrame([(n, [str(n)] if n else None) for n in (None, -1, 0, 7, 127, 128, 255, 256, 2**31 - 1)], "n int, a array<string>")
+    got = rows.select("n", vocab.pitch_token(F.col("n")).alias("p"), vocab.bpm_token(F.col("n")).alias("b"), joined(F.col("a"), F.array(F.lit("x"), F.lit(None))).alias("j"), "a")
+    for r in got.collect():
+        assert r.p == (f"<P_{r.n}>" if r.n is not None and 0 <= r.n < 128 else None)
+        assert r.b == (f"<BPM_{r.n}>" if r.n is not None and 0 <= r.n < 256 else "<BPM_120>")
+        assert r.j == (None if r.a is None else [*r.a, "x", None])
+    assert "format_string" not in rows.select(vocab.pitch_token(F.col("n")), vocab.bpm_token(F.col("n")))._jdf.queryExecution().toString()
