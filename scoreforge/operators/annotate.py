@@ -12,18 +12,19 @@ from scoreforge.functions.vocab import DEFAULT_NOTE, SILENCES
 def syllables(word: Column, pitch: Column, note: Column, pitch2word: Column) -> Column:
     """array<struct<char, pitch array, note array>>: each word with the pitches that point at it, in their order; words that
     none points at go. A place beyond ``pitch`` has pitch 0, one beyond ``note`` a quarter; a null in range stays null."""
-    places = F.transform(pitch2word, lambda w, k: F.struct(w.alias("w"), k.alias("k")))
-    pitch_at = lambda k: F.when(k < F.size(pitch), F.get(pitch, k)).otherwise(F.lit(0))
     note_at = lambda k: F.when(k < F.size(note), F.get(note, k)).otherwise(F.lit(DEFAULT_NOTE))
 
+    def places(known):
+        pitch_at = lambda k: F.when(k < F.size(known), F.get(known, k)).otherwise(F.lit(0))
+        return F.transform(pitch2word, lambda w, k: F.struct(w.alias("w"), pitch_at(k).alias("pitch"), note_at(k).alias("note")))
+
     def of(ps):
         def one(w, i):
-            own = lambda at: F.transform(F.filter(ps, lambda x: x["w"] == i), lambda x: at(x["k"]))
-            return F.struct(w.alias("char"), own(pitch_at).alias("pitch"), own(note_at).alias("note"))
+            return let(F.filter(ps, lambda x: x["w"] == i), lambda own: F.struct(w.alias("char"), own["pitch"].alias("pitch"), own["note"].alias("note")))
 
         return F.transform(word, one)
 
-    return F.filter(let(places, of), lambda s: F.size(s["pitch"]) > 0)
+    return F.filter(let(let(pitch, places), of), lambda s: F.size(s["pitch"]) > 0)
 
 
 def notes_of(sylls: Column) -> Column:

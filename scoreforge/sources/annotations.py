@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoreforge.functions.expr import once
 from scoreforge.functions.vocab import DEFAULT_BPM
 from scoreforge.operators.annotate import syllables
 from scoreforge.operators.numbering import numbered
@@ -48,11 +49,11 @@ def json_file(spark: SparkSession, name: str, path: str, audio_root: str, max_sa
     """One JSON list of annotations (or several, in the files of a folder); rows without a file name, or whose audio file is not
     there, go. Lists are read by ranges of ``split_bytes``, so that a long one is many tasks' work."""
     if files.arrow_reads(path):
-        rows = files.json_elements(spark, path, split_bytes).select(F.from_json("element", ANNOTATION).alias("a")).select("a.*")
+        rows = once(files.json_elements(spark, path, split_bytes), "a", F.from_json("element", ANNOTATION)).select("a.*")  # not parsed anew for each condition
     else:
         rows = spark.read.option("multiLine", True).schema(ANNOTATION).json(path)
-    rows = _kept(rows.where("wav_fn is not null and wav_fn <> ''").withColumn("audio_path", F.concat(F.lit(audio_root.rstrip("/") + "/"), "wav_fn")))
-    rows = with_files(rows, files.existing(spark, audio_root))
+    rows = rows.where("wav_fn is not null and wav_fn <> ''").withColumn("audio_path", F.concat(F.lit(audio_root.rstrip("/") + "/"), "wav_fn"))
+    rows = _kept(with_files(rows, files.existing(spark, audio_root)))
     rows = rows.select(F.lit(name).alias("dataset_name"), "audio_path", F.coalesce(whole_number(F.col("bpm")), F.lit(DEFAULT_BPM)).alias("bpm"), "syllables")
     return rows.limit(max_samples) if max_samples > 0 else rows
 

@@ -117,6 +117,10 @@ def opened(paths: DataFrame, path: str = "found", content: str = "content") -> D
 # ---------------------------------------------------------------- lists of JSON
 
 QUOTE, BACK, OPEN, SHUT, COMMA = ord('"'), ord("\\"), [ord("["), ord("{")], [ord("]"), ord("}")], ord(",")
+#: What each byte is: nothing, a quote, a bracket that opens, one that shuts, a comma; and how far each of these goes down.
+KINDS = np.zeros(256, np.uint8)
+KINDS[QUOTE], KINDS[OPEN], KINDS[SHUT], KINDS[COMMA] = 1, 2, 3, 4
+DEPTH = np.array([0, 0, 1, -1, 0], np.int8)
 
 
 def _bytes(f: pa.NativeFile, start: int, end: int) -> np.ndarray:
@@ -136,17 +140,28 @@ def _escaped(f: pa.NativeFile, start: int) -> bool:
     return n % 2 == 1
 
 
-def _quotes(data: np.ndarray, escaped: bool) -> np.ndarray:
-    """Which bytes are quotes that begin or end a string: those behind an even number of backslashes."""
-    at = np.arange(len(data), dtype=np.int32)
-    plain = np.maximum.accumulate(np.where(data != BACK, at, -1))  # the last byte up to here that is no backslash
-    before = np.concatenate([[-1], plain[:-1]]) if len(data) else plain
-    run = at - 1 - before + np.where(before < 0, int(escaped), 0)
-    return (data == QUOTE) & (run % 2 == 0)
+def _signs(data: np.ndarray, escaped: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of quotes that begin or end a string (those behind an even number of backslashes), brackets and commas, and their kinds."""
+    kinds = KINDS[data]
+    at = np.flatnonzero(kinds)
+    kinds = kinds[at]
+    back = np.flatnonzero(data == BACK)
+    if not escaped and not len(back):
+        return at, kinds
+    heads, tails = back[np.diff(back, prepend=-2) != 1], back[np.diff(back, append=len(data) + 1) != 1]
+    begun = escaped and (not len(heads) or heads[0] > 0)  # a backslash of the range before stands before the first byte
+    shielded = tails[(tails - heads + 1 + (escaped & (heads == 0))) % 2 == 1] + 1
+    plain = (kinds != KINDS[QUOTE]) | ~np.isin(at, np.concatenate([[0], shielded]) if begun else shielded, assume_unique=True)
+    return at[plain], kinds[plain]
 
 
-def _steps(data: np.ndarray, outside: np.ndarray) -> np.ndarray:
-    return (np.isin(data, OPEN) & outside).astype(np.int8) - (np.isin(data, SHUT) & outside).astype(np.int8)
+def _within(kinds: np.ndarray) -> np.ndarray:
+    """Which signs stand behind an odd number of quotes."""
+    return np.logical_xor.accumulate(kinds == KINDS[QUOTE])
+
+
+def _steps(kinds: np.ndarray, outside: np.ndarray) -> np.ndarray:
+    return DEPTH[kinds] * outside
 
 
 def _states(batches):
@@ -156,18 +171,24 @@ def _states(batches):
         for path, start, end in zip(*(batch.column(i).to_pylist() for i in range(3))):
             store, inside = store_of(path)
             with store.open_input_file(inside) as f:
-                data = _bytes(f, start, end)
-                odd = np.cumsum(_quotes(data, _escaped(f, start)), dtype=np.int32) % 2 == 1
-            rows.append((path, start, bool(odd[-1]), int(_steps(data, ~odd).sum(dtype=np.int64)), int(_steps(data, odd).sum(dtype=np.int64))))
+                _, kinds = _signs(_bytes(f, start, end), _escaped(f, start))
+            odd = _within(kinds)
+            rows.append((path, start, bool(len(odd) and odd[-1]), int(_steps(kinds, ~odd).sum(dtype=np.int64)), int(_steps(kinds, odd).sum(dtype=np.int64))))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()))], ["path", "start", "turns", "out_depth", "in_depth"])
 
 
 def _marks(data: np.ndarray, escaped: bool, inside: bool, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the brackets and commas of the outermost list, and which of them end it."""
-    odd = (np.cumsum(_quotes(data, escaped), dtype=np.int32) + int(inside)) % 2 == 1
-    after = depth + np.cumsum(_steps(data, ~odd), dtype=np.int64)
-    shut = (data == SHUT[0]) & ~odd & (after == 0)
-    return np.flatnonzero(((data == COMMA) & ~odd & (after == 1)) | ((data == OPEN[0]) & ~odd & (after == 1)) & (np.concatenate([[depth], after[:-1]]) == 0) | shut), shut
+    at, kinds = _signs(data, escaped)
+    outside = _within(kinds) == inside
+    at, kinds = at[outside], kinds[outside]
+    after = depth + np.cumsum(DEPTH[kinds], dtype=np.int64)
+    outer = np.flatnonzero(after <= 1)
+    at, after, step = at[outer], after[outer], DEPTH[kinds[outer]]
+    signs = data[at]
+    shut = (signs == SHUT[0]) & (after == 0)
+    found = ((signs == COMMA) & (after == 1)) | ((signs == OPEN[0]) & (after == 1) & (after - step == 0)) | shut
+    return at[found], shut[found]
 
 
 def _elements(states):
@@ -177,15 +198,16 @@ def _elements(states):
                 inside, depth = states.value[path, start]
                 store, name = store_of(path)
                 with store.open_input_file(name) as f:
-                    escaped, more, data = _escaped(f, start), 0, _bytes(f, start, end)
+                    size, more = f.size(), AHEAD
+                    escaped, data = _escaped(f, start), _bytes(f, start, min(end + AHEAD, size))
                     marks, shut = _marks(data, escaped, inside, depth)
-                    own = marks[~shut[marks]]
+                    own = marks[~shut & (marks < end - start)]
                     if not len(own):
                         continue
                     # the last element may end in what follows: read on until a mark stands there
-                    while marks[-1] == own[-1] and start + len(data) < f.size():
-                        more = max(AHEAD, 2 * more)
-                        data = np.concatenate([data, _bytes(f, start + len(data), start + len(data) + more)])
+                    while marks[-1] == own[-1] and start + len(data) < size:
+                        more = 2 * more
+                        data = np.concatenate([data, _bytes(f, start + len(data), min(start + len(data) + more, size))])
                         marks, shut = _marks(data, escaped, inside, depth)
                 raw = data.tobytes()
                 if marks[-1] == own[-1]:

@@ -170,3 +170,13 @@ def test_budget_of_rows_of_equal_order(spark, monkeypatch, head):
         assert [x.count() for x in seen] == [30, 670]  # no rows are written but those that may be drawn
     else:
         assert seen[-1].groupBy(F.shiftright("_at", numbering.PLACE_BITS)).count().agg(F.max("count")).first()[0] < 2500
+
+
+def test_json_is_parsed_once(spark, tmp_path):
+    """Conditions on what a list's elements hold do not parse them again: one parser stands in the plan."""
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/1.wav").write_bytes(b"x")
+    (tmp_path / "x.json").write_text(json.dumps([ITEM]))
+    rows = A.json_file(spark, "d", str(tmp_path / "x.json"), str(tmp_path))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [(r.audio_path.rpartition("/a/")[2], [s.pitch for s in r.syllables]) for r in rows.collect()] == [("1.wav", [[68], [60]])]
