@@ -15,6 +15,8 @@ from scoreforge.schemas import ALIGNED
 
 #: Cells of the tables of steps that are filled at once, a byte each.
 CELLS = 1 << 24
+#: The same of a band around the diagonal of one pair's table.
+BAND_CELLS = 1 << 26
 DIAGONAL, UP, LEFT = range(3)
 
 
@@ -50,7 +52,8 @@ def align_many(a: Flat, a_offs: np.ndarray, b: Flat, b_offs: np.ndarray, gap: in
     go, from the end, to a pair, then to an element of ``a`` alone.
 
     Pairs of like size fill their tables together, a row of all of them at a time: along a row, the steps to the right are
-    a running minimum. Then all go back together, a step at a time. Pairs of more than ``CELLS`` cells are cut up by ``_long``.
+    a running minimum. Then all go back together, a step at a time. Pairs of more than ``CELLS`` cells first try a band
+    (``_in_band``); if none pays, they are cut up by ``_long``.
     """
     a, b = ({"": x} if isinstance(x, np.ndarray) else x for x in (a, b))
     m, n = np.diff(a_offs), np.diff(b_offs)
@@ -58,7 +61,8 @@ def align_many(a: Flat, a_offs: np.ndarray, b: Flat, b_offs: np.ndarray, gap: in
     length, parts = np.zeros(count, np.int64), []
     long = (m + 1) * (n + 1) > CELLS
     for i in np.flatnonzero(long).tolist():
-        g, p = _long({k: x[a_offs[i] : a_offs[i + 1]] for k, x in a.items()}, {k: x[b_offs[i] : b_offs[i + 1]] for k, x in b.items()}, int(m[i]), int(n[i]), gap, same)
+        pair = {k: x[a_offs[i] : a_offs[i + 1]] for k, x in a.items()}, {k: x[b_offs[i] : b_offs[i + 1]] for k, x in b.items()}, int(m[i]), int(n[i]), gap, same
+        g, p = _in_band(*pair) or _long(*pair)
         length[i] = len(g)
         parts.append((np.array([i]), g, p, length[i : i + 1]))
     bucket = lambda x: np.where(x > 0, 1 << np.ceil(np.log2(np.maximum(x, 1))).astype(np.int64), 0)
@@ -82,6 +86,48 @@ def align_many(a: Flat, a_offs: np.ndarray, b: Flat, b_offs: np.ndarray, gap: in
     return g_all, p_all, offs
 
 
+def _in_band(a: dict[str, np.ndarray], b: dict[str, np.ndarray], m: int, n: int, gap: int, same: Same) -> tuple[np.ndarray, np.ndarray] | None:
+    """The alignment of one pair from the cells near its diagonal, or None where a band does not pay or would not fit ``BAND_CELLS``.
+
+    A path that leaves the band has at least ``|n - m| + 2 * (below + 1)`` gaps. If the last cell costs less than those, all best paths
+    lie in the band; their cells cost there what they cost in the whole table, all others as much or more, so the rule for ties
+    takes the same steps. Else the band is widened.
+    """
+    below, far = 8, np.int32((gap + 1) * (m + n + 1))
+    while True:
+        first, wide = min(0, n - m) - below, abs(n - m) + 2 * below + 1  # cell (i, first + i + k) stands at k
+        if 2 * wide > n or (m + 1) * wide > BAND_CELLS:
+            return None
+        columns, slope = first + np.arange(wide), np.arange(wide, dtype=np.int32) * gap
+        above = np.where((columns >= 0) & (columns <= n), columns * gap, far).astype(np.int32)
+        steps = np.full((m + 1, wide), LEFT, np.uint8)
+        around = {k: np.concatenate([np.zeros(-first, v.dtype), v, np.zeros(wide, v.dtype)]) for k, v in b.items()}
+        for i in range(1, m + 1):
+            pair = above + ~same({k: v[i - 1 : i] for k, v in a.items()}, {k: v[i - 1 : i - 1 + wide] for k, v in around.items()})
+            up = np.append(above[1:], far) + gap
+            left, right = max(0, -first - i), max(0, min(wide, n + 1 - first - i))  # cells of columns 0 to n
+            pair[: left + (first + i + left == 0)] = far
+            row = np.full(wide, far, np.int32)
+            row[left:right] = np.minimum.accumulate(np.minimum(pair, up)[left:right] - slope[left:right]) + slope[left:right]
+            steps[i] = np.where(row == pair, DIAGONAL, np.where(row == up, UP, LEFT))
+            above = np.minimum(row, far)
+        if above[n - m - first] < gap * (abs(n - m) + 2 * (below + 1)):
+            break
+        below *= 4
+    g, p, i, k = [], [], m, n - m - first
+    while i > 0 or first + i + k > 0:
+        step, j = (LEFT if i == 0 else UP if first + i + k == 0 else steps[i, k]), first + i + k
+        g.append(-1 if step == LEFT else i - 1)
+        p.append(-1 if step == UP else j - 1)
+        if step == DIAGONAL:
+            i -= 1
+        elif step == UP:
+            i, k = i - 1, k + 1
+        else:
+            k -= 1
+    return np.array(g[::-1], np.int32), np.array(p[::-1], np.int32)
+
+
 def _rows(x: dict[str, np.ndarray], offs: np.ndarray, own: np.ndarray) -> dict[str, np.ndarray]:
     """Sequences as rows of one matrix; behind their ends stands what is never looked at."""
     lens = offs[own + 1] - offs[own]

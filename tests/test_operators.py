@@ -153,6 +153,21 @@ def test_many_alignments(monkeypatch, gap, cells):
     assert align.align_many(none, np.zeros(1, np.int64), none, np.zeros(1, np.int64))[2].tolist() == [0]
 
 
+def test_like_sequences_are_aligned_in_a_band(monkeypatch):
+    """A long sequence and the same without some elements need no whole table, and get the path of the rule for ties."""
+    import numpy as np
+
+    monkeypatch.setattr(align, "CELLS", 100)
+    monkeypatch.setattr(align, "_long", None)
+    rng = random.Random(5)
+    for _ in range(20):
+        a = [rng.randrange(3) for _ in range(120)]
+        b = [x for i, x in enumerate(a) if i % 9 != 3]
+        for x, y in ((a, b), (b, a)):
+            g, p, _ = align.align_many(np.array(x), np.array([0, len(x)]), np.array(y), np.array([0, len(y)]))
+            assert list(zip(g.tolist(), p.tolist())) == align_plain(x, y, 1)
+
+
 def test_alignment_of_null_lists(spark):
     df = spark.createDataFrame([(None, ["a"]), (["a"], None), ([], []), (["a", None], [None, "a"])], "a array<string>, b array<string>")
     got = [r.u and [(x.g, x.p) for x in r.u] for r in df.select(align.align(F.col("a"), F.col("b")).alias("u")).collect()]
