@@ -8,12 +8,12 @@ import wave
 from dataclasses import asdict
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreforge.config import RunConfig
 from scoreforge.functions import template, vocab
-from scoreforge.operators import features
+from scoreforge.operators import encode, features
 from scoreforge.session import put, scratch
 from scoreforge.sources import annotations as sources
 from scoreforge.sources import sinks
@@ -183,9 +183,10 @@ def preprocess_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- training and scoring
 
 
-def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _samples(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Songs as samples, with more columns made of them."""
     rows = songs(spark, sf_dir)
-    return rows.select(F.col("sid").alias("sample_id"), F.format_string("songs/%d.flac", "sid").alias("audio_path"), sylls("gt").alias("syllables"), "bpm", (F.col("sid") % 90).cast("int").alias("mel_frames"))
+    return rows.select(F.col("sid").alias("sample_id"), F.format_string("songs/%d.flac", "sid").alias("audio_path"), sylls("gt").alias("syllables"), "bpm", (F.col("sid") % 90).cast("int").alias("mel_frames"), *more)
 
 
 @query
@@ -251,7 +252,7 @@ def recalled():
 
 
 def _validated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = _samples(spark, sf_dir).join(texts(spark, sf_dir).select(F.col("sid").alias("sample_id"), "pred_text"), "sample_id")
+    rows = _samples(spark, sf_dir, encode.text(sylls("pred"), F.col("pred_bpm")).alias("pred_text"))
     return pipelines.validate(rows, recalled, "pred_text", 7, RunConfig(), num_samples=-1, num_display=20, budget=2000)
 
 

@@ -88,12 +88,13 @@ def collate(rows: DataFrame, by: list[str], pad_id: int, audio_id: int | None =
     return tensors.padded(rows, "ids", by, pad_id).withColumn("labels", tensors.label_mask(F.col("ids"), F.col("prefix"), pad_id))
 
 
-def transcribe(samples: DataFrame, factory: infer.Factory, payload: str, frames: str, budget: int = 24_000, cap: int = 32, partitions: int | None = None, **options) -> DataFrame:
-    """Texts in the order of sample_id. Batches hold samples of like length, at most ``cap`` and at most ``budget`` frames in all
+def transcribe(samples: DataFrame, factory: infer.Factory, payload: str, frames: str, budget: int = 24_000, cap: int = 32, partitions: int | None = None, ordered: bool = True, **options) -> DataFrame:
+    """Texts, in the order of sample_id if ``ordered`` (for which Spark generates them twice: to find ranges, and to deal them). Batches hold samples of like length, at most ``cap`` and at most ``budget`` frames in all
     (no bound if 0); a batch is one task's, and batches are dealt to tasks by their numbers."""
     batches = batching.pack(samples, frames, budget=budget, cap=cap, partitions=partitions).select("batch_id", "pos", "sample_id")
     dealt = samples.join(batches, "sample_id").repartition("batch_id").sortWithinPartitions("batch_id", "pos")
-    return infer.transcribe(dealt, factory, payload, batch="batch_id", **options).orderBy("sample_id")
+    texts = infer.transcribe(dealt, factory, payload, batch="batch_id", **options)
+    return texts.orderBy("sample_id") if ordered else texts
 
 
 def evaluate(references: DataFrame, predictions: DataFrame, step: int, table: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -118,8 +119,8 @@ def validate(samples: DataFrame, factory: infer.Factory, payload: str, step: int
     k, pitch, note, width, start) wherever both can be read; and the scalars (step, key, value) of all samples' errors, which are
     added to the metrics table if one is named. Samples without a text count as read wrong, not as missing.
     """
-    rows = targets(report.first_samples(samples, num_samples), config)
-    texts = transcribe(rows, factory, payload, "mel_frames", budget, cap)
+    rows = written(targets(report.first_samples(samples, num_samples), config))  # read by packing, generating and the join
+    texts = transcribe(rows, factory, payload, "mel_frames", budget, cap, ordered=False)
     both = rows.select("sample_id", F.col("target").alias("gt_text")).join(texts.withColumnRenamed("text", "pred_text"), "sample_id", "left")
     both = written(both)  # generated once, read three times
     scalars = report.scalars(metrics.over_all(metrics.per_sample(both)), step)

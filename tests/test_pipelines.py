@@ -195,3 +195,12 @@ def test_wave_files(tmp_path):
     assert np.allclose(features.decode_wav(8000)(file(8000, 1, 1, bytes([0, 128, 255]))), [-1, 0, 127 / 128])
     (tmp_path / "e.wav").write_bytes(b"")
     assert features.open_file(str(tmp_path / "no.wav")) is None and features.open_file(f"file://{tmp_path}/e.wav") is None
+
+
+def test_unordered_transcription_deals_no_ranges(spark):
+    """Where the order plays no part, texts are not dealt to ranges, for which they would be generated twice."""
+    rows = spark.createDataFrame([(i, f"t{i}", i + 1) for i in range(20)], "sample_id long, wave string, mel_frames int")
+    made = lambda: lambda payloads, prompts: list(payloads)
+    found = pipelines.transcribe(rows, made, "wave", "mel_frames", budget=20, ordered=False)
+    assert "rangepartitioning(sample_id" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.sample_id, r.text) for r in found.collect()) == [(i, f"t{i}") for i in range(20)]
