@@ -1,70 +1,71 @@
 """Errors of predicted scores against references, by sample and over a data set.
 
-A sample's parsing, word grouping, tie merging, alignments and errors are columns of its own row: scoring adds no shuffle,
-and Python runs only in the alignments.
+A sample is scored inside its own row: scoring adds no shuffle. Both texts of a batch's rows are read, aligned and compared in numpy
+together (``reading``, ``align``), in the one pass through Python; rates and means over a data set are columns.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreforge.functions.expr import once
-from scoreforge.functions.vocab import SILENCES, note_beats, seconds_per_beat
+from scoreforge.functions.vocab import SILENCES
 from scoreforge.schemas import ALIGNED
 
-from . import align, parse, words
+from . import align, reading
 
 #: (name, needs the extra flag)
 MEANS = (("cer", False), ("pitch_mae", False), ("note_mae", False), ("dur_mae", False), ("bpm_mae", False), ("pitch_error_rate", True), ("note_num_mean_error", True))
 
 
-def _mean(values: Column) -> Column:
-    """Mean of an array, null if empty."""
-    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values))
-
-
-def prepared(rows: DataFrame, gt: str = "gt_text", pred: str = "pred_text") -> DataFrame:
-    """``rows`` with both texts parsed (``_g``, ``_p``) and as words (``_gw``, ``_pw``); rows whose reference can't be read go."""
-    out = once(rows, "_g", parse.parse(F.col(gt))).where("_g is not null").withColumn("_p", parse.parse(F.col(pred)))
-    none = F.array().cast(out.schema["_g"].dataType["entries"].dataType)
-    return out.withColumn("_gw", words.words(F.col("_g.entries"))).withColumn("_pw", words.words(F.coalesce(F.col("_p.entries"), none)))
-
-
-#: What alignment adds to a row: the words' alignment, the lyrics' errors and lengths, the numbers of words, the words that face each other, and their notes' alignments.
+#: What alignment adds to a row: whether the prediction can be read, the difference of tempos, the words' alignment, the lyrics but silences,
+#: their errors and lengths, the numbers of words, the words that face each other, their notes' alignments, and means over the notes that face each other.
 ADDED = T.StructType(
-    [T.StructField("_words", ALIGNED.elementType), T.StructField("_errors", T.IntegerType()), T.StructField("_n_gl", T.IntegerType()), T.StructField("_n_pl", T.IntegerType()), T.StructField("_n_gw", T.IntegerType()), T.StructField("_n_pw", T.IntegerType()), T.StructField("_facing", ALIGNED.elementType), T.StructField("_notes", ALIGNED)]
+    [T.StructField("_read", T.BooleanType()), T.StructField("_bpm_gap", T.IntegerType()), T.StructField("_words", ALIGNED.elementType), T.StructField("_gs", T.ArrayType(T.StringType())), T.StructField("_ps", T.ArrayType(T.StringType()))]
+    + [T.StructField(n, T.IntegerType()) for n in ("_errors", "_n_gl", "_n_pl", "_n_gw", "_n_pw", "_n_pairs")]
+    + [T.StructField("_facing", ALIGNED.elementType), T.StructField("_notes", ALIGNED)]
+    + [T.StructField(n, T.DoubleType()) for n in ("_pitch_gap", "_note_gap", "_dur_gap", "_pitch_wrong", "_count_gap")]
 )
 
 
 #: What can be asked of ``aligned``, with the columns that it adds.
-PARTS = {"words": ("_words", "_n_gw", "_n_pw"), "lyrics": ("_errors", "_n_gl", "_n_pl"), "notes": ("_facing", "_notes", "_n_gw", "_n_pw")}
+PARTS = {
+    "words": ("_words", "_n_gw", "_n_pw"), "sung": ("_gs", "_ps"), "lyrics": ("_errors", "_n_gl", "_n_pl"), "notes": ("_facing", "_notes", "_n_gw", "_n_pw"),
+    "errors": ("_read", "_bpm_gap", "_n_gw", "_n_pw", "_n_pairs", "_pitch_gap", "_note_gap", "_dur_gap", "_pitch_wrong", "_count_gap"),
+}
+
+
+def _means(values: np.ndarray, of: np.ndarray, rows: int) -> pa.Array:
+    """Means of values by row; null for no values, or where one of them is."""
+    n = np.bincount(of, minlength=rows)
+    means = np.bincount(of, values, rows) / np.maximum(n, 1)
+    return pa.array(means, pa.float64(), mask=(n == 0) | np.isnan(means))
 
 
-def _alignments(gc: pa.Array, pc_: pa.Array, gk: pa.Array | None, pk: pa.Array | None, by_place: bool, parts: set[str]) -> dict[str, pa.Array]:
-    """Columns of ``ADDED`` for a batch, as far as they are asked for: characters and note keys of the samples' words."""
-    (g_char, g_offs), (p_char, p_offs) = align.flat(gc), align.flat(pc_)
-    g, p = align.coded(g_char, p_char)
+def _alignments(gt: pa.Array, pred: pa.Array, by_place: bool, parts: set[str]) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Which rows of a batch have a reference that can be read, and columns of ``ADDED``, as far as they are asked for."""
+    names: dict[str, int] = {}
+    sides = g, p = reading.read(gt, names), reading.read(pred, names)
     ints = lambda x: pa.array(np.asarray(x, np.int32))
-    made = {"_n_gw": ints(np.diff(g_offs)), "_n_pw": ints(np.diff(p_offs))}
-    rows = len(gc)
-    if "words" in parts or ("notes" in parts and not by_place):
-        met_g, met_p, met_offs = align.align_many(g, g_offs, p, p_offs)
+    rows, notes = len(gt), bool(parts & {"notes", "errors"})
+    made = {"_read": pa.array(p.readable), "_n_gw": ints(np.diff(g.word_offs)), "_n_pw": ints(np.diff(p.word_offs))}
+    made["_bpm_gap"] = pa.array(np.abs(g.bpm - p.bpm).astype(np.int32), mask=~p.readable)
+    if "words" in parts or (notes and not by_place):
+        met_g, met_p, met_offs = align.align_many(g.chars, g.word_offs, p.chars, p.word_offs)
         made["_words"] = align.listed(align.cells(met_g, met_p), met_offs) if "words" in parts else None
-    if parts == {"words"}:
-        return made
-    silent = pa.array(SILENCES)
-    sides = []
-    for chars, codes, offs in ((g_char, g, g_offs), (p_char, p, p_offs)):
-        sung = np.flatnonzero(~pc.is_in(chars, silent).to_numpy(zero_copy_only=False)) if len(chars) else np.zeros(0, np.int64)
-        row = np.searchsorted(offs, sung, side="right") - 1
-        sides.append((codes[sung], sung - offs[row], row, np.searchsorted(row, np.arange(rows + 1))))
-    (gl, g_at, g_row, gl_offs), (pl, p_at, p_row, pl_offs) = sides
+    silent, lyrics = [names[x] for x in SILENCES if x in names], []
+    for x in sides:
+        at = np.flatnonzero(~np.isin(x.chars, silent))
+        row = np.searchsorted(x.word_offs, at, side="right") - 1
+        lyrics.append((x.chars[at], at - x.word_offs[row], np.searchsorted(row, np.arange(rows + 1))))
+    (gl, g_at, gl_offs), (pl, p_at, pl_offs) = lyrics
     made |= {"_n_gl": ints(np.diff(gl_offs)), "_n_pl": ints(np.diff(pl_offs))}
+    if "sung" in parts:
+        words_ = pa.array(list(names), pa.string())
+        made |= {n: align.listed(words_.take(pa.array(x)), offs) for n, x, offs in (("_gs", gl, gl_offs), ("_ps", pl, pl_offs))}
     if "lyrics" in parts:
         lg, lp, l_offs = align.align_many(gl, gl_offs, pl, pl_offs)
         of = np.repeat(np.arange(rows), np.diff(l_offs))
@@ -72,8 +73,8 @@ def _alignments(gc: pa.Array, pc_: pa.Array, gk: pa.Array | None, pk: pa.Array |
         both = np.flatnonzero(~wrong)
         wrong[both] = gl[gl_offs[of[both]] + lg[both]] != pl[pl_offs[of[both]] + lp[both]]
         made["_errors"] = ints(np.bincount(of[wrong], minlength=rows))
-    if "notes" not in parts:
-        return made
+    if not notes:
+        return g.readable, made
     if by_place:
         n = np.minimum(np.diff(gl_offs), np.diff(pl_offs))
         face_row = np.repeat(np.arange(rows), n)
@@ -83,60 +84,55 @@ def _alignments(gc: pa.Array, pc_: pa.Array, gk: pa.Array | None, pk: pa.Array |
         at = np.flatnonzero((met_g >= 0) & (met_p >= 0))
         face_row = np.repeat(np.arange(rows), np.diff(met_offs))[at]
         face_g, face_p = met_g[at], met_p[at]
-    face_offs = np.searchsorted(face_row, np.arange(rows + 1))
-    notes = []
-    for keys, place in ((gk, face_g), (pk, face_p)):
-        words_, word_offs = align.flat(keys)
-        key, key_offs = align.flat(words_)
-        word = word_offs[face_row] + place
-        notes.append((key, key_offs[word], key_offs[word + 1] - key_offs[word]))
-    (gk_, g_from, g_n), (pk_, p_from, p_n) = notes
-    codes = align.coded(gk_, pk_)
-    seqs = []
-    for x, start, n in zip(codes, (g_from, p_from), (g_n, p_n)):
+    own, seqs = [], []
+    for x, place in ((g, face_g), (p, face_p)):
+        word = x.word_offs[face_row] + place
+        start, n = x.note_offs[word], x.note_offs[word + 1] - x.note_offs[word]
         offs = np.concatenate([[0], np.cumsum(n)])
-        seqs += [x[np.repeat(start - offs[:-1], n) + np.arange(offs[-1])], offs]
+        at = np.repeat(start - offs[:-1], n) + np.arange(offs[-1])
+        own.append((start, n))
+        seqs += [x.pitch[at] * len(reading.BEATS) + x.note[at], offs]
     note_g, note_p, note_offs = align.align_many(*seqs)
-    made["_facing"] = align.listed(align.cells(face_g, face_p), face_offs)
-    made["_notes"] = align.listed(align.listed(align.cells(note_g, note_p), note_offs), face_offs)
-    return made
-
-
-def aligned(rows: DataFrame, length_matched: bool = False, parts: tuple[str, ...] = ("words", "lyrics", "notes")) -> DataFrame:
-    """Adds what the ``parts`` asked for bring (``PARTS``): the words' alignment, the lyrics' errors, and for the notes the merged pairs
-    by word (``_gm``, ``_pm``) and ``_pairs``: array<struct<gp, gn, pp, pn>> of the notes that face each other inside the words
-    that do. Only those alignments are made; the rows pass through Python once."""
-    out, notes = rows, "notes" in parts
-    for side in "gp":
-        if notes:
-            out = out.withColumn(f"_{side}m", F.transform(f"_{side}w", lambda w: words.merged(w["pairs"])))
-            out = out.withColumn(f"_{side}k", F.transform(f"_{side}m", lambda m: F.transform(m, lambda x: F.concat_ws(" ", x["pitch"], x["note"]))))
-        out = out.withColumn(f"_{side}c", words.chars(F.col(f"_{side}.entries")))
-        out = out.withColumn(f"_{side}", F.when(F.col(f"_{side}").isNotNull(), F.struct(f"_{side}.bpm"))).drop(f"_{side}w")
-    names, sent = out.columns, ("_gc", "_pc", "_gk", "_pk")
-    places = [names.index(n) if n in names else None for n in sent]
-    back = [i for i, n in enumerate(names) if n not in sent]  # what Python alone needs does not come back
+    if "notes" in parts:
+        face_offs = np.searchsorted(face_row, np.arange(rows + 1))
+        made["_facing"] = align.listed(align.cells(face_g, face_p), face_offs)
+        made["_notes"] = align.listed(align.listed(align.cells(note_g, note_p), note_offs), face_offs)
+    if "errors" not in parts:
+        return g.readable, made
+    both = np.flatnonzero((note_g >= 0) & (note_p >= 0))
+    face = np.repeat(np.arange(len(face_row)), np.diff(note_offs))[both]
+    (g_start, g_n), (p_start, p_n) = own
+    at_g, at_p, of = g_start[face] + note_g[both], p_start[face] + note_p[both], face_row[face]
+    g_pitch, p_pitch = (np.where(x.pitch[at] < 0, np.nan, x.pitch[at]) for x, at in ((g, at_g), (p, at_p)))
+    g_beats, p_beats = reading.BEATS[g.note[at_g]], reading.BEATS[p.note[at_p]]
+    g_spb, p_spb = (60.0 / np.maximum(x.bpm, 1) for x in sides)
+    gap = g_pitch - p_pitch
+    made |= {"_n_pairs": ints(np.bincount(of, minlength=rows)), "_pitch_gap": _means(np.abs(gap), of, rows), "_pitch_wrong": _means(np.where(np.isnan(gap), np.nan, gap != 0), of, rows)}
+    made["_note_gap"] = _means(np.abs(np.log2(g_beats) - np.log2(p_beats)), of, rows)
+    made["_dur_gap"] = _means(np.abs(np.log2(g_beats * g_spb[of]) - np.log2(p_beats * p_spb[of])), of, rows)
+    made["_count_gap"] = _means(np.abs(g_n - p_n).astype(float), face_row, rows)
+    return g.readable, made
+
+
+def aligned(rows: DataFrame, gt: str = "gt_text", pred: str = "pred_text", keep: list[str] | None = None, length_matched: bool = False, parts: tuple[str, ...] = ("errors", "lyrics")) -> DataFrame:
+    """The columns ``keep`` (all by default) of rows whose reference can be read, with what the ``parts`` asked for bring (``PARTS``). Texts are read
+    and only those alignments are made, a batch at a time; the rows pass through Python once."""
+    keep = rows.columns if keep is None else keep
+    sent = rows.select(*keep, F.col(gt).alias("_gt"), F.col(pred).alias("_pred"))
     asked = {*parts, "lyrics"} if length_matched else set(parts)
     added = [f for f in ADDED.fields if any(f.name in PARTS[p] for p in asked)]
+    if length_matched and "errors" not in asked:
+        added.append(ADDED["_read"])
     wanted = [f.name for f in added]
 
     def run(batches):
         for batch in batches:
-            made = _alignments(*(None if i is None else batch.column(i) for i in places), length_matched, asked)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in back), *(made[n] for n in wanted)], [*(names[i] for i in back), *wanted])
-
-    out = out.mapInArrow(run, T.StructType([*(out.schema.fields[i] for i in back), *added]))
-    if length_matched:
-        out = out.where("_p is null or _n_gl = _n_pl")
-    if not notes:
-        return out
-
-    def one(f, k):
-        both = F.filter(F.get("_notes", k), lambda c: c["g"].isNotNull() & c["p"].isNotNull())
-        cell = lambda c, s: F.get(F.get(f"_{s}m", f[s]), c[s])
-        return F.transform(both, lambda c: F.struct(*[cell(c, s)[x].alias(s + x[0]) for s in ("g", "p") for x in ("pitch", "note")]))
+            *kept, g, p = batch.columns
+            readable, made = _alignments(g, p, length_matched, asked)
+            yield pa.RecordBatch.from_arrays([*kept, *(made[n] for n in wanted)], [*keep, *wanted]).filter(pa.array(readable))
 
-    return out.withColumn("_pairs", F.flatten(F.transform("_facing", one)))
+    out = sent.mapInArrow(run, T.StructType([*sent.schema.fields[:-2], *added]))
+    return out.where("not _read or _n_gl = _n_pl") if length_matched else out
 
 
 def per_sample(rows: DataFrame, gt: str = "gt_text", pred: str = "pred_text", inference_only: bool = False, length_matched: bool = False, keep: list[str] | None = None) -> DataFrame:
@@ -144,25 +140,20 @@ def per_sample(rows: DataFrame, gt: str = "gt_text", pred: str = "pred_text", in
     prediction can't be read have an error rate of 1 and nothing else. With ``length_matched`` rows whose lyrics differ in
     length go, and words face each other by place."""
     keep = rows.columns if keep is None else keep
-    out = aligned(prepared(rows, gt, pred).drop(*{*rows.columns} - {*keep}), length_matched, ("lyrics", "notes"))
-    read = F.col("_p").isNotNull()
-    cer = F.when(~read, F.lit(1.0)).when(F.col("_n_gl") == 0, F.when(F.col("_n_pl") == 0, 0.0).otherwise(1.0)).otherwise(F.col("_errors") / F.col("_n_gl"))
-    gap = lambda x: F.abs(F.log2(note_beats(x["gn"])) - F.log2(note_beats(x["pn"])))
-    g_spb, p_spb = seconds_per_beat(F.col("_g.bpm")), seconds_per_beat(F.col("_p.bpm"))
+    cer = F.when(~F.col("_read"), F.lit(1.0)).when(F.col("_n_gl") == 0, F.when(F.col("_n_pl") == 0, 0.0).otherwise(1.0)).otherwise(F.col("_errors") / F.col("_n_gl"))
     found = {
         "cer": cer,
-        "pitch_mae": _mean(F.transform("_pairs", lambda x: F.abs(x["gp"] - x["pp"]).cast("double"))),
-        "note_mae": _mean(F.transform("_pairs", gap)),
-        "dur_mae": _mean(F.transform("_pairs", lambda x: F.abs(F.log2(note_beats(x["gn"]) * g_spb) - F.log2(note_beats(x["pn"]) * p_spb)))),
-        "bpm_mae": F.when(read, F.abs(F.col("_g.bpm") - F.col("_p.bpm")).cast("double")),
+        "pitch_mae": F.col("_pitch_gap"),
+        "note_mae": F.col("_note_gap"),
+        "dur_mae": F.col("_dur_gap"),
+        "bpm_mae": F.col("_bpm_gap").cast("double"),
         "n_gt_words": F.col("_n_gw"),
         "n_pred_words": F.col("_n_pw"),
-        "n_aligned_pairs": F.size("_pairs"),
+        "n_aligned_pairs": F.col("_n_pairs"),
     }
     if inference_only:
-        found["pitch_error_rate"] = _mean(F.transform("_pairs", lambda x: (x["gp"] != x["pp"]).cast("double")))
-        found["note_num_mean_error"] = _mean(F.transform("_facing", lambda f: F.abs(F.size(F.get("_gm", f["g"])) - F.size(F.get("_pm", f["p"]))).cast("double")))
-    return out.select(*keep, *[c.alias(n) for n, c in found.items()])
+        found |= {"pitch_error_rate": F.col("_pitch_wrong"), "note_num_mean_error": F.col("_count_gap")}
+    return aligned(rows, gt, pred, keep, length_matched).select(*keep, *[c.alias(n) for n, c in found.items()])
 
 
 def over_all(samples: DataFrame, by: list[str] | None = None, inference_only: bool = False) -> DataFrame:

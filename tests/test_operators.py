@@ -84,6 +84,42 @@ def test_parse_random(spark):
     assert [tuple(r) for r in got] == want
 
 
+def test_texts_of_a_batch_are_read_as_parsed(spark, monkeypatch):
+    """Together and in numpy, or one by one and native: the same words, notes and tempos, whatever the cuts between batches."""
+    import pyarrow as pa
+
+    from scoreforge.operators import reading
+
+    rng = random.Random(6)
+    parts = ["感", "受", "·", "AP", "<P_60>", "<P_60>", "<P_61>", "<P_062>", "<P_4294967297>", "<P_", "<P_x>", "<>", "<NOTE_4>", "<NOTE_DOT_8>", "<NOTE_9>", "<BPM_90>", "<BPM_007>", "<BPM_99999999999>", "<BPM_7", ">", "</s>", "<asr_text>", "language", SEPARATOR, "a/s", "\u3000", "\x85", "\x1d", "\u200b", "\ufdd0", "<x", "é", "😀"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "\n", "\xa0"]) for _ in range(rng.randint(0, 25))) for _ in range(1500)] + [t for t, _, _ in PARSED] + [None, "<", "<P_1>", "a" * 70]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", parse.parse(F.col("t")).alias("s"))
+    ws = F.transform(words.words(F.col("s.entries")), lambda w: F.struct(w["char"].alias("c"), words.merged(w["pairs"]).alias("m")))
+    want = [r.s and (r.s.bpm, [(w.c, [(p.pitch, p.note) for p in w.m]) for w in r.w]) for r in rows.select("i", "s", ws.alias("w")).orderBy("i").collect()]
+    for size in (reading.BYTES, 64):
+        monkeypatch.setattr(reading, "BYTES", size)
+        names = {}
+        x = reading.read(pa.array([None, *texts, ""]).slice(1, len(texts)), names)
+        named, notes = list(names), list(reading.NOTES)
+        pairs = lambda w: [(None if x.pitch[k] < 0 else x.pitch[k], notes[x.note[k]]) for k in range(x.note_offs[w], x.note_offs[w + 1])]
+        got = [(x.bpm[i], [(named[x.chars[w]], pairs(w)) for w in range(x.word_offs[i], x.word_offs[i + 1])]) if x.readable[i] else None for i in range(len(texts))]
+        assert got == want
+
+
+def test_null_pitches_have_no_mean_error(spark):
+    """A pitch beyond 32 bits leaves the errors of pitches undefined and those of notes as they are."""
+    text = "感 <P_60> <NOTE_4> 受 <P_9999999999> <NOTE_8> <BPM_100>"
+    r = metrics.per_sample(spark.createDataFrame([(text, text)], "gt_text string, pred_text string"), inference_only=True).first()
+    assert (r.cer, r.pitch_mae, r.pitch_error_rate, r.note_mae, r.dur_mae, r.bpm_mae, r.n_aligned_pairs) == (0, None, None, 0, 0, 0, 2)
+
+
+def test_scoring_needs_no_lambdas(spark):
+    """Functions with lambdas are interpreted, an element at a time; samples are scored without them."""
+    rows = spark.createDataFrame([(0, S, S)], "i int, gt_text string, pred_text string")
+    for made in (metrics.per_sample(rows, inference_only=True), metrics.aligned(rows, parts=("words",)), metrics.aligned(rows, parts=("sung",))):
+        assert "lambdafunction" not in made._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("beats,note", [(0.15625, "32"), (0.4375, "DOT_16"), (0.625, "8"), (0.875, "DOT_8"), (1.25, "4"), (1.75, "DOT_4"), (2.5, "2"), (3.5, "DOT_2"), (5.0, "1"), (7.0, "DOT_1")])
 def test_nearest_note(spark, beats, note):
     assert one(spark, vocab.nearest_note(F.lit(beats))) == f"<NOTE_{note}>"
