@@ -26,7 +26,8 @@ def text(sylls: Column, bpm: Column, bpm_position: str = "last") -> Column:
         n = F.least(F.size(s["pitch"]), F.size(s["note"]))
         pairs = F.arrays_zip(F.slice(s["pitch"], F.lit(1), n).alias("pitch"), F.slice(s["note"], F.lit(1), n).alias("note"))
         played = F.flatten(F.transform(pairs, lambda p: F.array(pitch_token(p["pitch"]), note_token(p["note"]))))
-        return F.when(n > 0, joined(F.array(s["char"]), played)).otherwise(F.array().cast("array<string>"))
+        single = F.array(s["char"], pitch_token(F.get(s["pitch"], F.lit(0))), note_token(F.get(s["note"], F.lit(0))))  # most words: no lists to cut
+        return F.when((F.size(s["pitch"]) == 1) & (F.size(s["note"]) == 1), single).when(n > 0, joined(F.array(s["char"]), played)).otherwise(F.array().cast("array<string>"))
 
     body = F.flatten(F.transform(sylls, one))
     tempo = F.array(bpm_token(bpm))

@@ -118,7 +118,8 @@ def aligned(rows: DataFrame, gt: str = "gt_text", pred: str = "pred_text", keep:
     """The columns ``keep`` (all by default) of rows whose reference can be read, with what the ``parts`` asked for bring (``PARTS``). Texts are read
     and only those alignments are made, a batch at a time; the rows pass through Python once."""
     keep = rows.columns if keep is None else keep
-    sent = rows.select(*keep, F.col(gt).alias("_gt"), F.col(pred).alias("_pred"))
+    sent = rows.select(*keep, *[c for c in (gt, pred) if c not in keep])
+    g_at, p_at, n_kept = sent.columns.index(gt), sent.columns.index(pred), len(keep)
     asked = {*parts, "lyrics"} if length_matched else set(parts)
     added = [f for f in ADDED.fields if any(f.name in PARTS[p] for p in asked)]
     if length_matched and "errors" not in asked:
@@ -127,11 +128,10 @@ def aligned(rows: DataFrame, gt: str = "gt_text", pred: str = "pred_text", keep:
 
     def run(batches):
         for batch in batches:
-            *kept, g, p = batch.columns
-            readable, made = _alignments(g, p, length_matched, asked)
-            yield pa.RecordBatch.from_arrays([*kept, *(made[n] for n in wanted)], [*keep, *wanted]).filter(pa.array(readable))
+            readable, made = _alignments(batch.column(g_at), batch.column(p_at), length_matched, asked)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *(made[n] for n in wanted)], [*keep, *wanted]).filter(pa.array(readable))
 
-    out = sent.mapInArrow(run, T.StructType([*sent.schema.fields[:-2], *added]))
+    out = sent.mapInArrow(run, T.StructType([*sent.schema.fields[:n_kept], *added]))
     return out.where("not _read or _n_gl = _n_pl") if length_matched else out
 
 

@@ -120,6 +120,14 @@ def test_scoring_needs_no_lambdas(spark):
         assert "lambdafunction" not in made._jdf.queryExecution().toString()
 
 
+def test_kept_texts_are_sent_once(spark):
+    """Texts that stay in the result are read from it, not sent to Python a second time."""
+    made = metrics.per_sample(spark.createDataFrame([(S, 0, S)], "p string, i int, g string"), "g", "p")
+    assert made.columns[:3] == ["p", "i", "g"] and (made.first().p, made.first().g, made.first().cer) == (S, S, 0)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert " AS _" not in plan.split("MapInArrow")[1]
+
+
 @pytest.mark.parametrize("beats,note", [(0.15625, "32"), (0.4375, "DOT_16"), (0.625, "8"), (0.875, "DOT_8"), (1.25, "4"), (1.75, "DOT_4"), (2.5, "2"), (3.5, "DOT_2"), (5.0, "1"), (7.0, "DOT_1")])
 def test_nearest_note(spark, beats, note):
     assert one(spark, vocab.nearest_note(F.lit(beats))) == f"<NOTE_{note}>"
