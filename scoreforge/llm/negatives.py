@@ -5,9 +5,9 @@ component is 0) to a row is then a constant minus twice their inner product. A w
 and its best rows are its nearest.
 
 Rows are numbered by label and dealt to blocks of ``BLOCK_ROWS``, each with a vantage-point tree: a node splits its rows at the
-median distance from its vantage point and knows, for either half, the range of these distances, so that the triangle
-inequality bounds the distance of an anchor to all rows of a node from both sides. Rows come out one after another, nearest
-first; nodes outside the annulus, or without a fitting label, are never opened.
+median distance from its vantage point, or at a wide gap near it, and knows, for either half, the range of these distances, so
+that the triangle inequality bounds the distance of an anchor to all rows of a node from both sides. Rows come out one after
+another, nearest first; nodes outside the annulus, or without a fitting label, are never opened.
 
 A first round finds each anchor's positives, in the blocks that hold its label; a second one the negatives, in all blocks. Anchors
 travel in packs of ``PACK``; a block that meets more than ``TASK_PACKS`` packs is copied, so that tasks stay bounded. What each
@@ -31,6 +31,8 @@ from scoreforge.operators.numbering import numbered
 from . import common as C
 
 LEAF, BLOCK_ROWS, PACK, TASK_PACKS = 256, 50_000, 256, 64
+#: A gap between distances is wide from so many times the mean one on.
+GAP = 8
 #: The largest sum of products that is sure to fit.
 MOST = 1 << 62
 
@@ -62,9 +64,9 @@ class VantageTree:
                 far = np.linalg.norm(points[own] - eye, axis=1)
                 eye = points[own[int(far.argmax())]]  # a point at the rim sees more differences
                 far = np.linalg.norm(points[own] - eye, axis=1)
-                mid = (b - a) // 2
-                by = np.argpartition(far, mid)
+                by = np.argsort(far, kind="stable")
                 order[a:b], far = own[by], far[by]
+                mid = _cut(far)
                 todo += [(a, a + mid, no, 0, (far[:mid].min(), far[:mid].max()), level + 1), (a + mid, b, no, 1, (far[mid:].min(), far[mid:].max()), level + 1)]
             vantage.append(eye)
         self.vantage, self.kids, self.spans = np.array(vantage), kids, spans
@@ -132,6 +134,13 @@ class VantageTree:
                 heapq.heappush(heap, (-int(scores[at[0]]), 1, int(self.ids[a + at[0]]), int(self.rid[a + at[0]]), 0, (whole, (a + at).tolist())))
 
 
+def _cut(far: np.ndarray) -> int:
+    """Where ascending distances are parted: in the middle, or at a wide gap of the middle half, so that a cluster stays whole."""
+    first = len(far) // 4
+    gaps = np.diff(far[first : len(far) - first])
+    return first + 1 + int(gaps.argmax()) if gaps.max() > GAP * gaps.mean() else len(far) // 2
+
+
 class _Leaf:
     """Scores of a leaf's rows by their places in the tree."""
 

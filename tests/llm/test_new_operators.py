@@ -111,6 +111,18 @@ def test_negatives_as_brute_force(spark, monkeypatch, block_rows, task_packs, pa
     assert mined(df, every=10, block_rows=block_rows, task_packs=task_packs) == sorted(negatives.brute(rows, every=10))
 
 
+def test_negatives_tree_keeps_clusters_whole():
+    """Clusters of unequal size lie in leaves of their own, and equal distances are parted in the middle."""
+    rng = np.random.default_rng(3)
+    kind = np.repeat(np.arange(5), [30, 45, 38, 50, 41])
+    rows = (rng.normal(size=(5, 6)) * 5000)[kind].astype(np.int64) + rng.integers(-20, 20, size=(len(kind), 6))
+    tree = negatives.VantageTree(np.arange(len(kind)), np.arange(len(kind)), kind, rows, leaf=50)
+    leaves = [tree.labels[a:b] for (a, b), (left, _) in zip(tree.spans, tree.kids) if left < 0]
+    assert all(len(set(x.tolist())) == 1 for x in leaves) and sorted(np.concatenate(leaves)) == sorted(kind)
+    same = negatives.VantageTree(np.arange(64), np.arange(64), np.zeros(64, int), np.ones((64, 3), np.int64), leaf=8)
+    assert sorted(b - a for (a, b), (left, _) in zip(same.spans, same.kids) if left < 0) == [8] * 8
+
+
 def test_negatives_tree_opens_few_leaves():
     """In well parted clusters an annulus meets few leaves, and what comes out is in order."""
     rng = np.random.default_rng(11)
