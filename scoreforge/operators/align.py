@@ -17,6 +17,14 @@ from scoreforge.schemas import ALIGNED
 CELLS = 1 << 24
 #: The same of a band around the diagonal of one pair's table.
 BAND_CELLS = 1 << 26
+#: Pairs of at most so many cells fill their tables at once.
+FEW_CELLS = 1 << 12
+#: Cells of a table that take about as long as one furthest place of ``_by_cost``, and as one cost there, whatever the pairs.
+PLACE_CELLS, COST_CELLS = 8, 1 << 13
+#: What part of the time of the tables may be spent on trying to do without.
+TRIED = 1 / 6
+#: What stands for a place that no path comes to.
+NOWHERE = -(1 << 30)
 DIAGONAL, UP, LEFT = range(3)
 
 
@@ -52,15 +60,30 @@ def align_many(a: Flat, a_offs: np.ndarray, b: Flat, b_offs: np.ndarray, gap: in
     go, from the end, to a pair, then to an element of ``a`` alone.
 
     Pairs of like size fill their tables together, a row of all of them at a time: along a row, the steps to the right are
-    a running minimum. Then all go back together, a step at a time. Pairs of more than ``CELLS`` cells first try a band
-    (``_in_band``); if none pays, they are cut up by ``_long``.
+    a running minimum. Then all go back together, a step at a time. Pairs of more than ``FEW_CELLS`` cells first go by cost
+    (``_by_cost``), as long as that takes fewer places than a table has cells. What is left and has more than ``CELLS`` cells tries
+    a band (``_in_band``); if none pays, it is cut up by ``_long``.
     """
     a, b = ({"": x} if isinstance(x, np.ndarray) else x for x in (a, b))
     m, n = np.diff(a_offs), np.diff(b_offs)
     count = len(m)
-    length, parts = np.zeros(count, np.int64), []
+    length, parts, aligned = np.zeros(count, np.int64), [], np.zeros(count, bool)
+    like, slack = np.flatnonzero((m + 1) * (n + 1) > FEW_CELLS) if gap else np.zeros(0, np.int64), 0
+    while len(like):
+        costs = gap * np.abs(n - m)[like] + slack + 1
+        places, whole = costs * (slack // gap + 3), TRIED * (m * n)[like]
+        order = np.argsort(costs, kind="stable")
+        order = order[((PLACE_CELLS * places <= whole) & (4 * places <= BAND_CELLS))[order]]
+        saved = np.append(0, np.cumsum((whole - PLACE_CELLS * places)[order]) - COST_CELLS * costs[order])
+        order = order[: np.argmax(saved)][::-1]  # of what is left, pairs of few costs first; a cost is a round for all
+        like, part = like[order], np.cumsum(places[order]) // max(1, CELLS // 4)
+        for own in np.split(like, np.flatnonzero(np.diff(part)) + 1) if len(like) else []:
+            own, g, p, size = _by_cost(a, a_offs, b, b_offs, own, gap, same, slack)
+            length[own], aligned[own] = size, True
+            parts.append((own, g, p, size))
+        like, slack = like[~aligned[like]], 3 * slack + 8
     long = (m + 1) * (n + 1) > CELLS
-    for i in np.flatnonzero(long).tolist():
+    for i in np.flatnonzero(long & ~aligned).tolist():
         pair = {k: x[a_offs[i] : a_offs[i + 1]] for k, x in a.items()}, {k: x[b_offs[i] : b_offs[i + 1]] for k, x in b.items()}, int(m[i]), int(n[i]), gap, same
         g, p = _in_band(*pair) or _long(*pair)
         length[i] = len(g)
@@ -68,7 +91,7 @@ def align_many(a: Flat, a_offs: np.ndarray, b: Flat, b_offs: np.ndarray, gap: in
     bucket = lambda x: np.where(x > 0, 1 << np.ceil(np.log2(np.maximum(x, 1))).astype(np.int64), 0)
     wide, high = bucket(n), bucket(m)
     order = np.lexsort((n, m, wide, high))
-    order = order[~long[order]]
+    order = order[~(long | aligned)[order]]
     sorted_sizes = np.stack([high[order], wide[order]])
     cuts = [0, *(np.flatnonzero((sorted_sizes[:, 1:] != sorted_sizes[:, :-1]).any(axis=0)) + 1).tolist(), len(order)] if len(order) else [0]
     for s, e in zip(cuts, cuts[1:]):
@@ -86,6 +109,90 @@ def align_many(a: Flat, a_offs: np.ndarray, b: Flat, b_offs: np.ndarray, gap: in
     return g_all, p_all, offs
 
 
+def _run(a: dict[str, np.ndarray], b: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, room: np.ndarray, same: Same, first: int, back: bool = False) -> np.ndarray:
+    """How many elements in a row are equal, from the places ``i`` and ``j`` on (or going back from before them), ``room`` at most."""
+    run, todo, size = np.zeros(len(i), np.int64), np.flatnonzero(room > 0), first
+    while len(todo):
+        ahead = run[todo, None] + np.arange(size)
+        at = [x[todo, None] - 1 - ahead if back else x[todo, None] + ahead for x in (i, j)]
+        alike = same(*({k: v.take(y, mode="clip") for k, v in x.items()} for x, y in zip((a, b), at))) & (ahead < room[todo, None])
+        whole = alike.all(axis=1)
+        run[todo] += np.where(whole, size, alike.argmin(axis=1))
+        todo = todo[whole]
+        size = max(first, min(4 * size, CELLS // 64 // max(1, len(todo))))
+    return run
+
+
+def _by_cost(a: dict[str, np.ndarray], a_offs: np.ndarray, b: dict[str, np.ndarray], b_offs: np.ndarray, own: np.ndarray, gap: int, same: Same, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Alignments of those of the pairs ``own`` that cost at most ``slack`` above ``gap`` for what one is longer (most first), and which ones.
+
+    For each cost and diagonal it is found how far in ``a`` one comes (Ukkonen; Myers): costs do not fall along a diagonal, so this
+    tells for every cell whether it can be had for a cost. Diagonals are counted towards the longer sequence; of those that a cost
+    leads to, only ``slack // gap + 1`` lead to the end for the rest. All cells of best paths are among them, so that on the way back a
+    step of the rule for ties is taken here if and only if it would be in the whole table: a pair of equal elements always, others by
+    look-up. Time grows with the cost and the slack, not with the product of the lengths.
+    """
+    m, n = a_offs[own + 1] - a_offs[own], b_offs[own + 1] - b_offs[own]
+    most, wide, sign = gap * np.abs(n - m) + slack, slack // gap + 1, np.where(n < m, -1, 1)
+    lowest = lambda cost: -((slack - cost) // gap)  # noqa: E731  diagonal of the first column
+    rows = np.searchsorted(-most, -np.arange(most[0] + 1), side="right")  # pairs that may cost so much
+    begin = np.concatenate([[0], np.cumsum(rows * (wide + 2))])
+    table = np.full(begin[-1], NOWHERE, np.int32)
+    of = lambda cost: table[begin[cost] : begin[cost + 1]].reshape(-1, wide + 2)
+    known, first = np.full(len(own), -1), 8 if wide == 1 else 2
+    for cost in range(int(most[0]) + 1):
+        live = int(rows[cost])
+        far = np.where(sign < 0, 1, 0)[:live, None]
+        ahead = sign[:live, None] * (lowest(cost) + np.arange(wide))  # of the place in b
+        if cost:
+            step = lowest(cost) - lowest(cost - 1)
+            i = of(cost - 1)[:live, step : step + wide] + 1
+            if cost >= gap:
+                before = of(cost - gap)[:live]
+                i = np.maximum(i, np.maximum(before[:, :-2] + far, before[:, 2:] + (1 - far)))
+            i = np.minimum(i, np.minimum(m[:live, None], n[:live, None] - ahead))
+        else:
+            i = np.where(ahead == 0, 0, NOWHERE)
+        there = np.nonzero(i >= np.maximum(0, -ahead))
+        i, pair = i[there], there[0]
+        j = i + ahead[there]
+        i = i + _run(a, b, a_offs[own][pair] + i, b_offs[own][pair] + j, np.minimum(m[pair] - i, n[pair] - j), same, first)
+        of(cost)[there] = i
+        known[pair[(i == m[pair]) & (ahead[there] == (n - m)[pair]) & (known[pair] < 0)]] = cost
+        if (known >= 0).all():
+            break
+    found = np.flatnonzero(known >= 0)
+    i, j, cost, size, gaps = m.copy(), n.copy(), known, np.zeros(len(own), np.int64), [np.zeros((3, 0), np.int64)]
+
+    def reached(pair: np.ndarray, cost: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        column = diagonal - lowest(cost)
+        inside = (cost >= 0) & (column >= 0) & (column < wide)
+        return np.where(inside, table[np.where(inside, begin[cost] + pair * (wide + 2) + column, 0)], NOWHERE)
+
+    live = found
+    while len(live):
+        run = _run(a, b, a_offs[own][live] + i[live], b_offs[own][live] + j[live], np.minimum(i[live], j[live]), same, first, back=True)
+        i[live] -= run
+        j[live] -= run
+        size[live] += run
+        live = live[(i[live] > 0) | (j[live] > 0)]
+        x, y, diagonal = i[live], j[live], (sign * (j - i))[live]
+        pairs = (x > 0) & (y > 0) & (reached(live, cost[live] - 1, diagonal) >= x - 1)
+        up = ~pairs & (x > 0) & ((y == 0) | (reached(live, cost[live] - gap, diagonal + sign[live]) >= x - 1))
+        gaps.append(np.stack([live, size[live], np.where(up, UP, LEFT)])[:, ~pairs])
+        i[live] -= pairs | up
+        j[live] -= ~up
+        cost[live] -= np.where(pairs, 1, gap)
+        size[live] += 1
+    pair, back, kind = np.concatenate(gaps, axis=1)
+    ends = np.cumsum(size)
+    steps = np.full(ends[-1], DIAGONAL, np.uint8)
+    steps[ends[pair] - 1 - back] = kind
+    size = size[found]
+    places = lambda moves, lens: np.where(moves, np.cumsum(moves) - 1 - np.repeat(np.cumsum(lens) - lens, size), -1).astype(np.int32)
+    return own[found], places(steps != LEFT, m[found]), places(steps != UP, n[found]), size
+
+
 def _in_band(a: dict[str, np.ndarray], b: dict[str, np.ndarray], m: int, n: int, gap: int, same: Same) -> tuple[np.ndarray, np.ndarray] | None:
     """The alignment of one pair from the cells near its diagonal, or None where a band does not pay or would not fit ``BAND_CELLS``.
 
@@ -266,6 +373,26 @@ def align(a: Column, b: Column, gap: int = 1) -> Column:
     return _udf(gap)(a, b)
 
 
+def agreement(a: Column, b: Column, gap: int = 1) -> Column:
+    """What the alignment of two sequences of keys (array<string>) comes to, without its steps: struct<only_a, only_b, equal, unequal>
+    of numbers of steps, null where either sequence is. Nulls in them are equal to each other."""
+
+    @F.arrow_udf("struct<only_a:int,only_b:int,equal:int,unequal:int>")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        (x, x_offs), (y, y_offs) = flat(a), flat(b)
+        x, y = coded(x, y)
+        g, p, offs = align_many(x, x_offs, y, y_offs, gap)
+        row = np.repeat(np.arange(len(a)), np.diff(offs))
+        both = (g >= 0) & (p >= 0)
+        alike = both.copy()
+        alike[both] = x[(g + x_offs[row])[both]] == y[(p + y_offs[row])[both]]
+        void = pc.or_(pc.is_null(a), pc.is_null(b))
+        counts = [pa.array(np.bincount(row[own], minlength=len(a)).astype(np.int32)) for own in (p < 0, g < 0, alike, both & ~alike)]
+        return pa.StructArray.from_arrays(counts, ["only_a", "only_b", "equal", "unequal"], mask=void)
+
+    return run(a, b)
+
+
 def align_native(a: Column, b: Column, gap: int = 1) -> Column:
     """The same without Python: rows of the cost table by folds, then the way back by one more. For short sequences: it
     copies a row a step."""

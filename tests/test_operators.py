@@ -212,6 +212,67 @@ def test_like_sequences_are_aligned_in_a_band(monkeypatch):
             assert list(zip(g.tolist(), p.tolist())) == align_plain(x, y, 1)
 
 
+@pytest.mark.parametrize("gap", [1, 2, 3])
+def test_like_sequences_are_aligned_by_cost(monkeypatch, gap):
+    """Sequences that differ little fill no table and no band, whichever is longer, and get the path of the rule for ties."""
+    import numpy as np
+
+    rng = random.Random(gap)
+
+    def edited(a, k, rate):
+        changed = [[], [rng.randrange(k)], "again", "before"]
+        out = []
+        for x in a:
+            how = rng.choice(changed) if rng.random() < rate else [x]
+            out += [x, x] if how == "again" else [rng.randrange(k), x] if how == "before" else how
+        return out
+
+    pairs = [([], []), ([1], []), ([], [1, 1]), ([1, 2], [2]), ([0] * 50, [0] * 43)]
+    for k in (1, 2, 3, 9):
+        for rate in (0, 0.05, 0.3, 0.9):
+            a = [[rng.randrange(k) for _ in range(rng.randint(0, 60))] for _ in range(8)]
+            pairs += [(x, edited(x, k, rate)) for x in a] + [([y for i, y in enumerate(x) if i % 7 != 3], x) for x in a]
+    pairs += [(y, x) for x, y in pairs]
+    offs = [np.cumsum([0] + [len(p[s]) for p in pairs]) for s in (0, 1)]
+    flat = [np.array([x for q in pairs for x in q[s]], np.int32) for s in (0, 1)]
+    for few in ("FEW_CELLS", "PLACE_CELLS", "COST_CELLS"):
+        monkeypatch.setattr(align, few, 0)
+    for table in ("_together", "_in_band", "_long"):
+        monkeypatch.setattr(align, table, None)
+    for cells in (40, 1 << 24):
+        monkeypatch.setattr(align, "CELLS", cells)
+        g, p, at = align.align_many(flat[0], offs[0], flat[1], offs[1], gap)
+        for i, (a, b) in enumerate(pairs):
+            assert list(zip(g[at[i] : at[i + 1]].tolist(), p[at[i] : at[i + 1]].tolist())) == align_plain(a, b, gap)
+
+
+def test_documents_that_are_alike_fill_no_tables(monkeypatch):
+    """As in align_documents: 40 texts of up to 900 words against themselves without every seventh word, beside one that is unlike."""
+    import numpy as np
+
+    filled, together = [], align._together
+    monkeypatch.setattr(align, "_together", lambda a, m, b, n, *more: filled.append(int((m * n).sum())) or together(a, m, b, n, *more))
+    rng = random.Random(8)
+    a = [[rng.randrange(500) for _ in range(rng.randint(300, 900))] for _ in range(40)]
+    b = [[x for i, x in enumerate(ws) if i % 7 != 3] for ws in a]
+    b[7] = [rng.randrange(500) for _ in range(400)]
+    offs = [np.cumsum([0] + [len(x) for x in xs]) for xs in (a, b)]
+    g, p, at = align.align_many(*[z for xs, o in zip((a, b), offs) for z in (np.array([x for ws in xs for x in ws]), o)])
+    assert filled == [len(a[7]) * len(b[7])]
+    for i in set(range(40)) - {7}:
+        own = slice(at[i], at[i + 1])
+        assert (p[own] < 0).sum() == (len(a[i]) + 3) // 7 and (g[own] >= 0).all() and all(a[i][x] == b[i][y] for x, y in zip(g[own], p[own]) if y >= 0)
+
+
+def test_agreement_counts_the_steps_of_alignments(spark):
+    rng = random.Random(6)
+    rows = [(i, *[[rng.choice(["a", "b", "c", None]) for _ in range(rng.randint(0, 90))] for _ in range(2)]) for i in range(40)] + [(40, None, ["a"]), (41, [], None), (42, [], [])]
+    df = spark.createDataFrame(rows, "i int, a array<string>, b array<string>").repartition(3)
+    for r in df.select("a", "b", align.align(F.col("a"), F.col("b"), 2).alias("u"), align.agreement(F.col("a"), F.col("b"), 2).alias("n")).collect():
+        met = [r.a[g] == r.b[p] for g, p in r.u if g is not None and p is not None] if r.u is not None else None
+        assert r.n == (None if met is None else (sum(p is None for _, p in r.u), sum(g is None for g, _ in r.u), sum(met), len(met) - sum(met)))
+
+
 def test_alignment_of_null_lists(spark):
     df = spark.createDataFrame([(None, ["a"]), (["a"], None), ([], []), (["a", None], [None, "a"])], "a array<string>, b array<string>")
     got = [r.u and [(x.g, x.p) for x in r.u] for r in df.select(align.align(F.col("a"), F.col("b")).alias("u")).collect()]
