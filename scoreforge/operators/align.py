@@ -23,6 +23,8 @@ FEW_CELLS = 1 << 12
 PLACE_CELLS, COST_CELLS = 8, 1 << 13
 #: What part of the time of the tables may be spent on trying to do without.
 TRIED = 1 / 6
+#: Elements of both sides whose alignments are made and counted together.
+KEYS = 1 << 21
 #: What stands for a place that no path comes to.
 NOWHERE = -(1 << 30)
 DIAGONAL, UP, LEFT = range(3)
@@ -379,20 +381,31 @@ def agreement(a: Column, b: Column, gap: int = 1) -> Column:
 
     @F.arrow_udf("struct<only_a:int,only_b:int,equal:int,unequal:int>")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        (x, x_offs), (y, y_offs) = flat(a), flat(b)
-        x, y = coded(x, y)
-        g, p, offs = align_many(x, x_offs, y, y_offs, gap)
-        row = np.repeat(np.arange(len(a)), np.diff(offs))
-        both = (g >= 0) & (p >= 0)
-        alike = both.copy()
-        alike[both] = x[(g + x_offs[row])[both]] == y[(p + y_offs[row])[both]]
-        void = pc.or_(pc.is_null(a), pc.is_null(b))
-        counts = [pa.array(np.bincount(row[own], minlength=len(a)).astype(np.int32)) for own in (p < 0, g < 0, alike, both & ~alike)]
-        return pa.StructArray.from_arrays(counts, ["only_a", "only_b", "equal", "unequal"], mask=void)
+        return _agreements(a, b, gap)
 
     return run(a, b)
 
 
+def _agreements(a: pa.Array, b: pa.Array, gap: int) -> pa.Array:
+    """What ``agreement`` says, for some ``KEYS`` elements at a time."""
+    lens = sum(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
+    cuts = np.flatnonzero(np.diff(np.cumsum(lens) // KEYS, prepend=-1)).tolist() + [len(a)]
+    return pa.concat_arrays([_agreement(*(z.slice(s, e - s) for z in (a, b)), gap) for s, e in zip(cuts, cuts[1:])] or [_agreement(a, b, gap)])
+
+
+def _agreement(a: pa.Array, b: pa.Array, gap: int) -> pa.Array:
+    (x, x_offs), (y, y_offs) = flat(a), flat(b)
+    x, y = coded(x, y)
+    g, p, offs = align_many(x, x_offs, y, y_offs, gap)
+    row = np.repeat(np.arange(len(a)), np.diff(offs))
+    both = (g >= 0) & (p >= 0)
+    alike = both.copy()
+    alike[both] = x[(g + x_offs[row])[both]] == y[(p + y_offs[row])[both]]
+    void = pc.or_(pc.is_null(a), pc.is_null(b))
+    counts = [pa.array(np.bincount(row[own], minlength=len(a)).astype(np.int32)) for own in (p < 0, g < 0, alike, both & ~alike)]
+    return pa.StructArray.from_arrays(counts, ["only_a", "only_b", "equal", "unequal"], mask=void)
+
+
 def align_native(a: Column, b: Column, gap: int = 1) -> Column:
     """The same without Python: rows of the cost table by folds, then the way back by one more. For short sequences: it
     copies a row a step."""

@@ -273,6 +273,19 @@ def test_agreement_counts_the_steps_of_alignments(spark):
         assert r.n == (None if met is None else (sum(p is None for _, p in r.u), sum(g is None for g, _ in r.u), sum(met), len(met) - sum(met)))
 
 
+def test_agreement_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    a, b = (pa.array([rng.choice([None, [rng.choice("abc") for _ in range(rng.randint(0, 20))]]) for _ in range(60)], pa.list_(pa.string())) for _ in "ab")
+    whole = align._agreements(a, b, 1)
+    assert len(whole) == 60 and whole.null_count
+    for keys in (1, 17, 300):
+        monkeypatch.setattr(align, "KEYS", keys)
+        assert align._agreements(a, b, 1).equals(whole) and align._agreements(a[7:31], b[7:31], 1).equals(whole[7:31])
+    assert len(align._agreements(a[:0], b[:0], 1)) == 0
+
+
 def test_alignment_of_null_lists(spark):
     df = spark.createDataFrame([(None, ["a"]), (["a"], None), ([], []), (["a", None], [None, "a"])], "a array<string>, b array<string>")
     got = [r.u and [(x.g, x.p) for x in r.u] for r in df.select(align.align(F.col("a"), F.col("b")).alias("u")).collect()]
